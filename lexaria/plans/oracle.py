@@ -32,11 +32,11 @@ def gold(*exprs: str) -> str:
 
 
 def dot(a: str, b: str) -> str:
-    return f"list_reduce(list_transform(list_zip({a}, {b}), z -> z[1] * z[2]), (x, y) -> x + y, 0.0)"
+    return f"list_reduce(list_transform(list_zip({a}, {b}), lambda z: z[1] * z[2]), lambda x, y: x + y, 0.0)"
 
 
 def norm(a: str) -> str:
-    return f"sqrt(list_reduce(list_transform({a}, x -> x * x), (x, y) -> x + y, 0.0))"
+    return f"sqrt(list_reduce(list_transform({a}, lambda x: x * x), lambda x, y: x + y, 0.0))"
 
 
 def r6(x: str, d: int = 6) -> str:
