@@ -25,16 +25,42 @@ def tokens(sents: DataFrame, lowercase: bool = True, punct="P1", tokenizer=None)
     )
 
 
+# First-occurrence position packed into one decimal(38,0) so the count and the
+# min run in a hash aggregate (a struct min forces a sort-based aggregate):
+# doc_id * 10^18 + line_no * 10^12 + sent_no * 10^6 + tok_pos.
+# Bounds: fewer than 10^6 lines per document, sentences per line and tokens per
+# sentence.
+_E6, _E12, _E18 = 10**6, 10**12, 10**18
+
+
+def position_key() -> F.Column:
+    inner = F.col("line_no") * _E12 + F.col("sent_no") * _E6 + F.col("tok_pos")
+    return (F.col("doc_id").cast("decimal(38,0)") * F.lit(_E18).cast("decimal(38,0)")
+            + inner.cast("decimal(38,0)")).cast("decimal(38,0)")
+
+
+def decode_position(key: str = "first_key") -> F.Column:
+    doc = F.expr(f"{key} div {_E18}")
+    inner = (F.col(key) - doc.cast("decimal(38,0)") * F.lit(_E18).cast("decimal(38,0)")).cast("bigint")
+    return F.struct(
+        doc.cast("bigint").alias("doc_id"),
+        F.floor(inner / _E12).cast("bigint").alias("line_no"),
+        (F.floor(inner / _E6) % _E6).cast("bigint").alias("sent_no"),
+        (inner % _E6).cast("bigint").alias("tok_pos"),
+    )
+
+
 def word_counts(toks: DataFrame) -> DataFrame:
-    """``(word, freq, first)`` — count and first occurrence (corpus order).
+    """``(word, freq, first_key, first)`` — count and first occurrence (corpus order).
 
     One hash aggregate with a map-side partial: a hot word is pre-counted in
     every task before the shuffle, so no task receives its raw tokens.
     """
-    return toks.groupBy("word").agg(
+    agg = toks.groupBy("word").agg(
         F.count(F.lit(1)).cast("bigint").alias("freq"),
-        F.min(F.struct(*POS, "tok_pos")).alias("first"),
+        F.min(position_key()).alias("first_key"),
     )
+    return agg.withColumn("first", decode_position("first_key"))
 
 
 def filter_vocabulary(
@@ -49,7 +75,7 @@ def filter_vocabulary(
         (F.col("freq") >= min_freq) & (F.length("word") >= min_len) & T.valid_word(F.col("word"))
     )
     ranked = with_global_index(
-        kept, [F.col("freq").desc(), F.col("first")], name="word_idx"
+        kept.select("word", "freq", "first_key"), [F.col("freq").desc(), F.col("first_key")], name="word_idx"
     )
     if max_size:
         ranked = ranked.where(F.col("word_idx") < max_size)

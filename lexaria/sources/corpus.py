@@ -16,16 +16,28 @@ from lexaria.functions import text as T
 KNOWN_LANGUAGES = ["en", "de", "zh", "ja"]
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread_key: str | None = None) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df, spread_key) if spread_key else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-repartition by ``key`` only when the scan has fewer splits than the
+    cluster has cores (a small input whose regex-heavy stage would otherwise run
+    in a handful of tasks).  Large inputs already have many splits: no shuffle."""
+    sc = df.sparkSession.sparkContext
+    cores = sc.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores * 2, key)
+    return df
 
 
 def document_lines(docs: DataFrame, text_col: str = "text", key: str = "doc_id") -> DataFrame:
     """A1 on a documents table: every text line is a corpus line; strip, drop empty."""
     return (
         docs.select(F.col(key).alias("doc_id"), F.posexplode(T.split_lines(F.col(text_col))).alias("line_no", "raw"))
+        .where(T.has_text(F.col("raw")))
         .select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), T.strip(F.col("raw")).alias("line"))
-        .where(F.col("line") != "")
     )
 
 
@@ -53,15 +65,11 @@ def count_lines(spark: SparkSession, path: str) -> int:
 
 def sentences(lines: DataFrame) -> DataFrame:
     """C1 + C2: regex sentence split, strip, keep sentences longer than 10 characters."""
+    # ``line`` is stripped, so the pieces are too (see ``text.split_sentences``)
     return (
-        lines.select("doc_id", "line_no", F.posexplode(T.split_sentences(F.col("line"))).alias("sent_no", "raw"))
-        .select(
-            "doc_id",
-            "line_no",
-            F.col("sent_no").cast("bigint").alias("sent_no"),
-            T.strip(F.col("raw")).alias("sentence"),
-        )
+        lines.select("doc_id", "line_no", F.posexplode(T.split_sentences(F.col("line"))).alias("sent_no", "sentence"))
         .where(F.length("sentence") > 10)
+        .select("doc_id", "line_no", F.col("sent_no").cast("bigint").alias("sent_no"), "sentence")
     )
 
 
