@@ -111,14 +111,3 @@ def union_vocabularies(*vocabs: DataFrame) -> DataFrame:
     for v in vocabs[1:]:
         out = out.unionByName(v.select("word"))
     return out.distinct()
-
-
-def resume_words(counts_lines: DataFrame) -> DataFrame:
-    """Words listed in a count table except its last line (may be partial).
-
-    ``counts_lines`` is ``(pos bigint, word string, n string)``.
-    """
-    last = counts_lines.agg(F.max("pos")).first()[0]  # one scalar
-    if last is None:
-        return counts_lines.select("word").limit(0)
-    return counts_lines.where(F.col("pos") < F.lit(last)).select("word")
