@@ -176,3 +176,47 @@ def e13_encode_subword(spark, sf):
                     bound=FX.n_vectors(spark, sf))
     out = out.select(F.col("sent_id.conv_id").alias("conv_id"), F.col("sent_id.turn").alias("turn"), "vec")
     return Vx.long_form(out, ["conv_id", "turn"], "vec")
+
+
+# ---- E27 / E28 word senses --------------------------------------------------------------------
+
+def _capped_contexts(spark, sf):
+    from lexaria.operators import senses as SN
+
+    return SN.cap_contexts(FX.contexts(spark, sf), 100)
+
+
+add_cte("ctx_capped", ["contexts"], """
+SELECT word, ctx, vec FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY ctx) AS rn FROM contexts)
+WHERE rn <= 100""")
+
+
+@register("e27_sense_invariants", with_ctes(["ctx_capped"], """
+SELECT word, CAST(greatest(1, least(3, count(*) // 5)) AS BIGINT) AS k, CAST(count(*) AS BIGINT) AS n_contexts
+FROM ctx_capped GROUP BY word"""))
+def e27_sense_invariants(spark, sf):
+    """Per word the induced sense count k = max(1, min(3, n // 5)) and the contexts covered."""
+    from lexaria.operators import senses as SN
+
+    ctx = _capped_contexts(spark, sf)
+    labels = SN.sense_labels(ctx, 3, 5)
+    return labels.groupBy("word").agg(
+        (F.max("sense_id") + 1).cast("bigint").alias("k"), F.count(F.lit(1)).cast("bigint").alias("n_contexts"))
+
+
+@register("e27_multi_sense")
+def e27_multi_sense(spark, sf):
+    """Centroid and size of every sense (k-means per word; labels are unique only up to permutation)."""
+    from lexaria.operators import senses as SN
+
+    out = SN.multi_sense(_capped_contexts(spark, sf), 3, 5)
+    return out.select("word", "sense_id", "n_ctx", Vx.round_col(Vx.norm("vec")).alias("centroid_norm"))
+
+
+@register("e28_optimal_senses")
+def e28_optimal_senses(spark, sf):
+    """Best sense count by silhouette (k = 2..5, every cluster >= 5 contexts)."""
+    from lexaria.operators import senses as SN
+
+    out = SN.optimal_senses(_capped_contexts(spark, sf), 5, 5)
+    return out.select("word", "best_k", Vx.round_col("best_score").alias("best_score"))
