@@ -19,22 +19,22 @@ from lexaria.functions.joins import bounded_broadcast, vector_row_bytes
 def group_mean(df: DataFrame, keys: list[str], vec: str = "vec", weight: str | None = None,
                out: str = "vec") -> DataFrame:
     """``Σ w x / Σ w`` per group (plain mean without ``weight``); null when ``Σ w = 0``."""
-    v = array_to_vector(F.col(vec))
     if weight is None:
-        agg = Summarizer.mean(v).alias("_m")
+        agg = Summarizer.mean(array_to_vector(F.col(vec))).alias("_m")
         return df.groupBy(*keys).agg(agg).select(*keys, vector_to_array("_m").alias(out))
-    agg = Summarizer.mean(v, F.col(weight).cast("double")).alias("_m")
-    g = df.groupBy(*keys).agg(agg, F.sum(F.col(weight).cast("double")).alias("_w"))
+    w = F.col(weight).cast("double")
+    scaled = array_to_vector(F.transform(F.col(vec), lambda x: x * w))
+    g = df.groupBy(*keys).agg(Summarizer.sum(scaled).alias("_s"), F.sum(w).alias("_w"))
     return g.select(
-        *keys, F.when(F.col("_w") != 0, vector_to_array("_m")).alias(out)
+        *keys, F.when(F.col("_w") != 0, Vx.scale(vector_to_array("_s"), F.lit(1.0) / F.col("_w"))).alias(out)
     )
 
 
 def group_sum(df: DataFrame, keys: list[str], vec: str = "vec", weight: str | None = None,
               out: str = "vec") -> DataFrame:
-    """``Σ w x`` per group."""
-    v = array_to_vector(F.col(vec))
-    agg = Summarizer.sum(v) if weight is None else Summarizer.sum(v, F.col(weight).cast("double"))
+    """``Σ w x`` per group (any sign of ``w``: vectors are scaled before the sum)."""
+    v = F.col(vec) if weight is None else F.transform(F.col(vec), lambda x: x * F.col(weight).cast("double"))
+    agg = Summarizer.sum(array_to_vector(v))
     return df.groupBy(*keys).agg(agg.alias("_s")).select(*keys, vector_to_array("_s").alias(out))
 
 

@@ -34,5 +34,6 @@ def load_all() -> None:
         q_io,
         q_positions,
         q_losses,
+        q_train,
         q_streaming,
     )
