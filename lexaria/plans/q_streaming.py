@@ -1 +1,76 @@
-"""Registered queries."""
+"""Registered queries: Structured Streaming.
+
+The documents / conversation tables are staged as several Parquet files in
+the shared checkpoint folder and read back as a file stream, one file per
+micro-batch, so state is carried across batches.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from lexaria.functions import vectors as Vx
+from lexaria.functions.text import TOKEN_PATTERN
+from lexaria.operators import encode as EN
+from lexaria.plans import fixtures as FX
+from lexaria.plans.catalog import register
+from lexaria.plans.oracle import with_ctes
+from lexaria.plans.q_vectors import out_long
+from lexaria.session import stage_path
+from lexaria.streaming import corpus as ST
+
+DOC_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def _docs_stream(spark, sf, files=4):
+    p = stage_path(spark, f"stream-docs-{uuid.uuid4().hex[:8]}")
+    ST.stage_files(FX.table(spark, sf, "documents"), p, files, "doc_id")
+    return ST.document_stream(spark, p, DOC_SCHEMA, 1)
+
+
+@register("i01_streaming_word_counts", with_ctes(["counts"], "SELECT word, freq FROM counts"))
+def i01_streaming_word_counts(spark, sf):
+    """Running word counts over arriving document files (complete mode, final state)."""
+    name = f"i01_{uuid.uuid4().hex[:8]}"
+    ST.run_to_memory(ST.running_word_counts(_docs_stream(spark, sf)), name, "complete",
+                     stage_path(spark, f"ckpt-{name}"))
+    return spark.table(name)
+
+
+@register("i02_streaming_capped_contexts", with_ctes(["sentences", "vocab"], f"""
+SELECT word, CAST(least(10, count(*)) AS BIGINT) AS n_contexts FROM (
+  SELECT DISTINCT doc_id, line_no, sent_no, w AS word
+  FROM (SELECT doc_id, line_no, sent_no, unnest(regexp_extract_all(lower(sentence), '{TOKEN_PATTERN}')) AS w
+        FROM sentences WHERE length(sentence) <= 500)
+  WHERE w IN (SELECT word FROM vocab))
+GROUP BY word"""))
+def i02_streaming_capped_contexts(spark, sf):
+    """Keyed state caps each word at 10 emitted contexts across micro-batches."""
+    name = f"i02_{uuid.uuid4().hex[:8]}"
+    vocab = FX.vocab(spark, sf)
+    ST.run_to_memory(ST.capped_contexts(_docs_stream(spark, sf), vocab, FX.N_CONTEXTS), name, "append",
+                     stage_path(spark, f"ckpt-{name}"))
+    return spark.table(name).groupBy("word").agg(F.count(F.lit(1)).cast("bigint").alias("n_contexts"))
+
+
+@register("i03_streaming_encode", with_ctes(["enc_mean"], out_long("enc_mean", "conv_id, turn")))
+def i03_streaming_encode(spark, sf):
+    """Arriving conversation turns encoded per micro-batch (foreachBatch + batch E13)."""
+    src = stage_path(spark, f"stream-conv-{uuid.uuid4().hex[:8]}")
+    ST.stage_files(FX.table(spark, sf, "conversations"), src, 4, "conv_id")
+    texts = spark.readStream.schema("conv_id bigint, turn bigint, role string, text string").option(
+        "maxFilesPerTrigger", 1).parquet(src)
+    w2v = FX.word2vec(spark, sf)
+    bound = FX.n_vectors(spark, sf)
+
+    def encode_batch(df):
+        t = df.select(F.struct("conv_id", "turn").alias("sent_id"), "text")
+        out = EN.encode(t, w2v, key="sent_id", dim=64, bound=bound)
+        return out.select(F.col("sent_id.conv_id").alias("conv_id"), F.col("sent_id.turn").alias("turn"), "vec")
+
+    out = stage_path(spark, f"stream-enc-{uuid.uuid4().hex[:8]}")
+    q = ST.encode_stream(texts, encode_batch, out, stage_path(spark, f"ckpt-enc-{uuid.uuid4().hex[:8]}"))
+    q.awaitTermination()
+    return Vx.long_form(spark.read.parquet(out), ["conv_id", "turn"], "vec")
