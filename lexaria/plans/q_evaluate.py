@@ -195,7 +195,16 @@ def d09_compare_models(spark, sf):
 
 # ---- E21 encoder-based word evaluation --------------------------------------------------
 
-@register("e21_encoder_word_similarity")
+E21_SQL = f"""
+SELECT t.dataset,
+       {r('CASE WHEN coalesce(c.n, 0) < 2 THEN 0.0 ELSE c.spearman END')} AS spearman,
+       {r('CASE WHEN coalesce(c.n, 0) < 2 THEN 0.0 ELSE c.n / t.n_pairs END')} AS coverage,
+       CAST(CASE WHEN coalesce(c.n, 0) < 2 THEN 0 ELSE c.n END AS BIGINT) AS n_found
+FROM (SELECT dataset, count(*) AS n_pairs FROM wp_ds GROUP BY dataset) t
+LEFT JOIN ({corr_sql('wsim_found', 'dataset', 'pred', 'gold')}) c ON c.dataset = t.dataset"""
+
+
+@register("e21_encoder_word_similarity", with_ctes(["wp_ds", "wsim_found"], E21_SQL))
 def e21_encoder_word_similarity(spark, sf):
     """Words encoded as one-word sentences; OOV pairs skipped (static model)."""
     out = EV.encoder_word_similarity(_ds_pairs(spark, sf), FX.word2vec(spark, sf),
