@@ -110,16 +110,18 @@ def pair_similarity(pairs: DataFrame, word_vectors: DataFrame, dim: int | None =
     ``pairs`` is ``(pair_id, a, b)``; output ``(pair_id, sim)``.  Both sides are
     encoded in one pass over a stacked relation so the lookup happens once.
     """
-    if dim is None:
-        dim = int(word_vectors.select(F.max(F.size("vec"))).first()[0])
     stacked = pairs.select("pair_id", F.lit(0).alias("side"), F.col("a").alias("text")).unionByName(
         pairs.select("pair_id", F.lit(1).alias("side"), F.col("b").alias("text"))
     ).withColumn("sent_id", F.struct("pair_id", "side"))
-    enc = encode(stacked, word_vectors, key="sent_id", dim=dim, normalize=normalize, bound=bound, **kw)
-    enc = enc.select(F.col("sent_id.pair_id").alias("pair_id"), F.col("sent_id.side").alias("side"), "vec")
-    # two rows per pair -> one row: a single small aggregate instead of a self join
-    both = enc.groupBy("pair_id").agg(F.min_by("vec", "side").alias("va"), F.max_by("vec", "side").alias("vb"))
-    return both.select("pair_id", Vx.dot("va", "vb").alias("sim"))
+    # only sides with at least one known word; a missing side is a zero vector -> similarity 0
+    enc = encode(stacked, word_vectors, key="sent_id", dim=dim, normalize=normalize, bound=bound,
+                 on_empty="drop", **kw)
+    # two rows per pair -> one row with a hash-based collect (no sort aggregate, no self join)
+    both = enc.groupBy(F.col("sent_id.pair_id").alias("pair_id")).agg(
+        F.collect_list(F.col("vec")).alias("vs"))
+    sim = F.when(F.size("vs") == 2, Vx.dot(F.col("vs")[0], F.col("vs")[1])).otherwise(F.lit(0.0))
+    return pairs.select("pair_id").join(both.select("pair_id", sim.alias("sim")), "pair_id", "left").select(
+        "pair_id", F.coalesce("sim", F.lit(0.0)).alias("sim"))
 
 
 def project(sent_vecs: DataFrame, weight_rows: list[list[float]], vec: str = "vec") -> DataFrame:
