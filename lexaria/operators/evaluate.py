@@ -60,12 +60,14 @@ def with_average_ranks(df: DataFrame, group: list[str], x: str, y: str, key: str
 def correlations(scored: DataFrame, group: list[str], pred: str = "pred", gold: str = "gold",
                  key: str = "pair_id") -> DataFrame:
     """E18 + E19 per group: ``(group..., n, spearman, pearson)``."""
+    # every aggregate reads the checkpointed, ranked rows: the scored input is
+    # computed once, not once per correlation
     ranked = with_average_ranks(scored, group, pred, gold, key)
-    sp = ranked.groupBy(*group).agg(pearson_expr("_rx", "_ry").alias("spearman"))
-    pe = scored.groupBy(*group).agg(
-        F.count(F.lit(1)).cast("bigint").alias("n"), pearson_expr(pred, gold).alias("pearson")
+    return ranked.groupBy(*group).agg(
+        F.count(F.lit(1)).cast("bigint").alias("n"),
+        pearson_expr(pred, gold).alias("pearson"),
+        pearson_expr("_rx", "_ry").alias("spearman"),
     )
-    return pe.join(sp, group, "left")
 
 
 def _guard(df: DataFrame, n_col: str) -> DataFrame:

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -57,11 +58,16 @@ def _sign_fix(components: np.ndarray) -> np.ndarray:
 
 def fit_pca(df: DataFrame, k: int, vec: str = "vec") -> PcaFit:
     """PCA on the (centred) rows; components are covariance eigenvectors."""
-    v = df.select(array_to_vector(F.col(vec)).alias("_v"))
-    model = PCA(k=k, inputCol="_v", outputCol="_p").fit(v)
-    comps = _sign_fix(np.asarray(model.pc.toArray()).T)  # k x d
-    ratios = np.asarray(model.explainedVariance.toArray())
-    mean_row = v.select(Summarizer.mean(F.col("_v")).alias("m")).first()["m"]
+    # the fit makes several passes (column statistics, Gramian, mean): keep the
+    # input rows for its duration instead of recomputing the upstream plan
+    v = df.select(array_to_vector(F.col(vec)).alias("_v")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = PCA(k=k, inputCol="_v", outputCol="_p").fit(v)
+        comps = _sign_fix(np.asarray(model.pc.toArray()).T)  # k x d
+        ratios = np.asarray(model.explainedVariance.toArray())
+        mean_row = v.select(Summarizer.mean(F.col("_v")).alias("m")).first()["m"]
+    finally:
+        v.unpersist()
     return PcaFit(np.asarray(mean_row.toArray()), comps, ratios)
 
 
@@ -71,9 +77,12 @@ def covariance(df: DataFrame, vec: str = "vec") -> DataFrame:
     from pyspark.ml.stat import Correlation
 
     spark = df.sparkSession
-    v = df.select(array_to_vector(F.col(vec)).alias("_v"))
-    corr = np.asarray(Correlation.corr(v, "_v").first()[0].toArray())
-    var = np.asarray(v.select(Summarizer.variance(F.col("_v")).alias("s")).first()["s"].toArray())
+    v = df.select(array_to_vector(F.col(vec)).alias("_v")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        corr = np.asarray(Correlation.corr(v, "_v").first()[0].toArray())
+        var = np.asarray(v.select(Summarizer.variance(F.col("_v")).alias("s")).first()["s"].toArray())
+    finally:
+        v.unpersist()
     std = np.sqrt(var)
     cov = np.nan_to_num(corr) * np.outer(std, std)
     d = cov.shape[0]
