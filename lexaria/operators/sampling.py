@@ -16,6 +16,26 @@ from lexaria.functions.ordering import with_global_index
 from lexaria.functions.text import hash_key
 
 
+def hash_top_k(df: DataFrame, h: str, k: int, tiebreak: list[str], oversample: float = 3.0) -> DataFrame:
+    """The ``k`` rows with the smallest md5 hex ``h`` (ties by ``tiebreak``), exact.
+
+    A plain ``orderBy(h).limit(k)`` ships up to ``k`` rows from every partition
+    into one task.  md5 prefixes are uniform, so rows whose 32-bit prefix is
+    under ``oversample * k / n`` of the range form a down-set of the order with
+    about ``oversample * k`` rows; when it holds at least ``k`` rows the answer
+    is inside it, otherwise fall back to the full top-k.
+    """
+    n = df.count()  # one scalar
+    ordered = [F.col(h)] + [F.col(c) for c in tiebreak]
+    if n > k:
+        frac = min(1.0, oversample * k / n)
+        prefix = F.conv(F.substring(F.col(h), 1, 8), 16, 10).cast("bigint")
+        cand = df.where(prefix < F.lit(int(frac * 2**32)))
+        if frac < 1.0 and cand.count() >= k:
+            return cand.orderBy(*ordered).limit(k)
+    return df.orderBy(*ordered).limit(k)
+
+
 def _per_word_sample(ctx: DataFrame, n: int, min_count: int, seed: int) -> DataFrame:
     """Rows ``(word, rn, sentence, pick)`` for words with >= min_count sentences,
     ``pick`` = 1..n in hash order (without replacement)."""
@@ -50,7 +70,8 @@ def historical_split(ctx: DataFrame, seed: int = 42, max_dev: int = 10000) -> Da
     picked = _per_word_sample(ctx, 3, 5, seed)
     train = picked.where(F.col("pick") <= 2).select("sentence").distinct()
     dev = picked.where(F.col("pick") == 3).select("sentence").distinct().join(train, "sentence", "left_anti")
-    dev = dev.orderBy(hash_key(F.lit(seed), F.lit("dev"), F.col("sentence")), "sentence").limit(max_dev)
+    dev = hash_top_k(dev.withColumn("_h", hash_key(F.lit(seed), F.lit("dev"), F.col("sentence"))), "_h",
+                     max_dev, ["sentence"]).drop("_h")
     return train.withColumn("split", F.lit("train")).unionByName(dev.withColumn("split", F.lit("dev")))
 
 
@@ -114,11 +135,10 @@ def language_share(ctx: DataFrame, target_lang: str, min_count: int = 10) -> Dat
 
 
 def shuffled_sample(ctx: DataFrame, n: int = 10000, seed: int = 42) -> DataFrame:
-    """All contexts in hash order, first ``n`` (duplicates kept).  TakeOrdered,
-    no full sort."""
-    return ctx.orderBy(hash_key(F.lit(seed), F.col("word"), F.col("rn")), "word", "rn").limit(n).select(
-        "word", "rn", "sentence"
-    )
+    """All contexts in hash order, first ``n`` (duplicates kept); exact top-k
+    over a hash-prefix pre-filter (see ``hash_top_k``)."""
+    hashed = ctx.withColumn("_h", hash_key(F.lit(seed), F.col("word"), F.col("rn")))
+    return hash_top_k(hashed, "_h", n, ["word", "rn"]).select("word", "rn", "sentence")
 
 
 def head_contexts(ctx: DataFrame, vocab: DataFrame, n_words: int = 1000, per_word: int = 5,

@@ -184,3 +184,13 @@ def test_senses(spark):
     assert sizes == [20, 20] and [r.n_ctx for r in senses if r.word == "z"] == [1]
     best = {r.word: r.best_k for r in SN.optimal_senses(ctx, 5, 5).collect()}
     assert best == {"w": 2, "z": 1}
+
+
+def test_hash_top_k_is_exact(spark):
+    from lexaria.functions.text import hash_key
+
+    df = spark.range(0, 5000).select(F.col("id"), hash_key(F.lit(7), F.col("id")).alias("h"))
+    want = [r.id for r in df.orderBy("h", "id").limit(100).collect()]
+    got = [r.id for r in S.hash_top_k(df, "h", 100, ["id"]).collect()]
+    assert got == want
+    assert [r.id for r in S.hash_top_k(df, "h", 6000, ["id"]).collect()] == [r.id for r in df.orderBy("h", "id").collect()]
