@@ -2,14 +2,14 @@
 
 A bare ``Window.orderBy`` (no partition) moves every row into one task.  For
 corpus-sized inputs we instead range-partition on a *total* order key, number
-rows inside each partition, and add per-partition offsets computed from a
-table with one row per partition (bounded by the partition count, so it is
-safe to broadcast).
+rows inside each partition, and add per-partition offsets (one count per
+partition reaches the driver, as with ``zipWithIndex``; the offsets travel as a
+literal array indexed by partition id, so no join is needed).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,6 +21,13 @@ def with_global_index(
     ``order_cols`` must form a total order (add a unique tiebreaker), so the
     numbering is deterministic and survives task re-execution.
     """
+    return indexed_with_count(df, order_cols, name, num_partitions)[0]
+
+
+def indexed_with_count(
+    df: DataFrame, order_cols: list, name: str = "idx", num_partitions: int | None = None
+) -> tuple[DataFrame, int]:
+    """``with_global_index`` that also returns the row count (known for free)."""
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
@@ -34,17 +41,17 @@ def with_global_index(
         F.monotonically_increasing_id().alias("_mid"),
     ).withColumn("_local", F.col("_mid") - F.shiftleft(F.col("_pid"), 33)).drop("_mid")
     tagged = tagged.checkpoint(eager=True)
-    sizes = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    # one row per partition: a tiny, bounded table
-    offsets = sizes.select(
-        "_pid",
-        (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"),
-    ).select("_pid", F.coalesce("_off", F.lit(0)).cast("bigint").alias("_off"))
-    return (
-        tagged.join(F.broadcast(offsets), "_pid")
-        .withColumn(name, (F.col("_off") + F.col("_local")).cast("bigint"))
-        .drop("_pid", "_local", "_off")
-    )
+    # one count per partition (bounded by the partition count, like zipWithIndex)
+    sizes = {r["_pid"]: r["_n"] for r in tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n")).collect()}
+    width = (max(sizes) + 1) if sizes else 1
+    offsets, run = [], 0
+    for p in range(width):
+        offsets.append(run)
+        run += sizes.get(p, 0)
+    table = F.array(*[F.lit(o).cast("bigint") for o in offsets])
+    out = tagged.withColumn(name, (F.element_at(table, (F.col("_pid") + 1).cast("int")) + F.col("_local"))
+                            .cast("bigint")).drop("_pid", "_local")
+    return out, run
 
 
 def average_rank(

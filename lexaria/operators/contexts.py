@@ -38,7 +38,8 @@ def build_contexts(sents: DataFrame, vocab: DataFrame, n_sentences: int = 100,
     WindowGroupLimit on both sides of the shuffle, so a Zipf-head word ships at
     most ``n`` rows per map task.
     """
-    words = bounded_broadcast(vocab.select("word").distinct(), vocab_bound, 64)
+    # vocabulary words are unique by construction: no distinct (and its shuffle) needed
+    words = bounded_broadcast(vocab.select("word"), vocab_bound, 64)
     hits = sentence_words(sents, lowercase, max_sentence_len, tokenizer=tokenizer).join(words, "word", "left_semi")
     w = Window.partitionBy("word").orderBy(*POS)
     return (

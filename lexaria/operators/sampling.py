@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexaria.functions.ordering import with_global_index
+from lexaria.functions.ordering import indexed_with_count
 from lexaria.functions.text import hash_key
 
 
@@ -56,8 +56,7 @@ def training_split(ctx: DataFrame, n_per_word: int = 3, train_ratio: float = 0.8
     split at ``floor(N * ratio)``.  Output ``(sentence, split, idx)``."""
     picked = _per_word_sample(ctx, n_per_word, n_per_word, seed).select("sentence").distinct()
     shuffled = picked.withColumn("_h", hash_key(F.lit(seed), F.col("sentence")))
-    indexed = with_global_index(shuffled, ["_h", "sentence"], "idx")
-    n = indexed.count()  # one scalar
+    indexed, n = indexed_with_count(shuffled, ["_h", "sentence"], "idx")
     cut = int(n * train_ratio)
     return indexed.select(
         "sentence", F.when(F.col("idx") < cut, "train").otherwise("val").alias("split"), "idx"
@@ -81,8 +80,7 @@ def contrastive_pairs(ctx: DataFrame, n_pairs: int = 10000, seed: int = 42) -> D
     (the reference loops forever).  Output ``(draw, word, s1, s2)``."""
     spark = ctx.sparkSession
     eligible = ctx.groupBy("word").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") >= 2).select("word")
-    eligible = with_global_index(eligible, ["word"], "widx")
-    n_words = eligible.count()  # one scalar
+    eligible, n_words = indexed_with_count(eligible, ["word"], "widx")
     if n_words == 0:
         return spark.createDataFrame([], "draw bigint, word string, s1 string, s2 string")
     draws = spark.range(n_pairs).select(
@@ -153,8 +151,8 @@ def epoch_batches(items: DataFrame, key: str, batch_size: int = 128, epoch: int
     """Hash shuffle per (seed, epoch), global index, ``batch_id = idx // bs``;
     a tail batch is kept only with >= 2 rows.  Adds ``idx, batch_id, i`` (position in batch)."""
     h = items.withColumn("_h", hash_key(F.lit(seed), F.lit(epoch), F.col(key)))
-    idx = with_global_index(h, ["_h", key], "idx").drop("_h")
-    n = idx.count()  # one scalar
+    idx, n = indexed_with_count(h, ["_h", key], "idx")
+    idx = idx.drop("_h")
     tail_start = (n // batch_size) * batch_size
     keep_tail = (n - tail_start) >= 2
     out = idx.withColumn("batch_id", F.floor(F.col("idx") / batch_size).cast("bigint")).withColumn(
@@ -167,8 +165,7 @@ def epoch_batches(items: DataFrame, key: str, batch_size: int = 128, epoch: int
 
 def hold_out_last(pairs: DataFrame, n_val: int = 10000, key: str = "pair_id") -> DataFrame:
     """The last ``n_val`` aligned pairs (by position) are validation."""
-    indexed = with_global_index(pairs, [key], "_pos")
-    n = indexed.count()  # one scalar
+    indexed, n = indexed_with_count(pairs, [key], "_pos")
     return indexed.withColumn("split", F.when(F.col("_pos") >= n - n_val, "val").otherwise("train")).drop("_pos")
 
 

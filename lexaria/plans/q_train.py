@@ -116,8 +116,8 @@ def k04_regression_gradient(spark, sf):
 
 @register("k06_training_run")
 def k06_training_run(spark, sf):
-    """K6 + K7 + G13: two synchronous passes with validation loss, best table and
-    word-similarity evaluation of every pass."""
+    """K6 + K7 + G13: two synchronous passes with validation loss, best table and a
+    word-similarity evaluation every second pass."""
     train, val = _split(spark, sf)
     teacher = _teacher(spark, sf)
     params = M.init_params(FX.word2vec(spark, sf))
@@ -129,7 +129,7 @@ def k06_training_run(spark, sf):
         r = EV.word_similarity(pairs, vectors, bound=FX.n_vectors(spark, sf), dim=64)
         return r.agg(F.avg("spearman")).first()[0]
 
-    cfg = D.TrainConfig(epochs=2, batch_size=128, learning_rate=1e-3, patience=5)
+    cfg = D.TrainConfig(epochs=2, batch_size=128, learning_rate=1e-3, patience=5, eval_every=2)
     out = stage_path(spark, f"train-{abs(hash(sf))}-{np.random.default_rng().integers(1 << 30)}")
     res = D.train_distillation(spark, params, train, val, teacher, out, cfg, evaluate=evaluate,
                                bound=FX.n_vectors(spark, sf), dim=64)

@@ -24,6 +24,7 @@ class TrainConfig:
     patience: int = 5
     grad_clip: float = 5.0
     seed: int = 42
+    eval_every: int = 1  # evaluate every N passes (0 disables)
 
 
 @dataclass
@@ -75,6 +76,9 @@ def train_distillation(spark: SparkSession, params: DataFrame, train: DataFrame,
             grad, losses = M.distillation_gradient(b.select("batch_id", "i", "text", "tvec"),
                                                    params, b.select("batch_id", "i", "tvec"),
                                                    cfg.temperature, bound, dim)
+            # the gradient table is bounded by |vocabulary| x d: materialise it once so
+            # the global norm and the update do not recompute the pass
+            grad = grad.checkpoint(eager=True)
             train_loss = float(L.epoch_loss(losses).first()["epoch_loss"])
             params = M.adam_step(params, grad, epoch + 1, cfg.learning_rate, cfg.grad_clip)
             params.write.mode("overwrite").parquet(path)  # cuts the lineage
@@ -87,8 +91,10 @@ def train_distillation(spark: SparkSession, params: DataFrame, train: DataFrame,
         else:
             since += 1
         row = {"epoch": epoch, "train_loss": train_loss, "val_loss": val_loss, "is_best": is_best}
-        if evaluate is not None:
+        if evaluate is not None and cfg.eval_every > 0 and (epoch + 1) % cfg.eval_every == 0:
             row["metrics"] = evaluate(M.vectors_of(params))
+        else:
+            row["metrics"] = None
         result.history.append(row)
         if since >= cfg.patience:
             break
