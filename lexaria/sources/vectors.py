@@ -43,8 +43,8 @@ def read_word2vec_text(spark: SparkSession, path: str) -> DataFrame:
     The header is the 2-field line; its ``d`` selects the vector lines.
     """
     p = _parts(_lines(spark, path))
-    header = p.where(F.size("parts") == 2).select(F.col("parts")[1].cast("int").alias("d"))
-    hdr = header.collect()  # the header rows only (one per file)
+    header = p.where(F.size("parts") == 2).orderBy("file", "block", "mid").limit(1)
+    hdr = header.select(F.col("parts")[1].cast("int").alias("d")).collect()  # the first header line
     if not hdr:
         raise ValueError(f"no word2vec header in {path}")
     d = hdr[0]["d"]
