@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lexaria.functions import text as T
 from lexaria.functions import vectors as Vx
+from lexaria.functions.joins import bounded_broadcast
 from lexaria.operators import evaluate as EV
 from lexaria.operators import vocabulary as V
 from lexaria.plans import fixtures as FX
@@ -246,6 +247,7 @@ def e07_token_frequencies(spark, sf):
     """Frequency of every token id (vocabulary index) over the conversation texts."""
     c = FX.table(spark, sf, "conversations").select(T.word_tokens(F.lower("text")).alias("toks"))
     v = FX.vocab(spark, sf).select("word", "word_idx")
-    ids = c.select(F.explode("toks").alias("word")).join(F.broadcast(v), "word").select(
+    ids = c.select(F.explode("toks").alias("word")).join(bounded_broadcast(v, FX.n_vectors(spark, sf), 64),
+                                                         "word").select(
         F.col("word_idx").alias("token"))
     return V.token_frequencies(ids.select(F.array("token").alias("tokens")))

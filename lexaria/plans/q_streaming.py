@@ -50,7 +50,8 @@ def i02_streaming_capped_contexts(spark, sf):
     """Keyed state caps each word at 10 emitted contexts across micro-batches."""
     name = f"i02_{uuid.uuid4().hex[:8]}"
     vocab = FX.vocab(spark, sf)
-    ST.run_to_memory(ST.capped_contexts(_docs_stream(spark, sf), vocab, FX.N_CONTEXTS), name, "append",
+    ST.run_to_memory(ST.capped_contexts(_docs_stream(spark, sf), vocab, FX.N_CONTEXTS,
+                                        vocab_bound=FX.n_vectors(spark, sf)), name, "append",
                      stage_path(spark, f"ckpt-{name}"))
     return spark.table(name).groupBy("word").agg(F.count(F.lit(1)).cast("bigint").alias("n_contexts"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexaria.functions import text as T
 from lexaria.functions import vectors as Vx
+from lexaria.functions.joins import bounded_broadcast
 from lexaria.operators import encode as EN
 from lexaria.operators import pooling as PO
 from lexaria.plans import fixtures as FX
@@ -328,5 +329,6 @@ def f09_cosine(spark, sf):
     w = FX.word2vec(spark, sf)
     x = w.select(F.col("word").alias("a"), F.col("vec").alias("va"))
     y = w.select(F.col("word").alias("b"), F.col("vec").alias("vb"))
-    j = p.join(F.broadcast(x), "a").join(F.broadcast(y), "b")
+    bound = FX.n_vectors(spark, sf)  # the word-vector table is capped at |embeddings|
+    j = p.join(bounded_broadcast(x, bound, 600), "a").join(bounded_broadcast(y, bound, 600), "b")
     return j.select("pair_id", Vx.round_col(Vx.cosine("va", "vb")).alias("cosine"))

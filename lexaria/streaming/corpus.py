@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lexaria.functions.joins import bounded_broadcast
 from lexaria.operators import contexts as X
 from lexaria.operators import vocabulary as V
 from lexaria.sources import corpus as C
@@ -30,14 +31,15 @@ def running_word_counts(docs: DataFrame) -> DataFrame:
     return toks.groupBy("word").agg(F.count(F.lit(1)).cast("bigint").alias("freq"))
 
 
-def capped_contexts(docs: DataFrame, vocab_words: DataFrame, n: int = 100, max_sentence_len: int = 500) -> DataFrame:
+def capped_contexts(docs: DataFrame, vocab_words: DataFrame, n: int = 100, max_sentence_len: int = 500,
+                    vocab_bound: int | None = None) -> DataFrame:
     """Emit a context for a vocabulary word only while it has fewer than ``n``.
 
     Keyed state per word = contexts emitted so far; inside a micro-batch the
     rows are taken in position order.  Output mode append.
     """
     sw = X.sentence_words(C.sentences(C.document_lines(docs.select("doc_id", "text"))), True, max_sentence_len)
-    hits = sw.join(F.broadcast(vocab_words.select("word")), "word", "left_semi")
+    hits = sw.join(bounded_broadcast(vocab_words.select("word"), vocab_bound, 64), "word", "left_semi")
 
     order = ["doc_id", "line_no", "sent_no"]
 
