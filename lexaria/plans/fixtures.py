@@ -49,8 +49,9 @@ def stage(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
 
 
 def reset_stages() -> None:
-    """Forget materialised stages (the bench times every query from scratch)."""
+    """Forget materialised stages and counts (the bench times every query from scratch)."""
     _STAGES.clear()
+    _COUNTS.clear()
 
 
 def lines(spark, sf) -> DataFrame:
@@ -69,9 +70,15 @@ def counts(spark, sf) -> DataFrame:
     return V.word_counts(tokens(spark, sf))
 
 
+_COUNTS: dict = {}
+
+
 def n_vectors(spark, sf) -> int:
-    # parquet footer metadata: no data scan needed for a count
-    return table(spark, sf, "embeddings").count()
+    """|embeddings| (the vocabulary cap and the broadcast bound); one scalar per table set."""
+    if sf not in _COUNTS:
+        # parquet footer metadata: no data scan needed for a count
+        _COUNTS[sf] = table(spark, sf, "embeddings").count()
+    return _COUNTS[sf]
 
 
 def vocab(spark, sf) -> DataFrame:
