@@ -332,3 +332,24 @@ def f09_cosine(spark, sf):
     bound = FX.n_vectors(spark, sf)  # the word-vector table is capped at |embeddings|
     j = p.join(bounded_broadcast(x, bound, 600), "a").join(bounded_broadcast(y, bound, 600), "b")
     return j.select("pair_id", Vx.round_col(Vx.cosine("va", "vb")).alias("cosine"))
+
+
+# ---- E13 over the whole corpus ------------------------------------------------------------------
+
+add_cte("sent_keys", ["sentences"], "SELECT doc_id, line_no, sent_no, sentence AS text FROM sentences")
+enc_sql("enc_corpus", "sent_keys", "doc_id, line_no, sent_no", "text", P1_SQL)
+
+
+@register("e13_encode_corpus", with_ctes(["enc_corpus"], """
+SELECT doc_id, line_no, sent_no, round(sum(value), 6) + 0.0 AS vsum, round(sqrt(sum(value * value)), 6) + 0.0 AS norm
+FROM enc_corpus GROUP BY doc_id, line_no, sent_no"""))
+def e13_encode_corpus(spark, sf):
+    """E13 on every sentence of the corpus (per-sentence vector sum and norm)."""
+    s = FX.sentences(spark, sf).select(F.struct("doc_id", "line_no", "sent_no").alias("sent_id"),
+                                       F.col("sentence").alias("text"))
+    out = EN.encode(s, FX.word2vec(spark, sf), key="sent_id", dim=64, bound=FX.n_vectors(spark, sf))
+    return out.select(
+        F.col("sent_id.doc_id").alias("doc_id"), F.col("sent_id.line_no").alias("line_no"),
+        F.col("sent_id.sent_no").alias("sent_no"),
+        Vx.round_col(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)).alias("vsum"),
+        Vx.round_col(Vx.norm("vec")).alias("norm"))
