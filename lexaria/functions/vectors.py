@@ -47,16 +47,24 @@ def sub(a, b) -> Column:
     return F.zip_with(col(a), col(b), lambda x, y: x - y)
 
 
+def _with_norm(a, fn) -> Column:
+    """``fn(vector, norm)`` with the norm computed once per row.
+
+    A norm written inside a ``transform`` lambda is re-evaluated for every
+    element (O(d²) per row); the finish function of ``aggregate`` binds it once.
+    """
+    a = col(a)
+    return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x * x, lambda acc: fn(a, F.sqrt(acc)))
+
+
 def l2_normalize(a, eps: float = 1e-8) -> Column:
     """``x / (||x|| + eps)``: a zero vector stays zero."""
-    n = norm(a)
-    return F.transform(col(a), lambda x: x / (n + F.lit(eps)))
+    return _with_norm(a, lambda v, n: F.transform(v, lambda x: x / (n + F.lit(eps))))
 
 
 def l2_normalize_clamped(a, eps: float = 1e-12) -> Column:
     """``x / max(||x||, eps)`` (the variant used on the training paths)."""
-    n = F.greatest(norm(a), F.lit(eps))
-    return F.transform(col(a), lambda x: x / n)
+    return _with_norm(a, lambda v, n: F.transform(v, lambda x: x / F.greatest(n, F.lit(eps))))
 
 
 def cosine(a, b) -> Column:

@@ -103,9 +103,8 @@ def distillation_gradient(batch: DataFrame, params: DataFrame, teacher: DataFram
         "batch_id", "i", "j").agg(F.sum("g").alias("gs"))
     uj = rows.select("batch_id", F.col("i").alias("j"), F.col("u").alias("uj"))
     du = group_sum(gsym.join(uj, ["batch_id", "j"]), ["batch_id", "i"], vec="uj", weight="gs", out="du")
-    r = rows.join(du, ["batch_id", "i"])
-    proj = Vx.dot("u", "du")
-    r = r.withColumn("ds", F.when(F.col("snorm") > 0, F.zip_with("du", "u", lambda a, b: (a - b * proj)
+    r = rows.join(du, ["batch_id", "i"]).withColumn("_proj", Vx.dot("u", "du"))  # once per row
+    r = r.withColumn("ds", F.when(F.col("snorm") > 0, F.zip_with("du", "u", lambda a, b: (a - b * F.col("_proj"))
                                                                    / F.col("snorm"))))
     n_blocks = batch.select("batch_id").distinct().count()  # one scalar
     contrib = tf.join(r.select("batch_id", "i", "ds").where(F.col("ds").isNotNull()), ["batch_id", "i"])
@@ -151,9 +150,8 @@ def contrastive_gradient(batch: DataFrame, params: DataFrame, temperature: float
     grads = []
     for side, d in (("src", du), ("tgt", dv)):
         tf, rows = sides[side]
-        r = rows.join(d, ["batch_id", "i"])
-        proj = Vx.dot("u", "d")
-        r = r.withColumn("ds", F.when(F.col("snorm") > 0, F.zip_with("d", "u", lambda a, b: (a - b * proj)
+        r = rows.join(d, ["batch_id", "i"]).withColumn("_proj", Vx.dot("u", "d"))  # once per row
+        r = r.withColumn("ds", F.when(F.col("snorm") > 0, F.zip_with("d", "u", lambda a, b: (a - b * F.col("_proj"))
                                                                        / F.col("snorm"))))
         grads.append(tf.join(r.select("batch_id", "i", "ds").where(F.col("ds").isNotNull()), ["batch_id", "i"]))
     contrib = grads[0].unionByName(grads[1])
