@@ -149,7 +149,7 @@ def e22_sts(spark, sf):
 
 # ---- D9 comparison -----------------------------------------------------------------------
 
-add_cte("wsim_base_found", ["wp_ds", "w2v_shift"], CTES_BASE := """
+add_cte("wsim_base_found", ["wp_ds", "w2v_shift"], """
 SELECT p.dataset, p.pair_id, p.gold,
        list_reduce(list_transform(list_zip(x, y), lambda z: z[1] * z[2]), lambda a, b: a + b) AS pred
 FROM (SELECT p.*, list_transform(coalesce(ea.vec, la.vec), lambda v: v / (nx + 1e-8)) AS x,
