@@ -2,9 +2,10 @@
 
 Plan shape of an encode: sentence rows -> explode tokens (narrow) -> hash
 lookup against the word-vector table (broadcast when its size is bounded,
-else a shuffled join with AQE skew splitting) -> one grouped vector aggregate
-per sentence (map-side partial: a sentence's tokens come from one input row so
-they collapse before the shuffle) -> left join to the sentences for all-OOV rows.
+else a shuffled join with AQE skew splitting) -> one weighted grouped vector
+aggregate per sentence (misses weigh 0, so all-OOV sentences come out as zero
+vectors without a second join).  A sentence's tokens come from one input row,
+so the map-side partial collapses them before any shuffle.
 """
 
 from __future__ import annotations
@@ -15,7 +16,10 @@ from pyspark.sql import functions as F
 from lexaria.functions import text as T
 from lexaria.functions import vectors as Vx
 from lexaria.functions.joins import bounded_broadcast, vector_row_bytes
-from lexaria.operators.pooling import group_mean, group_sum
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+
+from lexaria.operators.pooling import group_sum  # noqa: F401  (re-exported helper)
 
 
 def _vectors(word_vectors: DataFrame, bound: int | None, dim: int | None):
@@ -54,42 +58,65 @@ def subword_lookup(oov: DataFrame, word_vectors: DataFrame, pieces_col: str = "p
     return best
 
 
-def sentence_tokens(sents: DataFrame, key: str = "sent_id", text: str = "text", punct="P1",
+def _keys(key) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def sentence_tokens(sents: DataFrame, key="sent_id", text: str = "text", punct="P1",
                     tokenizer=None) -> DataFrame:
-    """Tokens of each text (C4 + C5), multiplicity kept: ``(key, word)``."""
+    """Tokens of each text (C4 + C5), multiplicity kept: ``(key..., word)``."""
     tok = tokenizer or T.word_tokens
-    return sents.select(key, F.explode(T.drop_punct(tok(F.col(text)), punct)).alias("word"))
+    return sents.select(*_keys(key), F.explode(T.drop_punct(tok(F.col(text)), punct)).alias("word"))
 
 
-def encode(sents: DataFrame, word_vectors: DataFrame, key: str = "sent_id", text: str = "text",
+def encode(sents: DataFrame, word_vectors: DataFrame, key="sent_id", text: str = "text",
            dim: int | None = None, normalize: bool = True, reduce: str = "mean",
            on_empty: str = "zero", punct="P1", tokenizer=None, pieces=None,
-           bound: int | None = None) -> DataFrame:
+           bound: int | None = None, cluster_by: list[str] | None = None) -> DataFrame:
     """E13 (mean, zero vector when no word hits), E14 (``reduce='sum'``),
     E15 (``on_empty='drop'``; raises when nothing is left).
 
+    ``key`` is one column or a list.  Every sentence (even one without tokens)
+    reaches a single weighted aggregate, so no zero-fill join is needed.  When the
+    sentences are hash-partitioned by a prefix of the key (e.g. ``doc_id`` for
+    ``[doc_id, line_no, sent_no]``) that aggregate needs no exchange either; pass
+    ``cluster_by`` to establish the partitioning with one shuffle of the text
+    (much smaller than shuffling per-sentence vector buffers).
     ``pieces`` (J1) maps a word Column to its sub-word pieces and enables D2
     for words missing both exact and lowercase lookups.
     """
-    toks = sentence_tokens(sents, key, text, punct, tokenizer)
+    keys = _keys(key)
+    if cluster_by:
+        sents = sents.repartition(*cluster_by)
+    if dim is None:
+        dim = int(word_vectors.select(F.max(F.size("vec"))).first()[0])
+    tok = tokenizer or T.word_tokens
+    # explode_outer keeps sentences without tokens, so every sentence reaches the
+    # aggregate: no zero-fill join (and no second exchange) is needed
+    toks = sents.select(*keys, F.explode_outer(T.drop_punct(tok(F.col(text)), punct)).alias("word"))
     looked = lookup(toks, word_vectors, "word", bound, dim)
     if pieces is not None:
-        oov = looked.where(F.col("vec").isNull()).select("word").distinct()
+        oov = looked.where(F.col("vec").isNull() & F.col("word").isNotNull()).select("word").distinct()
         sub = subword_lookup(oov.select("word", pieces(F.col("word")).alias("pieces")), word_vectors,
                              bound=bound, dim=dim)
         looked = looked.join(sub.withColumnRenamed("vec", "_sv"), "word", "left").withColumn(
             "vec", F.coalesce("vec", "_sv")
         ).drop("_sv")
-    hits = looked.where(F.col("vec").isNotNull())
-    agg = group_mean(hits, [key]) if reduce == "mean" else group_sum(hits, [key])
-    if on_empty == "drop":
-        out = agg
+    # misses weigh 0 with a zero vector: Σ w·x and Σ w in one hash-partitioned aggregate
+    hit = F.col("vec").isNotNull()
+    weighted = looked.select(*keys, F.when(hit, F.col("vec")).otherwise(Vx.zeros(dim)).alias("vec"),
+                             F.when(hit, F.lit(1.0)).otherwise(F.lit(0.0)).alias("_w"))
+    summed = weighted.groupBy(*keys).agg(
+        Summarizer.sum(array_to_vector(F.col("vec"))).alias("_s"), F.sum("_w").alias("_n"))
+    total = vector_to_array("_s")
+    if reduce == "mean":
+        vec = F.when(F.col("_n") > 0, Vx.scale(total, F.lit(1.0) / F.col("_n"))).otherwise(Vx.zeros(dim))
     else:
-        if dim is None:
-            dim = int(word_vectors.select(F.max(F.size("vec"))).first()[0])
-        out = sents.select(key).join(agg, key, "left").withColumn(
-            "vec", F.coalesce(F.col("vec"), Vx.zeros(dim))
-        )
+        vec = total
+    out = summed.select(*keys, vec.alias("vec"), "_n")
+    if on_empty == "drop":
+        out = out.where(F.col("_n") > 0)
+    out = out.drop("_n")
     if normalize:
         out = out.withColumn("vec", Vx.l2_normalize("vec"))
     return out

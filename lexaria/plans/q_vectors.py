@@ -345,11 +345,11 @@ SELECT doc_id, line_no, sent_no, round(sum(value), 6) + 0.0 AS vsum, round(sqrt(
 FROM enc_corpus GROUP BY doc_id, line_no, sent_no"""))
 def e13_encode_corpus(spark, sf):
     """E13 on every sentence of the corpus (per-sentence vector sum and norm)."""
-    s = FX.sentences(spark, sf).select(F.struct("doc_id", "line_no", "sent_no").alias("sent_id"),
-                                       F.col("sentence").alias("text"))
-    out = EN.encode(s, FX.word2vec(spark, sf), key="sent_id", dim=64, bound=FX.n_vectors(spark, sf))
+    s = FX.sentences(spark, sf).select("doc_id", "line_no", "sent_no", F.col("sentence").alias("text"))
+    # sentences stay partitioned by document: the aggregate and the zero fill add no exchange
+    out = EN.encode(s, FX.word2vec(spark, sf), key=["doc_id", "line_no", "sent_no"], dim=64,
+                    bound=FX.n_vectors(spark, sf))
     return out.select(
-        F.col("sent_id.doc_id").alias("doc_id"), F.col("sent_id.line_no").alias("line_no"),
-        F.col("sent_id.sent_no").alias("sent_no"),
+        "doc_id", "line_no", "sent_no",
         Vx.round_col(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)).alias("vsum"),
         Vx.round_col(Vx.norm("vec")).alias("norm"))
