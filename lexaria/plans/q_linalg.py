@@ -231,7 +231,9 @@ def f16_vector_output(spark, sf):
     return spark_long(j, ["word_idx", "word"])
 
 
-@register("b11_pca_parameters")
+@register("b11_pca_parameters", """
+SELECT CAST(r AS INTEGER) AS pc, CAST((SELECT max(len(embedding)) FROM embeddings) AS INTEGER) AS dim,
+       true AS roundtrip_ok FROM range(-1, 7) t(r)""")
 def b11_pca_parameters(spark, sf):
     """Persist the fitted PCA as a tiny Parquet table and read it back."""
     from lexaria.session import stage_path

@@ -220,3 +220,34 @@ def e28_optimal_senses(spark, sf):
 
     out = SN.optimal_senses(_capped_contexts(spark, sf), 5, 5)
     return out.select("word", "best_k", Vx.round_col("best_score").alias("best_score"))
+
+
+# ---- oracle for E13 + D2 (sub-word fallback inside the encoder) -------------------------------
+
+def _subword_encoder_sql() -> str:
+    from lexaria.plans.oracle import CTES, P1_SQL
+    from lexaria.plans.q_vectors import enc_sql, out_long
+
+    enc_sql("enc_sub", "turns", "conv_id, turn", "text", P1_SQL)
+    add_cte("enc_sub_direct", ["enc_sub_t", "word2vec"], """
+SELECT t.conv_id, t.turn, t.w, coalesce(e.vec, l.vec) AS vec
+FROM enc_sub_t t LEFT JOIN word2vec e ON e.word = t.w LEFT JOIN word2vec l ON l.word = lower(t.w)""")
+    add_cte("enc_sub_fb", ["enc_sub_direct", "word2vec"], f"""
+SELECT w, arg_max(vec, plen) AS vec FROM (
+  SELECT o.w, o.plen, coalesce(e.vec, l.vec) AS vec FROM (
+    SELECT w, plen, replace(replace(array_to_string(p[1:plen], ''), '##', ''), '▁', '') AS prefix FROM (
+      SELECT w, p, unnest(range(1, len(p))) AS plen
+      FROM (SELECT w, {pieces_sql('w')} AS p FROM (SELECT DISTINCT w FROM enc_sub_direct WHERE vec IS NULL))
+      WHERE len(p) > 1)) o
+  LEFT JOIN word2vec e ON e.word = o.prefix LEFT JOIN word2vec l ON l.word = lower(o.prefix))
+WHERE vec IS NOT NULL GROUP BY w""")
+    # the hits relation of the encoder: direct hits, else the sub-word fallback
+    CTES["enc_sub_h"] = (["enc_sub_direct", "enc_sub_fb"], """
+SELECT d.conv_id, d.turn, coalesce(d.vec, f.vec) AS vec
+FROM enc_sub_direct d LEFT JOIN enc_sub_fb f ON f.w = d.w WHERE coalesce(d.vec, f.vec) IS NOT NULL""")
+    return with_ctes(["enc_sub"], out_long("enc_sub", "conv_id, turn"))
+
+
+from lexaria.plans.catalog import ORACLE  # noqa: E402
+
+ORACLE["e13_encode_subword"] = _subword_encoder_sql()
