@@ -117,3 +117,17 @@ def optimal_senses(contexts: DataFrame, max_senses: int = 5, min_contexts: int =
 
     return contexts.select("word", "ctx", "vec").groupBy("word").applyInPandas(
         pick, "word string, best_k bigint, best_score double")
+
+
+def silhouette_scores(contexts: DataFrame, label: str = "sense_id") -> DataFrame:
+    """E28 given labels: ``(word, silhouette)`` — mean silhouette of each word's
+    contexts under the supplied labels (-1 when fewer than two labels occur),
+    computed inside the bounded per-word group."""
+
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["vec"]])
+        return pd.DataFrame({"word": [pdf["word"].iloc[0]],
+                             "silhouette": [silhouette(x, pdf[label].to_numpy())]})
+
+    return contexts.select("word", "vec", label).groupBy("word").applyInPandas(
+        score, "word string, silhouette double")

@@ -251,3 +251,35 @@ FROM enc_sub_direct d LEFT JOIN enc_sub_fb f ON f.w = d.w WHERE coalesce(d.vec,
 from lexaria.plans.catalog import ORACLE  # noqa: E402
 
 ORACLE["e13_encode_subword"] = _subword_encoder_sql()
+
+
+# ---- E28 silhouette for given labels --------------------------------------------------------------
+
+add_cte("ctx_lab", ["ctx_capped"], "SELECT word, ctx, vec, CASE WHEN vec[1] > 0 THEN 1 ELSE 0 END AS lab FROM ctx_capped")
+add_cte("sil_pairs", ["ctx_lab"], """
+SELECT a.word, a.ctx AS i, a.lab AS li, b.lab AS lj,
+       avg(sqrt(list_reduce(list_transform(list_zip(a.vec, b.vec), lambda z: (z[1] - z[2]) * (z[1] - z[2])),
+                            lambda x, y: x + y))) AS md
+FROM ctx_lab a JOIN ctx_lab b ON a.word = b.word AND a.ctx <> b.ctx
+GROUP BY a.word, a.ctx, a.lab, b.lab""")
+
+
+@register("e28_silhouette_given_labels", with_ctes(["ctx_lab", "sil_pairs"], """
+SELECT w.word, round(CASE WHEN w.n_lab < 2 THEN -1.0 ELSE s.score END, 6) + 0.0 AS silhouette
+FROM (SELECT word, count(DISTINCT lab) AS n_lab FROM ctx_lab GROUP BY word) w
+LEFT JOIN (
+  SELECT word, avg(CASE WHEN a IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END) AS score FROM (
+    SELECT c.word, c.ctx,
+           max(CASE WHEN p.lj = p.li THEN p.md END) AS a,
+           min(CASE WHEN p.lj <> p.li THEN p.md END) AS b
+    FROM ctx_lab c LEFT JOIN sil_pairs p ON p.word = c.word AND p.i = c.ctx
+    GROUP BY c.word, c.ctx)
+  GROUP BY word) s ON s.word = w.word"""))
+def e28_silhouette_given_labels(spark, sf):
+    """Silhouette of each word's (capped) contexts under data-derived labels
+    (sign of the first coordinate), the score the sense-count search maximises."""
+    from lexaria.operators import senses as SN
+
+    ctx = _capped_contexts(spark, sf).withColumn("sense_id", F.when(F.col("vec")[0] > 0, 1).otherwise(0))
+    out = SN.silhouette_scores(ctx)
+    return out.select("word", Vx.round_col("silhouette").alias("silhouette"))
