@@ -103,3 +103,40 @@ def test_contrastive_gradient_finite_differences(spark):
             up[w][k] += h
             dn[w][k] -= h
             assert g[w][k] == pytest.approx((loss(up) - loss(dn)) / (2 * h), abs=1e-5)
+
+
+def test_regression_gradient_finite_differences(spark):
+    W = np.array([[0.5, -0.2, 0.1], [0.3, 0.8, -0.4]])
+    texts_l = ["hello world", "the quick test", "hello hello quick", "world test"]
+    targets = np.array([[1.0, 0.2], [0.1, 1.0], [0.7, -0.3], [-0.2, 0.9]])
+    params = M.init_params(spark.createDataFrame([(w, v) for w, v in WORDS.items()], "word string, vec array<double>"))
+    texts = spark.createDataFrame(list(enumerate(texts_l)), "text_id long, text string")
+    tg = spark.createDataFrame([(i, t.tolist()) for i, t in enumerate(targets)], "text_id long, tvec array<double>")
+    grad, dW, loss = M.regression_gradient(texts, params, tg, W, l2=1e-5, bound=10, dim=3)
+
+    def f(emb, w):
+        cs = []
+        for t, tv in zip(texts_l, targets):
+            m = np.mean([emb[x] for x in t.split()], axis=0)
+            o = w @ m
+            cs.append(o @ tv / (np.linalg.norm(o) * np.linalg.norm(tv)))
+        e = np.array(list(emb.values()))
+        return np.mean(1 - np.array(cs)) + 1e-5 * np.mean(e ** 2)
+
+    emb = {w: np.array(v) for w, v in WORDS.items()}
+    assert loss == pytest.approx(f(emb, W), rel=1e-9)
+    g = {r["word"]: np.array(r["g"]) for r in grad.collect()}
+    h = 1e-6
+    for w in WORDS:
+        for k in range(3):
+            up = {x: v.copy() for x, v in emb.items()}
+            dn = {x: v.copy() for x, v in emb.items()}
+            up[w][k] += h
+            dn[w][k] -= h
+            assert g[w][k] == pytest.approx((f(up, W) - f(dn, W)) / (2 * h), abs=1e-6)
+    for a in range(2):
+        for b in range(3):
+            up, dn = W.copy(), W.copy()
+            up[a, b] += h
+            dn[a, b] -= h
+            assert dW[a, b] == pytest.approx((f(emb, up) - f(emb, dn)) / (2 * h), abs=1e-6)
