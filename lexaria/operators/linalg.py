@@ -85,9 +85,11 @@ def covariance(df: DataFrame, vec: str = "vec") -> DataFrame:
         v.unpersist()
     std = np.sqrt(var)
     cov = np.nan_to_num(corr) * np.outer(std, std)
-    d = cov.shape[0]
-    rows = [(i, j, float(cov[i, j])) for i in range(d) for j in range(d)]
-    return spark.createDataFrame(rows, "i int, j int, cov double")
+    # d rows of d values (the matrix Spark ML already holds on the driver); the
+    # long form is produced by Spark
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(cov)]
+    mat = spark.createDataFrame(rows, "i int, r array<double>")
+    return mat.select("i", F.posexplode("r").alias("j", "cov")).select("i", F.col("j").cast("int").alias("j"), "cov")
 
 
 def _apply(df: DataFrame, vec: str, fn, out: str | None = None) -> DataFrame:
