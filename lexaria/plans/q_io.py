@@ -251,3 +251,34 @@ def e07_token_frequencies(spark, sf):
                                                          "word").select(
         F.col("word_idx").alias("token"))
     return V.token_frequencies(ids.select(F.array("token").alias("tokens")))
+
+
+@register("a01_text_file_lines", with_ctes(["sentences"], "SELECT sentence AS line FROM sentences"))
+def a01_text_file_lines(spark, sf):
+    """A1 on text files: the sentence corpus written as text (B7) and scanned back
+    (strip, drop empty lines), in file order."""
+    p = SK.write_sentences(FX.sentences(spark, sf), _out(spark, "corpus-txt"))
+    return C.read_text_lines(spark, p).select("line")
+
+
+@register("e01_text_file_line_count", with_ctes(["sentences"], """
+SELECT CAST(count(*) AS BIGINT) AS n_lines FROM sentences"""))
+def e01_text_file_line_count(spark, sf):
+    """E1 on a text file: every physical line is counted."""
+    p = SK.write_sentences(FX.sentences(spark, sf), _out(spark, "corpus-cnt"))
+    return spark.createDataFrame([(C.count_lines(spark, p),)], "n_lines bigint")
+
+
+@register("b07_pair_corpus_write", with_ctes(["conv_pairs"], "SELECT pair_id, a AS src, b AS tgt FROM conv_pairs"))
+def b07_pair_corpus_write(spark, sf):
+    """Aligned pairs written as one table (alignment cannot break) and read back."""
+    p = FX.conversation_pairs(spark, sf).select("pair_id", F.col("a").alias("src"), F.col("b").alias("tgt"))
+    return spark.read.parquet(SK.write_pairs(p, _out(spark, "pairs")))
+
+
+@register("a10_context_index_roundtrip", with_ctes(["ctx"], """
+SELECT word, rn, doc_id, line_no, sent_no, sentence FROM ctx"""))
+def a10_context_index_roundtrip(spark, sf):
+    """B9 save + A10 load of the word -> contexts index with an explicit schema."""
+    p = SK.write_table(contexts(spark, sf), _out(spark, "ctx"))
+    return SV.read_contexts(spark, p)
