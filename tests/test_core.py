@@ -247,3 +247,18 @@ def test_masked_mean_guard(spark):
                                "sent int, tok int, mask int, vec array<double>")
     got = {r.sent: r.vec for r in PO.masked_mean(st).collect()}
     assert got == {0: [2.0], 1: [0.0]}
+
+
+def test_vocabulary_and_contexts_are_partition_independent(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+
+    def build(d):
+        sents = C.sentences(C.document_lines(d))
+        vocab = V.filter_vocabulary(V.word_counts(V.tokens(sents)), 10, 3, 200)
+        ctx = X.build_contexts(sents, vocab, 5, vocab_bound=200)
+        return ([(r.word, r.freq, r.word_idx) for r in vocab.orderBy("word_idx").collect()],
+                sorted((r.word, r.rn, r.doc_id, r.line_no, r.sent_no) for r in ctx.collect()))
+
+    one = build(docs.repartition(1))
+    many = build(docs.repartition(13, "doc_id"))
+    assert one == many and len(one[0]) == 200
