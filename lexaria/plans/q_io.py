@@ -130,8 +130,8 @@ def a09_feature_batches(spark, sf):
     back = SV.read_features(spark, p)
     return back.select(
         "batch_id", "row_no", F.length("text").cast("bigint").alias("n_chars"),
-        F.round(F.aggregate(F.col("vec").cast("array<double>"), F.lit(0.0), lambda a, x: a + x), 5).alias("vsum"),
-    ).withColumn("vsum", F.col("vsum") + F.lit(0.0)).withColumn("n_chars", F.col("n_chars"))
+        Vx.round_col(F.aggregate(F.col("vec").cast("array<double>"), F.lit(0.0), lambda a, x: a + x), 5).alias("vsum"),
+    )
 
 
 @register("a10_vocabulary_roundtrip", with_ctes(["vocab"], "SELECT word, freq, word_idx FROM vocab"))
