@@ -58,6 +58,19 @@ def f03_pca_components(spark, sf):
     return spark.createDataFrame(rows, "pc int, norm double, ratio double")
 
 
+@register("f03_pca_orthonormal", """
+SELECT CAST(a.r AS INTEGER) AS i, CAST(b.r AS INTEGER) AS j, CASE WHEN a.r = b.r THEN 1.0 ELSE 0.0 END AS dot
+FROM range(0, 7) a(r), range(0, 7) b(r)""")
+def f03_pca_orthonormal(spark, sf):
+    """the 7 components fitted on the sentence vectors are orthonormal (Gram matrix = I;
+    sign-invariant, unlike the components themselves)."""
+    fit = LA.fit_pca(_sent_vecs(spark, sf), 7)
+    gram = fit.components @ fit.components.T  # 7 x 7
+    rows = [(i, [float(np.round(x, 6)) + 0.0 for x in r]) for i, r in enumerate(gram)]
+    g = spark.createDataFrame(rows, "i int, r array<double>")
+    return g.select("i", F.posexplode("r").alias("j", "dot")).select("i", F.col("j").cast("int").alias("j"), "dot")
+
+
 @register("f04_remove_components", with_ctes(["word2vec"], "SELECT word, 0.0 AS max_abs_proj FROM word2vec"))
 def f04_remove_components(spark, sf):
     """after removing 7 sentence PCs, every word's projection on them is 0."""
