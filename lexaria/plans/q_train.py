@@ -78,7 +78,8 @@ def k05_adam_step(spark, sf):
 def k02_distillation_gradient(spark, sf):
     """K2: one synchronous pass of the distillation gradient (batches of 128); per-word gradient norm."""
     train, _ = _split(spark, sf)
-    b = S.epoch_batches(train, "sent_id", 128, 0, 42).join(_teacher(spark, sf), "sent_id")
+    # batch rows with their teacher vector, materialised once (read by several branches)
+    b = S.epoch_batches(train, "sent_id", 128, 0, 42).join(_teacher(spark, sf), "sent_id").checkpoint(eager=True)
     params = M.init_params(FX.word2vec(spark, sf))
     grad, losses = M.distillation_gradient(b.select("batch_id", "i", "text"), params,
                                            b.select("batch_id", "i", "tvec"), 0.05,

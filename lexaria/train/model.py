@@ -85,7 +85,8 @@ def distillation_gradient(batch: DataFrame, params: DataFrame, teacher: DataFram
     rows = batch.select("batch_id", "i").join(s, ["batch_id", "i"], "left")
     dim_ = dim or int(params.select(F.max(F.size("vec"))).first()[0])
     rows = rows.withColumn("s", F.coalesce("s", Vx.zeros(dim_)))
-    rows = _unit(rows, "s", "u").withColumnRenamed("_n_u", "snorm")
+    # student vectors feed three branches (pairs, du, the projection): materialise once
+    rows = _unit(rows, "s", "u").withColumnRenamed("_n_u", "snorm").checkpoint(eager=True)
     both = rows.join(teacher.select("batch_id", "i", "tvec"), ["batch_id", "i"])
     pairs = L.in_batch_pairs(both.select("batch_id", "i", F.col("u").alias("student"),
                                          F.col("tvec").alias("teacher")), ["student", "teacher"])
@@ -130,7 +131,8 @@ def contrastive_gradient(batch: DataFrame, params: DataFrame, temperature: float
         s = student_sums(tf, params, bound, dim)
         rows = batch.select("batch_id", "i").join(s, ["batch_id", "i"], "left").withColumn(
             "s", F.coalesce("s", Vx.zeros(dim_)))
-        sides[side] = (tf, _unit(rows, "s", "u").withColumnRenamed("_n_u", "snorm"))
+        # each side's student vectors feed several branches: materialise once per pass
+        sides[side] = (tf, _unit(rows, "s", "u").withColumnRenamed("_n_u", "snorm").checkpoint(eager=True))
     u = sides["src"][1].select("batch_id", "i", F.col("u").alias("uu"))
     v = sides["tgt"][1].select("batch_id", F.col("i").alias("j"), F.col("u").alias("vv"))
     sims = u.join(v, "batch_id").select("batch_id", "i", "j", (Vx.dot("uu", "vv") / temperature).alias("_l"))
