@@ -128,6 +128,19 @@ def f10_variance_report(spark, sf):
     return LA.variance_report(fit, spark).withColumn("cum", Vx.round_col("cum"))
 
 
+@register("f10_total_variance", with_ctes(["word2vec"], f"""
+SELECT round(sum(v), 6) + 0.0 AS total_variance, 1.0 AS ratio_sum FROM (
+  SELECT var_samp(value) AS v FROM ({long_sql('word2vec', 'word')}) GROUP BY dim)"""))
+def f10_total_variance(spark, sf):
+    """F10 invariant: a full PCA's explained-variance ratios sum to one, and the
+    variance they divide is the trace of the covariance (sum of column variances)."""
+    w = FX.word2vec(spark, sf)
+    fit = LA.fit_pca(w, 64)
+    var = w.select(Summarizer.variance(array_to_vector("vec")).alias("v")).first()["v"].toArray()
+    return spark.createDataFrame([(float(np.round(var.sum(), 6)) + 0.0, float(np.round(fit.ratios.sum(), 6)) + 0.0)],
+                                 "total_variance double, ratio_sum double")
+
+
 # ---- SIF / post-processing ------------------------------------------------------------------
 
 add_cte("sif_counts", ["vocab_all"], "SELECT word_idx AS token, freq AS n FROM vocab_all")
