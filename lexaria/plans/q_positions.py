@@ -283,3 +283,18 @@ def e28_silhouette_given_labels(spark, sf):
     ctx = _capped_contexts(spark, sf).withColumn("sense_id", F.when(F.col("vec")[0] > 0, 1).otherwise(0))
     out = SN.silhouette_scores(ctx)
     return out.select("word", Vx.round_col("silhouette").alias("silhouette"))
+
+
+@register("e27_sense_mass", with_ctes(["ctx_capped"], """
+SELECT word, dim, round(sum(value), 6) + 0.0 AS value FROM (
+  SELECT word, CAST(generate_subscripts(vec, 1) - 1 AS BIGINT) AS dim, unnest(vec) AS value FROM ctx_capped)
+GROUP BY word, dim"""))
+def e27_sense_mass(spark, sf):
+    """E27 invariant (label-permutation free): Σ_senses n_ctx · centroid equals the sum of the
+    word's context vectors, so the senses partition the contexts and centroids are exact means."""
+    from lexaria.operators import senses as SN
+    from lexaria.operators.pooling import group_sum
+
+    senses = SN.multi_sense(_capped_contexts(spark, sf), 3, 5)
+    mass = group_sum(senses, ["word"], vec="vec", weight="n_ctx")
+    return Vx.long_form(mass, ["word"], "vec")
