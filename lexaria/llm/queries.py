@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexaria.llm import simhash
+from lexaria.llm import mixing, simhash
 from lexaria.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +28,64 @@ def query(name: str, sql: str | None = None):
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(read_table(spark, sf_dir, "documents"), shingle=3, max_distance=3)
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+OP1_SQL = """
+with recursive base as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint size,
+         case when source is null then 't' else 's' || source end skey,
+         ((('0x' || substr(md5('1|' || coalesce(doc_id::varchar, '-') || '|' || coalesce(md5(text), '-')), 1, 13))::bigint) + 0.5::double)
+           / 4503599627370496.0::double u
+  from documents),
+docs as (select *, len(bin(size))::bigint w from base),
+s0 as (select skey, count(*) n, sum(size)::bigint source_size from docs group by skey),
+s1 as (select *, [5, 2, 1][((row_number() over (order by skey) - 1) % 3 + 1)::int] weight, 3 * source_size cap,
+         (sum(source_size) over ())::bigint total from s0),
+s2 as (select *, coalesce(sum(cap) over (order by cap::double / weight, skey rows between unbounded preceding and 1 preceding), 0)::bigint c0,
+         coalesce(sum(weight) over (order by cap::double / weight, skey rows between unbounded preceding and 1 preceding), 0)::bigint w0,
+         (sum(weight) over ())::bigint ws from s1),
+s3 as (select *, (total - c0)::double / nullif(ws - w0, 0) lvl from s2),
+s4 as (select *, cap <= lvl * weight is_full from s3),
+s5 as (select *, max(case when is_full then null else lvl end) over () level from s4),
+s6 as (select skey, n, source_size, case when is_full then cap::double else level * weight end target from s5),
+s7 as (select *, coalesce(floor(target / nullif(source_size, 0)), 0)::bigint whole from s6),
+src as (select *, target - whole * source_size rest from s7),
+c0 as (select skey, w, sum(size)::bigint words from docs group by skey, w),
+c1 as (select c0.*, w * words cw, n, source_size, target, whole, rest from c0 join src using (skey)),
+c2 as (select *, coalesce(sum(words) over (partition by skey order by w desc rows between unbounded preceding and 1 preceding), 0)::bigint b0,
+         coalesce(sum(cw) over (partition by skey order by w desc rows between unbounded preceding and 1 preceding), 0)::bigint w0,
+         (sum(cw) over (partition by skey))::bigint ws from c1),
+c3 as (select *, (rest - b0) / nullif(ws - w0, 0) lvl from c2),
+c4 as (select *, words <= lvl * cw is_full from c3),
+c5 as (select *, max(case when is_full then null else lvl end) over (partition by skey) level from c4),
+cls as (select skey, w, source_size, target, whole, rest, ceil(n::double / 1000)::bigint bins, rest / nullif(source_size - rest, 0) odds,
+          case when rest <= 0 or words = 0 then 0::double when is_full then 1::double else least(1::double, level * w) end p from c5),
+r0 as (select docs.doc_id, docs.skey, docs.size, docs.u, source_size, target, whole, rest, bins, odds, p,
+         u * (1 - p) / ((1 - u) * nullif(p, 0)) q from docs join cls on docs.skey = cls.skey and docs.w = cls.w),
+r1 as (select *, least(bins - 1, floor(q * odds / (1 + q * odds) * bins))::bigint bin from r0),
+drawn as (select * from r1 where size > 0 and p > 0),
+sums as (select skey, bin, sum(size)::bigint words, any_value(rest) rest from drawn group by skey, bin),
+run as (select *, sum(words) over (partition by skey order by bin) upto from sums),
+edge as (select skey, min(bin) edge, min(rest - (upto - words)) room from run where upto > rest group by skey),
+edge1 as (select e.skey, e.edge, r.rest - (r.upto - r.words) room from edge e join run r on r.skey = e.skey and r.bin = e.edge),
+units as (select d.skey, q, u, doc_id, room, sum(size)::bigint words,
+            row_number() over (partition by d.skey order by q, u, doc_id) k
+          from drawn d join edge1 e on d.skey = e.skey and d.bin = e.edge group by d.skey, q, u, doc_id, room),
+fill as (
+  select skey, k, u, doc_id, words <= room took, case when words <= room then room - words else room end room from units where k = 1
+  union all
+  select n.skey, n.k, n.u, n.doc_id, n.words <= f.room, case when n.words <= f.room then f.room - n.words else f.room end
+  from fill f join units n on n.skey = f.skey and n.k = f.k + 1)
+select r1.doc_id, r1.size, r1.source_size, r1.target,
+  r1.size * (r1.whole + case when r1.rest <= 0 or r1.p = 0 then 0 when e.edge is null or r1.bin < e.edge then 1
+                             when r1.bin = e.edge and f.took then 1 else 0 end) taken
+from r1 left join edge1 e on e.skey = r1.skey
+left join fill f on f.skey = r1.skey and f.u = r1.u and f.doc_id is not distinct from r1.doc_id
+"""
+
+
+@query("op1_pareto_mix", OP1_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    got = mixing.mix_digest(docs)
+    return got.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
