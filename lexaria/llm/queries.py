@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexaria.llm import mixing, simhash
+from lexaria.llm import lines, mixing, simhash
 from lexaria.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     got = mixing.mix_digest(docs)
     return got.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query("op10_fuzzy_lines")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = lines.line_decisions(read_table(spark, sf_dir, "documents"))
+    return got.withColumnRenamed("line", "line_id").withColumnRenamed("component", "component_id")
