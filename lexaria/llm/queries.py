@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexaria.llm import lines, mixing, simhash
+from lexaria.llm import ann, lines, mixing, simhash, vector_dups
 from lexaria.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,11 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+@query("op2_inverted_multi_index")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 @query("op8_simhash_pigeonring")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(read_table(spark, sf_dir, "documents"), shingle=3, max_distance=3)
@@ -91,6 +96,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+@query("op9_rotation_codes")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dups.near_duplicates(read_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 @query("op10_fuzzy_lines")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = lines.line_decisions(read_table(spark, sf_dir, "documents"))
