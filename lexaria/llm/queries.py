@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexaria.llm import ann, lines, mixing, simhash, vector_dups
+from lexaria.llm import ann, lines, mixing, packing, quality, simhash, vector_dups
 from lexaria.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +30,23 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+@query("op5_neighbour_quality")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = quality.classify(docs, read_table(spark, sf_dir, "labels"))
+    return got.select("doc_id", "quality.held_out", "quality.score", "quality.predicted")
+
+
+def packed_documents(docs: DataFrame, with_ids: bool = False) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack(docs, path, public_tokenizers.PATTERN, capacity=2048, end_id=0, with_ids=with_ids)
+
+
+@query("op7_large_item_packing")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(read_table(spark, sf_dir, "documents"))
+
+
 @query("op8_simhash_pigeonring")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(read_table(spark, sf_dir, "documents"), shingle=3, max_distance=3)
