@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexaria.llm import ann, lines, mixing, packing, quality, simhash, vector_dups
+from lexaria.llm import ann, lines, mixing, packing, quality, simhash, urls, vector_dups
 from lexaria.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,35 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "quality.held_out", "quality.score", "quality.predicted")
 
 
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+SPAM_HOST_WORDS = "casino|bets|pills"
+
+OP6_SQL = r"""
+with h as (
+  select page_id,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') path from pages),
+c as (select *, nullif(regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '^(?:www|m)[.]', ''), '')
+         || regexp_replace(regexp_replace(path, '[.]html?$', ''), '/+$', '') canon,
+    case when (host = 'example.net' or host like '%.example.net') and starts_with(path, '/en/') then 'example.net/en/'
+         when (host = 'example.com' or host like '%.example.com') and starts_with(path, '/de/') then 'example.com/de/'
+         when (host = 'org' or host like '%.org') and starts_with(path, '/fr/') then 'org/fr/'
+         when (host = 'net' or host like '%.net') and starts_with(path, '/') then 'net/' end rule from h),
+l as (select distinct canon from c where regexp_matches(host, '(^|[.-])(casino|bets|pills)([.-]|$)') and canon is not null)
+select page_id, host, path, rule,
+  case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow'
+       when l.canon is not null then 'block' else 'allow' end verdict,
+  rule is null and l.canon is not null listed
+from c left join l using (canon)
+"""
+
+
+@query("op6_blocked_bloom_urls", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(pages, urls.spam_listed(pages, SPAM_HOST_WORDS), URL_RULES)
+
+
 def packed_documents(docs: DataFrame, with_ids: bool = False) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return packing.pack(docs, path, public_tokenizers.PATTERN, capacity=2048, end_id=0, with_ids=with_ids)
