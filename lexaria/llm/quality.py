@@ -182,11 +182,11 @@ def fit(docs: DataFrame, labels: DataFrame, train, id_col="doc_id", text_col="te
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = THRESHOLD,
-             id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """``docs`` with a struct column ``quality``: held_out, score, predicted."""
+             id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", out: str = "quality") -> DataFrame:
+    """``docs`` with a struct column ``out``: held_out, score, predicted."""
     model = fit(docs, labels, lambda c: ~held_out(c, folds), id_col, text_col, label_col)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c != "quality"]
+    names = [c for c in docs.columns if c != out]
     wide = docs.select(F.struct(*names).alias("_doc"), F.col(text_col).alias("_text"))
 
     def run(batches):
@@ -196,8 +196,8 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: floa
             yield pa.RecordBatch.from_arrays([part.column("_doc"), pa.array(score)], ["_doc", "_score"])
 
     kind = wide.schema["_doc"].dataType.simpleString()
-    out = wide.mapInArrow(run, f"_doc {kind}, _score double")
+    voted = wide.mapInArrow(run, f"_doc {kind}, _score double")
     cols = [F.col("_doc")[c].alias(c) for c in names]
     verdict = F.struct(held_out(F.col("_doc")[id_col], folds).alias("held_out"), F.col("_score").alias("score"),
                        F.when(F.col("_score") >= threshold, 1).otherwise(0).alias("predicted"))
-    return out.select(*cols, verdict.alias("quality"))
+    return voted.select(*cols, verdict.alias(out))

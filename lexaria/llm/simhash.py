@@ -190,3 +190,31 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def fingerprint_hex(fp):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
+
+
+def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                      shingle: int = 3, max_distance: int = 3) -> DataFrame:
+    """``docs`` with one document of each component, in its own columns.
+
+    The document whose id names the component stays, and of repeated rows of that id one.
+    Where all ids of a component are null, one of its rows stays.
+    """
+    names = docs.columns
+    found = simhash_components(docs, id_col, text_col, shingle, max_distance)
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fp").distinct()
+    no_id, key = F.lit("-"), F.coalesce(F.col(id_col).cast("string"), F.lit("-"))
+    stay = stay.select(F.coalesce(F.col("doc_id").cast("string"), no_id).alias("_key"), F.col("fp").alias("_fp"))
+    # an id may repeat with other texts: (id, fingerprint) names the row that stays
+    src = docs.select(F.struct(*names).alias("_doc"), key.alias("_key"), F.col(text_col).alias("_text"))
+
+    def run(batches):
+        for part in text_slices(batches, "_text"):
+            fp = fingerprints(part.column("_text").to_pylist(), shingle)
+            yield pa.RecordBatch.from_arrays([part.column("_doc"), part.column("_key"), pa.array(fp.view(np.int64))],
+                                             ["_doc", "_key", "_fp"])
+
+    kind = src.schema["_doc"].dataType.simpleString()
+    rows = src.mapInArrow(run, f"_doc {kind}, _key string, _fp long")
+    # repeated rows collapse before the shuffle
+    rows = rows.dropDuplicates(["_key", "_fp"]).join(stay, ["_key", "_fp"], "left_semi")
+    return rows.select(*[F.col("_doc")[c].alias(c) for c in names])
