@@ -85,7 +85,7 @@ def measured(docs: DataFrame, id_col: str, source_col: str, text_col: str, seed:
 def _ranked(base: DataFrame, classes: DataFrame) -> DataFrame:
     """Add rank statistic q and bin to rows holding skey, w, u."""
     r = base.join(classes, ["skey", "w"], "left")
-    r = r.withColumn("q", F.expr("u * (1 - p) / ((1 - u) * p)"))
+    r = r.withColumn("q", F.expr("u * (1 - p) / ((1 - u) * nullif(p, 0))"))
     r = r.withColumn("_v", F.expr("q * odds / (1 + q * odds)"))
     r = r.withColumn("bin", F.least(F.col("bins") - 1, F.floor(F.col("_v") * F.col("bins"))).cast("long"))
     return r.drop("_v")
