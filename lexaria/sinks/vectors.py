@@ -3,13 +3,17 @@
 Every sink writes a *directory* of part files from the executors (no
 ``coalesce(1)``, nothing through the driver).  Text formats go through
 ``write.text``; the header of the word2vec text format is a one-row relation
-ordered before the vectors, so it lands at the start of the first part.  The
-binary format is a Spark Python data source whose writer emits one complete,
-self-contained shard (own header) per task.
+put before the vectors, so it lands at the start of the first part.  The
+binary format is a Spark Python data source whose tasks write complete,
+self-contained shards (own header) of at most ``SHARD_ROWS`` words, published by
+the commit.
 """
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -23,28 +27,29 @@ def _vec_text(vec: str = "vec", fmt: str = "%.6f"):
     return F.array_join(F.transform(F.col(vec), lambda x: F.format_string(fmt, x)), " ")
 
 
-def _ordered_lines(df: DataFrame, body, header: DataFrame | None, order: str | None):
-    lines = df.select(F.lit(1).alias("_h"), (F.col(order) if order else F.col("word")).alias("_o"),
-                      body.alias("value"))
-    if header is not None:
-        lines = header.select(F.lit(0).alias("_h"), F.lit(None).cast(lines.schema["_o"].dataType).alias("_o"),
-                              "value").unionByName(lines)
-    return lines.orderBy("_h", "_o").select("value")
+def _text_lines(df: DataFrame, body, header: DataFrame | None, order: str | None) -> DataFrame:
+    """Header first, then the rows sorted by ``order``, or in their own order where it is None."""
+    lines = (df.orderBy(order) if order else df).select(body.alias("value"))
+    # a union keeps the order of its sides: the header is the first line of the first part file
+    return lines if header is None else header.select("value").unionByName(lines)
 
 
 def write_word2vec_text(df: DataFrame, path: str, order: str | None = None) -> str:
-    """B1: header ``"n d"``, then ``word v1 .. vd`` with ``%.6f`` values."""
+    """B1: header ``"n d"``, then ``word v1 .. vd`` with ``%.6f`` values, in the order of ``df``.
+
+    ``order`` names a column to sort by (``word_idx`` for vocabulary order).
+    """
     stats = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d"))
     header = stats.select(F.concat_ws(" ", F.col("n").cast("string"), F.col("d").cast("string")).alias("value"))
     body = F.concat_ws(" ", F.col("word"), _vec_text())
-    _ordered_lines(df, body, header, order).write.mode("overwrite").text(path)
+    _text_lines(df, body, header, order).write.mode("overwrite").text(path)
     return path
 
 
 def write_glove_text(df: DataFrame, path: str, order: str | None = None) -> str:
-    """B2: ``word v1 .. vd`` with ``%.6f`` values, no header."""
+    """B2: ``word v1 .. vd`` with ``%.6f`` values, no header; order as in B1."""
     body = F.concat_ws(" ", F.col("word"), _vec_text())
-    _ordered_lines(df, body, None, order).write.mode("overwrite").text(path)
+    _text_lines(df, body, None, order).write.mode("overwrite").text(path)
     return path
 
 
@@ -63,35 +68,75 @@ def write_columnar(df: DataFrame, path: str) -> str:
 
 # --------------------------------------------------------------------------- binary shards
 
+SHARD_ROWS = 100_000
+
+
+@dataclass
+class _Shards(WriterCommitMessage):
+    files: list[str]
+
+
 class _ShardWriter(DataSourceWriter):
-    def __init__(self, path: str):
-        self.path = path
+    """Tasks write into a folder of this write; only ``commit`` publishes, and only the files
+    of the attempts that succeeded.  A failed write leaves the target as it was."""
+
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.overwrite, self.run = path, overwrite, uuid.uuid4().hex[:12]
+
+    def _folder(self, root: str) -> str:
+        return f"{root.rstrip('/')}/_attempt-{self.run}"
 
     def write(self, iterator):
+        from itertools import islice
+
         from pyspark import TaskContext
 
-        rows = [(r["word"], list(r["vec"])) for r in iterator]  # one task's shard
-        pid = TaskContext.get().partitionId()
-        if rows:
-            filesystem, root = _filesystem(self.path)
-            filesystem.create_dir(root, recursive=True)
-            target = f"{root.rstrip('/')}/part-{pid:05d}.bin"
-            tmp = target + ".tmp"
-            with filesystem.open_output_stream(tmp) as f:
-                f.write(encode_shard(rows))
-            filesystem.move(tmp, target)  # idempotent on task retry
-        return WriterCommitMessage()
+        task = TaskContext.get()
+        filesystem, root = _filesystem(self.path)
+        rows = ((r["word"], list(r["vec"])) for r in iterator)
+        files: list[str] = []
+        while part := list(islice(rows, SHARD_ROWS)):  # a shard's header needs its row count
+            name = f"part-{self.run}-{task.partitionId():05d}-{task.taskAttemptId()}-{len(files):04d}.bin"
+            filesystem.create_dir(self._folder(root), recursive=True)
+            with filesystem.open_output_stream(f"{self._folder(root)}/{name}") as f:
+                f.write(encode_shard(part))
+            files.append(name)
+        return _Shards(files)
+
+    def commit(self, messages):
+        from pyarrow import fs as pafs
+
+        filesystem, root = _filesystem(self.path)
+        filesystem.create_dir(root, recursive=True)
+        old = [f.path for f in filesystem.get_file_info(pafs.FileSelector(root)) if f.path.endswith(".bin")]
+        for name in [n for m in messages if m is not None for n in m.files]:
+            filesystem.move(f"{self._folder(root)}/{name}", f"{root.rstrip('/')}/{name}")
+        if self.overwrite:
+            for f in old:
+                filesystem.delete_file(f)
+        self.abort(messages)
+
+    def abort(self, messages):
+        from pyarrow import fs as pafs
+
+        filesystem, root = _filesystem(self.path)
+        if filesystem.get_file_info(self._folder(root)).type == pafs.FileType.Directory:
+            filesystem.delete_dir(self._folder(root))
 
 
 def _filesystem(path: str):
-    """A pyarrow filesystem for local paths, ``file:`` URIs and cluster URIs."""
+    """A pyarrow filesystem and path for a qualified path (with a scheme)."""
     from pyarrow import fs as pafs
 
     if path.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + path[len("file:"):].lstrip("/")
-    if "://" in path:
-        return pafs.FileSystem.from_uri(path)
-    return pafs.LocalFileSystem(), path
+    return pafs.FileSystem.from_uri(path)
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme Spark's readers would give it, so all tasks mean the same place."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
 
 
 class Word2VecBinary(DataSource):
@@ -105,7 +150,7 @@ class Word2VecBinary(DataSource):
         return "word string, vec array<double>"
 
     def writer(self, schema, overwrite):
-        return _ShardWriter(self.options["path"])
+        return _ShardWriter(self.options["path"], overwrite)
 
 
 def register_formats(spark: SparkSession) -> None:
@@ -118,7 +163,7 @@ def write_word2vec_binary(df: DataFrame, path: str, shards: int | None = None) -
     out = df.select("word", F.col("vec").cast("array<double>").alias("vec"))
     if shards:
         out = out.repartition(shards, "word")
-    out.write.format("w2vbin").mode("overwrite").save(path)
+    out.write.format("w2vbin").mode("overwrite").save(_qualified(df.sparkSession, path))
     return path
 
 

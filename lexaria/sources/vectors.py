@@ -8,8 +8,6 @@ not splittable, a directory of shards is.
 
 from __future__ import annotations
 
-import struct
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -40,17 +38,18 @@ def _keep_last(df: DataFrame) -> DataFrame:
 def read_word2vec_text(spark: SparkSession, path: str) -> DataFrame:
     """A5: mandatory ``"n d"`` header line, then ``word v1 .. vd``; float32 values.
 
-    The header is the 2-field line; its ``d`` selects the vector lines.
+    The header is the first line of the first file, whatever the dimension.  Lines of
+    another length than ``d`` keep the values they have; nothing is dropped.
     """
     p = _parts(_lines(spark, path))
-    header = p.where(F.size("parts") == 2).orderBy("file", "block", "mid").limit(1)
-    hdr = header.select(F.col("parts")[1].cast("int").alias("d")).collect()  # the first header line
-    if not hdr:
+    first = p.orderBy("file", "block", "mid").limit(1).collect()  # one line
+    if not first or len(first[0]["parts"]) != 2 or not all(x.isdigit() for x in first[0]["parts"]):
         raise ValueError(f"no word2vec header in {path}")
-    d = hdr[0]["d"]
-    vecs = p.where(F.size("parts") == d + 1).select(
+    h = first[0]
+    header = (F.col("file") == h["file"]) & (F.col("block") == h["block"]) & (F.col("mid") == h["mid"])
+    vecs = p.where(~header).select(
         "file", "block", "mid", F.col("parts")[0].alias("word"),
-        F.slice("parts", 2, d).cast("array<float>").cast("array<double>").alias("vec"),
+        F.slice("parts", 2, F.size("parts") - 1).cast("array<float>").cast("array<double>").alias("vec"),
     )
     return _keep_last(vecs)
 
@@ -168,7 +167,3 @@ def resume_words(counts_lines: DataFrame) -> DataFrame:
     is_last = (F.col("pos.file") == last["file"]) & (F.col("pos.block") == last["block"]) & (
         F.col("pos.mid") == last["mid"])
     return counts_lines.where(~is_last).select("word")
-
-
-def unpack_floats(b: bytes, d: int) -> list[float]:
-    return list(struct.unpack(f"<{d}f", b))
