@@ -131,24 +131,26 @@ def encode_nonempty(sents: DataFrame, word_vectors: DataFrame, **kw) -> DataFram
 
 
 def pair_similarity(pairs: DataFrame, word_vectors: DataFrame, dim: int | None = None,
-                    normalize: bool = True, bound: int | None = None, **kw) -> DataFrame:
+                    normalize: bool = True, bound: int | None = None, key="pair_id", **kw) -> DataFrame:
     """Encode both sides of every pair and take the dot product.
 
-    ``pairs`` is ``(pair_id, a, b)``; output ``(pair_id, sim)``.  Both sides are
-    encoded in one pass over a stacked relation so the lookup happens once.
+    ``pairs`` is ``(key..., a, b)``; output ``(key..., sim)``; ``key`` (one column or a
+    list) names a pair.  Both sides are encoded in one pass over a stacked relation so
+    the lookup happens once.
     """
-    stacked = pairs.select("pair_id", F.lit(0).alias("side"), F.col("a").alias("text")).unionByName(
-        pairs.select("pair_id", F.lit(1).alias("side"), F.col("b").alias("text"))
-    ).withColumn("sent_id", F.struct("pair_id", "side"))
+    ids = _keys(key)
+    stacked = pairs.select(*ids, F.lit(0).alias("side"), F.col("a").alias("text")).unionByName(
+        pairs.select(*ids, F.lit(1).alias("side"), F.col("b").alias("text"))
+    ).withColumn("sent_id", F.struct(*ids, "side"))
     # only sides with at least one known word; a missing side is a zero vector -> similarity 0
     enc = encode(stacked, word_vectors, key="sent_id", dim=dim, normalize=normalize, bound=bound,
                  on_empty="drop", **kw)
     # two rows per pair -> one row with a hash-based collect (no sort aggregate, no self join)
-    both = enc.groupBy(F.col("sent_id.pair_id").alias("pair_id")).agg(
+    both = enc.groupBy(*[F.col("sent_id")[c].alias(c) for c in ids]).agg(
         F.collect_list(F.col("vec")).alias("vs"))
     sim = F.when(F.size("vs") == 2, Vx.dot(F.col("vs")[0], F.col("vs")[1])).otherwise(F.lit(0.0))
-    return pairs.select("pair_id").join(both.select("pair_id", sim.alias("sim")), "pair_id", "left").select(
-        "pair_id", F.coalesce("sim", F.lit(0.0)).alias("sim"))
+    return pairs.select(*ids).join(both.select(*ids, sim.alias("sim")), ids, "left").select(
+        *ids, F.coalesce("sim", F.lit(0.0)).alias("sim"))
 
 
 def project(sent_vecs: DataFrame, weight_rows: list[list[float]], vec: str = "vec") -> DataFrame:

@@ -100,8 +100,9 @@ def word_similarity(pairs: DataFrame, word_vectors: DataFrame, bound: int | None
 def sts(pairs: DataFrame, word_vectors: DataFrame, bound: int | None = None, dim: int | None = None,
         **kw) -> DataFrame:
     """Every pair is scored (all-OOV sides give 0 and still count)."""
-    sims = EN.pair_similarity(pairs.select("pair_id", "a", "b"), word_vectors, dim=dim, bound=bound, **kw)
-    scored = pairs.select("dataset", "pair_id", "gold").join(sims.withColumnRenamed("sim", "pred"), "pair_id")
+    key = ["dataset", "pair_id"]
+    sims = EN.pair_similarity(pairs.select(*key, "a", "b"), word_vectors, dim=dim, bound=bound, key=key, **kw)
+    scored = pairs.select(*key, "gold").join(sims.withColumnRenamed("sim", "pred"), key)
     corr = correlations(scored, ["dataset"])
     out = corr.select("dataset", F.col("n").alias("n_pairs"), "spearman", "pearson")
     return _guard(out, "n_pairs")
@@ -118,8 +119,9 @@ def encoder_word_similarity(pairs: DataFrame, word_vectors: DataFrame, is_transf
         la = EN.lookup(p, word_vectors, "a", bound, dim).withColumnRenamed("vec", "va")
         lb = EN.lookup(la, word_vectors, "b", bound, dim).withColumnRenamed("vec", "vb")
         p = lb.where(F.col("va").isNotNull() & F.col("vb").isNotNull()).drop("va", "vb")
-    sims = EN.pair_similarity(p.select("pair_id", "a", "b"), word_vectors, dim=dim, bound=bound)
-    scored = p.select("dataset", "pair_id", "gold").join(sims.withColumnRenamed("sim", "pred"), "pair_id")
+    key = ["dataset", "pair_id"]
+    sims = EN.pair_similarity(p.select(*key, "a", "b"), word_vectors, dim=dim, bound=bound, key=key)
+    scored = p.select(*key, "gold").join(sims.withColumnRenamed("sim", "pred"), key)
     corr = correlations(scored, ["dataset"])
     totals = pairs.groupBy("dataset").agg(F.count(F.lit(1)).alias("_total"))
     out = totals.join(corr, "dataset", "left")

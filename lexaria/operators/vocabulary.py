@@ -29,12 +29,14 @@ def tokens(sents: DataFrame, lowercase: bool = True, punct="P1", tokenizer=None)
 # min run in a hash aggregate (a struct min forces a sort-based aggregate):
 # doc_id * 10^18 + line_no * 10^12 + sent_no * 10^6 + tok_pos.
 # Bounds: fewer than 10^6 lines per document, sentences per line and tokens per
-# sentence.
+# sentence; beyond them the query stops instead of ordering words wrongly.
 _E6, _E12, _E18 = 10**6, 10**12, 10**18
 
 
 def position_key() -> F.Column:
-    inner = F.col("line_no") * _E12 + F.col("sent_no") * _E6 + F.col("tok_pos")
+    bound = F.greatest("line_no", "sent_no", "tok_pos") < _E6
+    inner = F.when(bound, F.col("line_no") * _E12 + F.col("sent_no") * _E6 + F.col("tok_pos")).otherwise(
+        F.raise_error(F.lit("more than 10^6 lines, sentences or tokens in one unit")).cast("bigint"))
     return (F.col("doc_id").cast("decimal(38,0)") * F.lit(_E18).cast("decimal(38,0)")
             + inner.cast("decimal(38,0)")).cast("decimal(38,0)")
 
@@ -44,8 +46,8 @@ def decode_position(key: str = "first_key") -> F.Column:
     inner = (F.col(key) - doc.cast("decimal(38,0)") * F.lit(_E18).cast("decimal(38,0)")).cast("bigint")
     return F.struct(
         doc.cast("bigint").alias("doc_id"),
-        F.floor(inner / _E12).cast("bigint").alias("line_no"),
-        (F.floor(inner / _E6) % _E6).cast("bigint").alias("sent_no"),
+        F.call_function("div", inner, F.lit(_E12)).cast("bigint").alias("line_no"),
+        (F.call_function("div", inner, F.lit(_E6)) % _E6).cast("bigint").alias("sent_no"),
         (inner % _E6).cast("bigint").alias("tok_pos"),
     )
 

@@ -1,8 +1,8 @@
 """Derived relations over the test tables (the inputs every registered query reads).
 
 - corpus lines / sentences / tokens from ``documents``
-- vocabulary: word counts filtered with min_freq=10, min_len=3, capped at |embeddings|
-- word vectors: vocabulary joined to ``embeddings`` on ``word_idx = vec_id``
+- vocabulary: all words that pass min_freq=10 and min_len=3
+- word vectors: every vocabulary word gets the embedding ``vec_id = word_idx mod |embeddings|``
 - sentence pairs: a user turn and the next turn of ``conversations``
 - contexts: ``embeddings`` with ``label`` as the word and ``vec_id`` as the context
 """
@@ -26,15 +26,12 @@ MIN_LEN = 3
 N_CONTEXTS = 10
 
 
-# text tables and the key used to spread a small scan over the cluster's cores
-TEXT_KEYS = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_id", "benchmark": "item_id"}
-
 _STAGES: dict = {}
 _RUN = uuid.uuid4().hex[:12]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return C.read_table(spark, sf, name, TEXT_KEYS.get(name))
+    return C.read_table(spark, sf, name)
 
 
 def stage(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
@@ -73,17 +70,40 @@ def counts(spark, sf) -> DataFrame:
 _COUNTS: dict = {}
 
 
+def _once(key, make):
+    if key not in _COUNTS:
+        _COUNTS[key] = make()
+    return _COUNTS[key]
+
+
 def n_vectors(spark, sf) -> int:
-    """|embeddings| (the vocabulary cap and the broadcast bound); one scalar per table set."""
-    if sf not in _COUNTS:
-        # parquet footer metadata: no data scan needed for a count
-        _COUNTS[sf] = table(spark, sf, "embeddings").count()
-    return _COUNTS[sf]
+    """|embeddings|; one scalar per table set (parquet footer metadata, no data scan)."""
+    return _once((sf, "vectors"), lambda: table(spark, sf, "embeddings").count())
+
+
+def n_words(spark, sf) -> int:
+    """Measured size of the staged vocabulary: what decides whether its vectors may be broadcast."""
+    return _once((sf, "words"), lambda: vocab(spark, sf).count())
+
+
+def dim(spark, sf) -> int:
+    """Dimension of the vectors, read from the table once."""
+    return _once((sf, "dim"), lambda: table(spark, sf, "embeddings").select(F.size("embedding")).first()[0])
+
+
+def vector_of(index, spark, sf, shift: int = 0):
+    """The ``vec_id`` that stands for a word or document number."""
+    return F.pmod(index + shift, F.lit(n_vectors(spark, sf)))
+
+
+def turn_key(conv="conv_id", turn="turn"):
+    """One key per (conversation, turn); the parts keep their full width."""
+    return F.concat(F.lpad(F.col(conv).cast("string"), 19, "0"), F.lit("-"), F.lpad(F.col(turn).cast("string"), 19, "0"))
 
 
 def vocab(spark, sf) -> DataFrame:
     return stage(spark, sf, "vocab",
-                 lambda: V.filter_vocabulary(counts(spark, sf), MIN_FREQ, MIN_LEN, n_vectors(spark, sf)))
+                 lambda: V.filter_vocabulary(counts(spark, sf), MIN_FREQ, MIN_LEN))
 
 
 def embeddings(spark, sf) -> DataFrame:
@@ -93,11 +113,11 @@ def embeddings(spark, sf) -> DataFrame:
 
 
 def word2vec(spark, sf) -> DataFrame:
-    """``(word, vec array<double>)`` — the vocabulary's vectors (bounded by |embeddings|)."""
+    """``(word, vec array<double>)`` — a vector for every vocabulary word."""
     def build():
         v = vocab(spark, sf)
         e = embeddings(spark, sf)
-        return v.join(e, v.word_idx == e.vec_id).select("word", "vec")
+        return v.join(e, vector_of(v.word_idx, spark, sf) == e.vec_id).select("word", "vec")
 
     return stage(spark, sf, "word2vec", build)
 
@@ -108,7 +128,7 @@ def conversation_pairs(spark, sf) -> DataFrame:
     u = c.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("a"))
     n = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b"))
     return u.join(n, ["conv_id", "turn"]).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).cast("bigint").alias("pair_id"),
+        turn_key().alias("pair_id"),
         "a",
         "b",
         T.hash_gold(F.col("conv_id"), F.col("turn")).alias("gold"),

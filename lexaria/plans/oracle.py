@@ -73,13 +73,13 @@ WHERE freq >= 10 AND length(word) >= 3 AND regexp_matches(word, '\\p{{L}}')
   AND word NOT IN ({P1_SQL}) AND NOT starts_with(word, '#') AND NOT starts_with(word, '@')
   AND NOT starts_with(word, 'http')"""),
     "vocab": (["vocab_all"], """
-SELECT * FROM vocab_all WHERE word_idx < (SELECT count(*) FROM embeddings)"""),
+SELECT * FROM vocab_all"""),
     "emb": ([], """
 SELECT vec_id, CAST(embedding AS DOUBLE[]) AS vec, label FROM embeddings"""),
     "word2vec": (["vocab", "emb"], """
-SELECT v.word, e.vec FROM vocab v JOIN emb e ON v.word_idx = e.vec_id"""),
+SELECT v.word, e.vec FROM vocab v JOIN emb e ON v.word_idx % (SELECT count(*) FROM embeddings) = e.vec_id"""),
     "conv_pairs": ([], f"""
-SELECT CAST(u.conv_id * 1000 + u.turn AS BIGINT) AS pair_id, u.text AS a, n.text AS b,
+SELECT lpad(CAST(u.conv_id AS VARCHAR), 19, '0') || '-' || lpad(CAST(u.turn AS VARCHAR), 19, '0') AS pair_id, u.text AS a, n.text AS b,
        {gold('u.conv_id', 'u.turn')} AS gold
 FROM conversations u JOIN conversations n ON n.conv_id = u.conv_id AND n.turn = u.turn + 1
 WHERE u.role = 'user'"""),

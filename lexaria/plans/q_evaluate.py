@@ -75,14 +75,15 @@ def e18_pearson_constant(spark, sf):
 # ---- E20 word similarity ---------------------------------------------------------------
 
 add_cte("wp_ds", ["word_pairs"], f"""
-SELECT CASE WHEN {gold('pair_id', "'ds'")} < 0.5 THEN 'set_a' ELSE 'set_b' END AS dataset, * FROM word_pairs""")
+SELECT CASE WHEN pair_id % 2 = 0 THEN 'set_a' ELSE 'set_b' END AS dataset, pair_id // 2 AS pair_id, a, b, gold FROM word_pairs""")
 
 
 def _ds_pairs(spark, sf):
+    # two datasets, each numbered from 0
     p = FX.word_pairs(spark, sf)
     return p.select(
-        F.when(T.hash_gold(F.col("pair_id"), F.lit("ds")) < 0.5, "set_a").otherwise("set_b").alias("dataset"),
-        "pair_id", "a", "b", "gold",
+        F.when(F.col("pair_id") % 2 == 0, "set_a").otherwise("set_b").alias("dataset"),
+        F.floor(F.col("pair_id") / 2).cast("bigint").alias("pair_id"), "a", "b", "gold",
     )
 
 
@@ -113,14 +114,15 @@ def _round_metrics(df, cols):
 
 @register("e20_word_similarity", with_ctes(["wp_ds", "wsim_found"], WSIM_SQL))
 def e20_word_similarity(spark, sf):
-    out = EV.word_similarity(_ds_pairs(spark, sf), FX.word2vec(spark, sf), bound=FX.n_vectors(spark, sf), dim=64)
+    out = EV.word_similarity(_ds_pairs(spark, sf), FX.word2vec(spark, sf), bound=FX.n_words(spark, sf), dim=FX.dim(spark, sf))
     return _round_metrics(out, ["coverage", "spearman", "pearson"])
 
 
 # ---- E22 STS ---------------------------------------------------------------------------
 
 add_cte("sts_pairs", ["conv_pairs"], f"""
-SELECT CASE WHEN {gold('pair_id', "'ds'")} < 0.5 THEN 'sts_a' ELSE 'sts_b' END AS dataset, * FROM conv_pairs""")
+SELECT 'sts_a' AS dataset, pair_id, a, b, gold FROM conv_pairs
+UNION ALL SELECT 'sts_b', pair_id, b, a, {gold('pair_id', "'ds'")} FROM conv_pairs""")
 add_cte("sts_scored", ["sts_pairs", "enc_pairs"], """
 SELECT p.dataset, p.pair_id, p.gold, coalesce(s.sim, 0.0) AS pred FROM sts_pairs p LEFT JOIN
   (SELECT a.pair_id, sum(a.value * b.value) AS sim FROM enc_pairs a JOIN enc_pairs b
@@ -135,15 +137,15 @@ FROM ({corr_sql('sts_scored', 'dataset', 'pred', 'gold')})"""
 
 def _sts_pairs(spark, sf):
     p = FX.conversation_pairs(spark, sf)
-    return p.select(
-        F.when(T.hash_gold(F.col("pair_id"), F.lit("ds")) < 0.5, "sts_a").otherwise("sts_b").alias("dataset"),
-        "pair_id", "a", "b", "gold",
-    )
+    # two datasets that share their pair ids
+    return p.select(F.lit("sts_a").alias("dataset"), "pair_id", "a", "b", "gold").unionByName(p.select(
+        F.lit("sts_b").alias("dataset"), "pair_id", F.col("b").alias("a"), F.col("a").alias("b"),
+        T.hash_gold(F.col("pair_id"), F.lit("ds")).alias("gold")))
 
 
 @register("e22_sts", with_ctes(["sts_scored"], STS_SQL))
 def e22_sts(spark, sf):
-    out = EV.sts(_sts_pairs(spark, sf), FX.word2vec(spark, sf), bound=FX.n_vectors(spark, sf), dim=64)
+    out = EV.sts(_sts_pairs(spark, sf), FX.word2vec(spark, sf), bound=FX.n_words(spark, sf), dim=FX.dim(spark, sf))
     return _round_metrics(out, ["spearman", "pearson"])
 
 
@@ -184,10 +186,10 @@ def d09_compare_models(spark, sf):
     """Word-similarity Spearman of the vocabulary vectors vs a shifted baseline."""
     v = FX.vocab(spark, sf)
     e = FX.embeddings(spark, sf)
-    base_vectors = v.join(e, e.vec_id == v.word_idx + 1).select("word", "vec")
+    base_vectors = v.join(e, e.vec_id == FX.vector_of(v.word_idx, spark, sf, 1)).select("word", "vec")
     pairs = _ds_pairs(spark, sf)
-    ours = EV.word_similarity(pairs, FX.word2vec(spark, sf), bound=FX.n_vectors(spark, sf), dim=64)
-    base = EV.word_similarity(pairs, base_vectors, bound=FX.n_vectors(spark, sf), dim=64)
+    ours = EV.word_similarity(pairs, FX.word2vec(spark, sf), bound=FX.n_words(spark, sf), dim=FX.dim(spark, sf))
+    base = EV.word_similarity(pairs, base_vectors, bound=FX.n_words(spark, sf), dim=FX.dim(spark, sf))
     # the comparison reports the raw correlations (no <2 guard is involved at this size)
     out = EV.compare_models(ours, base)
     return _round_metrics(out, ["ours", "baseline", "delta", "retention"])
@@ -208,7 +210,7 @@ LEFT JOIN ({corr_sql('wsim_found', 'dataset', 'pred', 'gold')}) c ON c.dataset =
 def e21_encoder_word_similarity(spark, sf):
     """Words encoded as one-word sentences; OOV pairs skipped (static model)."""
     out = EV.encoder_word_similarity(_ds_pairs(spark, sf), FX.word2vec(spark, sf),
-                                     bound=FX.n_vectors(spark, sf), dim=64)
+                                     bound=FX.n_words(spark, sf), dim=FX.dim(spark, sf))
     return _round_metrics(out, ["spearman", "coverage"])
 
 

@@ -115,7 +115,7 @@ def b07_sentence_corpus_write(spark, sf):
 
 
 add_cte("features", ["emb"], """
-SELECT d.doc_id AS row_no, d.text, e.vec FROM documents d JOIN emb e ON e.vec_id = d.doc_id""")
+SELECT d.doc_id AS row_no, d.text, e.vec FROM documents d JOIN emb e ON e.vec_id = d.doc_id % (SELECT count(*) FROM embeddings)""")
 
 
 @register("a09_feature_batches", with_ctes(["features"], """
@@ -125,8 +125,9 @@ FROM features"""))
 def a09_feature_batches(spark, sf):
     """B8 write (batch_id = row_no // 100) + A9 read: texts aligned with teacher vectors."""
     d = FX.table(spark, sf, "documents").select(F.col("doc_id").alias("row_no"), "text")
-    e = FX.embeddings(spark, sf).select(F.col("vec_id").alias("row_no"), "vec")
-    p = SK.write_feature_batches(d.join(e, "row_no"), _out(spark, "feat"), 100)
+    e = FX.embeddings(spark, sf).select("vec_id", "vec")
+    rows = d.join(e, FX.vector_of(F.col("row_no"), spark, sf) == F.col("vec_id")).drop("vec_id")
+    p = SK.write_feature_batches(rows, _out(spark, "feat"), 100)
     back = SV.read_features(spark, p)
     return back.select(
         "batch_id", "row_no", F.length("text").cast("bigint").alias("n_chars"),
@@ -180,7 +181,7 @@ def b12_metrics_json(spark, sf):
     """Word-similarity results written as JSON and read back."""
     from lexaria.plans.q_evaluate import _ds_pairs
 
-    res = EV.word_similarity(_ds_pairs(spark, sf), FX.word2vec(spark, sf), bound=FX.n_vectors(spark, sf), dim=64)
+    res = EV.word_similarity(_ds_pairs(spark, sf), FX.word2vec(spark, sf), bound=FX.n_words(spark, sf), dim=FX.dim(spark, sf))
     p = SK.write_metrics_json(res, _out(spark, "metrics"))
     return spark.read.schema("dataset string, n_pairs bigint, n_found bigint").json(p)
 
@@ -206,10 +207,10 @@ def b13_stage_resume(spark, sf):
 # ---- scans over the test tables ---------------------------------------------------------------
 
 @register("a15_web_texts", f"""
-SELECT page_id AS text_id, CAST(length(substr(t, 1, 2000)) AS BIGINT) AS n_chars, md5(substr(t, 1, 2000)) AS h
+SELECT page_id AS text_id, CAST(length(t) AS BIGINT) AS n_chars, md5(t) AS h
 FROM (SELECT page_id, {strip('html')} AS t FROM pages) WHERE length(t) >= 20""")
 def a15_web_texts(spark, sf):
-    """Strip, keep texts of >= 20 characters, truncate to 2000 (the featuriser's gate)."""
+    """Strip, keep whole texts of >= 20 characters."""
     p = FX.table(spark, sf, "pages")
     w = C.web_texts(p, text_col="html", key="page_id")
     return w.select("text_id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("h"))
@@ -247,7 +248,7 @@ def e07_token_frequencies(spark, sf):
     """Frequency of every token id (vocabulary index) over the conversation texts."""
     c = FX.table(spark, sf, "conversations").select(T.word_tokens(F.lower("text")).alias("toks"))
     v = FX.vocab(spark, sf).select("word", "word_idx")
-    ids = c.select(F.explode("toks").alias("word")).join(bounded_broadcast(v, FX.n_vectors(spark, sf), 64),
+    ids = c.select(F.explode("toks").alias("word")).join(bounded_broadcast(v, FX.n_words(spark, sf), 64),
                                                          "word").select(
         F.col("word_idx").alias("token"))
     return V.token_frequencies(ids.select(F.array("token").alias("tokens")))

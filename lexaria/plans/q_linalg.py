@@ -26,8 +26,8 @@ from lexaria.plans.q_vectors import long_sql, spark_long
 def _sent_vecs(spark, sf):
     """Sentence vectors for fitting: un-normalised mean encodings of all conversation turns."""
     t = FX.table(spark, sf, "conversations").select(F.struct("conv_id", "turn").alias("sent_id"), "text")
-    return EN.encode(t, FX.word2vec(spark, sf), key="sent_id", dim=64, normalize=False, on_empty="drop",
-                     bound=FX.n_vectors(spark, sf))
+    return EN.encode(t, FX.word2vec(spark, sf), key="sent_id", dim=FX.dim(spark, sf), normalize=False, on_empty="drop",
+                     bound=FX.n_words(spark, sf))
 
 
 def _max_abs_projection(df, fit: LA.PcaFit, n: int, center: bool = False):
@@ -239,8 +239,8 @@ def f15_student_projection(spark, sf):
         "label").collect()  # one row per label: a bounded parameter (labels x d)
     weight_rows = [list(r["m"].toArray()) for r in means]
     t = FX.table(spark, sf, "conversations").select(F.struct("conv_id", "turn").alias("sent_id"), "text")
-    enc = EN.encode(t, FX.word2vec(spark, sf), key="sent_id", dim=64, normalize=False,
-                    bound=FX.n_vectors(spark, sf))
+    enc = EN.encode(t, FX.word2vec(spark, sf), key="sent_id", dim=FX.dim(spark, sf), normalize=False,
+                    bound=FX.n_words(spark, sf))
     out = EN.project(enc, weight_rows).select(
         F.col("sent_id.conv_id").alias("conv_id"), F.col("sent_id.turn").alias("turn"), "vec")
     return spark_long(out, ["conv_id", "turn"])
@@ -248,12 +248,12 @@ def f15_student_projection(spark, sf):
 
 @register("f16_vector_output", with_ctes(["vocab", "emb"], f"""
 SELECT word_idx, word, dim, round(value, 6) + 0.0 AS value FROM
-  ({long_sql('(SELECT v.word_idx, v.word, e.vec FROM vocab v JOIN emb e ON e.vec_id = v.word_idx)', 'word_idx, word')})"""))
+  ({long_sql('(SELECT v.word_idx, v.word, e.vec FROM vocab v JOIN emb e ON e.vec_id = v.word_idx % (SELECT count(*) FROM embeddings))', 'word_idx, word')})"""))
 def f16_vector_output(spark, sf):
     """F16: the table's vectors aligned with the vocabulary index."""
     v = FX.vocab(spark, sf)
     e = FX.embeddings(spark, sf)
-    j = v.join(e, v.word_idx == e.vec_id).select("word_idx", "word", "vec")
+    j = v.join(e, FX.vector_of(v.word_idx, spark, sf) == e.vec_id).select("word_idx", "word", "vec")
     return spark_long(j, ["word_idx", "word"])
 
 

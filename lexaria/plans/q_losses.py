@@ -116,14 +116,15 @@ SELECT CAST(count(*) AS BIGINT) AS n, round(avg(1 - c), 6) + 0.0 AS cos_loss,
 FROM (SELECT o.doc_id,
              CASE WHEN sum(o.value * o.value) = 0 THEN 0.0
                   ELSE sum(o.value * t.value) / (sqrt(sum(o.value * o.value)) * sqrt(sum(t.value * t.value))) END AS c
-      FROM enc_docs o JOIN ({long_sql('emb', 'vec_id')}) t ON t.vec_id = o.doc_id AND t.dim = o.dim
+      FROM enc_docs o JOIN ({long_sql('emb', 'vec_id')}) t ON t.vec_id = o.doc_id % (SELECT count(*) FROM embeddings) AND t.dim = o.dim
       GROUP BY o.doc_id)"""))
 def e25_cosine_regression(spark, sf):
-    """Documents encoded by the word vectors vs their teacher vector (doc_id = vec_id),
+    """Documents encoded by the word vectors vs their teacher vector (vec_id = doc_id mod |embeddings|),
     plus the 1e-5 L2 term over the word-vector table."""
     docs = FX.table(spark, sf, "documents").select(F.col("doc_id").alias("text_id"), "text")
     w2v = FX.word2vec(spark, sf)
-    out = EN.encode(docs, w2v, key="text_id", dim=64, bound=FX.n_vectors(spark, sf))
-    tgt = FX.embeddings(spark, sf).select(F.col("vec_id").alias("text_id"), "vec")
+    out = EN.encode(docs, w2v, key="text_id", dim=FX.dim(spark, sf), bound=FX.n_words(spark, sf))
+    tgt = docs.select("text_id").join(
+        FX.embeddings(spark, sf), FX.vector_of(F.col("text_id"), spark, sf) == F.col("vec_id")).select("text_id", "vec")
     res = L.cosine_regression_loss(out, tgt, w2v, "text_id")
     return res.select("n", Vx.round_col("cos_loss").alias("cos_loss"), Vx.round_col("loss").alias("loss"))

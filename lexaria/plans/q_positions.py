@@ -59,10 +59,10 @@ SELECT word, rn, {sentence_pieces_sql(f"'{PROMPT} ' || sentence")} AS t, {word_p
 
 @register("c09_prompted_positions", with_ctes(["ctx_prompt"], f"""
 SELECT word, rn, CAST(s AS BIGINT) AS start, CAST(off AS BIGINT) AS offset
-FROM (SELECT *, {first_pos_sql('t', 'w', 'off')} AS s FROM ctx_prompt WHERE len(t) < 60) WHERE s IS NOT NULL"""))
+FROM (SELECT *, {first_pos_sql('t', 'w', 'off')} AS s FROM ctx_prompt WHERE len(t) < 500) WHERE s IS NOT NULL"""))
 def c09_prompted_positions(spark, sf):
-    """C9 + C17 (historical cap ``>= 60`` pieces): prompt-prefixed sentences, search from the prompt's end."""
-    out = PS.find_positions(contexts(spark, sf), max_len=60, strict=True, prompt=PROMPT)
+    """C9 + C17 (cap ``>= 500`` pieces): prompt-prefixed sentences, search from the prompt's end."""
+    out = PS.find_positions(contexts(spark, sf), max_len=500, strict=True, prompt=PROMPT)
     off = F.size(PS.sentence_pieces(F.lit(PROMPT)))
     return out.select("word", "rn", F.col("start").cast("bigint").alias("start"), off.cast("bigint").alias("offset"))
 
@@ -159,10 +159,10 @@ def d02_subword_lookup(spark, sf):
     from lexaria.operators.contexts import out_of_vocabulary
 
     oov = out_of_vocabulary(p, w2v, "word").select("word", PS.chunk_pieces(F.col("word")).alias("pieces"))
-    hits = EN.subword_lookup(oov, w2v, bound=FX.n_vectors(spark, sf), dim=64)
+    hits = EN.subword_lookup(oov, w2v, bound=FX.n_words(spark, sf), dim=FX.dim(spark, sf))
     plen = oov.select("word", F.explode(F.sequence(F.lit(1), F.size("pieces") - 1)).alias("plen"), "pieces")
     plen = plen.withColumn("prefix", T.strip_markers(F.array_join(F.slice("pieces", 1, F.col("plen")), "")))
-    best = EN.lookup(plen, w2v, "prefix", bound=FX.n_vectors(spark, sf), dim=64).where(
+    best = EN.lookup(plen, w2v, "prefix", bound=FX.n_words(spark, sf), dim=FX.dim(spark, sf)).where(
         F.col("vec").isNotNull()).groupBy("word").agg(F.max("plen").cast("bigint").alias("plen"))
     return hits.join(best, "word").select(
         "word", "plen", Vx.round_col(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)).alias("vsum"))
@@ -172,8 +172,8 @@ def d02_subword_lookup(spark, sf):
 def e13_encode_subword(spark, sf):
     """E13 + D2 + J1: conversation turns encoded with the sub-word fallback for OOV words."""
     t = FX.table(spark, sf, "conversations").select(F.struct("conv_id", "turn").alias("sent_id"), "text")
-    out = EN.encode(t, FX.word2vec(spark, sf), key="sent_id", dim=64, pieces=PS.chunk_pieces,
-                    bound=FX.n_vectors(spark, sf))
+    out = EN.encode(t, FX.word2vec(spark, sf), key="sent_id", dim=FX.dim(spark, sf), pieces=PS.chunk_pieces,
+                    bound=FX.n_words(spark, sf))
     out = out.select(F.col("sent_id.conv_id").alias("conv_id"), F.col("sent_id.turn").alias("turn"), "vec")
     return Vx.long_form(out, ["conv_id", "turn"], "vec")
 

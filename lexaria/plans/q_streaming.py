@@ -51,7 +51,7 @@ def i02_streaming_capped_contexts(spark, sf):
     name = f"i02_{uuid.uuid4().hex[:8]}"
     vocab = FX.vocab(spark, sf)
     ST.run_to_memory(ST.capped_contexts(_docs_stream(spark, sf), vocab, FX.N_CONTEXTS,
-                                        vocab_bound=FX.n_vectors(spark, sf)), name, "append",
+                                        vocab_bound=FX.n_words(spark, sf)), name, "append",
                      stage_path(spark, f"ckpt-{name}"))
     return spark.table(name).groupBy("word").agg(F.count(F.lit(1)).cast("bigint").alias("n_contexts"))
 
@@ -64,11 +64,11 @@ def i03_streaming_encode(spark, sf):
     texts = spark.readStream.schema("conv_id bigint, turn bigint, role string, text string").option(
         "maxFilesPerTrigger", 1).parquet(src)
     w2v = FX.word2vec(spark, sf)
-    bound = FX.n_vectors(spark, sf)
+    bound = FX.n_words(spark, sf)
 
     def encode_batch(df):
         t = df.select(F.struct("conv_id", "turn").alias("sent_id"), "text")
-        out = EN.encode(t, w2v, key="sent_id", dim=64, bound=bound)
+        out = EN.encode(t, w2v, key="sent_id", dim=FX.dim(spark, sf), bound=bound)
         return out.select(F.col("sent_id.conv_id").alias("conv_id"), F.col("sent_id.turn").alias("turn"), "vec")
 
     out = stage_path(spark, f"stream-enc-{uuid.uuid4().hex[:8]}")

@@ -153,7 +153,7 @@ add_cte("ctx", ["sentences", "vocab"], CTX_SQL.format(tok=T.TOKEN_PATTERN, p1=P1
 def contexts(spark, sf):
     """The context index as a materialised stage (bounded by |vocab| x n)."""
     return FX.stage(spark, sf, "contexts", lambda: X.build_contexts(
-        FX.sentences(spark, sf), FX.vocab(spark, sf), FX.N_CONTEXTS, vocab_bound=FX.n_vectors(spark, sf)))
+        FX.sentences(spark, sf), FX.vocab(spark, sf), FX.N_CONTEXTS, vocab_bound=FX.n_words(spark, sf)))
 
 
 @register("e05_context_index", with_ctes(["ctx"], "SELECT word, rn, doc_id, line_no, sent_no, sentence FROM ctx"))

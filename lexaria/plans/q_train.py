@@ -28,18 +28,18 @@ from lexaria.train import model as M
 
 def _sentences(spark, sf):
     c = FX.table(spark, sf, "conversations")
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).cast("bigint").alias("sent_id"), "text")
+    return c.select(FX.turn_key().alias("sent_id"), "text")
 
 
 def _shifted(spark, sf):
     v = FX.vocab(spark, sf)
     e = FX.embeddings(spark, sf)
-    return v.join(e, e.vec_id == v.word_idx + 1).select("word", "vec")
+    return v.join(e, e.vec_id == FX.vector_of(v.word_idx, spark, sf, 1)).select("word", "vec")
 
 
 def _teacher(spark, sf):
-    enc = EN.encode(_sentences(spark, sf), _shifted(spark, sf), key="sent_id", dim=64,
-                    bound=FX.n_vectors(spark, sf))
+    enc = EN.encode(_sentences(spark, sf), _shifted(spark, sf), key="sent_id", dim=FX.dim(spark, sf),
+                    bound=FX.n_words(spark, sf))
     return enc.select("sent_id", F.col("vec").alias("tvec"))
 
 
@@ -83,7 +83,7 @@ def k02_distillation_gradient(spark, sf):
     params = M.init_params(FX.word2vec(spark, sf))
     grad, losses = M.distillation_gradient(b.select("batch_id", "i", "text"), params,
                                            b.select("batch_id", "i", "tvec"), 0.05,
-                                           bound=FX.n_vectors(spark, sf), dim=64)
+                                           bound=FX.n_words(spark, sf), dim=FX.dim(spark, sf))
     return grad.select("word", Vx.round_col(Vx.norm("g"), 9).alias("grad_norm"))
 
 
@@ -95,7 +95,7 @@ def k03_contrastive_gradient(spark, sf):
     b = S.epoch_batches(p, "sent_id", 32, 0, 42)
     params = M.init_params(FX.word2vec(spark, sf))
     grad, _ = M.contrastive_gradient(b.select("batch_id", "i", "src", "tgt"), params, 0.05,
-                                     bound=FX.n_vectors(spark, sf), dim=64)
+                                     bound=FX.n_words(spark, sf), dim=FX.dim(spark, sf))
     return grad.select("word", Vx.round_col(Vx.norm("g"), 9).alias("grad_norm"))
 
 
@@ -106,11 +106,12 @@ def k04_regression_gradient(spark, sf):
     means = e.groupBy("label").agg(Summarizer.mean(array_to_vector("vec")).alias("m")).orderBy("label").collect()
     W = np.array([r["m"].toArray() for r in means])  # labels x d: a bounded parameter
     docs = FX.table(spark, sf, "documents").select(F.col("doc_id").alias("text_id"), "text")
-    tgt = e.select(F.col("vec_id").alias("text_id"), F.col("vec").alias("tvec"))
-    texts = docs.join(tgt.select("text_id"), "text_id", "left_semi")
-    tv = tgt.select("text_id", F.slice("tvec", 1, W.shape[0]).alias("tvec"))
+    # every document has a target
+    texts = docs
+    tv = docs.select("text_id").join(e, FX.vector_of(F.col("text_id"), spark, sf) == F.col("vec_id")).select(
+        "text_id", F.slice("vec", 1, W.shape[0]).alias("tvec"))
     grad, dW, loss = M.regression_gradient(texts, M.init_params(FX.word2vec(spark, sf)), tv, W,
-                                           bound=FX.n_vectors(spark, sf), dim=64)
+                                           bound=FX.n_words(spark, sf), dim=FX.dim(spark, sf))
     return grad.select("word", Vx.round_col(Vx.norm("g"), 9).alias("grad_norm"),
                        F.lit(float(np.linalg.norm(dW))).alias("proj_grad_norm"), F.lit(float(loss)).alias("loss"))
 
@@ -127,13 +128,13 @@ def k06_training_run(spark, sf):
     pairs = _ds_pairs(spark, sf)
 
     def evaluate(vectors):
-        r = EV.word_similarity(pairs, vectors, bound=FX.n_vectors(spark, sf), dim=64)
+        r = EV.word_similarity(pairs, vectors, bound=FX.n_words(spark, sf), dim=FX.dim(spark, sf))
         return r.agg(F.avg("spearman")).first()[0]
 
     cfg = D.TrainConfig(epochs=2, batch_size=128, learning_rate=1e-3, patience=5, eval_every=2)
     out = stage_path(spark, f"train-{abs(hash(sf))}-{np.random.default_rng().integers(1 << 30)}")
     res = D.train_distillation(spark, params, train, val, teacher, out, cfg, evaluate=evaluate,
-                               bound=FX.n_vectors(spark, sf), dim=64)
+                               bound=FX.n_words(spark, sf), dim=FX.dim(spark, sf))
     rows = [(h["epoch"], h["train_loss"], h["val_loss"], h["is_best"], h["metrics"]) for h in res.history]
     return spark.createDataFrame(rows, "epoch int, train_loss double, val_loss double, is_best boolean, "
                                        "spearman double")

@@ -147,7 +147,7 @@ def e12_masked_mean(spark, sf):
     return spark_long(PO.masked_mean(states), ["sent"])
 
 
-add_cte("w2v_shift", ["vocab", "emb"], "SELECT v.word, e.vec FROM vocab v JOIN emb e ON e.vec_id = v.word_idx + 1")
+add_cte("w2v_shift", ["vocab", "emb"], "SELECT v.word, e.vec FROM vocab v JOIN emb e ON e.vec_id = (v.word_idx + 1) % (SELECT count(*) FROM embeddings)")
 
 
 @register(
@@ -161,7 +161,7 @@ def e16_merge_word_vectors(spark, sf):
     """Merge the vocabulary's vectors with a shifted assignment (partial overlap)."""
     v = FX.vocab(spark, sf)
     e = FX.embeddings(spark, sf)
-    shifted = v.join(e, e.vec_id == v.word_idx + 1).select("word", "vec")
+    shifted = v.join(e, e.vec_id == FX.vector_of(v.word_idx, spark, sf, 1)).select("word", "vec")
     return spark_long(PO.merge_word_vectors(FX.word2vec(spark, sf), shifted), ["word"])
 
 
@@ -201,7 +201,7 @@ def f02_mean_center(spark, sf):
 
 add_cte("lookup_q", ["word_pairs"], """
 SELECT pair_id, 'plain' AS variant, b AS w FROM word_pairs
-UNION ALL SELECT pair_id, 'capital' AS variant, upper(substr(b, 1, 1)) || substr(b, 2) AS w FROM word_pairs""")
+UNION ALL SELECT pair_id, 'capital' AS variant, CASE WHEN b >= 'a' AND b < '{' THEN upper(substr(b, 1, 1)) || substr(b, 2) ELSE b END AS w FROM word_pairs""")
 
 
 @register(
@@ -218,9 +218,11 @@ def d01_lookup(spark, sf):
     p = FX.word_pairs(spark, sf)
     q = p.select("pair_id", F.lit("plain").alias("variant"), F.col("b").alias("w")).unionByName(
         p.select("pair_id", F.lit("capital").alias("variant"),
-                 F.concat(F.upper(F.substring("b", 1, 1)), F.expr("substring(b, 2)")).alias("w"))
+                 # engines differ on the capital of some letters, e.g. the German sharp s
+                 F.when((F.col("b") >= "a") & (F.col("b") < "{"), F.concat(F.upper(F.substring("b", 1, 1)), F.expr("substring(b, 2)")))
+                 .otherwise(F.col("b")).alias("w"))
     )
-    out = EN.lookup(q, FX.word2vec(spark, sf), "w", bound=FX.n_vectors(spark, sf), dim=64)
+    out = EN.lookup(q, FX.word2vec(spark, sf), "w", bound=FX.n_words(spark, sf), dim=FX.dim(spark, sf))
     return out.select(
         "pair_id", "variant", F.col("vec").isNotNull().alias("found"),
         Vx.round_col(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)).alias("vsum"),
@@ -267,8 +269,8 @@ def _turns(spark, sf):
 
 
 def _enc(spark, sf, **kw):
-    out = EN.encode(_turns(spark, sf), FX.word2vec(spark, sf), key="sent_id", dim=64,
-                    bound=FX.n_vectors(spark, sf), **kw)
+    out = EN.encode(_turns(spark, sf), FX.word2vec(spark, sf), key="sent_id", dim=FX.dim(spark, sf),
+                    bound=FX.n_words(spark, sf), **kw)
     out = out.select(F.col("sent_id.conv_id").alias("conv_id"), F.col("sent_id.turn").alias("turn"), "vec")
     return spark_long(out, ["conv_id", "turn"])
 
@@ -306,8 +308,8 @@ enc_sql("enc_pairs", "pair_texts", "pair_id, side", "text", P1_SQL)
 @register("d10_pair_similarity", with_ctes(["conv_pairs", "enc_pairs"], PAIRS_SIM))
 def d10_pair_similarity(spark, sf):
     """D10 (flagship): cosine of mean-pooled, normalised turn vectors for adjacent turns."""
-    sims = EN.pair_similarity(FX.conversation_pairs(spark, sf), FX.word2vec(spark, sf), dim=64,
-                              bound=FX.n_vectors(spark, sf))
+    sims = EN.pair_similarity(FX.conversation_pairs(spark, sf), FX.word2vec(spark, sf), dim=FX.dim(spark, sf),
+                              bound=FX.n_words(spark, sf))
     return sims.select("pair_id", Vx.round_col("sim").alias("sim"))
 
 
@@ -329,7 +331,7 @@ def f09_cosine(spark, sf):
     w = FX.word2vec(spark, sf)
     x = w.select(F.col("word").alias("a"), F.col("vec").alias("va"))
     y = w.select(F.col("word").alias("b"), F.col("vec").alias("vb"))
-    bound = FX.n_vectors(spark, sf)  # the word-vector table is capped at |embeddings|
+    bound = FX.n_words(spark, sf)
     j = p.join(bounded_broadcast(x, bound, 600), "a").join(bounded_broadcast(y, bound, 600), "b")
     return j.select("pair_id", Vx.round_col(Vx.cosine("va", "vb")).alias("cosine"))
 
@@ -347,8 +349,8 @@ def e13_encode_corpus(spark, sf):
     """E13 on every sentence of the corpus (per-sentence vector sum and norm)."""
     s = FX.sentences(spark, sf).select("doc_id", "line_no", "sent_no", F.col("sentence").alias("text"))
     # sentences stay partitioned by document: the aggregate and the zero fill add no exchange
-    out = EN.encode(s, FX.word2vec(spark, sf), key=["doc_id", "line_no", "sent_no"], dim=64,
-                    bound=FX.n_vectors(spark, sf))
+    out = EN.encode(s, FX.word2vec(spark, sf), key=["doc_id", "line_no", "sent_no"], dim=FX.dim(spark, sf),
+                    bound=FX.n_words(spark, sf))
     return out.select(
         "doc_id", "line_no", "sent_no",
         Vx.round_col(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)).alias("vsum"),

@@ -16,20 +16,9 @@ from lexaria.functions import text as T
 KNOWN_LANGUAGES = ["en", "de", "zh", "ja"]
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread_key: str | None = None) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df, spread_key) if spread_key else df
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-repartition by ``key`` only when the scan has fewer splits than the
-    cluster has cores (a small input whose regex-heavy stage would otherwise run
-    in a handful of tasks).  Large inputs already have many splits: no shuffle."""
-    sc = df.sparkSession.sparkContext
-    cores = sc.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores * 2, key)
-    return df
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A scan as it is: the splits of the files decide the parallelism at every size."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def document_lines(docs: DataFrame, text_col: str = "text", key: str = "doc_id") -> DataFrame:
@@ -78,7 +67,7 @@ def monolingual_corpus(docs: DataFrame, language: str, max_sentences: int | None
 
     Documents whose text is empty are skipped; unknown languages are an error.
     """
-    if language not in KNOWN_LANGUAGES and language not in _languages_present(docs):
+    if language not in KNOWN_LANGUAGES and docs.where(F.col("lang") == language).limit(1).isEmpty():
         raise ValueError(f"Unsupported language: {language}")
     s = sentences(document_lines(docs.where((F.col("lang") == language) & (F.col("text") != ""))))
     if max_sentences:
@@ -86,16 +75,11 @@ def monolingual_corpus(docs: DataFrame, language: str, max_sentences: int | None
     return s
 
 
-def _languages_present(docs: DataFrame) -> list[str]:
-    # a tiny distinct over one low-cardinality column
-    return [r[0] for r in docs.select("lang").distinct().limit(1000).collect()]
-
-
 def parallel_pairs(src: DataFrame, l1: str, l2: str, max_pairs: int | None = None,
                    key: str = "pair_id", map_col: str = "translation") -> DataFrame:
     """A3: pull two languages from a map column; keep pairs where both are non-empty."""
     out = src.select(
-        F.col(key).cast("bigint").alias("pair_id"),
+        F.col(key).alias("pair_id"),
         T.strip(F.col(map_col)[l1]).alias("src"),
         T.strip(F.col(map_col)[l2]).alias("tgt"),
     ).where((F.col("src") != "") & (F.col("tgt") != ""))
@@ -119,12 +103,13 @@ def zip_aligned(left: DataFrame, right: DataFrame, key: str = "line_no") -> Data
 
 
 def web_texts(pages: DataFrame, text_col: str = "text", key: str = "page_id",
-              min_len: int = 20, max_chars: int = 2000, max_texts: int | None = None) -> DataFrame:
-    """Strip, drop texts shorter than ``min_len``, truncate to ``max_chars``."""
+              min_len: int = 20, max_chars: int | None = None, max_texts: int | None = None) -> DataFrame:
+    """Strip, drop texts shorter than ``min_len``; ``max_chars`` cuts texts only where it is given."""
+    cut = F.col("t") if max_chars is None else F.substring("t", 1, max_chars)
     out = (
         pages.select(F.col(key).alias("text_id"), T.strip(F.col(text_col)).alias("t"))
         .where(F.length("t") >= min_len)
-        .select("text_id", F.substring("t", 1, max_chars).alias("text"))
+        .select("text_id", cut.alias("text"))
     )
     if max_texts:
         out = out.orderBy("text_id").limit(max_texts)
