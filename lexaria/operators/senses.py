@@ -1,133 +1,130 @@
 """Word-sense induction (E27) and sense-count selection.
 
-Each word's contexts are a group of at most ``n`` rows (the context index caps
-them), so a grouped map (``applyInPandas``) runs NumPy k-means++ per word in
-one task; no pairs are emitted as rows — silhouettes are computed inside the
-bounded group.  Centroids and counts are then re-derived from the labels with
-a grouped vector mean, so the sense vectors are exactly the cluster means.
+K-means runs for all words at once, as Lloyd rounds over DataFrames: the state is a table of
+at most ``k`` centres per word, every round assigns contexts to their word's nearest
+centre and averages by ``(word, sense)`` with map-side partials.  No word's contexts are
+ever gathered in one task, and all contexts of a word take part.
+
+Starts are deterministic: the context farthest from the word's mean, then repeatedly the
+context farthest from the centres so far (ties: smaller ``ctx``).  The silhouette uses squared
+Euclidean distances, so a context's mean distance to a cluster follows from the
+cluster's size, mean and mean squared norm, without any pairs.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexaria.operators.pooling import group_mean
-
-
-def kmeans(x: np.ndarray, k: int, seed: int = 42, n_init: int = 10, iters: int = 300) -> np.ndarray:
-    """k-means++ / Lloyd with ``n_init`` restarts; the lowest inertia wins."""
-    rng = np.random.default_rng(seed)
-    best, best_inertia = None, np.inf
-    for _ in range(n_init):
-        centres = [x[rng.integers(len(x))]]
-        for _ in range(1, k):
-            d2 = np.min(((x[:, None, :] - np.asarray(centres)[None]) ** 2).sum(-1), axis=1)
-            total = d2.sum()
-            idx = rng.integers(len(x)) if total == 0 else rng.choice(len(x), p=d2 / total)
-            centres.append(x[idx])
-        c = np.asarray(centres, dtype=np.float64)
-        labels = np.zeros(len(x), dtype=np.int64)
-        for _ in range(iters):
-            d = ((x[:, None, :] - c[None]) ** 2).sum(-1)
-            new = d.argmin(1)
-            moved = not np.array_equal(new, labels)
-            labels = new
-            for j in range(k):
-                members = x[labels == j]
-                if len(members):
-                    c[j] = members.mean(0)
-            if not moved:
-                break
-        inertia = ((x - c[labels]) ** 2).sum()
-        if inertia < best_inertia:
-            best, best_inertia = labels.copy(), inertia
-    return best
-
-
-def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
-    """Mean silhouette (Euclidean) inside one bounded group."""
-    d = np.sqrt(np.maximum(((x[:, None, :] - x[None]) ** 2).sum(-1), 0.0))
-    ks = np.unique(labels)
-    if len(ks) < 2:
-        return -1.0
-    s = np.zeros(len(x))
-    for i in range(len(x)):
-        same = labels == labels[i]
-        n_same = same.sum() - 1
-        if n_same == 0:
-            s[i] = 0.0
-            continue
-        a = d[i, same].sum() / n_same
-        b = min(d[i, labels == k].mean() for k in ks if k != labels[i])
-        s[i] = (b - a) / max(a, b) if max(a, b) > 0 else 0.0
-    return float(s.mean())
-
-
-def cap_contexts(contexts: DataFrame, n: int = 100, key: str = "word", order: str = "ctx") -> DataFrame:
-    """The context index's per-word cap (first ``n`` contexts in ``order``)."""
-    w = Window.partitionBy(key).orderBy(order)
-    return contexts.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
-
-
-def sense_labels(contexts: DataFrame, n_senses: int = 3, min_contexts: int = 5, seed: int = 42) -> DataFrame:
-    """E27 labels: ``(word, ctx, sense_id)`` with ``k = max(1, min(n_senses, n // min_contexts))``."""
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ctx")
-        x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["vec"]])
-        k = max(1, min(n_senses, len(x) // min_contexts))
-        labels = np.zeros(len(x), dtype=np.int64) if k == 1 else kmeans(x, k, seed)
-        return pd.DataFrame({"word": pdf["word"].values, "ctx": pdf["ctx"].values, "sense_id": labels})
+ROUNDS = 20
 
-    return contexts.select("word", "ctx", "vec").groupBy("word").applyInPandas(
-        fit, "word string, ctx bigint, sense_id bigint")
 
+def _sq_distance(a, b) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
-def multi_sense(contexts: DataFrame, n_senses: int = 3, min_contexts: int = 5, seed: int = 42) -> DataFrame:
-    """``(word, sense_id, n_ctx, vec)`` — centroid and size of every induced sense."""
-    labels = sense_labels(contexts, n_senses, min_contexts, seed)
-    joined = contexts.select("word", "ctx", "vec").join(labels, ["word", "ctx"])
-    cent = group_mean(joined, ["word", "sense_id"])
-    sizes = joined.groupBy("word", "sense_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_ctx"))
-    return cent.join(sizes, ["word", "sense_id"])
 
+def _mean(df: DataFrame, keys: list[str], vec: str = "vec", name: str = "c") -> DataFrame:
+    got = df.groupBy(*keys).agg(Summarizer.mean(array_to_vector(F.col(vec))).alias("_m"), F.count(F.lit(1)).alias("n"))
+    return got.select(*keys, vector_to_array("_m").alias(name), "n")
 
-def optimal_senses(contexts: DataFrame, max_senses: int = 5, min_contexts: int = 5, seed: int = 42) -> DataFrame:
-    """``(word, best_k, best_score)`` — silhouette over k = 2..min(max, n // min);
-    k with a cluster under ``min_contexts`` is skipped; strict improvement from -1;
-    default 1."""
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ctx")
-        x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["vec"]])
-        top = min(max_senses, len(x) // min_contexts)
-        best_k, best = 1, -1.0
-        for k in range(2, top + 1):
-            labels = kmeans(x, k, seed)
-            counts = np.bincount(labels, minlength=k)
-            if counts.min() < min_contexts:
-                continue
-            score = silhouette(x, labels)
-            if score > best:
-                best, best_k = score, k
-        return pd.DataFrame({"word": [pdf["word"].iloc[0]], "best_k": [best_k], "best_score": [best]})
-
-    return contexts.select("word", "ctx", "vec").groupBy("word").applyInPandas(
-        pick, "word string, best_k bigint, best_score double")
+def _nearest(centres: str = "cs", vec: str = "vec") -> Column:
+    """Position of the nearest centre (ties: the first)."""
+    d = F.transform(centres, lambda c: _sq_distance(c, F.col(vec)))
+    return F.array_position(d, F.array_min(d)) - 1
 
 
-def silhouette_scores(contexts: DataFrame, label: str = "sense_id") -> DataFrame:
-    """E28 given labels: ``(word, silhouette)`` — mean silhouette of each word's
-    contexts under the supplied labels (-1 when fewer than two labels occur),
-    computed inside the bounded per-word group."""
+def _starts(contexts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(word, k, cs): farthest-first starting centres; ``wanted`` is (word, k)."""
+    mean = _mean(contexts, ["word"])
+    state = wanted.join(mean.select("word", F.array("c").alias("cs")), "word")
+    top = wanted.agg(F.max("k")).first()[0] or 1
+    for step in range(top):
+        far = contexts.join(state.where(F.col("k") > step), "word").select(
+            "word", "ctx", "vec", F.array_min(F.transform("cs", lambda c: _sq_distance(c, F.col("vec")))).alias("d"))
+        pick = far.groupBy("word").agg(F.max_by("vec", F.struct("d", -F.col("ctx"))).alias("v"))
+        old = F.array().cast("array<array<double>>") if step == 0 else F.col("cs")
+        state = state.join(pick, "word", "left").select(
+            "word", "k", F.when(F.col("v").isNull(), F.col("cs")).otherwise(F.concat(old, F.array("v"))).alias("cs"))
+        state = state.checkpoint()
+    return state
+
+
+def _lloyd(contexts: DataFrame, state: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(word, k, cs) after Lloyd rounds; a centre without contexts stays where it is."""
+    for _ in range(rounds):
+        own = contexts.join(state, "word").select("word", "vec", _nearest().cast("int").alias("j"))
+        new = _mean(own, ["word", "j"]).groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("j", "c"))).alias("m"))
+        nxt = state.join(new, "word").select("word", "k", "cs", F.transform(
+            "cs", lambda c, i: F.coalesce(F.try_element_at("m", i), c)).alias("nx")).checkpoint()
+        moved = nxt.where(F.exists(F.zip_with("cs", "nx", lambda a, b: _sq_distance(a, b)), lambda d: d > 1e-18))
+        done = moved.isEmpty()
+        state = nxt.select("word", "k", F.col("nx").alias("cs"))
+        if done:
+            break
+    return state
+
+
+def _labels(contexts: DataFrame, wanted: DataFrame) -> DataFrame:
+    state = _lloyd(contexts, _starts(contexts, wanted))
+    return contexts.join(state, "word").select("word", "ctx", "vec", _nearest().cast("bigint").alias("sense_id"))
 
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["vec"]])
-        return pd.DataFrame({"word": [pdf["word"].iloc[0]],
-                             "silhouette": [silhouette(x, pdf[label].to_numpy())]})
 
-    return contexts.select("word", "vec", label).groupBy("word").applyInPandas(
-        score, "word string, silhouette double")
+def sense_labels(contexts: DataFrame, n_senses: int = 3, min_contexts: int = 5) -> DataFrame:
+    """E27 labels: ``(word, ctx, sense_id)`` with ``k = max(1, min(n_senses, n // min_contexts))``."""
+    c = contexts.select("word", "ctx", "vec")
+    k = F.greatest(F.lit(1), F.least(F.lit(n_senses), F.floor(F.count(F.lit(1)) / min_contexts))).cast("int")
+    return _labels(c, c.groupBy("word").agg(k.alias("k"))).drop("vec")
+
+
+def multi_sense(contexts: DataFrame, n_senses: int = 3, min_contexts: int = 5) -> DataFrame:
+    """``(word, sense_id, vec, n_ctx)`` — centroid and size of every induced sense."""
+    labels = sense_labels(contexts, n_senses, min_contexts)
+    joined = contexts.select("word", "ctx", "vec").join(labels, ["word", "ctx"])
+    got = _mean(joined, ["word", "sense_id"])
+    return got.select("word", "sense_id", F.col("c").alias("vec"), F.col("n").cast("bigint").alias("n_ctx"))
+
+
+def silhouette_scores(contexts: DataFrame, label: str = "sense_id") -> DataFrame:
+    """E28 given labels: ``(word, silhouette)`` — mean silhouette (squared Euclidean) of each
+    word's contexts, -1 when fewer than two labels occur; a context alone in its cluster scores 0."""
+    x = contexts.select("word", "vec", F.col(label).cast("bigint").alias("l"))
+    x = x.withColumn("sq", F.aggregate("vec", F.lit(0.0), lambda s, v: s + v * v))
+    cl = x.groupBy("word", "l").agg(Summarizer.mean(array_to_vector(F.col("vec"))).alias("_m"),
+                                    F.avg("sq").alias("q"), F.count(F.lit(1)).alias("n"))
+    cl = cl.select("word", F.struct("l", vector_to_array("_m").alias("c"), "q", "n").alias("e"))
+    cl = cl.groupBy("word").agg(F.collect_list("e").alias("es"))  # one entry per sense
+    dist = lambda e: F.greatest(F.lit(0.0), F.col("sq") + e["q"] - 2 * F.aggregate(
+        F.zip_with("vec", e["c"], lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
+    y = x.join(cl, "word")
+    own = F.element_at(F.filter("es", lambda e: e["l"] == F.col("l")), 1)
+    a = dist(own) * own["n"] / (own["n"] - 1)
+    b = F.array_min(F.transform(F.filter("es", lambda e: e["l"] != F.col("l")), dist))
+    y = y.select("word", F.size("es").alias("k"), F.when(own["n"] > 1, a).alias("a"), b.alias("b"))
+    s = F.when(F.col("a").isNull() | (F.greatest("a", "b") <= 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    return y.groupBy("word").agg(F.when(F.max("k") < 2, -1.0).otherwise(F.avg(s)).alias("silhouette"))
+
+
+def optimal_senses(contexts: DataFrame, max_senses: int = 5, min_contexts: int = 5) -> DataFrame:
+    """``(word, best_k, best_score)`` — silhouette over k = 2..min(max, n // min);
+    k with a cluster under ``min_contexts`` is skipped; strict improvement from -1;
+    default 1."""
+    c = contexts.select("word", "ctx", "vec")
+    words = c.groupBy("word").agg(F.least(F.lit(max_senses), F.floor(F.count(F.lit(1)) / min_contexts)).cast("int").alias("top"))
+    words = words.checkpoint()
+    tried = None
+    for k in range(2, max_senses + 1):
+        wanted = words.where(F.col("top") >= k).select("word", F.lit(k).alias("k"))
+        labels = _labels(c.join(wanted.select("word"), "word", "left_semi"), wanted).checkpoint()
+        sizes = labels.groupBy("word", "sense_id").agg(F.count(F.lit(1)).alias("n")).groupBy("word").agg(
+            F.min("n").alias("least"), F.count(F.lit(1)).alias("found"))
+        ok = sizes.where((F.col("least") >= min_contexts) & (F.col("found") == k)).select("word")
+        score = silhouette_scores(labels.join(ok, "word", "left_semi")).withColumn("k", F.lit(k))
+        tried = score if tried is None else tried.unionByName(score)
+    best = tried.where(F.col("silhouette") > -1).groupBy("word").agg(
+        F.max_by(F.struct("k", "silhouette"), F.struct("silhouette", -F.col("k"))).alias("b"))
+    return words.select("word").join(best, "word", "left").select(
+        "word", F.coalesce("b.k", F.lit(1)).cast("bigint").alias("best_k"), F.coalesce("b.silhouette", F.lit(-1.0)).alias("best_score"))

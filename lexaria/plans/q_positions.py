@@ -67,6 +67,17 @@ def c09_prompted_positions(spark, sf):
     return out.select("word", "rn", F.col("start").cast("bigint").alias("start"), off.cast("bigint").alias("offset"))
 
 
+@register("c17_cap_after_search", with_ctes(["ctx_prompt"], f"""
+SELECT word, rn, CAST(s AS BIGINT) AS start FROM (
+  SELECT *, row_number() OVER (PARTITION BY word ORDER BY rn) AS nth FROM (
+    SELECT *, {first_pos_sql('t', 'w', 'off')} AS s FROM ctx_prompt WHERE len(t) < 500) WHERE s IS NOT NULL)
+WHERE nth <= 4"""))
+def c17_cap_after_search(spark, sf):
+    """C17: at most 4 contexts of a word, counted after the search."""
+    out = PS.find_positions(contexts(spark, sf), max_len=500, strict=True, prompt=PROMPT, n_contexts=4, cap="after")
+    return out.select("word", "rn", F.col("start").cast("bigint").alias("start"))
+
+
 @register("c16_subword_positions", with_ctes(["ctx_pieces"], f"""
 SELECT word, rn, CAST(s AS BIGINT) AS start FROM (
   SELECT *, (CASE WHEN len(w) > 0 THEN list_filter(range(0, len(t) - len(w) + 1),
@@ -180,25 +191,14 @@ def e13_encode_subword(spark, sf):
 
 # ---- E27 / E28 word senses --------------------------------------------------------------------
 
-def _capped_contexts(spark, sf):
-    from lexaria.operators import senses as SN
-
-    return SN.cap_contexts(FX.contexts(spark, sf), 100)
-
-
-add_cte("ctx_capped", ["contexts"], """
-SELECT word, ctx, vec FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY ctx) AS rn FROM contexts)
-WHERE rn <= 100""")
-
-
-@register("e27_sense_invariants", with_ctes(["ctx_capped"], """
+@register("e27_sense_invariants", with_ctes(["contexts"], """
 SELECT word, CAST(greatest(1, least(3, count(*) // 5)) AS BIGINT) AS k, CAST(count(*) AS BIGINT) AS n_contexts
-FROM ctx_capped GROUP BY word"""))
+FROM contexts GROUP BY word"""))
 def e27_sense_invariants(spark, sf):
     """Per word the induced sense count k = max(1, min(3, n // 5)) and the contexts covered."""
     from lexaria.operators import senses as SN
 
-    ctx = _capped_contexts(spark, sf)
+    ctx = FX.contexts(spark, sf)
     labels = SN.sense_labels(ctx, 3, 5)
     return labels.groupBy("word").agg(
         (F.max("sense_id") + 1).cast("bigint").alias("k"), F.count(F.lit(1)).cast("bigint").alias("n_contexts"))
@@ -209,7 +209,7 @@ def e27_multi_sense(spark, sf):
     """Centroid and size of every sense (k-means per word; labels are unique only up to permutation)."""
     from lexaria.operators import senses as SN
 
-    out = SN.multi_sense(_capped_contexts(spark, sf), 3, 5)
+    out = SN.multi_sense(FX.contexts(spark, sf), 3, 5)
     return out.select("word", "sense_id", "n_ctx", Vx.round_col(Vx.norm("vec")).alias("centroid_norm"))
 
 
@@ -218,7 +218,7 @@ def e28_optimal_senses(spark, sf):
     """Best sense count by silhouette (k = 2..5, every cluster >= 5 contexts)."""
     from lexaria.operators import senses as SN
 
-    out = SN.optimal_senses(_capped_contexts(spark, sf), 5, 5)
+    out = SN.optimal_senses(FX.contexts(spark, sf), 5, 5)
     return out.select("word", "best_k", Vx.round_col("best_score").alias("best_score"))
 
 
@@ -255,11 +255,11 @@ ORACLE["e13_encode_subword"] = _subword_encoder_sql()
 
 # ---- E28 silhouette for given labels --------------------------------------------------------------
 
-add_cte("ctx_lab", ["ctx_capped"], "SELECT word, ctx, vec, CASE WHEN vec[1] > 0 THEN 1 ELSE 0 END AS lab FROM ctx_capped")
+add_cte("ctx_lab", ["contexts"], "SELECT word, ctx, vec, CASE WHEN vec[1] > 0 THEN 1 ELSE 0 END AS lab FROM contexts")
 add_cte("sil_pairs", ["ctx_lab"], """
 SELECT a.word, a.ctx AS i, a.lab AS li, b.lab AS lj,
-       avg(sqrt(list_reduce(list_transform(list_zip(a.vec, b.vec), lambda z: (z[1] - z[2]) * (z[1] - z[2])),
-                            lambda x, y: x + y))) AS md
+       avg(list_reduce(list_transform(list_zip(a.vec, b.vec), lambda z: (z[1] - z[2]) * (z[1] - z[2])),
+                       lambda x, y: x + y)) AS md
 FROM ctx_lab a JOIN ctx_lab b ON a.word = b.word AND a.ctx <> b.ctx
 GROUP BY a.word, a.ctx, a.lab, b.lab""")
 
@@ -276,18 +276,18 @@ LEFT JOIN (
     GROUP BY c.word, c.ctx)
   GROUP BY word) s ON s.word = w.word"""))
 def e28_silhouette_given_labels(spark, sf):
-    """Silhouette of each word's (capped) contexts under data-derived labels
+    """Silhouette (squared Euclidean) of each word's contexts under data-derived labels
     (sign of the first coordinate), the score the sense-count search maximises."""
     from lexaria.operators import senses as SN
 
-    ctx = _capped_contexts(spark, sf).withColumn("sense_id", F.when(F.col("vec")[0] > 0, 1).otherwise(0))
+    ctx = FX.contexts(spark, sf).withColumn("sense_id", F.when(F.col("vec")[0] > 0, 1).otherwise(0))
     out = SN.silhouette_scores(ctx)
     return out.select("word", Vx.round_col("silhouette").alias("silhouette"))
 
 
-@register("e27_sense_mass", with_ctes(["ctx_capped"], """
+@register("e27_sense_mass", with_ctes(["contexts"], """
 SELECT word, dim, round(sum(value), 6) + 0.0 AS value FROM (
-  SELECT word, CAST(generate_subscripts(vec, 1) - 1 AS BIGINT) AS dim, unnest(vec) AS value FROM ctx_capped)
+  SELECT word, CAST(generate_subscripts(vec, 1) - 1 AS BIGINT) AS dim, unnest(vec) AS value FROM contexts)
 GROUP BY word, dim"""))
 def e27_sense_mass(spark, sf):
     """E27 invariant (label-permutation free): Σ_senses n_ctx · centroid equals the sum of the
@@ -295,6 +295,6 @@ def e27_sense_mass(spark, sf):
     from lexaria.operators import senses as SN
     from lexaria.operators.pooling import group_sum
 
-    senses = SN.multi_sense(_capped_contexts(spark, sf), 3, 5)
+    senses = SN.multi_sense(FX.contexts(spark, sf), 3, 5)
     mass = group_sum(senses, ["word"], vec="vec", weight="n_ctx")
     return Vx.long_form(mass, ["word"], "vec")
