@@ -1,8 +1,7 @@
 """Registered queries: Structured Streaming.
 
-The documents / conversation tables are staged as several Parquet files in
-the shared checkpoint folder and read back as a file stream, one file per
-micro-batch, so state is carried across batches.
+The given tables are read as file streams where they lie, one file per micro-batch;
+results go to files in the shared checkpoint folder and are read from there.
 """
 
 from __future__ import annotations
@@ -24,19 +23,23 @@ from lexaria.streaming import corpus as ST
 DOC_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
-def _docs_stream(spark, sf, files=4):
-    p = stage_path(spark, f"stream-docs-{uuid.uuid4().hex[:8]}")
-    ST.stage_files(FX.table(spark, sf, "documents"), p, files, "doc_id")
-    return ST.document_stream(spark, p, DOC_SCHEMA, 1)
+def _places(spark, name):
+    """A fresh output folder and checkpoint folder."""
+    run = uuid.uuid4().hex[:8]
+    return stage_path(spark, f"stream-{name}-{run}"), stage_path(spark, f"ckpt-{name}-{run}")
+
+
+def _stream(spark, sf, name, schema):
+    # a glob, so that a table may be one file or a folder of files
+    return ST.document_stream(spark, f"{sf.rstrip('/')}/{name}.parquet*", schema, 1)
 
 
 @register("i01_streaming_word_counts", with_ctes(["counts"], "SELECT word, freq FROM counts"))
 def i01_streaming_word_counts(spark, sf):
     """Running word counts over arriving document files (complete mode, final state)."""
-    name = f"i01_{uuid.uuid4().hex[:8]}"
-    ST.run_to_memory(ST.running_word_counts(_docs_stream(spark, sf)), name, "complete",
-                     stage_path(spark, f"ckpt-{name}"))
-    return spark.table(name)
+    out, ckpt = _places(spark, "i01")
+    ST.latest_counts(ST.running_word_counts(_stream(spark, sf, "documents", DOC_SCHEMA)), out, ckpt).awaitTermination()
+    return ST.read_latest(spark, out)
 
 
 @register("i02_streaming_capped_contexts", with_ctes(["sentences", "vocab"], f"""
@@ -48,21 +51,16 @@ SELECT word, CAST(least(10, count(*)) AS BIGINT) AS n_contexts FROM (
 GROUP BY word"""))
 def i02_streaming_capped_contexts(spark, sf):
     """Keyed state caps each word at 10 emitted contexts across micro-batches."""
-    name = f"i02_{uuid.uuid4().hex[:8]}"
-    vocab = FX.vocab(spark, sf)
-    ST.run_to_memory(ST.capped_contexts(_docs_stream(spark, sf), vocab, FX.N_CONTEXTS,
-                                        vocab_bound=FX.n_words(spark, sf)), name, "append",
-                     stage_path(spark, f"ckpt-{name}"))
-    return spark.table(name).groupBy("word").agg(F.count(F.lit(1)).cast("bigint").alias("n_contexts"))
+    out, ckpt = _places(spark, "i02")
+    ST.capped_contexts(_stream(spark, sf, "documents", DOC_SCHEMA), FX.vocab(spark, sf), out, ckpt, FX.N_CONTEXTS,
+                       vocab_bound=FX.n_words(spark, sf)).awaitTermination()
+    return ST.read_contexts(spark, out).groupBy("word").agg(F.count(F.lit(1)).cast("bigint").alias("n_contexts"))
 
 
 @register("i03_streaming_encode", with_ctes(["enc_mean"], out_long("enc_mean", "conv_id, turn")))
 def i03_streaming_encode(spark, sf):
     """Arriving conversation turns encoded per micro-batch (foreachBatch + batch E13)."""
-    src = stage_path(spark, f"stream-conv-{uuid.uuid4().hex[:8]}")
-    ST.stage_files(FX.table(spark, sf, "conversations"), src, 4, "conv_id")
-    texts = spark.readStream.schema("conv_id bigint, turn bigint, role string, text string").option(
-        "maxFilesPerTrigger", 1).parquet(src)
+    texts = _stream(spark, sf, "conversations", "conv_id bigint, turn bigint, role string, text string")
     w2v = FX.word2vec(spark, sf)
     bound = FX.n_words(spark, sf)
 
@@ -71,7 +69,6 @@ def i03_streaming_encode(spark, sf):
         out = EN.encode(t, w2v, key="sent_id", dim=FX.dim(spark, sf), bound=bound)
         return out.select(F.col("sent_id.conv_id").alias("conv_id"), F.col("sent_id.turn").alias("turn"), "vec")
 
-    out = stage_path(spark, f"stream-enc-{uuid.uuid4().hex[:8]}")
-    q = ST.encode_stream(texts, encode_batch, out, stage_path(spark, f"ckpt-enc-{uuid.uuid4().hex[:8]}"))
-    q.awaitTermination()
-    return Vx.long_form(spark.read.parquet(out), ["conv_id", "turn"], "vec")
+    out, ckpt = _places(spark, "i03")
+    ST.encode_stream(texts, encode_batch, out, ckpt).awaitTermination()
+    return Vx.long_form(spark.read.parquet(out).drop("epoch"), ["conv_id", "turn"], "vec")

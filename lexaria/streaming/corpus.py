@@ -9,10 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lexaria.functions.joins import bounded_broadcast
 from lexaria.operators import contexts as X
@@ -21,7 +19,7 @@ from lexaria.sources import corpus as C
 
 
 def document_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
-    """Arriving Parquet files of a documents-like table."""
+    """Arriving Parquet files of a documents-like table: a folder, or a glob of files."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
@@ -31,69 +29,69 @@ def running_word_counts(docs: DataFrame) -> DataFrame:
     return toks.groupBy("word").agg(F.count(F.lit(1)).cast("bigint").alias("freq"))
 
 
-def capped_contexts(docs: DataFrame, vocab_words: DataFrame, n: int = 100, max_sentence_len: int = 500,
-                    vocab_bound: int | None = None) -> DataFrame:
-    """Emit a context for a vocabulary word only while it has fewer than ``n``.
+def latest_counts(counts: DataFrame, out_path: str, checkpoint: str):
+    """I1 sink: the complete result of every trigger, written by the executors to
+    ``out_path/epoch=<n>``; a repeated trigger overwrites its own folder."""
 
-    Keyed state per word = contexts emitted so far; inside a micro-batch the
-    rows are taken in position order.  Output mode append.
-    """
-    sw = X.sentence_words(C.sentences(C.document_lines(docs.select("doc_id", "text"))), True, max_sentence_len)
-    hits = sw.join(bounded_broadcast(vocab_words.select("word"), vocab_bound, 64), "word", "left_semi")
+    def write(batch_df: DataFrame, epoch_id: int):
+        batch_df.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch_id}")
+
+    return counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(
+        availableNow=True).start()
+
+
+def read_latest(spark: SparkSession, out_path: str) -> DataFrame:
+    """The result of the last trigger that ``latest_counts`` wrote."""
+    df = spark.read.parquet(out_path)
+    last = df.agg(F.max("epoch")).first()[0]  # one number
+    return df.where(F.col("epoch") == last).drop("epoch")
+
+
+CONTEXT_SCHEMA = "word string, doc_id bigint, line_no bigint, sent_no bigint, sentence string, epoch int"
+
+
+def capped_contexts(docs: DataFrame, vocab_words: DataFrame, out_path: str, checkpoint: str, n: int = 100,
+                    max_sentence_len: int = 500, vocab_bound: int | None = None):
+    """Append a context of a vocabulary word only while the word has fewer than ``n``.
 
+    The state is the sink itself: a micro-batch ranks its contexts per word by position,
+    keeps at most ``n`` of each before the shuffle (WindowGroupLimit), and fills the room the
+    earlier epochs left.  A hot word ships at most ``n`` rows per map task, and a repeated
+    trigger ignores and overwrites what it wrote before.
+    """
     order = ["doc_id", "line_no", "sent_no"]
 
-    def emit(key, batches, state: GroupState):
-        have = state.get[0] if state.exists else 0
-        room = max(n - have, 0)
-        best = None
-        # keep only a running top-`room` by position: memory is bounded by n plus
-        # one Arrow batch even for a word that fills a third of the micro-batch
-        for pdf in batches:
-            if room == 0:
-                continue
-            cand = pdf if best is None else pd.concat([best, pdf], ignore_index=True)
-            best = cand.sort_values(order, kind="stable").head(room)
-        out = best if best is not None else None
-        emitted = 0 if out is None else len(out)
-        state.update((have + emitted,))
-        if emitted:
-            yield out[["word", "doc_id", "line_no", "sent_no", "sentence"]]
-
-    return hits.groupBy("word").applyInPandasWithState(
-        emit,
-        "word string, doc_id bigint, line_no bigint, sent_no bigint, sentence string",
-        "emitted bigint",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
+    def write(batch_df: DataFrame, epoch_id: int):
+        spark = batch_df.sparkSession
+        sw = X.sentence_words(C.sentences(C.document_lines(batch_df.select("doc_id", "text"))), True, max_sentence_len)
+        hits = sw.join(bounded_broadcast(vocab_words.select("word"), vocab_bound, 64), "word", "left_semi")
+        nth = F.row_number().over(Window.partitionBy("word").orderBy(*order))
+        first = hits.select("word", *order, "sentence").withColumn("nth", nth).where(F.col("nth") <= n)
+        if epoch_id:
+            held = spark.read.schema(CONTEXT_SCHEMA).parquet(out_path).where(F.col("epoch") < epoch_id)
+            held = held.groupBy("word").agg(F.count(F.lit(1)).alias("held"))
+            first = first.join(held, "word", "left").where(F.col("nth") + F.coalesce("held", F.lit(0)) <= n)
+        first.select("word", *order, "sentence").write.mode("overwrite").parquet(f"{out_path}/epoch={epoch_id}")
+
+    return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_contexts(spark: SparkSession, out_path: str) -> DataFrame:
+    return spark.read.schema(CONTEXT_SCHEMA).parquet(out_path).drop("epoch")
 
 
 def encode_stream(texts: DataFrame, encode_batch: Callable[[DataFrame], DataFrame], out_path: str,
                   checkpoint: str):
-    """Run the batch encoder on every micro-batch (``foreachBatch``) and append
-    the vectors to a Parquet table; the per-sentence aggregate stays inside one
-    micro-batch, so no streaming state is needed."""
+    """Run the batch encoder on every micro-batch (``foreachBatch``) and write
+    the vectors to ``out_path/epoch=<n>``, so a repeated trigger replaces its rows; the
+    per-sentence aggregate stays inside one micro-batch, so no streaming state is needed."""
 
     def run(batch_df: DataFrame, epoch_id: int):
-        encode_batch(batch_df).write.mode("append").parquet(out_path)
+        encode_batch(batch_df).write.mode("overwrite").parquet(f"{out_path}/epoch={epoch_id}")
 
     return texts.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(
         availableNow=True).start()
 
 
-def run_to_memory(df: DataFrame, name: str, mode: str, checkpoint: str) -> None:
-    """Drive a streaming query to completion (``availableNow``) into a memory table."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option(
-        "checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-
-
-def stage_files(df: DataFrame, path: str, n_files: int, key: str) -> str:
-    """Write a table as ``n_files`` Parquet files (an arriving-files source)."""
-    df.repartition(n_files, key).write.mode("overwrite").parquet(path)
-    return path
-
-
-__all__ = ["document_stream", "running_word_counts", "capped_contexts", "encode_stream", "run_to_memory",
-           "stage_files"]
+__all__ = ["document_stream", "running_word_counts", "latest_counts", "read_latest", "capped_contexts", "read_contexts",
+           "encode_stream"]

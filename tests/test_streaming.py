@@ -1,5 +1,5 @@
 """Structured Streaming operators: final state equals the batch result; the
-keyed-state cap holds across micro-batches."""
+cap holds across micro-batches."""
 
 import uuid
 
@@ -19,15 +19,15 @@ def _staged(spark):
     rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(TEXTS)]
     df = spark.createDataFrame(rows, SCHEMA)
     path = stage_path(spark, f"test-stream-{uuid.uuid4().hex[:8]}")
-    ST.stage_files(df, path, 4, "doc_id")
+    df.repartition(4, "doc_id").write.parquet(path)
     return df, ST.document_stream(spark, path, SCHEMA, 1)
 
 
 def test_running_word_counts_equal_batch(spark):
     batch, stream = _staged(spark)
-    name = f"wc_{uuid.uuid4().hex[:8]}"
-    ST.run_to_memory(ST.running_word_counts(stream), name, "complete", stage_path(spark, "ckpt-" + name))
-    got = {r.word: r.freq for r in spark.table(name).collect()}
+    out = stage_path(spark, f"wc-{uuid.uuid4().hex[:8]}")
+    ST.latest_counts(ST.running_word_counts(stream), out, out + "-ckpt").awaitTermination()
+    got = {r.word: r.freq for r in ST.read_latest(spark, out).collect()}
     want = {r.word: r.freq for r in V.word_counts(V.tokens(C.sentences(C.document_lines(batch)))).collect()}
     assert got == want and got["cat"] == 4
 
@@ -35,8 +35,7 @@ def test_running_word_counts_equal_batch(spark):
 def test_capped_contexts_across_batches(spark):
     _, stream = _staged(spark)
     vocab = spark.createDataFrame([("cat",), ("dog",)], "word string")
-    name = f"cc_{uuid.uuid4().hex[:8]}"
-    ST.run_to_memory(ST.capped_contexts(stream, vocab, n=2, vocab_bound=10), name, "append",
-                     stage_path(spark, "ckpt-" + name))
-    counts = {r.word: r.n for r in spark.table(name).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
+    out = stage_path(spark, f"cc-{uuid.uuid4().hex[:8]}")
+    ST.capped_contexts(stream, vocab, out, out + "-ckpt", n=2, vocab_bound=10).awaitTermination()
+    counts = {r.word: r.n for r in ST.read_contexts(spark, out).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert counts == {"cat": 2, "dog": 2}
