@@ -219,9 +219,9 @@ def dimension_clamps(n_sentences: int, raw_dim: int, n_remove: int = 7, output_d
     return nr, out
 
 
-def vectors_to_vector_udt(df: DataFrame, vec: str = "vec") -> DataFrame:
-    return df.withColumn(vec, array_to_vector(F.col(vec)))
-
-
-def vector_udt_to_array(df: DataFrame, vec: str = "vec") -> DataFrame:
-    return df.withColumn(vec, vector_to_array(F.col(vec)))
+def end_to_end_clamps(n_words: int, n_sentences: int, raw_dim: int, n_remove: int = 7,
+                      output_dim: int = 256) -> tuple[int, int]:
+    """F14, end-to-end form: with ``m = min(n_words, n_sentences, raw_dim)``,
+    ``n_remove = min(7, m // 2)`` and ``out = min(256, m - 1)``."""
+    m = min(n_words, n_sentences, raw_dim)
+    return min(n_remove, m // 2), min(output_dim, m - 1)

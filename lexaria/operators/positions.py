@@ -9,7 +9,7 @@ Position search is a higher-order-function expression per row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexaria.functions import text as T
@@ -66,14 +66,20 @@ def positions(start_col: Column, m: Column) -> Column:
 
 
 def find_positions(contexts: DataFrame, max_len: int = 500, strict: bool = False, pieces=chunk_pieces,
-                   prompt: str | None = None, subword_mode: bool = False) -> DataFrame:
+                   prompt: str | None = None, subword_mode: bool = False,
+                   n_contexts: int | None = None, cap: str = "before") -> DataFrame:
     """C9 + C16 + C17 over a context table ``(word, rn, sentence)``.
 
     The sentence (prompt-prefixed when given: ``prompt + ' ' + s``, search from the
     prompt's piece count) is split into pieces; sentences longer than ``max_len``
     pieces are skipped (``strict``: ``>= max_len`` as in the historical job); only
-    found rows are kept.  Output adds ``start, n_pieces, pos``.
+    found rows are kept.  ``n_contexts`` keeps that many contexts of a word by ``rn``,
+    counted ``before`` or ``after`` the search.  Output adds ``start, n_pieces, pos``.
     """
+    if cap not in ("before", "after"):
+        raise ValueError(f"cap must be before or after: {cap}")
+    if n_contexts and cap == "before":
+        contexts = contexts.where(F.col("rn") <= n_contexts)
     text = F.concat(F.lit(prompt + " "), F.col("sentence")) if prompt else F.col("sentence")
     offset = F.size(sentence_pieces(F.lit(prompt), pieces)) if prompt else F.lit(0)
     x = contexts.withColumn("_t", sentence_pieces(text, pieces)).withColumn("_w", word_pieces(F.col("word"), pieces))
@@ -86,6 +92,9 @@ def find_positions(contexts: DataFrame, max_len: int = 500, strict: bool = False
         x = x.withColumn("start", first_position(F.col("_t"), F.col("_w"), offset)).withColumn(
             "n_pieces", F.size("_w"))
     x = x.where(F.col("start").isNotNull())
+    if n_contexts and cap == "after":
+        nth = F.row_number().over(Window.partitionBy("word").orderBy("rn"))
+        x = x.withColumn("_nth", nth).where(F.col("_nth") <= n_contexts).drop("_nth")
     return x.withColumn("pos", positions(F.col("start"), F.col("n_pieces"))).drop("_t", "_w")
 
 

@@ -231,13 +231,16 @@ def a03_parallel_pairs(spark, sf):
     return C.parallel_pairs(m, "en", "de")
 
 
-@register("a04_zip_aligned", with_ctes(["conv_pairs"], "SELECT pair_id, a AS src, b AS tgt FROM conv_pairs"))
+@register("a04_zip_aligned", with_ctes(["sentences"], """
+SELECT CAST(row_number() OVER (ORDER BY doc_id, line_no, sent_no) - 1 AS BIGINT) AS pair_id, sentence AS src,
+       md5(sentence) || '-' || CAST(doc_id AS VARCHAR) AS tgt FROM sentences"""))
 def a04_zip_aligned(spark, sf):
-    """A4: two line-indexed relations zipped by index (unequal length raises)."""
-    p = FX.conversation_pairs(spark, sf)
-    left = p.select(F.col("pair_id").alias("line_no"), F.col("a").alias("line"))
-    right = p.select(F.col("pair_id").alias("line_no"), F.col("b").alias("line"))
-    return C.zip_aligned(left, right)
+    """A4: two line-aligned text files, each numbered from its own lines, zipped by line number."""
+    s = FX.sentences(spark, sf).orderBy("doc_id", "line_no", "sent_no")
+    left, right = _out(spark, "aligned-l"), _out(spark, "aligned-r")
+    s.select(F.col("sentence").alias("value")).write.mode("overwrite").text(left)
+    s.select(F.concat_ws("-", F.md5("sentence"), F.col("doc_id").cast("string")).alias("value")).write.mode("overwrite").text(right)
+    return C.zip_aligned(C.indexed_text_lines(spark, left), C.indexed_text_lines(spark, right))
 
 
 @register("e07_token_frequencies", with_ctes(["vocab"], f"""

@@ -209,7 +209,17 @@ FROM (SELECT count(*) AS n FROM enc_drop_plain)"""))
 def f14_dimension_clamps(spark, sf):
     """clamps from the number of fitting sentences and the raw dimension."""
     n = _sent_vecs(spark, sf).count()
-    nr, out = LA.dimension_clamps(n, 64, 7, 256)
+    nr, out = LA.dimension_clamps(n, FX.dim(spark, sf), 7, 256)
+    return spark.createDataFrame([(nr, out)], "n_remove bigint, output_dim bigint")
+
+
+@register("f14_end_to_end_clamps", with_ctes(["enc_drop_plain", "vocab"], """
+SELECT CAST(least(7, m // 2) AS BIGINT) AS n_remove, CAST(least(256, m - 1) AS BIGINT) AS output_dim
+FROM (SELECT least((SELECT count(*) FROM vocab), (SELECT count(*) FROM enc_drop_plain),
+                   (SELECT max(len(embedding)) FROM embeddings)) AS m)"""))
+def f14_end_to_end_clamps(spark, sf):
+    """clamps of the end-to-end run from words, sentences and raw dimension."""
+    nr, out = LA.end_to_end_clamps(FX.n_words(spark, sf), _sent_vecs(spark, sf).count(), FX.dim(spark, sf))
     return spark.createDataFrame([(nr, out)], "n_remove bigint, output_dim bigint")
 
 

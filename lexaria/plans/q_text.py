@@ -124,6 +124,19 @@ def e02_size_profile(spark, sf):
     return C.size_profile(FX.table(spark, sf, "documents"))
 
 
+@register("e02_language_profile", with_ctes(["sentences"], """
+SELECT a.lang, p.n_docs, p.n_sentences, p.n_bytes, CASE WHEN p.lang IS NULL THEN 'unknown' ELSE 'known' END AS status
+FROM (SELECT 'en' AS lang UNION ALL SELECT 'xyz') a LEFT JOIN (
+  SELECT d.lang, CAST(count(*) AS BIGINT) AS n_docs, CAST(coalesce(sum(s.n), 0) AS BIGINT) AS n_sentences,
+         CAST(sum(strlen(d.text)) AS BIGINT) AS n_bytes
+  FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM sentences GROUP BY doc_id) s ON d.doc_id = s.doc_id
+  GROUP BY d.lang) p ON p.lang = a.lang"""))
+def e02_language_profile(spark, sf):
+    """A language that occurs, and one that does not."""
+    d = FX.table(spark, sf, "documents")
+    return C.language_profile(d, "en").unionByName(C.language_profile(d, "xyz"))
+
+
 @register(
     "a02_monolingual_corpus",
     with_ctes(["sentences"], """SELECT s.doc_id, s.line_no, s.sent_no, s.sentence

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexaria.functions import text as T
+from lexaria.functions.ordering import with_global_index
 
 # Language codes accepted by the monolingual ingestion.
 KNOWN_LANGUAGES = ["en", "de", "zh", "ja"]
@@ -47,6 +48,14 @@ def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
     ).where(F.col("line") != "")
 
 
+def indexed_text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """A4 input: ``(line_no, line)`` with the global 0-based number of every physical line."""
+    raw = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("mid"), F.col("value").alias("line"))
+    return with_global_index(raw, ["file", "block", "mid"], "line_no").select("line_no", "line")
+
+
 def count_lines(spark: SparkSession, path: str) -> int:
     """Every physical line, blank ones included."""
     return spark.read.text(path).count()
@@ -70,9 +79,14 @@ def monolingual_corpus(docs: DataFrame, language: str, max_sentences: int | None
     if language not in KNOWN_LANGUAGES and docs.where(F.col("lang") == language).limit(1).isEmpty():
         raise ValueError(f"Unsupported language: {language}")
     s = sentences(document_lines(docs.where((F.col("lang") == language) & (F.col("text") != ""))))
-    if max_sentences:
-        s = s.orderBy("doc_id", "line_no", "sent_no").limit(max_sentences)
-    return s
+    return first_in_order(s, ["doc_id", "line_no", "sent_no"], max_sentences)
+
+
+def first_in_order(df: DataFrame, order: list[str], n: int | None) -> DataFrame:
+    """The first ``n`` rows of a total order; ``n`` may be far more than one task can sort."""
+    if not n:
+        return df
+    return with_global_index(df, order, "_nth").where(F.col("_nth") < n).drop("_nth")
 
 
 def parallel_pairs(src: DataFrame, l1: str, l2: str, max_pairs: int | None = None,
@@ -83,9 +97,7 @@ def parallel_pairs(src: DataFrame, l1: str, l2: str, max_pairs: int | None = Non
         T.strip(F.col(map_col)[l1]).alias("src"),
         T.strip(F.col(map_col)[l2]).alias("tgt"),
     ).where((F.col("src") != "") & (F.col("tgt") != ""))
-    if max_pairs:
-        out = out.orderBy("pair_id").limit(max_pairs)
-    return out
+    return first_in_order(out, ["pair_id"], max_pairs)
 
 
 def zip_aligned(left: DataFrame, right: DataFrame, key: str = "line_no") -> DataFrame:
@@ -111,9 +123,7 @@ def web_texts(pages: DataFrame, text_col: str = "text", key: str = "page_id",
         .where(F.length("t") >= min_len)
         .select("text_id", cut.alias("text"))
     )
-    if max_texts:
-        out = out.orderBy("text_id").limit(max_texts)
-    return out
+    return first_in_order(out, ["text_id"], max_texts)
 
 
 def size_profile(docs: DataFrame) -> DataFrame:
@@ -128,3 +138,10 @@ def size_profile(docs: DataFrame) -> DataFrame:
             F.sum(F.octet_length("text")).cast("bigint").alias("n_bytes"),
         )
     )
+
+
+def language_profile(docs: DataFrame, language: str) -> DataFrame:
+    """E2 for one language: its profile row, or one row with status ``unknown``."""
+    asked = docs.sparkSession.createDataFrame([(language,)], "lang string")
+    found = asked.join(size_profile(docs.where(F.col("lang") == language)), "lang", "left")
+    return found.withColumn("status", F.when(F.col("n_docs").isNull(), "unknown").otherwise("known"))

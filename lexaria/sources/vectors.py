@@ -145,8 +145,8 @@ def read_contexts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """Feature batches ``(batch_id, row_no, text, vec)`` in batch/row order."""
-    return spark.read.schema(FEATURE_SCHEMA).parquet(path).orderBy("batch_id", "row_no")
+    """Feature batches ``(batch_id, row_no, text, vec)``; files hold ranges in batch/row order."""
+    return spark.read.schema(FEATURE_SCHEMA).parquet(path)
 
 
 def read_count_lines(spark: SparkSession, path: str) -> DataFrame:
