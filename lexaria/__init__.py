@@ -12,6 +12,6 @@ Spark SQL / ML / Structured Streaming APIs.  Sub-packages:
 - ``plans``      derived relations over the test tables and the query catalogue
 """
 
-from lexaria.session import get_spark, checkpoint_dir
+from lexaria.session import checkpoint_dir, get_spark, ship_package
 
-__all__ = ["get_spark", "checkpoint_dir"]
+__all__ = ["get_spark", "checkpoint_dir", "ship_package"]

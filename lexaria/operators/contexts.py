@@ -101,7 +101,3 @@ def out_of_vocabulary(df: DataFrame, vec_table: DataFrame, word_col: str = "word
         keys, F.lower(F.col(word_col)) == F.col("_k"), "left_anti"
     )
 
-
-def filter_by_vocab(ctx: DataFrame, vocab: DataFrame) -> DataFrame:
-    """D3: restrict an index to vocabulary words."""
-    return ctx.join(vocab.select("word"), "word", "left_semi")

@@ -62,13 +62,6 @@ def _keys(key) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
-def sentence_tokens(sents: DataFrame, key="sent_id", text: str = "text", punct="P1",
-                    tokenizer=None) -> DataFrame:
-    """Tokens of each text (C4 + C5), multiplicity kept: ``(key..., word)``."""
-    tok = tokenizer or T.word_tokens
-    return sents.select(*_keys(key), F.explode(T.drop_punct(tok(F.col(text)), punct)).alias("word"))
-
-
 def encode(sents: DataFrame, word_vectors: DataFrame, key="sent_id", text: str = "text",
            dim: int | None = None, normalize: bool = True, reduce: str = "mean",
            on_empty: str = "zero", punct="P1", tokenizer=None, pieces=None,

@@ -84,12 +84,6 @@ def filter_vocabulary(
     return ranked.select("word", "freq", "word_idx")
 
 
-def vocabulary_from_list(spark, words_freqs: list[tuple[str, int]]) -> DataFrame:
-    """Vocabulary in the given list order (as a saved vocabulary keeps it)."""
-    rows = [(w, int(f), i) for i, (w, f) in enumerate(words_freqs)]
-    return spark.createDataFrame(rows, "word string, freq bigint, word_idx bigint")
-
-
 def token_frequencies(token_ids: DataFrame, col: str = "tokens") -> DataFrame:
     """Frequency of every token id over a column of token-id arrays."""
     return token_ids.select(F.explode(col).alias("token")).groupBy("token").agg(
@@ -97,14 +91,14 @@ def token_frequencies(token_ids: DataFrame, col: str = "tokens") -> DataFrame:
     )
 
 
-def word_at(vocab: DataFrame, idx: int) -> DataFrame:
-    """The word at an index."""
-    return vocab.where(F.col("word_idx") == idx).select("word")
+def word_at(vocab: DataFrame, indexes: DataFrame) -> DataFrame:
+    """The words at the given ``word_idx`` values (absent ones are left out)."""
+    return indexes.select("word_idx").join(vocab.select("word_idx", "word"), "word_idx")
 
 
-def index_of(vocab: DataFrame, word: str) -> DataFrame:
-    """The index of a word (empty if absent)."""
-    return vocab.where(F.col("word") == word).select("word_idx")
+def index_of(vocab: DataFrame, words: DataFrame) -> DataFrame:
+    """The indexes of the given ``word`` values (absent ones are left out)."""
+    return words.select("word").join(vocab.select("word", "word_idx"), "word")
 
 
 def union_vocabularies(*vocabs: DataFrame) -> DataFrame:

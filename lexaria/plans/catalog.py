@@ -1,7 +1,7 @@
 """Query catalogue: inventory id -> (Spark query, DuckDB oracle SQL or None).
 
 Every query reads the test tables (or relations Spark derives from them) in
-full; no id subsets, row caps or prefixes.  Keys are inventory ids from the
+full; caps occur only where they are the operator (top-k, first n, samplers).  Keys are inventory ids from the
 survey followed by a short name.
 """
 

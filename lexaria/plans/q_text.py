@@ -200,8 +200,9 @@ def e06_context_stats(spark, sf):
 def d05_sentences_of(spark, sf):
     """First 3 sentences of each requested word (missing word -> one empty row)."""
     words = FX.word_pairs(spark, sf).select(F.col("b").alias("word")).distinct()
-    ctx = contexts(spark, sf).where(F.col("rn") <= 3)
-    return words.join(ctx, "word", "left").select("word", "rn", "sentence")
+    got = X.sentences_of(contexts(spark, sf), words, 3)
+    return got.select("word", F.posexplode_outer("sentences").alias("rn", "sentence")).select(
+        "word", (F.col("rn") + 1).cast("bigint").alias("rn"), "sentence")
 
 
 @register(
@@ -237,10 +238,10 @@ def d03_out_of_vocabulary(spark, sf):
     ),
 )
 def d11_point_access(spark, sf):
-    """Word <-> index for every entry, with the vocabulary size."""
+    """Index of every word and the word at that index again, with the vocabulary size."""
     v = FX.vocab(spark, sf)
-    size = v.count()  # one scalar
-    return v.select("word_idx", "word", F.lit(size).cast("bigint").alias("size"))
+    index = V.index_of(v, v.select("word"))
+    return V.word_at(v, index.select("word_idx")).select("word_idx", "word", F.lit(FX.n_words(spark, sf)).cast("bigint").alias("size"))
 
 
 @register(

@@ -138,3 +138,38 @@ def k06_training_run(spark, sf):
     rows = [(h["epoch"], h["train_loss"], h["val_loss"], h["is_best"], h["metrics"]) for h in res.history]
     return spark.createDataFrame(rows, "epoch int, train_loss double, val_loss double, is_best boolean, "
                                        "spearman double")
+
+
+HISTORY = "epoch int, train_loss double, val_loss double, is_best boolean, spearman double"
+
+
+def _history(spark, result):
+    rows = [(h["epoch"], h["train_loss"], h["val_loss"], h["is_best"], h["metrics"]) for h in result.history]
+    return spark.createDataFrame(rows, HISTORY)
+
+
+@register("k06_regression_run")
+def k06_regression_run(spark, sf):
+    """K6: two regression passes of two steps over all documents (AdamW, cosine decay, projection)."""
+    e = FX.embeddings(spark, sf)
+    means = e.groupBy("label").agg(Summarizer.mean(array_to_vector("vec")).alias("m")).orderBy("label").collect()
+    w = np.array([r["m"].toArray() for r in means])
+    docs = FX.table(spark, sf, "documents").select(F.col("doc_id").alias("text_id"), "text")
+    targets = docs.select("text_id").join(e, FX.vector_of(F.col("text_id"), spark, sf) == F.col("vec_id")).select(
+        "text_id", F.slice("vec", 1, w.shape[0]).alias("tvec"))
+    cfg = D.TrainConfig(epochs=2, steps_per_pass=2, learning_rate=1e-2)
+    res, _ = D.train_regression(spark, M.init_params(FX.word2vec(spark, sf)), docs, targets, w,
+                                stage_path(spark, f"train-reg-{np.random.default_rng().integers(1 << 40)}"), cfg,
+                                bound=FX.n_words(spark, sf), dim=FX.dim(spark, sf))
+    return _history(spark, res)
+
+
+@register("k06_contrastive_run")
+def k06_contrastive_run(spark, sf):
+    """K6: two cross-lingual passes over the conversation pairs, the last tenth being validation."""
+    pairs = FX.conversation_pairs(spark, sf).select("pair_id", F.col("a").alias("src"), F.col("b").alias("tgt"))
+    cfg = D.TrainConfig(epochs=2, batch_size=64, learning_rate=1e-3)
+    res = D.train_contrastive(spark, M.init_params(FX.word2vec(spark, sf)), pairs,
+                              stage_path(spark, f"train-con-{np.random.default_rng().integers(1 << 40)}"), cfg,
+                              n_val=max(2, pairs.count() // 10), bound=FX.n_words(spark, sf), dim=FX.dim(spark, sf))
+    return _history(spark, res)

@@ -41,9 +41,25 @@ def get_spark(
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
+    if not spark.sparkContext.master.startswith("local"):
+        ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, whose Python workers import its functions by name.
+
+    Not needed where the package is installed on every node, or in local mode.
+    """
+    import shutil
+    from pathlib import Path
+
+    here = Path(__file__).resolve().parent
+    base = Path(tempfile.mkdtemp(prefix="lexaria-pkg-")) / "lexaria"
+    archive = shutil.make_archive(str(base), "zip", root_dir=here.parent, base_dir=here.name)
+    spark.sparkContext.addPyFile(archive)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a scratch one only locally."""
     sc = spark.sparkContext

@@ -140,3 +140,30 @@ def test_regression_gradient_finite_differences(spark):
             up[a, b] += h
             dn[a, b] -= h
             assert dW[a, b] == pytest.approx((f(emb, up) - f(emb, dn)) / (2 * h), abs=1e-6)
+
+
+def test_regression_driver_lowers_the_loss(spark):
+    from lexaria.session import stage_path
+    from lexaria.train import driver as D
+
+    rng = np.random.default_rng(0)
+    words = [f"w{i}" for i in range(8)]
+    params = M.init_params(spark.createDataFrame([(w, rng.normal(size=4).tolist()) for w in words], "word string, vec array<double>"))
+    texts = spark.createDataFrame([(i, " ".join(rng.choice(words, 5))) for i in range(24)], "text_id long, text string")
+    targets = spark.createDataFrame([(i, rng.normal(size=3).tolist()) for i in range(24)], "text_id long, tvec array<double>")
+    w = rng.normal(size=(3, 4))
+    out = stage_path(spark, f"reg-{rng.integers(1 << 40)}-{np.random.default_rng().integers(1 << 40)}")
+    cfg = D.TrainConfig(epochs=2, steps_per_pass=2, learning_rate=0.05)
+    res, best_w = D.train_regression(spark, params, texts, targets, w, out, cfg)
+    losses = [h["train_loss"] for h in res.history]
+    assert losses[1] < losses[0] and not np.allclose(best_w, w)
+    again, _ = D.train_regression(spark, params, texts, targets, w, out, cfg)  # resumes: both passes are done
+    assert [h["train_loss"] for h in again.history] == pytest.approx(losses)
+
+
+def test_cosine_rate_and_adamw():
+    from lexaria.train import driver as D
+
+    assert D.cosine_rate(2.0, 0, 10) == 2.0 and D.cosine_rate(2.0, 5, 10) == pytest.approx(1.0)
+    w, m, v = D.adamw_matrix(np.ones((1, 1)), np.zeros((1, 1)), np.zeros((1, 1)), np.full((1, 1), 3.0), 1, 0.1, 0.01)
+    assert w[0, 0] == pytest.approx(1 * (1 - 0.001) - 0.1, abs=1e-6) and m[0, 0] == pytest.approx(0.3)
