@@ -121,7 +121,8 @@ def test_corpus_errors_and_caps(spark):
         C.zip_aligned(left, right)
     pages = spark.createDataFrame([(0, "  short  "), (1, "x" * 3000)], "page_id long, text string")
     w = C.web_texts(pages).collect()
-    assert len(w) == 1 and len(w[0].text) == 2000
+    assert len(w) == 1 and len(w[0].text) == 3000  # whole unless a cut is asked for
+    assert len(C.web_texts(pages, max_chars=2000).first().text) == 2000
 
 
 def _word2sent(spark):
