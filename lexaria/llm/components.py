@@ -1,50 +1,50 @@
-"""Connected components of an edge table by alternating star contraction.
+"""Connected components of an edge table: distributed union-find.
 
-The large-star / small-star rounds keep every step a partial aggregate plus an
-equi-join; no neighbour list, component or label table is collected anywhere.
-A hub (the smallest id of a huge component) would put all its edges under one
-join key, so the minima are repeated over salts.
+An edge points from its larger end u to its smaller end v.  Each round deals every edge to
+the tasks of both its ends; a task unites the ends it sees and answers with one edge
+per node to the smallest node it is united with.  Chains halve in every round, and only
+stars around the smallest nodes are stable, so the rounds end when the edges stay the same.
+
+A hub (the smallest id of a huge component) would bring all its edges to one task.  So a
+node's tasks are ``SALTS`` many: edges that lead down to it are dealt over them, edges that lead
+on from it (few, after the first round one) go to all of them.  No neighbour list, component or
+label table is collected.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexaria.llm.common import keep
-
-HUB_SALTS = 8
-
-
-def _minima(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
-
+from lexaria.llm.common import Forest, keep
 
-def _with_minima(edges: DataFrame, minima: DataFrame) -> DataFrame:
-    a = edges.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(HUB_SALTS)).cast("int"))
-    b = minima.withColumn("s", F.explode(F.array(*[F.lit(i) for i in range(HUB_SALTS)])))
-    return a.join(b, ["u", "s"]).drop("s")
+SALTS = 6
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    minima = _minima(both).select("u", F.least("u", "m").alias("m"))
-    out = _with_minima(both.where("v > u"), minima)
-    return out.select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _unite(batches):
+    """One task's edges; the task holds two integers per edge dealt to it."""
+    parts = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches if b.num_rows]
+    if not parts:
+        return
+    u, v = (np.concatenate(x) for x in zip(*parts))
+    nodes, at = np.unique(np.r_[u, v], return_inverse=True)  # sorted: the smallest position is the smallest node
+    forest = Forest(len(nodes))
+    forest.add(at[:len(u)], at[len(u):])
+    i, root = forest.stars()
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[i]), pa.array(nodes[root])], ["u", "v"])
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct()
-    linked = _with_minima(down, _minima(down))
-    pairs = linked.select(F.explode(F.array(
-        F.struct(F.col("u").alias("u"), F.col("m").alias("v")),
-        F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-    return pairs.select("e.u", "e.v").where("u > v").distinct()
+def _round(edges: DataFrame) -> DataFrame:
+    to = [F.struct(F.col("v").alias("k"), F.pmod(F.xxhash64("u"), F.lit(SALTS)).cast("int").alias("s"))]
+    to += [F.struct(F.col("u").alias("k"), F.lit(s).alias("s")) for s in range(SALTS)]
+    dealt = edges.select("u", "v", F.explode(F.array(*to)).alias("t")).repartition("t.k", "t.s")
+    return dealt.select("u", "v").mapInArrow(_unite, "u long, v long").distinct()
 
 
 def _state(edges: DataFrame) -> tuple:
-    h = F.xxhash64("u", "v")
-    return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.sum(h % 1000003)).first())
+    return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(xxhash64(v, u) % 1000003)")).first())
 
 
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
@@ -57,7 +57,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     e = keep(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = _state(e)
     while state[0]:
-        e = keep(_small_star(_large_star(e)))
+        e = keep(_round(e))
         now = _state(e)
         if now == state:
             break
