@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexaria.llm.common import held_out, text_slices
+from lexaria.llm.common import held_out, keep, text_slices
 
 FEATURES = 4096
 DIM = 32
@@ -119,11 +119,11 @@ def document_frequency(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]
     return out[:-1], int(out[-1])
 
 
-def weighted(texts: list[str | None], idf: np.ndarray) -> np.ndarray:
+def weighted(tf: np.ndarray, shares: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """(texts, FEATURES + SHAPE): unit tf-idf vectors followed by the weighted shape shares."""
-    x = np.log1p(counts(texts)) * idf
+    x = np.log1p(tf) * idf
     norm = np.sqrt((x * x).sum(1))
-    return np.hstack([x / np.maximum(norm, 1e-12)[:, None], (SHAPE_WEIGHT * np.sqrt(shape(texts))).astype(np.float32)])
+    return np.hstack([x / np.maximum(norm, 1e-12)[:, None], (SHAPE_WEIGHT * np.sqrt(shares)).astype(np.float32)])
 
 
 def latent_basis(x: np.ndarray, dim: int, seed: int = 5) -> np.ndarray:
@@ -145,13 +145,13 @@ def _unit(x: np.ndarray) -> np.ndarray:
 class Model:
     """What the tasks need: idf, latent basis, labelled latent vectors, labels, prior."""
 
-    def __init__(self, texts, labels, df, n_docs, dim=DIM):
+    def __init__(self, tf, shares, labels, df, n_docs, dim=DIM):
         self.idf = np.log((n_docs + 1) / (df + 1)).astype(np.float32) + np.float32(1)
         self.labels = np.asarray(labels, np.float32)
-        self.prior = float(self.labels.mean()) if len(texts) else 0.5
+        self.prior = float(self.labels.mean()) if len(tf) else 0.5
         self.basis = None
-        if len(texts):
-            x = np.concatenate([weighted(texts[s:s + 512], self.idf) for s in range(0, len(texts), 512)])
+        if len(tf):
+            x = weighted(tf, shares, self.idf)
             self.basis = latent_basis(x, dim)
             self.points = _unit(x @ self.basis).astype(np.float32)
 
@@ -159,7 +159,7 @@ class Model:
         out = np.full(len(texts), self.prior)
         if self.basis is None:
             return out
-        y = _unit(weighted(texts, self.idf) @ self.basis)
+        y = _unit(weighted(counts(texts), shape(texts), self.idf) @ self.basis)
         sim = y @ self.points.T  # exact cosines of the block with every labelled vector
         k = min(NEIGHBOURS, sim.shape[1])
         top = np.argpartition(-sim, k - 1, axis=1)[:, :k]
@@ -174,11 +174,32 @@ def fit(docs: DataFrame, labels: DataFrame, train, id_col="doc_id", text_col="te
     df, n = document_frequency(docs, text_col)
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     marks = marks.groupBy(F.col(id_col).alias("_id")).agg(F.avg(label_col).alias("_label"))
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(train(F.col("_id")))
-    known = texts.join(marks, "_id").where(F.col("_text").isNotNull())
-    known = known.withColumn("_h", F.xxhash64("_text", F.lit("sample"))).orderBy("_h", "_id").limit(sample)
-    got = known.select("_text", "_label").toArrow()
-    return Model(got.column("_text").to_pylist(), got.column("_label").to_pylist(), df, n)
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    texts = texts.where(train(F.col("_id")) & F.col("_text").isNotNull())
+    texts = texts.withColumn("_h", F.xxhash64("_text", F.lit("sample")))
+    # ids and hashes decide the sample; only its texts (at most ``sample``, broadcast by that bound) are read again
+    drawn = texts.select("_id", "_h").distinct().join(marks, "_id").orderBy("_h", "_id").limit(sample)
+    picked = texts.join(F.broadcast(keep(drawn)), ["_id", "_h"])
+
+    def run(batches):
+        for part in _rows(batches, "_text"):
+            t = part.column("_text").to_pylist()
+            tf, shares = counts(t), shape(t)
+            at = [np.flatnonzero(row) for row in tf]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("_id"), part.column("_h"), part.column("_label"), pa.array([a.astype("<u2").tobytes() for a in at], pa.binary()),
+                 pa.array([row[a].astype("<f4").tobytes() for row, a in zip(tf, at)], pa.binary()),
+                 pa.array([r.astype("<f8").tobytes() for r in shares], pa.binary())], ["_id", "_h", "_label", "at", "tf", "shares"])
+
+    kind = picked.schema["_id"].dataType.simpleString()
+    got = picked.select("_id", "_h", "_label", "_text").mapInArrow(
+        run, f"_id {kind}, _h long, _label double, at binary, tf binary, shares binary")
+    got = got.dropDuplicates(["_id", "_h"]).orderBy("_h", "_id").toArrow()  # repeated rows count once
+    tf, shares = np.zeros((got.num_rows, FEATURES), np.float32), np.zeros((got.num_rows, SHAPE))
+    for i, (at, n_at, share) in enumerate(zip(*(got.column(c).to_pylist() for c in ("at", "tf", "shares")))):
+        tf[i, np.frombuffer(at, "<u2")] = np.frombuffer(n_at, "<f4")
+        shares[i] = np.frombuffer(share, "<f8")
+    return Model(tf, shares, got.column("_label").to_pylist(), df, n)
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = THRESHOLD,
