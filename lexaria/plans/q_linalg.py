@@ -9,7 +9,7 @@ the linear projection are checked value by value.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
@@ -20,7 +20,7 @@ from lexaria.plans import fixtures as FX
 from lexaria.plans.catalog import register
 from lexaria.functions.text import TOKEN_PATTERN
 from lexaria.plans.oracle import P1_SQL, add_cte, with_ctes
-from lexaria.plans.q_vectors import long_sql, spark_long
+from lexaria.plans.q_vectors import enc_sql, long_sql, spark_long
 
 
 def _sent_vecs(spark, sf):
@@ -107,6 +107,34 @@ def f06_reduce_dims(spark, sf):
         F.col("dim").cast("bigint").alias("dim"), "mean")
 
 
+SPECTRUM_SQL = """
+SELECT round(sum(CASE WHEN i = j THEN c END), 6) + 0.0 AS trace, round(sum(c * c), 6) + 0.0 AS squares
+FROM (SELECT a.dim AS i, b.dim AS j, covar_samp(a.value, b.value) AS c FROM ({long}) a JOIN ({long}) b USING ({key})
+      GROUP BY a.dim, b.dim)"""
+
+
+@register("f06_spectrum", with_ctes(["emb"], SPECTRUM_SQL.format(long=long_sql("emb", "vec_id"), key="vec_id")))
+def f06_spectrum(spark, sf):
+    """F6, sign-free: with all components kept, the variances of the reduced columns sum to the
+    trace of the covariance, and their squares to its squared entries only if the columns are
+    the principal axes."""
+    out, _ = LA.reduce_dims(FX.embeddings(spark, sf).select("vec_id", "vec"), FX.dim(spark, sf))
+    var = out.select(Summarizer.variance(array_to_vector("vec")).alias("v")).select(F.explode(vector_to_array("v")).alias("x"))
+    return var.agg(Vx.round_col(F.sum("x")).alias("trace"), Vx.round_col(F.sum(F.col("x") * F.col("x"))).alias("squares"))
+
+
+enc_sql("enc_fit", "turns", "conv_id, turn", "text", P1_SQL, normalize=False, on_empty="drop")
+
+
+@register("f08_spectrum", with_ctes(["enc_fit"], SPECTRUM_SQL.format(long="SELECT * FROM enc_fit", key="conv_id, turn")))
+def f08_spectrum(spark, sf):
+    """F8, sign-free: the fitting sentences themselves, projected on all their components."""
+    s = _sent_vecs(spark, sf)
+    out = LA.historical_transform(s, s, 0, FX.dim(spark, sf))
+    var = out.select(Summarizer.variance(array_to_vector("vec")).alias("v")).select(F.explode(vector_to_array("v")).alias("x"))
+    return var.agg(Vx.round_col(F.sum("x")).alias("trace"), Vx.round_col(F.sum(F.col("x") * F.col("x"))).alias("squares"))
+
+
 @register("f07_transform_embeddings", with_ctes(["word2vec"], "SELECT word, 16 AS dim, 1.0 AS norm FROM word2vec"))
 def f07_transform_embeddings(spark, sf):
     """fit on sentences, remove 7 PCs from words, reduce to 16, L2 — unit 16-d vectors."""
