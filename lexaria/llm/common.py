@@ -62,7 +62,7 @@ def left_join_salted(left: DataFrame, right: DataFrame, key: str, spread: Column
     return a.join(b, [key, "_salt"], "left").drop("_salt")
 
 
-def text_slices(batches: Iterable[pa.RecordBatch], column: str, max_chars: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterable[pa.RecordBatch], column: str, max_chars: int = 500_000) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into slices of bounded text (a single longer text is a slice of its own)."""
     import pyarrow.compute as pc
 

@@ -97,8 +97,8 @@ def shape(texts: list[str | None]) -> np.ndarray:
     return out
 
 
-def _rows(batches, column: str, rows: int = 512):
-    for part in text_slices(batches, column, 1_000_000):
+def _rows(batches, column: str, rows: int = 128):
+    for part in text_slices(batches, column, 250_000):
         for s in range(0, part.num_rows, rows):
             yield part.slice(s, rows)
 
