@@ -113,6 +113,24 @@ def test_line_decisions(make_docs, prose, reach):
     assert {(r["doc_id"], r["line_no"]): r["kept"] for r in got if r["doc_id"] is not None} == want
 
 
+def test_bands_find_near_lines():
+    """Links at the threshold share a band as often as 20 bands of 6 values promise (99.77 %)."""
+    assert lines.PASSES * lines.BINS == lines.BANDS * lines.ROWS
+    assert (1 - lines.THRESHOLD ** lines.ROWS) ** lines.BANDS <= 0.0023
+    rng = random.Random(11)
+    pairs = []
+    while len(pairs) < 20000:
+        x = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=100))
+        y = list(x)
+        for i in rng.sample(range(100), 2):
+            y[i] = "#"
+        if jaccard(x, y := "".join(y)) >= lines.THRESHOLD:
+            pairs.append((x, y))
+    key = lines.signatures([x for pair in pairs for x in pair])
+    missed = int((~(key[::2] == key[1::2]).any(axis=1)).sum())
+    assert missed <= 18  # 13 with 20 bands of 6, 24 with 14 bands of 5
+
+
 def test_near_pairs_exact():
     rng = random.Random(3)
     base = "".join(rng.choice("abcdef é日") for _ in range(80))
