@@ -152,6 +152,21 @@ def test_dedup_lines_text(make_docs):
         (1, "alpha beta gamma delta\nonly here one"), (3, "new\n"), (5, ""), (6, "\n"), (99, "last of all")]
 
 
+def test_dedup_lines_null_and_repeated_ids(make_docs):
+    """Every row without id is a document of its own; a null text beside rows that lose lines is no obstacle."""
+    a, b, near = "the same line in many rows", "a second shared line of text", "a second shared line of text!"
+    rows = [(1, a), (None, a), (None, None), (None, a), (None, f"{a}\n{b}"), (None, f"own words\n{b}"), (None, f"other things\n{near}"),
+            (2, f"{a}\nkept two"), (2, None), (2, f"{a}\nkept three"), (3, b[:9]), (3, b[:9])]
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in lines.dedup_lines(make_docs(rows)).collect())
+    kept = [t for d, t in got if not d]
+    assert [t for t in got if t[0]] == [(1, a), (2, ""), (2, "kept three"), (2, "kept two"), (3, b[:9]), (3, b[:9])]
+    assert "" in kept and not any(a in t for t in kept)
+    assert sum(x in (b, near) for t in kept for x in t.split("\n")) == 1
+    assert sum("own words" in t for t in kept) == sum("other things" in t for t in kept) == 1
+    many = lines.line_decisions(make_docs([(None, a)] * 50)).collect()
+    assert len(many) == 50 and sum(r["kept"] for r in many) == 1
+
+
 def vectors(spark):
     rng = np.random.default_rng(0)
     base = rng.standard_normal((60, 16))
