@@ -79,14 +79,19 @@ def fingerprints(texts: list[str | None], shingle: int = 3) -> np.ndarray:
 
 def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long, one row per input row."""
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return _marked(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "text", shingle)
+
+
+def _marked(src: DataFrame, text: str, shingle: int) -> DataFrame:
+    """``src`` with the fingerprint ``fp`` instead of its column ``text``."""
+    names = [c for c in src.columns if c != text]
 
     def run(batches):
-        for part in text_slices(batches, "text"):
-            fp = fingerprints(part.column("text").to_pylist(), shingle)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+        for part in text_slices(batches, text):
+            fp = fingerprints(part.column(text).to_pylist(), shingle)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(fp.view(np.int64))], [*names, "fp"])
 
-    return src.mapInArrow(run, "doc_id long, fp long")
+    return src.mapInArrow(run, ", ".join(f"{c} {src.schema[c].dataType.simpleString()}" for c in names) + ", fp long")
 
 
 def segments(max_distance: int) -> list[int]:
@@ -194,27 +199,29 @@ def fingerprint_hex(fp):
 
 def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       shingle: int = 3, max_distance: int = 3) -> DataFrame:
-    """``docs`` with one document of each component, in its own columns.
+    """``docs`` with one row of each component, in its own columns.
 
-    The document whose id names the component stays, and of repeated rows of that id one.
-    Where all ids of a component are null, one of its rows stays.
+    A component is known by its smallest fingerprint, since ids may be null or repeat.  The row of
+    the smallest id stays (null last); ties go to the smallest fingerprint, then text hash, and of
+    rows equal in all three any one stays.
     """
     names = docs.columns
-    found = simhash_components(docs, id_col, text_col, shingle, max_distance)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fp").distinct()
-    no_id, key = F.lit("-"), F.coalesce(F.col(id_col).cast("string"), F.lit("-"))
-    stay = stay.select(F.coalesce(F.col("doc_id").cast("string"), no_id).alias("_key"), F.col("fp").alias("_fp"))
-    # an id may repeat with other texts: (id, fingerprint) names the row that stays
-    src = docs.select(F.struct(*names).alias("_doc"), key.alias("_key"), F.col(text_col).alias("_text"))
-
-    def run(batches):
-        for part in text_slices(batches, "_text"):
-            fp = fingerprints(part.column("_text").to_pylist(), shingle)
-            yield pa.RecordBatch.from_arrays([part.column("_doc"), part.column("_key"), pa.array(fp.view(np.int64))],
-                                             ["_doc", "_key", "_fp"])
-
-    kind = src.schema["_doc"].dataType.simpleString()
-    rows = src.mapInArrow(run, f"_doc {kind}, _key string, _fp long")
+    key = [F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_hash")]
+    own = keep(_marked(docs.select(*key, F.col(text_col).alias("_text")), "_text", shingle))
+    rank = F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), "fp", F.col("_hash").alias("hash"))
+    group = keep(own.groupBy("fp").agg(F.min(rank).alias("best")))
+    component = F.col("fp")
+    if max_distance > 0:
+        linked = connected_components(fingerprint_links(group.select("fp"), max_distance))
+        group = group.join(linked.withColumnRenamed("node", "fp"), "fp", "left")
+        component = F.coalesce("component", "fp")
+    best = group.groupBy(component.alias("component")).agg(F.min("best").alias("best"))
+    # a null id joins as a number beside a flag
+    stay = best.select(F.col("best.no_id").alias("_no_id"), F.coalesce("best.id", F.lit(0)).alias("_id"),
+                       F.col("best.fp").alias("fp"), F.col("best.hash").alias("_hash"))
+    rows = _marked(docs.select(F.struct(*names).alias("_doc"), *key, F.col(text_col).alias("_text")), "_text", shingle)
+    rows = rows.select("_doc", F.col("_id").isNull().alias("_no_id"), F.coalesce("_id", F.lit(0)).alias("_id"), "fp", "_hash")
     # repeated rows collapse before the shuffle
-    rows = rows.dropDuplicates(["_key", "_fp"]).join(stay, ["_key", "_fp"], "left_semi")
+    at = ["_no_id", "_id", "fp", "_hash"]
+    rows = rows.dropDuplicates(at).join(stay, at, "left_semi")
     return rows.select(*[F.col("_doc")[c].alias(c) for c in names])

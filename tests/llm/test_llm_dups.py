@@ -86,6 +86,23 @@ def test_one_per_component_keeps_columns(make_docs, prose):
     assert len(rows) == len({r["component_id"] if r["component_id"] is not None else ("none", r["fp"]) for r in found})
 
 
+def test_one_per_component_null_and_repeated_ids(make_docs, reach):
+    """One row stays of every component, also where ids are null or name rows of several fingerprints."""
+    rng = random.Random(6)
+    base = [" ".join(f"w{rng.randrange(900)}" for _ in range(400)) for _ in range(3)]
+    texts = [" ".join([*b.split()[:-1], f"end{i}"]) for b in base for i in range(12)]
+    rows = [(None if n < 12 else 7 if n < 24 else n, t) for n, t in enumerate(texts)] + [(7, texts[12]), (7, base[0][:900]), (None, None), (None, "")]
+    fps = [fingerprint(t) for _, t in rows]
+    distinct = sorted(set(fps))
+    root = reach([(a, b) for i, a in enumerate(distinct) for b in distinct[i + 1:] if bin(a ^ b).count("1") <= 3], distinct)
+    assert any(len({f for f in fps[s:s + 12] if root[f] == root[fps[s]]}) > 1 for s in (0, 12))
+    best = {}
+    for (d, _), f in zip(rows, fps):
+        best[root[f]] = min(best.get(root[f], (True, 0)), (d is None, d or 0))
+    got = simhash.one_per_component(make_docs(rows)).collect()
+    assert sorted((root[fingerprint(r["text"])], (r["doc_id"] is None, r["doc_id"] or 0)) for r in got) == sorted(best.items())
+
+
 def jaccard(a, b):
     n = lines.SHINGLE
     a, b = ({x[i:i + n] for i in range(max(1, len(x) - n + 1))} for x in (a, b))
