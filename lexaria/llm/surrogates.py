@@ -4,14 +4,18 @@ Detected: e-mail addresses, IP addresses, payment cards, IBANs, social security
 numbers, long secrets (keys and tokens), and person names after a form of address.  Every entity gets a
 surrogate drawn from a keyed SHA-512 of its type and canonical form:
 
+* names: the whole run of name words after a form of address is replaced, word by word: hyphens
+  and particles (``van der``) stay between them, initials become initials; the words after the
+  last space are the family name, all others given names;
 * coreference: spellings with one canonical form (case, spaces, hyphens) share a surrogate, in
-  every document; given and family names are entities of their own, so ``Mr. John Smith``
-  and ``Mr. Smith`` stay one person's name;
+  every document; given and family names are entities of their own, so ``Mr. John Smith``,
+  ``Mr. Smith`` and ``Dr. Smith`` stay one person's name; a given name after a neutral title
+  takes the surrogate of its gendered mentions, of the more frequent gender if it has two;
 * format: digits become digits, letters letters, capitals capitals, punctuation stays; top
   level domains, IBAN countries, the first phone and card digit and hex alphabets are kept,
   cards stay Luhn-valid, IP octets stay in range;
-* gender and script: names are drawn from lists of the gender of the form of address and the
-  script of the name;
+* gender and script: given names are drawn from lists of the gender of the form of address and the
+  script of the name; a Cyrillic family name takes its feminine ending from title or word;
 * distinctness: surrogates of different entities of a type never coincide, nor equal a real
   entity of the corpus; a collision check over the table of distinct entities redraws the
   later ones (from the eighth draw on with extra characters) until none is left.
@@ -58,9 +62,19 @@ SYLLABLES = {"latin": "ba be bo da de do ka ke ko la le lo ma me mo na ne no ra
              "cyrillic": "ба бе бо да де до ка ке ко ла ле ло ма ме мо на".split(),
              "greek": "βα βε βο δα δε δο κα κε κο λα λε λο μα με μο να".split()}
 
+_FEMININE = "([оеё]в|[иы]н)а$"
 _TITLES = "|".join(sorted((t for ts in ADDRESS.values() for t in ts), key=len, reverse=True))
-_NAME_WORD = r"(?:\p{Lu}\p{Ll}+|\p{Lu}{2,})"
-NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLES})\.?[ ]{_NAME_WORD}(?:[ -]{_NAME_WORD})?(?![\p{{L}}\p{{N}}])"
+_LETTER = r"[\p{L}\p{M}]"
+_END = r"(?![\p{L}\p{N}\p{M}])"
+_CHAIN = rf"(?:{_TITLES})\.?[ ](?:(?:Dr|Prof)\.?[ ])*"
+# an initial, or a capital and letters with inner capitals and apostrophes (not 's, 'll, ...)
+_PIECE = (rf"(?:\p{{Lu}}\p{{M}}*\.|(?:\p{{Ll}}{{1,2}}['’])?\p{{Lu}}{_LETTER}*(?:['’](?:\p{{Lu}}{_LETTER}+|\p{{Ll}}{{3,}}))*)")
+_WORD = rf"{_PIECE}(?:(?:(?<=\.)|[-‐‑]){_PIECE})*"
+_PARTICLES = r"(?:(?:van|von|der|den|de|del|della|di|da|dos|das|du|la|le|los|las|ter|ten|zu|zum|zur|af|av|bin|bint|ibn|al|el|y)[ -])*"
+# a next title, a suffix, or a lone capital before no further name word ends the run
+_STOP = (rf"(?!(?:{_TITLES})\.?[ ]\p{{Lu}}|(?:Jr|Sr|II|III|IV|Esq|PhD|MD){_END}"
+         rf"|\p{{Lu}}(?![\p{{L}}\p{{M}}.'’‐‑-])(?![ ]\p{{Lu}}{_LETTER}))")
+NAME = rf"(?<![\p{{L}}\p{{N}}]){_CHAIN}{_PARTICLES}{_WORD}(?:[ ]{_PARTICLES}{_STOP}{_WORD})*{_END}"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,62})\.)+\p{L}{2,24}"
 SECRET = r"(?<![\p{L}\p{N}])(?:(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[0-9A-Za-z]{32,}|AKIA[0-9A-Z]{16})(?![\p{L}\p{N}])"
 IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?:[ ]?[0-9A-Z]{4}){3,7}(?:[ ]?[0-9A-Z]{1,3})?(?![\p{L}\p{N}])"
@@ -86,9 +100,14 @@ def _script(c: Column) -> Column:
     return F.when(c.rlike(r"\p{IsCyrillic}"), "cyrillic").when(c.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
 
+def _name(m: Column) -> Column:
+    """A mention of a name without its forms of address."""
+    return F.regexp_replace(m, f"^{_CHAIN}", "")
+
+
 def _words(m: Column) -> Column:
-    """The name words of a mention, without the form of address."""
-    return F.split(F.regexp_extract(m, rf"^(?:{_TITLES})\.?[ ](.*)$", 1), "[ -]")
+    """The name words of a mention, those joined by hyphens one by one."""
+    return F.regexp_extract_all(_name(m), F.lit(_PIECE), F.lit(0))
 
 
 def _gender(m: Column) -> Column:
@@ -97,14 +116,24 @@ def _gender(m: Column) -> Column:
 
 
 def keys(kind: Column, mention: Column) -> Column:
-    """Entities of a mention: array of (type, canonical form).  Types of names carry gender and script."""
+    """Entities of a mention: array of (type, canonical form, ending).  Types of given names carry gender, of all names script."""
     plain = F.when(kind.isin("card", "iban", "ssn", "phone"), F.lower(F.regexp_replace(mention, r"[^\p{L}\p{N}+]", ""))) \
         .otherwise(F.lower(mention))
-    words, n = _words(mention), F.size(_words(mention))
-    names = F.transform(words, lambda w, i: F.struct(
-        F.concat(F.when(i < n - 1, "given").otherwise("family"), F.lit("/"), _gender(mention), F.lit("/"), _script(w)).alias("type"),
-        F.lower(w).alias("canon")))
-    return F.when(kind == "name", names).otherwise(F.array(F.struct(kind.alias("type"), plain.alias("canon"))))
+    words = _words(mention)
+    n, n_last = F.size(words), F.size(F.regexp_extract_all(F.regexp_extract(mention, "[^ ]+$", 0), F.lit(_PIECE), F.lit(0)))
+
+    def entity(w, i):
+        family = (i == n - 1) | ((i >= n - n_last) & ~w.endswith("."))
+        canon = F.translate(F.rtrim(F.lower(w), F.lit(".")), "’", "'")
+        slavic = family & (_script(w) == "cyrillic")
+        female = slavic & ((_gender(mention) == "f") | canon.rlike(_FEMININE))
+        return F.struct(
+            F.concat(F.when(family, "family/n/").otherwise(F.concat(F.lit("given/"), _gender(mention), F.lit("/"))), _script(w)).alias("type"),
+            F.when(slavic, F.regexp_replace(canon, _FEMININE, "$1")).otherwise(canon).alias("canon"),
+            F.when(female, "а").otherwise("").alias("ending"))
+
+    other = F.array(F.struct(kind.alias("type"), plain.alias("canon"), F.lit("").alias("ending")))
+    return F.when(kind == "name", F.transform(words, entity)).otherwise(other)
 
 
 def _pick(values: list[str], number: str) -> str:
@@ -127,8 +156,7 @@ def _draw(secret: str) -> Column:
         for g in "mfn":
             given = GIVEN[script].get(g, both)
             lists.append(f"when type = 'given/{g}/{script}' then concat({_pick(given, number(0))}, {more})")
-            end = "а" if script == "cyrillic" and g == "f" else ""
-            lists.append(f"when type = 'family/{g}/{script}' then concat({_pick(FAMILY[script], number(1))}, '{end}', {more})")
+        lists.append(f"when type like 'family/_/{script}' then concat({_pick(FAMILY[script], number(1))}, {more})")
     ip = (f"when type = 'ip' then concat_ws('.', {byte(0)} % 223 + 1, {byte(1)}, {byte(2)}, {byte(3)} % 254 + 1, "
           "if(attempt < 8, null, cast(attempt as string)))")
     body = f"""array_join(transform(sequence(1, length(alnum)), k -> case
@@ -184,13 +212,30 @@ def dressed(mention: Column, kind: Column, surrogates: Column) -> Column:
     filled = F.transform(chars, lambda c, i: F.when(c.rlike(r"[\p{L}\p{N}]"), same(c, F.substring(s, seen(i), F.lit(1)))).otherwise(c))
     size = F.length(F.regexp_replace(m, r"[^\p{L}\p{N}]", ""))
     rest = F.substring(s, size + 1, F.lit(99))
-    title = F.regexp_extract(m, rf"^((?:{_TITLES})\.?[ ])", 1)
-    gap = F.when(F.regexp_extract(m, r"([ -])\S+$", 1) == "-", "-").otherwise(" ")
-    caps = F.zip_with(surrogates, _words(m), lambda x, w: F.when(w.rlike(r"^\p{Lu}{2,}$"), F.upper(x)).otherwise(x))
-    name = F.concat(title, F.when(F.size(caps) > 1, F.concat(caps[0], gap, F.element_at(caps, -1))).otherwise(caps[0]))
+    title, words = F.regexp_extract(m, f"^{_CHAIN}", 0), _words(m)
+    # an initial never stays the letter it was
+    initial = lambda x, w: F.upper(F.when(F.lower(F.substring(x, 1, 1)) != F.lower(F.substring(w, 1, 1)),
+                                          F.substring(x, 1, 1)).otherwise(F.substring(x, 2, 1)))
+    fit = lambda x, w: F.when(w.endswith("."), F.concat(initial(x, w), F.lit("."))) \
+        .when(w.rlike(r"^[\p{Lu}\p{M}'’]{2,}$"), F.upper(x)).otherwise(x)
+    gaps, fresh = F.split(_name(m), _PIECE, -1), F.zip_with(surrogates, words, fit)
+    name = F.concat(title, F.array_join(F.zip_with(gaps, F.concat(fresh, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), ""))
     return F.when(kind == "name", name).when(kind == "ip", s).otherwise(F.concat(F.array_join(filled, ""), rest))
 
 
+def named_entities(said: DataFrame, secret: str) -> DataFrame:
+    """(entity, surrogate) of all (type, canon) said; a given name of neutral gender goes by its gendered mentions."""
+    told = keep(said.groupBy("type", "canon").agg(F.count("*").alias("n")))
+    script = F.regexp_extract("type", "[^/]+$", 0)
+    gendered = told.where(F.col("type").rlike("^given/[mf]/")).groupBy(script.alias("script"), "canon").agg(
+        F.max(F.struct("n", "type")).getField("type").alias("other"))
+    neutral = F.col("type").startswith("given/n/")
+    goes = keep(told.where(neutral).withColumn("script", script).join(gendered, ["script", "canon"]).select("type", "canon", "other"))
+    known = registry(told.join(goes, ["type", "canon"], "left_anti"), secret)
+    more = goes.join(known.withColumnRenamed("type", "other"), ["other", "canon"]).select("type", "canon", "surrogate")
+    return known.unionByName(more).select(F.struct("type", "canon").alias("entity"), "surrogate")
+
+
 def replace_entities(docs: DataFrame, secret: str, id_col: str = "doc_id", text_col: str = "text",
                      out_types: str = "entity_types") -> DataFrame:
     """``docs`` with surrogates in the text and the types of the entities in text order in ``out_types``."""
@@ -204,10 +249,11 @@ def replace_entities(docs: DataFrame, secret: str, id_col: str = "doc_id", text_
     said = hit.select("_id", "_h", F.posexplode("_found").alias("pos", "mention")).distinct()
     said = said.withColumn("kind", _kind(F.col("mention")))
     parts = said.select("*", F.posexplode(keys(F.col("kind"), F.col("mention"))).alias("sub", "e"))
-    parts = keep(parts.select("_id", "_h", "pos", "mention", "kind", "sub", "e.type", "e.canon"))
-    known = registry(parts, secret).select(F.struct("type", "canon").alias("entity"), "surrogate")
+    parts = keep(parts.select("_id", "_h", "pos", "mention", "kind", "sub", "e.type", "e.canon", "e.ending"))
+    known = named_entities(parts, secret)
     parts = parts.withColumn("entity", F.struct("type", "canon"))
     parts = left_join_salted(parts, known, "entity", F.struct("_id", "_h", "pos"))
+    parts = parts.withColumn("surrogate", F.concat("surrogate", "ending"))
     whole = parts.groupBy("_id", "_h", "pos", "mention", "kind").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("sub", "surrogate"))), lambda x: x["surrogate"]).alias("s"))
     whole = whole.withColumn("new", dressed(F.col("mention"), F.col("kind"), F.col("s")))

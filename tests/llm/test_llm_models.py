@@ -342,6 +342,26 @@ def test_surrogates(make_docs):
     assert surrogates.replace_entities(make_docs([]), "key").count() == 0
 
 
+def test_surrogates_whole_names(make_docs):
+    """No word of a name is left, whatever its form, and titles of one person agree."""
+    rows = [(1, "Mr. John Michael Smith left."), (2, "Ms. Anna-Maria Schmidt and Mrs. Mary Smith-Jones met."), (3, "Mr. McDonald saw Dr. O'Brien's car."),
+            (4, "Mr. J. Smith, Dr. Smith, Mr. J.R. Smith and Mr. Smith."), (5, "Dr. John Smith and Prof. Dr. Schmidt"), (6, "Mr. Ludwig van Beethoven Jr. came"),
+            (7, "Ms. Kim Lee-O’Hara-MACDONALD"), (8, "г-н Иванов, г-жа Иванова"), (9, "Mr. Smith Mrs. Mary Jones"), (10, "Herr Dr. Jean-Paul DeVito.")]
+    got = {r["doc_id"]: r["text"] for r in surrogates.replace_entities(make_docs(rows), "key").collect()}
+    for word in ("John Michael Smith Anna Maria Schmidt Mary Jones McDonald O'Brien Brien Ludwig Beethoven Kim Lee Hara MACDONALD "
+                 "Иванов Jean Paul DeVito").split():
+        assert not any(re.search(rf"(?<!\w){word}(?!\w)", t) for t in got.values()), word
+    given, family = re.fullmatch(r"Mr\. (\w+) \w+ (\w+) left\.", got[1]).groups()
+    assert given in surrogates.GIVEN["latin"]["m"]
+    schmidt = re.fullmatch(rf"Ms\. \w+-\w+ (\w+) and Mrs\. \w+ {family}-\w+ met\.", got[2])[1]
+    assert re.fullmatch(r"Mr\. \w+ saw Dr\. \w+'s car\.", got[3])
+    assert re.fullmatch(rf"Mr\. [A-IK-Z]\. {family}, Dr\. {family}, Mr\. [A-IK-Z]\.[A-QS-Z]\. {family} and Mr\. {family}\.", got[4])
+    assert got[5] == f"Dr. {given} {family} and Prof. Dr. {schmidt}"
+    assert re.fullmatch(r"Mr\. \w+ van \w+ Jr\. came", got[6]) and re.fullmatch(r"Ms\. \w+ \w+-\w+-[A-Z]+", got[7])
+    assert re.fullmatch(r"г-н (\w+), г-жа \1а", got[8]) and re.fullmatch(rf"Mr\. {family} Mrs\. \w+ \w+", got[9])
+    assert re.fullmatch(r"Herr Dr\. \w+-\w+ \w+\.", got[10])
+
+
 def test_surrogates_stay_distinct(spark):
     """Far more names than the lists hold: collisions are redrawn until all differ."""
     names = [(f"n{i}",) for i in range(300)]
