@@ -50,8 +50,8 @@ STAGES = [
     ("best-fit packing", pack_sequences),
 ]
 
-# A trained classifier, MinHash and SimHash have no exact SQL statement; tests/llm holds the
-# stages against brute-force versions.
+# A trained classifier, MinHash and SimHash have no exact SQL statement; tests/llm/test_pipeline.py
+# holds the stages of a whole run against brute-force versions.
 ORACLE_SQL = None
 
 
