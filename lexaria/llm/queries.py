@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexaria.llm import ann, hmm, lines, mixing, packing, quality, simhash, surrogates, urls, vector_dups
+from lexaria.llm import ann, hmm, lines, mixing, packing, quality, repair, runs, simhash, suffix_dedup, surrogates, urls, vector_dups
 from lexaria.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +163,35 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = lines.line_decisions(read_table(spark, sf_dir, "documents"))
     return got.withColumnRenamed("line", "line_id").withColumnRenamed("component", "component_id")
+
+
+@query("op11_lcp_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = runs.planted(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    got = runs.periodic_runs(docs)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n"))), "")
+    got = got.withColumn("_best", longest)
+    return got.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("_best.start")).alias("start"),
+        F.col("_best.length").alias("length"), (-F.col("_best.period")).alias("period"),
+        F.expr("(1000 * _best.length) div (-_best.period)").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op12_conversation_repair")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hurt = repair.damaged(rows)
+    plan, found = repair.plan_repairs(hurt, rows)
+    sha = repair.hashes(repair.repaired_rows(hurt, plan, found)).withColumnRenamed("conv", "_conv")
+    names = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit"]
+    return plan.join(sha, plan.conv.eqNullSafe(sha._conv)).select(plan.conv.alias("conv_id"), *names, "repaired_sha256")
+
+
+@query("op13_suffix_array")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.stop - s.start)
+    return got.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
