@@ -38,9 +38,9 @@ from lexaria.llm.common import left_join_salted, store, text_slices
 WIDTH = 50
 GRAM = 16
 CHUNK = 1 << 21
-BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 32 << 20
 PER_BUCKET = 64
-LOT = 1 << 20
+LOT = 1 << 18
 _TOP = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15
 
@@ -116,7 +116,7 @@ def _pack(ids, buf, start, count, place, row, pos, width) -> bytes:
     parts += [x.astype(kind) for x, (_, kind) in zip((count, place, row, pos), _FIELDS)]
     parts.append(_gather(buf, start, count + width - 1))
     raw = b"".join(p.tobytes() for p in parts)
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
 
 
 def _unpack(blob: bytes) -> dict[str, np.ndarray]:
@@ -133,6 +133,24 @@ def _unpack(blob: bytes) -> dict[str, np.ndarray]:
     return out | {"d": ids[row, 0], "x": ids[row, 1], "bytes": np.frombuffer(raw, np.uint8, -1, at)}
 
 
+def _unpack_all(blobs: list[bytes]) -> dict[str, np.ndarray]:
+    """The entries of all blobs; eight zeros follow the bytes.  ``blobs`` is emptied."""
+    kept, parts = [], {}
+    while blobs:
+        got = _unpack(blobs.pop())
+        kept.append(got.pop("bytes"))
+        for name, col in got.items():
+            parts.setdefault(name, []).append(col.copy())
+    out = {name: np.concatenate(cols) for name, cols in parts.items()}
+    flat = np.zeros(sum(map(len, kept)) + 8, np.uint8)
+    end = len(flat) - 8
+    while kept:  # from the last one on, so that each part is freed as it is copied
+        part = kept.pop()
+        flat[end - len(part):end] = part
+        end -= len(part)
+    return out | {"bytes": flat}
+
+
 def _blobs(splitters: np.ndarray, width: int, chunk: int):
     def run(batches):
         for buf, ids, (start, count, anchor, row, pos) in _windows(batches, width, chunk):
@@ -188,9 +206,9 @@ def multikey_quicksort(head: np.ndarray, depths: int, char) -> tuple[np.ndarray,
     return order, head
 
 
-def _words(data: np.ndarray) -> np.ndarray:
-    """Eight bytes from every place on as one number, the first byte highest (zeros behind the end)."""
-    return np.ndarray((len(data),), ">u8", np.r_[data, np.zeros(8, np.uint8)].tobytes(), strides=(1,))
+def _words(padded: np.ndarray) -> np.ndarray:
+    """Eight bytes from every place on as one number, the first byte highest."""
+    return np.ndarray((len(padded) - 7,), ">u8", padded, strides=(1,))
 
 
 def _group_min(value: np.ndarray, head: np.ndarray) -> np.ndarray:
@@ -257,8 +275,7 @@ def _decide_lot(got, words, base, entry, group, wide, width):
 
 def _bucket(splitters: np.ndarray, width: int):
     def decide(blobs):
-        parts = [_unpack(b) for b in blobs]
-        return _decide({k: np.concatenate([p[k] for p in parts]) for k in parts[0]}, splitters, width)
+        return _decide(_unpack_all(blobs), splitters, width)
 
     def run(batches):
         number, blobs = None, []
