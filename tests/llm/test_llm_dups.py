@@ -236,3 +236,75 @@ def test_empty_tables(make_docs, spark):
     assert simhash.simhash_components(make_docs([])).count() == 0
     assert lines.line_decisions(make_docs([])).count() == 0
     assert vector_dups.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def similarity(a, b):
+    x, y = ({t[i:i + lines.SHINGLE] for i in range(max(1, len(t) - lines.SHINGLE + 1))} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_big_buckets(spark, reach, monkeypatch):
+    """Near copies of a few lines and lines of no cluster in one bucket: exact components, a linear number of edges."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    texts = []
+    for size in (220, 60, 25, 9, 2):
+        base = [word() for _ in range(20)]
+        for _ in range(size):
+            w = list(base)
+            w[rng.randrange(20)] = word()
+            texts.append(" ".join(w))
+    texts += [" ".join(word() for _ in range(20)) for _ in range(20)]
+    chain = [word() for _ in range(20)]  # each near the one before, far from the first
+    for _ in range(15):
+        chain = chain[1:] + [word()]
+        texts.append(" ".join(chain))
+    rows = [(1, 8, i % 8, 1000 + i, t) for i, t in enumerate(texts)]
+    links = [(1000 + i, 1000 + j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if similarity(texts[i], texts[j]) >= 0.8]
+    want = reach(links, range(1000, 1000 + len(texts)))
+    for pivots in (1, 32):
+        monkeypatch.setattr(lines, "PIVOTS", pivots)
+        edges = lines._big_links(spark.createDataFrame(rows, "k long, parts int, blk int, line long, x string").repartition(3)).collect()
+        got = reach([(r.u, r.v) for r in edges], range(1000, 1000 + len(texts)))
+        assert got == want
+        assert pivots == 1 or len(edges) < 5 * len(texts)
+
+
+def test_edges_of_near_copies_are_linear(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    base, counts = [word() for _ in range(24)], []
+    for n in (1000, 2000):
+        texts = []
+        for _ in range(n):
+            w = list(base)
+            w[rng.randrange(24)] = word()
+            texts.append(" ".join(w))
+        rows = [(1, -(-n // lines.BLOCK), i % -(-n // lines.BLOCK), i, t) for i, t in enumerate(texts)]
+        big = spark.createDataFrame(rows, "k long, parts int, blk int, line long, x string").repartition(4)
+        counts.append(lines._big_links(big).count())
+    assert counts[1] < 2.3 * counts[0]
+
+
+def test_very_long_lines():
+    rng = random.Random(14)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(400_000))
+    near = long[:200_000] + "x" * 50 + long[200_050:]
+    texts = ["one", long, near, "two", long[:5], "some other line"]
+    sig = lines.signatures(texts)
+    alone = np.concatenate([lines.signatures([t]) for t in texts])
+    assert (sig == alone).all()
+    assert (sig[1] == sig[2]).any()
+    i, j = lines.near_pairs(lines.shingle_codes(texts * 2))
+    whole = set(zip(i.tolist(), j.tolist()))
+    assert {(1, 2), (1, 7), (1, 8), (0, 6)} <= whole and (0, 1) not in whole
+
+
+def test_slabs_of_shingles(monkeypatch):
+    rng = random.Random(15)
+    texts = ["".join(rng.choice("ab") for _ in range(30)) for _ in range(60)] + ["abc" * 50] * 3
+    want = [x.tolist() for x in lines.near_pairs(lines.shingle_codes(texts))]
+    monkeypatch.setattr(lines, "CELLS", 100)
+    assert [x.tolist() for x in lines.near_pairs(lines.shingle_codes(texts))] == want
+    i, j = lines.near_pairs(lines.shingle_codes(texts), 7)
+    assert [(a, b) for a, b in zip(i, j)] == [(a, b) for a, b in zip(*want) if a < 7]
