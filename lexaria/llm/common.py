@@ -79,6 +79,22 @@ def text_slices(batches: Iterable[pa.RecordBatch], column: str, max_chars: int =
             start = stop
 
 
+def of_texts(kind: str, fn, max_chars: int = 500_000, rows: int = 1 << 30):
+    """Column function of a text column: ``fn`` turns a list of texts into a numpy array of values.
+
+    Only the text goes to Python and only the value comes back; the other columns stay where they are.
+    """
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            got = []
+            for part in text_slices([pa.RecordBatch.from_arrays([column], ["t"])], "t", max_chars):
+                for s in range(0, part.num_rows, rows):
+                    got.append(np.asarray(fn(part.slice(s, rows).column("t").to_pylist())))
+            yield pa.array(np.concatenate(got)) if got else pa.array([], pa.null())
+
+    return F.arrow_udf(run, kind)
+
+
 def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
     """Re-cut a key-sorted stream of batches so that no key is divided between two chunks.
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexaria.llm.common import held_out, keep, text_slices
+from lexaria.llm.common import held_out, keep, of_texts, text_slices
 
 FEATURES = 4096
 DIM = 32
@@ -208,16 +208,8 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: floa
     model = fit(docs, labels, lambda c: ~held_out(c, folds), id_col, text_col, label_col)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c != out]
-    wide = docs.select(F.struct(*names).alias("_doc"), F.col(text_col).alias("_text"))
-
-    def run(batches):
-        m = sent.value
-        for part in _rows(batches, "_text"):
-            score = m.scores(part.column("_text").to_pylist())
-            yield pa.RecordBatch.from_arrays([part.column("_doc"), pa.array(score)], ["_doc", "_score"])
-
-    kind = wide.schema["_doc"].dataType.simpleString()
-    voted = wide.mapInArrow(run, f"_doc {kind}, _score double")
+    score = of_texts("double", lambda texts: sent.value.scores(texts), 250_000, rows=128)
+    voted = docs.select(F.struct(*names).alias("_doc"), score(F.col(text_col)).alias("_score"))
     cols = [F.col("_doc")[c].alias(c) for c in names]
     verdict = F.struct(held_out(F.col("_doc")[id_col], folds).alias("held_out"), F.col("_score").alias("score"),
                        F.when(F.col("_score") >= threshold, 1).otherwise(0).alias("predicted"))

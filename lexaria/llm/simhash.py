@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexaria.llm.common import Forest, keep, left_join_salted, pairs_in_groups, text_slices, whole_groups
+from lexaria.llm.common import Forest, keep, left_join_salted, of_texts, pairs_in_groups, whole_groups
 from lexaria.llm.components import connected_components
 from lexaria.llm.hashing import xxh64_slices
 
@@ -84,14 +84,8 @@ def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def _marked(src: DataFrame, text: str, shingle: int) -> DataFrame:
     """``src`` with the fingerprint ``fp`` instead of its column ``text``."""
-    names = [c for c in src.columns if c != text]
-
-    def run(batches):
-        for part in text_slices(batches, text):
-            fp = fingerprints(part.column(text).to_pylist(), shingle)
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(fp.view(np.int64))], [*names, "fp"])
-
-    return src.mapInArrow(run, ", ".join(f"{c} {src.schema[c].dataType.simpleString()}" for c in names) + ", fp long")
+    mark = of_texts("long", lambda texts: fingerprints(texts, shingle).view(np.int64))
+    return src.withColumn("fp", mark(F.col(text))).drop(text)
 
 
 def segments(max_distance: int) -> list[int]:
