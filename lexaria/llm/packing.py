@@ -207,22 +207,20 @@ def pack(docs: DataFrame, tokenizer: str, pattern: str, capacity: int = CAPACITY
     base = base.select("length", "_b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("length", "_b").orderBy(*key)) - 1)
     rows = rows.join(base, ["length", "_b"]).withColumn("_rank", F.col("_k") + F.col("base"))
-    names = [c for c in cut.columns]
-
-    def run(batches):
-        for b in batches:
-            n, rank = b.column("length").to_numpy(), b.column("_rank").to_numpy()
-            seq, off = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
-            for x in np.unique(n):
-                lo, first, offset = sent.value[int(x)]
-                m = n == x
-                at = np.searchsorted(lo, rank[m], side="right") - 1
-                seq[m], off[m] = first[at] + rank[m] - lo[at], offset[at]
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in names] + [pa.array(seq), pa.array(off)],
-                                             [*names, "sequence_id", "offset"])
-
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
-    return rows.select(*names, "_rank").mapInArrow(run, kind)
+    def places_of(length: pa.Array, rank: pa.Array) -> pa.Array:
+        n, rank = length.to_numpy(), rank.to_numpy()
+        seq, off = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+        for x in np.unique(n):
+            lo, first, offset = sent.value[int(x)]
+            m = n == x
+            at = np.searchsorted(lo, rank[m], side="right") - 1
+            seq[m], off[m] = first[at] + rank[m] - lo[at], offset[at]
+        return pa.StructArray.from_arrays([pa.array(seq), pa.array(off)], ["sequence_id", "offset"])
+
+    # two numbers a piece go through Python, the ids don't
+    place = F.arrow_udf(places_of, "struct<sequence_id:long,offset:long>")
+    placed = rows.select(*cut.columns, place(F.col("length"), F.col("_rank")).alias("_place"))
+    return placed.select(*cut.columns, "_place.sequence_id", "_place.offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
