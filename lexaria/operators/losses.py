@@ -1,79 +1,196 @@
-"""In-batch similarity losses.
+"""In-batch similarity losses (D6, D8, E23-E26) as block products.
 
-A batch table is ``(batch_id, i, vec...)``.  In-batch all-pairs similarity is
-an equi-join on ``batch_id`` (hash join plus a filter), so the pair count is
-``batch_size²`` per batch — quadratic only in the batch-size parameter, never
-in the data.  Log-sum-exp is computed with the row max subtracted.
+A batch table is ``(batch_id, i, vec...)``.  The rows of a batch come to one task (a batch is
+bounded by the batch size, a parameter), which multiplies its matrices in blocks of ``BLOCK`` rows
+and keeps a running maximum and sum of exponentials per row.  What leaves the task is one
+row per input row: maxima, sums, log-probabilities, gradients.  No plan has a row per pair.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexaria.functions import vectors as Vx
+from lexaria.functions.arrow import by_key, lists, matrix
 
+BLOCK = 256
 
-def in_batch_pairs(batch: DataFrame, cols: list[str], diagonal: bool = False) -> DataFrame:
-    """D6 (``diagonal=False``: ``i <> j``) / D8 (all pairs): dot products of the
-    L2-normalised (clamped) vectors for every column in ``cols``.
 
-    Output ``(batch_id, i, j, <col>...)``.
-    """
-    norm = batch.select("batch_id", "i", *[Vx.l2_normalize_clamped(c).alias(c) for c in cols])
-    a = norm.select("batch_id", "i", *[F.col(c).alias("a_" + c) for c in cols])
-    b = norm.select("batch_id", F.col("i").alias("j"), *[F.col(c).alias("b_" + c) for c in cols])
-    j = a.join(b, "batch_id")
-    if not diagonal:
-        j = j.where(F.col("i") != F.col("j"))
-    return j.select("batch_id", "i", "j", *[Vx.dot("a_" + c, "b_" + c).alias(c) for c in cols])
-
-
-def bipartite_pairs(batch: DataFrame, src: str = "src", tgt: str = "tgt") -> DataFrame:
-    """``src_i · tgt_j`` for every i, j of a batch (diagonal kept)."""
-    s = batch.select("batch_id", "i", Vx.l2_normalize_clamped(src).alias("u"))
-    t = batch.select("batch_id", F.col("i").alias("j"), Vx.l2_normalize_clamped(tgt).alias("v"))
-    return s.join(t, "batch_id").select("batch_id", "i", "j", Vx.dot("u", "v").alias("sim"))
-
-
-def _log_softmax_parts(df: DataFrame, logit: str, keys: list[str], prefix: str) -> DataFrame:
-    w = Window.partitionBy(*keys)
-    m = F.max(logit).over(w)
-    out = df.withColumn(prefix + "_max", m)
-    out = out.withColumn(
-        prefix + "_lse",
-        F.col(prefix + "_max") + F.log(F.sum(F.exp(F.col(logit) - F.col(prefix + "_max"))).over(w)),
-    )
-    return out.withColumn(prefix + "_logp", F.col(logit) - F.col(prefix + "_lse")).drop(prefix + "_max", prefix + "_lse")
+def unit(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows over their clamped length, lengths)."""
+    n = np.sqrt((m * m).sum(1))
+    return m / np.maximum(n, 1e-12)[:, None], n
 
 
-def distillation_loss(pairs: DataFrame, temperature: float = 0.05, student: str = "student",
-                      teacher: str = "teacher", min_batch: int = 2) -> DataFrame:
-    """E23 per batch: ``-Σ_{i≠j} Q_ij log P_ij / Σ Q`` with row softmax at ``T``.
+def blocks(u: np.ndarray, v: np.ndarray, diagonal: bool) -> Iterator[tuple[slice, slice, np.ndarray]]:
+    """Products ``u v^T`` block by block; without ``diagonal`` a row's own column is ``-inf``."""
+    for a in range(0, len(u), BLOCK):
+        for b in range(0, len(v), BLOCK):
+            p = u[a:a + BLOCK] @ v[b:b + BLOCK].T
+            if not diagonal and a == b:
+                np.fill_diagonal(p, -np.inf)
+            yield slice(a, a + len(p)), slice(b, b + p.shape[1]), p
 
-    ``pairs`` comes from D6 (diagonal already excluded).  Batches under
-    ``min_batch`` rows are skipped.  Output ``(batch_id, loss, n)``.
-    """
-    x = pairs.withColumn("_ls", F.col(student) / temperature).withColumn("_lt", F.col(teacher) / temperature)
-    x = _log_softmax_parts(x, "_ls", ["batch_id", "i"], "s")
-    x = _log_softmax_parts(x, "_lt", ["batch_id", "i"], "t")
-    x = x.withColumn("_q", F.exp("t_logp"))
-    per_batch = x.groupBy("batch_id").agg(
-        (-F.sum(F.col("_q") * F.col("s_logp")) / F.sum("_q")).alias("loss"),
-        F.countDistinct("i").cast("bigint").alias("n"),
-    )
-    return per_batch.where(F.col("n") >= min_batch)
+
+class RunningLse:
+    """Log of the sum of exponentials of every row, fed with blocks of its entries."""
+
+    def __init__(self, n: int):
+        self.top, self.sum = np.full(n, -np.inf), np.zeros(n)
+
+    def add(self, rows: slice, x: np.ndarray) -> None:
+        top = np.maximum(self.top[rows], x.max(1))
+        base = np.where(np.isfinite(top), top, 0.0)
+        self.sum[rows] = self.sum[rows] * np.exp(self.top[rows] - base) + np.exp(x - base[:, None]).sum(1)
+        self.top[rows] = top
+
+    def value(self) -> np.ndarray:
+        with np.errstate(divide="ignore"):
+            return np.where(np.isfinite(self.top), self.top, 0.0) + np.log(self.sum)
 
 
-def contrastive_loss(sims: DataFrame, temperature: float = 0.05) -> DataFrame:
+def _per_batch(batch: DataFrame, cols: list[str], fn, schema: str) -> DataFrame:
+    """``fn(matrices) -> columns`` for every batch; adds batch_id, i and n (rows of the batch)."""
+    src = batch.select("batch_id", "i", *[Vx.as_double(c).alias(c) for c in cols])
+    src = src.repartition("batch_id").sortWithinPartitions("batch_id", "i")
+    kind = ", ".join(f"{c} {src.schema[c].dataType.simpleString()}" for c in ("batch_id", "i"))
+
+    def run(batches):
+        for t in by_key(batches, "batch_id"):
+            out = fn(*[matrix(t.column(c)) for c in cols])
+            t = t.combine_chunks()
+            fixed = {"batch_id": t.column("batch_id").chunk(0), "i": t.column("i").chunk(0),
+                     "n": pa.array(np.full(t.num_rows, t.num_rows, np.int64))}
+            yield pa.RecordBatch.from_pydict(fixed | out)
+
+    return src.mapInArrow(run, f"{kind}, n long, {schema}")
+
+
+def in_batch_rows(batch: DataFrame, cols: list[str]) -> DataFrame:
+    """Over the other rows of the batch, the largest and the summed cosine of every column.
+
+    Output ``(batch_id, i, n, <col>_max, <col>_sum...)``; a batch of one row has null and 0.
+    """
+    def fn(*mats):
+        out = {}
+        for c, m in zip(cols, mats):
+            u, _ = unit(m)
+            top, total = np.full(len(u), -np.inf), np.zeros(len(u))
+            for r, _, p in blocks(u, u, False):
+                top[r] = np.maximum(top[r], p.max(1))
+                total[r] += np.where(np.isfinite(p), p, 0.0).sum(1)
+            out |= {c + "_max": pa.array(top, mask=~np.isfinite(top)), c + "_sum": pa.array(total)}
+        return out
+
+    return _per_batch(batch, cols, fn, ", ".join(f"{c}_max double, {c}_sum double" for c in cols))
+
+
+def bipartite_rows(batch: DataFrame, src: str = "src", tgt: str = "tgt") -> DataFrame:
+    """Cosines ``src_i . tgt_j`` of a batch: the row's own one (``sim``), and maximum and sum of
+    row i (``row_*``) and of column i (``col_*``), the diagonal included."""
+    def fn(s, t):
+        u, v = unit(s)[0], unit(t)[0]
+        n = len(u)
+        out = {k: np.full(n, -np.inf) if k.endswith("max") else np.zeros(n) for k in ("row_max", "row_sum", "col_max", "col_sum")}
+        for r, c, p in blocks(u, v, True):
+            out["row_max"][r], out["col_max"][c] = np.maximum(out["row_max"][r], p.max(1)), np.maximum(out["col_max"][c], p.max(0))
+            out["row_sum"][r] += p.sum(1)
+            out["col_sum"][c] += p.sum(0)
+        return {"sim": pa.array((u * v).sum(1))} | {k: pa.array(x) for k, x in out.items()}
+
+    return _per_batch(batch, [src, tgt], fn, "sim double, row_max double, row_sum double, col_max double, col_sum double")
+
+
+def through_unit(d: np.ndarray, u: np.ndarray, length: np.ndarray) -> pa.Array:
+    """Gradient wrt the raw vector from the one wrt its unit vector; null where the vector is zero."""
+    g = d - u * (u * d).sum(1)[:, None]
+    out = lists(g / np.where(length > 0, length, 1.0)[:, None])
+    return pa.ListArray.from_arrays(out.offsets, out.values, mask=pa.array(length <= 0)) if (length <= 0).any() else out
+
+
+def distillation_rows(batch: DataFrame, temperature: float = 0.05, student: str = "student", teacher: str = "teacher",
+                      gradient: bool = False) -> DataFrame:
+    """Per row of a batch: ``q = Σ_j Q_ij`` and ``ql = -Σ_j Q_ij log P_ij`` over j <> i, and with ``gradient`` the
+    vector ``ds`` of the batch loss ``Σ ql / n`` wrt the raw student vector.
+
+    P and Q are the softmax of the students' and the teachers' cosines over ``temperature``.
+    """
+    def fn(s, t):
+        (u, length), (v, _), n = unit(s), unit(t), len(s)
+        if n < 2:
+            zero = pa.array(np.zeros(n))
+            return {"q": zero, "ql": zero} | ({"ds": pa.nulls(n, pa.list_(pa.float64()))} if gradient else {})
+        zs, zt = RunningLse(n), RunningLse(n)
+        for (r, _, ps), (_, _, pt) in zip(blocks(u, u, False), blocks(v, v, False)):
+            zs.add(r, ps / temperature)
+            zt.add(r, pt / temperature)
+        zs, zt, q, ql, du = zs.value(), zt.value(), np.zeros(n), np.zeros(n), np.zeros_like(u)
+        for (r, c, ps), (_, _, pt) in zip(blocks(u, u, False), blocks(v, v, False)):
+            log_p = ps / temperature - zs[r, None]
+            big_q = np.exp(pt / temperature - zt[r, None])
+            q[r] += big_q.sum(1)
+            ql[r] -= np.where(big_q > 0, big_q * np.where(np.isfinite(log_p), log_p, 0.0), 0.0).sum(1)
+            if gradient:
+                g = (np.exp(log_p) - big_q) / (n * temperature)
+                du[r] += g @ u[c]
+                du[c] += g.T @ u[r]
+        return {"q": pa.array(q), "ql": pa.array(ql)} | ({"ds": through_unit(du, u, length)} if gradient else {})
+
+    return _per_batch(batch, [student, teacher], fn, "q double, ql double" + ", ds array<double>" * gradient)
+
+
+def distillation_of(rows: DataFrame, min_batch: int = 2) -> DataFrame:
+    """``(batch_id, loss, n)`` from ``distillation_rows``; batches under ``min_batch`` rows are skipped."""
+    per = rows.groupBy("batch_id").agg((F.sum("ql") / F.sum("q")).alias("loss"), F.max("n").alias("n"), F.sum("q").alias("_q"))
+    return per.where((F.col("n") >= min_batch) & (F.col("_q") > 0)).drop("_q")
+
+
+def distillation_loss(batch: DataFrame, temperature: float = 0.05, student: str = "student",
+                      teacher: str = "teacher", min_batch: int = 2) -> DataFrame:
+    """E23 per batch: ``-Σ_{i≠j} Q_ij log P_ij / Σ Q`` with row softmax at ``T``.  Output ``(batch_id, loss, n)``."""
+    return distillation_of(distillation_rows(batch, temperature, student, teacher), min_batch)
+
+
+def contrastive_rows(batch: DataFrame, temperature: float = 0.05, src: str = "src", tgt: str = "tgt",
+                     gradient: bool = False) -> DataFrame:
+    """Per row of a batch the log-probability of its own pair in its row (``row_logp``) and column (``col_logp``) of
+    the cosines over ``temperature``, and with ``gradient`` ``dsrc`` and ``dtgt`` wrt the raw vectors."""
+    def fn(s, t):
+        (u, nu), (v, nv), n = unit(s), unit(t), len(s)
+        rows, cols = RunningLse(n), RunningLse(n)
+        for r, c, p in blocks(u, v, True):
+            rows.add(r, p / temperature)
+            cols.add(c, p.T / temperature)
+        zr, zc, own = rows.value(), cols.value(), (u * v).sum(1) / temperature
+        out = {"row_logp": pa.array(own - zr), "col_logp": pa.array(own - zc)}
+        if gradient:
+            du, dv = np.zeros_like(u), np.zeros_like(v)
+            for r, c, p in blocks(u, v, True):
+                g = np.exp(p / temperature - zr[r, None]) + np.exp(p / temperature - zc[None, c])
+                if r == c:
+                    np.fill_diagonal(g, g.diagonal() - 2)
+                g /= n * temperature
+                du[r] += g @ v[c]
+                dv[c] += g.T @ u[r]
+            out |= {"dsrc": through_unit(du, u, nu), "dtgt": through_unit(dv, v, nv)}
+        return out
+
+    return _per_batch(batch, [src, tgt], fn, "row_logp double, col_logp double" + ", dsrc array<double>, dtgt array<double>" * gradient)
+
+
+def contrastive_of(rows: DataFrame) -> DataFrame:
+    """``(batch_id, loss, n)`` from ``contrastive_rows``."""
+    return rows.groupBy("batch_id").agg((-F.avg("row_logp") - F.avg("col_logp")).alias("loss"), F.max("n").alias("n"))
+
+
+def contrastive_loss(batch: DataFrame, temperature: float = 0.05, src: str = "src", tgt: str = "tgt") -> DataFrame:
     """E24 per batch: ``-mean_i log softmax_j(sim/T)[i,i]`` plus the same over columns."""
-    x = sims.withColumn("_l", F.col("sim") / temperature)
-    rows = _log_softmax_parts(x, "_l", ["batch_id", "i"], "r")
-    cols = _log_softmax_parts(rows, "_l", ["batch_id", "j"], "c")
-    diag = cols.where(F.col("i") == F.col("j"))
-    return diag.groupBy("batch_id").agg(
-        (-F.avg("r_logp") - F.avg("c_logp")).alias("loss"), F.count(F.lit(1)).cast("bigint").alias("n")
-    )
+    return contrastive_of(contrastive_rows(batch, temperature, src, tgt))
 
 
 def cosine_regression_loss(outputs: DataFrame, targets: DataFrame, params: DataFrame, key: str = "text_id",

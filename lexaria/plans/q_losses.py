@@ -51,19 +51,19 @@ GROUP BY batch_id HAVING count(DISTINCT i) >= 2""")
 
 
 @register("d06_in_batch_similarity", with_ctes(["d6"], """
-SELECT batch_id, i, j, round(student, 6) + 0.0 AS student, round(teacher, 6) + 0.0 AS teacher FROM d6"""))
+SELECT batch_id, i, CAST(count(*) + 1 AS BIGINT) AS n, round(max(student), 6) + 0.0 AS student_max, round(sum(student), 6) + 0.0 AS student_sum,
+       round(max(teacher), 6) + 0.0 AS teacher_max, round(sum(teacher), 6) + 0.0 AS teacher_sum
+FROM d6 GROUP BY batch_id, i"""))
 def d06_in_batch_similarity(spark, sf):
-    """All pairs i != j inside each batch of 32 (hash join on batch_id + filter)."""
-    p = L.in_batch_pairs(_batches(spark, sf), ["student", "teacher"])
-    return p.select("batch_id", "i", "j", Vx.round_col("student").alias("student"),
-                    Vx.round_col("teacher").alias("teacher"))
+    """Every row against the other rows of its batch of 32: largest and summed cosine (block products)."""
+    p = L.in_batch_rows(_batches(spark, sf), ["student", "teacher"]).where("n > 1")
+    return p.select("batch_id", "i", "n", *[Vx.round_col(c).alias(c) for c in p.columns[3:]])
 
 
 @register("e23_distillation_loss", with_ctes(["e23"], "SELECT batch_id, round(loss, 6) + 0.0 AS loss, n FROM e23"))
 def e23_distillation_loss(spark, sf):
     """Per-batch cross-entropy between teacher and student in-batch softmax (T=0.05)."""
-    p = L.in_batch_pairs(_batches(spark, sf), ["student", "teacher"])
-    return L.distillation_loss(p, T).select("batch_id", Vx.round_col("loss").alias("loss"), "n")
+    return L.distillation_loss(_batches(spark, sf), T).select("batch_id", Vx.round_col("loss").alias("loss"), "n")
 
 
 @register("e26_epoch_loss", with_ctes(["e23"], """
@@ -71,8 +71,7 @@ SELECT round(sum(loss) / greatest(count(*), 1), 6) + 0.0 AS epoch_loss, round(su
 FROM e23"""))
 def e26_epoch_loss(spark, sf):
     """Mean over batches (current) and sum over batches (historical)."""
-    p = L.in_batch_pairs(_batches(spark, sf), ["student", "teacher"])
-    bl = L.distillation_loss(p, T)
+    bl = L.distillation_loss(_batches(spark, sf), T)
     agg = bl.agg((F.sum("loss") / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("m"), F.sum("loss").alias("s"))
     return agg.select(Vx.round_col("m").alias("epoch_loss"), Vx.round_col("s").alias("epoch_loss_sum"))
 
@@ -82,12 +81,15 @@ SELECT a.batch_id, a.i, b.i AS j, {dot('a.s', 'b.t')} AS sim FROM batches a JOIN
 
 
 @register("d08_bipartite_similarity", with_ctes(["d8"], """
-SELECT batch_id, i, j, round(sim, 6) + 0.0 AS sim FROM d8"""))
+SELECT r.batch_id, r.i, r.n, sim, row_max, row_sum, col_max, col_sum
+FROM (SELECT batch_id, i, CAST(count(*) AS BIGINT) AS n, round(max(CASE WHEN i = j THEN sim END), 6) + 0.0 AS sim,
+             round(max(sim), 6) + 0.0 AS row_max, round(sum(sim), 6) + 0.0 AS row_sum FROM d8 GROUP BY batch_id, i) r
+JOIN (SELECT batch_id, j, round(max(sim), 6) + 0.0 AS col_max, round(sum(sim), 6) + 0.0 AS col_sum FROM d8 GROUP BY batch_id, j) c
+  ON c.batch_id = r.batch_id AND c.j = r.i"""))
 def d08_bipartite_similarity(spark, sf):
-    """src_i . tgt_j for all i, j of each batch (diagonal kept)."""
-    b = _batches(spark, sf)
-    s = L.bipartite_pairs(b, "student", "teacher")
-    return s.select("batch_id", "i", "j", Vx.round_col("sim").alias("sim"))
+    """src_i . tgt_j over each batch (diagonal kept): own cosine, row and column maximum and sum."""
+    s = L.bipartite_rows(_batches(spark, sf), "student", "teacher")
+    return s.select("batch_id", "i", "n", *[Vx.round_col(c).alias(c) for c in s.columns[3:]])
 
 
 @register("e24_contrastive_loss", with_ctes(["d8"], f"""
@@ -100,8 +102,7 @@ FROM (SELECT *, mr + ln(sum(exp(l - mr)) OVER (PARTITION BY batch_id, i)) AS zr,
 GROUP BY batch_id"""))
 def e24_contrastive_loss(spark, sf):
     """Symmetric in-batch contrastive loss, gold = the diagonal."""
-    s = L.bipartite_pairs(_batches(spark, sf), "student", "teacher")
-    return L.contrastive_loss(s, T).select("batch_id", Vx.round_col("loss").alias("loss"), "n")
+    return L.contrastive_loss(_batches(spark, sf), T, "student", "teacher").select("batch_id", Vx.round_col("loss").alias("loss"), "n")
 
 
 # ---- E25 cosine regression ------------------------------------------------------------------

@@ -19,7 +19,7 @@ from lexaria.operators import evaluate as EV
 from lexaria.operators import sampling as S
 from lexaria.plans import fixtures as FX
 from lexaria.plans.catalog import register
-from lexaria.plans.oracle import with_ctes
+from lexaria.plans.oracle import P1_SQL, TOK, add_cte, gold, with_ctes
 from lexaria.plans.q_vectors import long_sql
 from lexaria.session import stage_path
 from lexaria.train import driver as D
@@ -74,7 +74,72 @@ def k05_adam_step(spark, sf):
     return Vx.long_form(new.select("word", "vec"), ["word"], "vec")
 
 
-@register("k02_distillation_gradient")
+def _sums_sql(name: str, src: str, text: str, vectors: str = "word2vec") -> None:
+    """CTEs ``{name}_tf`` (batch_id, i, word, tf), ``{name}`` (long-form sums s per row and dim) and
+    ``{name}_u`` (unit vectors as lists, with the length of the sum)."""
+    add_cte(f"{name}_tf", [src, vectors], f"""
+SELECT batch_id, i, coalesce(e.word, l.word) AS word, CAST(count(*) AS DOUBLE) AS tf
+FROM (SELECT batch_id, i, unnest(regexp_extract_all({text}, '{TOK}')) AS w FROM {src}) t
+LEFT JOIN {vectors} e ON e.word = t.w LEFT JOIN {vectors} l ON l.word = lower(t.w)
+WHERE t.w NOT IN ({P1_SQL}) AND coalesce(e.word, l.word) IS NOT NULL GROUP BY ALL""")
+    add_cte(name, [f"{name}_tf", vectors], f"""
+SELECT t.batch_id, t.i, v.dim, sum(t.tf * v.value) AS s FROM {name}_tf t JOIN ({long_sql(vectors, 'word')}) v ON v.word = t.word
+GROUP BY ALL""")
+    add_cte(f"{name}_u", [name, src], f"""
+SELECT r.batch_id, r.i, coalesce(len, 0.0) AS len, coalesce(u, list_transform(range(0, 64), lambda x: 0.0::DOUBLE)) AS u
+FROM {src} r LEFT JOIN (
+  SELECT batch_id, i, sqrt(sum(s * s)) AS len, list_transform(list(s ORDER BY dim), lambda x: x / greatest(sqrt(sum(s * s)), 1e-12)) AS u
+  FROM {name} GROUP BY batch_id, i) x ON x.batch_id = r.batch_id AND x.i = r.i""")
+
+
+def _word_gradient_sql(parts: list[tuple[str, str]], src: str) -> str:
+    """Per-word gradient norms from (term frequencies, long-form row gradients ds)."""
+    both = " UNION ALL ".join(f"SELECT t.word, d.dim, t.tf * d.ds AS g FROM {tf} t JOIN {d} d ON d.batch_id = t.batch_id AND d.i = t.i"
+                              for tf, d in parts)
+    return f"""
+SELECT word, round(sqrt(sum(g * g)), 9) + 0.0 AS grad_norm
+FROM (SELECT word, dim, sum(g) / (SELECT count(DISTINCT batch_id) FROM {src}) AS g FROM ({both}) GROUP BY word, dim) GROUP BY word"""
+
+
+def _through_unit_sql(du: str, u: str) -> str:
+    """Row gradients wrt raw vectors (long form) from those wrt unit vectors (batch_id, i, dim, d)."""
+    return f"""
+SELECT batch_id, i, dim, (d - u * sum(d * u) OVER (PARTITION BY batch_id, i)) / len AS ds
+FROM (SELECT d.batch_id, d.i, d.dim, d.d, u.u[d.dim + 1] AS u, u.len FROM {du} d JOIN {u} u ON u.batch_id = d.batch_id AND u.i = d.i
+      WHERE u.len > 0)"""
+
+
+def _dot_sql(a: str, b: str) -> str:
+    return f"list_dot_product({a}, {b})"
+
+
+add_cte("k02_rows", [], f"""
+SELECT CAST(idx // 128 AS BIGINT) AS batch_id, CAST(idx % 128 AS BIGINT) AS i, sent_id, text
+FROM (SELECT sent_id, text, row_number() OVER (ORDER BY md5(concat_ws('|', '42', '0', sent_id)), sent_id) - 1 AS idx
+      FROM (SELECT lpad(CAST(conv_id AS VARCHAR), 19, '0') || '-' || lpad(CAST(turn AS VARCHAR), 19, '0') AS sent_id, text FROM conversations)
+      WHERE NOT {gold("sent_id", "'val'")} < 0.2)""")
+_sums_sql("k02_s", "k02_rows", "text")
+_sums_sql("k02_t", "k02_rows", "text", "w2v_shift")
+add_cte("k02_pairs", ["k02_s_u", "k02_t_u"], f"""
+SELECT a.batch_id, a.i, b.i AS j, b.u AS uj, {_dot_sql('a.u', 'b.u')} / 0.05 AS ls, {_dot_sql('ta.u', 'tb.u')} / 0.05 AS lt
+FROM k02_s_u a JOIN k02_s_u b ON b.batch_id = a.batch_id AND b.i <> a.i
+JOIN k02_t_u ta ON ta.batch_id = a.batch_id AND ta.i = a.i JOIN k02_t_u tb ON tb.batch_id = b.batch_id AND tb.i = b.i""")
+add_cte("k02_g", ["k02_pairs", "k02_rows"], """
+SELECT p.batch_id, i, j, (exp(ls - zs) - exp(lt - zt)) / (n * 0.05) AS g
+FROM (SELECT *, ms + ln(sum(exp(ls - ms)) OVER w) AS zs, mt + ln(sum(exp(lt - mt)) OVER w) AS zt
+      FROM (SELECT *, max(ls) OVER w AS ms, max(lt) OVER w AS mt FROM k02_pairs WINDOW w AS (PARTITION BY batch_id, i))
+      WINDOW w AS (PARTITION BY batch_id, i)) p
+JOIN (SELECT batch_id, count(*) AS n FROM k02_rows GROUP BY batch_id) b ON b.batch_id = p.batch_id""")
+add_cte("k02_du", ["k02_g", "k02_s_u"], """
+SELECT batch_id, i, dim, sum(gs * v) AS d
+FROM (SELECT x.batch_id, x.i, x.g + y.g AS gs, unnest(u.u) AS v, generate_subscripts(u.u, 1) - 1 AS dim
+      FROM k02_g x JOIN k02_g y ON y.batch_id = x.batch_id AND y.i = x.j AND y.j = x.i
+      JOIN k02_s_u u ON u.batch_id = x.batch_id AND u.i = x.j)
+GROUP BY batch_id, i, dim""")
+add_cte("k02_ds", ["k02_du", "k02_s_u"], _through_unit_sql("k02_du", "k02_s_u"))
+
+
+@register("k02_distillation_gradient", with_ctes(["k02_s_tf", "k02_ds", "k02_rows"], _word_gradient_sql([("k02_s_tf", "k02_ds")], "k02_rows")))
 def k02_distillation_gradient(spark, sf):
     """K2: one synchronous pass of the distillation gradient (batches of 128); per-word gradient norm."""
     train, _ = _split(spark, sf)
@@ -87,7 +152,29 @@ def k02_distillation_gradient(spark, sf):
     return grad.select("word", Vx.round_col(Vx.norm("g"), 9).alias("grad_norm"))
 
 
-@register("k03_contrastive_gradient")
+add_cte("k03_rows", ["conv_pairs"], """
+SELECT CAST(idx // 32 AS BIGINT) AS batch_id, CAST(idx % 32 AS BIGINT) AS i, a, b
+FROM (SELECT a, b, row_number() OVER (ORDER BY md5(concat_ws('|', '42', '0', pair_id)), pair_id) - 1 AS idx FROM conv_pairs)""")
+_sums_sql("k03_a", "k03_rows", "a")
+_sums_sql("k03_b", "k03_rows", "b")
+add_cte("k03_g", ["k03_a_u", "k03_b_u"], f"""
+SELECT batch_id, i, j, (exp(l - zr) + exp(l - zc) - CASE WHEN i = j THEN 2 ELSE 0 END) / (n * 0.05) AS g
+FROM (SELECT *, mr + ln(sum(exp(l - mr)) OVER (PARTITION BY batch_id, i)) AS zr, mc + ln(sum(exp(l - mc)) OVER (PARTITION BY batch_id, j)) AS zc,
+             count(*) OVER (PARTITION BY batch_id, i) AS n
+      FROM (SELECT *, max(l) OVER (PARTITION BY batch_id, i) AS mr, max(l) OVER (PARTITION BY batch_id, j) AS mc
+            FROM (SELECT a.batch_id, a.i, b.i AS j, {_dot_sql('a.u', 'b.u')} / 0.05 AS l
+                  FROM k03_a_u a JOIN k03_b_u b ON b.batch_id = a.batch_id)))""")
+for _side, _other, _own, _far in (("a", "b", "i", "j"), ("b", "a", "j", "i")):
+    add_cte(f"k03_{_side}_du", ["k03_g", f"k03_{_other}_u"], f"""
+SELECT batch_id, i, dim, sum(g * v) AS d
+FROM (SELECT x.batch_id, x.{_own} AS i, x.g, unnest(u.u) AS v, generate_subscripts(u.u, 1) - 1 AS dim
+      FROM k03_g x JOIN k03_{_other}_u u ON u.batch_id = x.batch_id AND u.i = x.{_far})
+GROUP BY batch_id, i, dim""")
+    add_cte(f"k03_{_side}_ds", [f"k03_{_side}_du", f"k03_{_side}_u"], _through_unit_sql(f"k03_{_side}_du", f"k03_{_side}_u"))
+
+
+@register("k03_contrastive_gradient", with_ctes(["k03_a_tf", "k03_b_tf", "k03_a_ds", "k03_b_ds", "k03_rows"],
+                                                _word_gradient_sql([("k03_a_tf", "k03_a_ds"), ("k03_b_tf", "k03_b_ds")], "k03_rows")))
 def k03_contrastive_gradient(spark, sf):
     """K3: one pass of the contrastive gradient over aligned turn pairs (batches of 32)."""
     p = FX.conversation_pairs(spark, sf).select(F.col("pair_id").alias("sent_id"), F.col("a").alias("src"),

@@ -65,9 +65,7 @@ def validation_loss(params: DataFrame, val_batches: DataFrame, cfg: TrainConfig,
     dim_ = dim or int(params.select(F.max(F.size("vec"))).first()[0])
     rows = b.select("batch_id", "i", "tvec").join(s, ["batch_id", "i"], "left").withColumn(
         "s", F.coalesce("s", F.array_repeat(F.lit(0.0), dim_)))
-    pairs = L.in_batch_pairs(rows.select("batch_id", "i", F.col("s").alias("student"), F.col("tvec").alias("teacher")),
-                             ["student", "teacher"])
-    bl = L.distillation_loss(pairs, cfg.temperature)
+    bl = L.distillation_loss(rows, cfg.temperature, "s", "tvec")
     return float(L.epoch_loss(bl).first()["epoch_loss"])
 
 

@@ -23,7 +23,6 @@ from lexaria.functions import text as T
 from lexaria.functions import vectors as Vx
 from lexaria.functions.joins import bounded_broadcast, vector_row_bytes
 from lexaria.operators import losses as L
-from lexaria.operators.losses import _log_softmax_parts
 from lexaria.operators.pooling import group_sum
 
 
@@ -61,12 +60,6 @@ def student_sums(tf: DataFrame, params: DataFrame, bound: int | None = None, dim
     return group_sum(tf.join(p, "word"), ["batch_id", "i"], weight="tf", out="s")
 
 
-def _unit(df: DataFrame, col: str, out: str) -> DataFrame:
-    n = Vx.norm(col)
-    return df.withColumn("_n_" + out, n).withColumn(
-        out, F.transform(F.col(col), lambda x: x / F.greatest(F.col("_n_" + out), F.lit(1e-12))))
-
-
 # --------------------------------------------------------------------------- K2 distillation gradient
 
 def distillation_gradient(batch: DataFrame, params: DataFrame, teacher: DataFrame, temperature: float = 0.05,
@@ -82,36 +75,16 @@ def distillation_gradient(batch: DataFrame, params: DataFrame, teacher: DataFram
     """
     tf = term_frequencies(batch, params, bound=bound)
     s = student_sums(tf, params, bound, dim)
-    rows = batch.select("batch_id", "i").join(s, ["batch_id", "i"], "left")
     dim_ = dim or int(params.select(F.max(F.size("vec"))).first()[0])
-    rows = rows.withColumn("s", F.coalesce("s", Vx.zeros(dim_)))
-    # student vectors feed three branches (pairs, du, the projection): materialise once
-    rows = _unit(rows, "s", "u").withColumnRenamed("_n_u", "snorm").checkpoint(eager=True)
+    rows = batch.select("batch_id", "i").join(s, ["batch_id", "i"], "left").withColumn("s", F.coalesce("s", Vx.zeros(dim_)))
     both = rows.join(teacher.select("batch_id", "i", "tvec"), ["batch_id", "i"])
-    pairs = L.in_batch_pairs(both.select("batch_id", "i", F.col("u").alias("student"),
-                                         F.col("tvec").alias("teacher")), ["student", "teacher"])
-    sizes = batch.groupBy("batch_id").agg(F.count(F.lit(1)).alias("B"))
-    x = pairs.withColumn("_ls", F.col("student") / temperature).withColumn("_lt", F.col("teacher") / temperature)
-    x = _log_softmax_parts(x, "_ls", ["batch_id", "i"], "s")
-    x = _log_softmax_parts(x, "_lt", ["batch_id", "i"], "t")
-    x = x.join(sizes, "batch_id").withColumn("g", (F.exp("s_logp") - F.exp("t_logp")) / (F.col("B") * temperature))
-    losses = x.groupBy("batch_id").agg(
-        (-F.sum(F.exp("t_logp") * F.col("s_logp")) / F.sum(F.exp("t_logp"))).alias("loss"),
-        F.countDistinct("i").cast("bigint").alias("n"))
-    # symmetric weights g_ij + g_ji, then du_i = Σ_j gsym_ij u_j
-    g = x.select("batch_id", "i", "j", "g")
-    gsym = g.unionByName(g.select("batch_id", F.col("j").alias("i"), F.col("i").alias("j"), "g")).groupBy(
-        "batch_id", "i", "j").agg(F.sum("g").alias("gs"))
-    uj = rows.select("batch_id", F.col("i").alias("j"), F.col("u").alias("uj"))
-    du = group_sum(gsym.join(uj, ["batch_id", "j"]), ["batch_id", "i"], vec="uj", weight="gs", out="du")
-    r = rows.join(du, ["batch_id", "i"]).withColumn("_proj", Vx.dot("u", "du"))  # once per row
-    r = r.withColumn("ds", F.when(F.col("snorm") > 0, F.zip_with("du", "u", lambda a, b: (a - b * F.col("_proj"))
-                                                                   / F.col("snorm"))))
+    # block products leave one row per batch row; read by the losses and the gradient
+    r = L.distillation_rows(both, temperature, "s", "tvec", gradient=True).checkpoint(eager=True)
     n_blocks = batch.select("batch_id").distinct().count()  # one scalar
     contrib = tf.join(r.select("batch_id", "i", "ds").where(F.col("ds").isNotNull()), ["batch_id", "i"])
     grad = group_sum(contrib, ["word"], vec="ds", weight="tf", out="g").withColumn(
         "g", Vx.scale("g", 1.0 / max(n_blocks, 1)))
-    return grad, losses
+    return grad, L.distillation_of(r)
 
 
 # --------------------------------------------------------------------------- K3 contrastive gradient
@@ -125,41 +98,18 @@ def contrastive_gradient(batch: DataFrame, params: DataFrame, temperature: float
     its words by term frequency.
     """
     dim_ = dim or int(params.select(F.max(F.size("vec"))).first()[0])
-    sides = {}
+    tfs, rows = {}, batch.select("batch_id", "i")
     for side in ("src", "tgt"):
-        tf = term_frequencies(batch.select("batch_id", "i", F.col(side).alias("text")), params, bound=bound)
-        s = student_sums(tf, params, bound, dim)
-        rows = batch.select("batch_id", "i").join(s, ["batch_id", "i"], "left").withColumn(
-            "s", F.coalesce("s", Vx.zeros(dim_)))
-        # each side's student vectors feed several branches: materialise once per pass
-        sides[side] = (tf, _unit(rows, "s", "u").withColumnRenamed("_n_u", "snorm").checkpoint(eager=True))
-    u = sides["src"][1].select("batch_id", "i", F.col("u").alias("uu"))
-    v = sides["tgt"][1].select("batch_id", F.col("i").alias("j"), F.col("u").alias("vv"))
-    sims = u.join(v, "batch_id").select("batch_id", "i", "j", (Vx.dot("uu", "vv") / temperature).alias("_l"))
-    x = _log_softmax_parts(sims, "_l", ["batch_id", "i"], "r")
-    x = _log_softmax_parts(x, "_l", ["batch_id", "j"], "c")
-    sizes = batch.groupBy("batch_id").agg(F.count(F.lit(1)).alias("B"))
-    eye = F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0)
-    x = x.join(sizes, "batch_id").withColumn(
-        "g", ((F.exp("r_logp") - eye) + (F.exp("c_logp") - eye)) / (F.col("B") * temperature))
-    losses = x.where(F.col("i") == F.col("j")).groupBy("batch_id").agg(
-        (-F.avg("r_logp") - F.avg("c_logp")).alias("loss"), F.count(F.lit(1)).cast("bigint").alias("n"))
-    du = group_sum(x.join(sides["tgt"][1].select("batch_id", F.col("i").alias("j"), F.col("u").alias("o")),
-                          ["batch_id", "j"]), ["batch_id", "i"], vec="o", weight="g", out="d")
-    dv = group_sum(x.join(sides["src"][1].select("batch_id", "i", F.col("u").alias("o")), ["batch_id", "i"])
-                   .drop("i").withColumnRenamed("j", "i"), ["batch_id", "i"], vec="o", weight="g", out="d")
+        tfs[side] = term_frequencies(batch.select("batch_id", "i", F.col(side).alias("text")), params, bound=bound)
+        s = student_sums(tfs[side], params, bound, dim).withColumnRenamed("s", side)
+        rows = rows.join(s, ["batch_id", "i"], "left").withColumn(side, F.coalesce(side, Vx.zeros(dim_)))
+    r = L.contrastive_rows(rows, temperature, gradient=True).checkpoint(eager=True)
     n_blocks = batch.select("batch_id").distinct().count()  # one scalar
-    grads = []
-    for side, d in (("src", du), ("tgt", dv)):
-        tf, rows = sides[side]
-        r = rows.join(d, ["batch_id", "i"]).withColumn("_proj", Vx.dot("u", "d"))  # once per row
-        r = r.withColumn("ds", F.when(F.col("snorm") > 0, F.zip_with("d", "u", lambda a, b: (a - b * F.col("_proj"))
-                                                                       / F.col("snorm"))))
-        grads.append(tf.join(r.select("batch_id", "i", "ds").where(F.col("ds").isNotNull()), ["batch_id", "i"]))
-    contrib = grads[0].unionByName(grads[1])
-    grad = group_sum(contrib, ["word"], vec="ds", weight="tf", out="g").withColumn(
+    grads = [tfs[side].join(r.select("batch_id", "i", F.col("d" + side).alias("ds")).where(F.col("ds").isNotNull()), ["batch_id", "i"])
+             for side in ("src", "tgt")]
+    grad = group_sum(grads[0].unionByName(grads[1]), ["word"], vec="ds", weight="tf", out="g").withColumn(
         "g", Vx.scale("g", 1.0 / max(n_blocks, 1)))
-    return grad, losses
+    return grad, L.contrastive_of(r)
 
 
 # --------------------------------------------------------------------------- K4 cosine regression

@@ -168,10 +168,10 @@ def test_distillation_loss_finite_with_masked_diagonal(spark):
     rng = np.random.default_rng(0)
     rows = [(0, i, rng.normal(size=4).tolist(), rng.normal(size=4).tolist()) for i in range(4)]
     b = spark.createDataFrame(rows, "batch_id long, i long, student array<double>, teacher array<double>")
-    loss = L.distillation_loss(L.in_batch_pairs(b, ["student", "teacher"])).first().loss
+    loss = L.distillation_loss(b).first().loss
     assert math.isfinite(loss)
     single = spark.createDataFrame(rows[:1], "batch_id long, i long, student array<double>, teacher array<double>")
-    assert L.distillation_loss(L.in_batch_pairs(single, ["student", "teacher"])).count() == 0
+    assert L.distillation_loss(single).count() == 0
 
 
 def test_senses(spark):
