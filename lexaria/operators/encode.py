@@ -1,118 +1,193 @@
 """Word-vector lookup and sentence encoding.
 
-Plan shape of an encode: sentence rows -> explode tokens (narrow) -> hash
-lookup against the word-vector table (broadcast when its size is bounded,
-else a shuffled join with AQE skew splitting) -> one weighted grouped vector
-aggregate per sentence (misses weigh 0, so all-OOV sentences come out as zero
-vectors without a second join).  A sentence's tokens come from one input row,
-so the map-side partial collapses them before any shuffle.
+Plan of an encode, in two phases.  Sentences are packed into lots of about ``LOT_TOKENS`` tokens where
+they lie: a lot is one row with its keys, its distinct words and the numbers of its words,
+written to the shared checkpoint folder.  First the distinct words of every lot ask for
+their vectors (one join on the candidates of a word: itself, its lower case, its piece
+prefixes).  Then every lot meets its vectors and multiplies sentence-by-word counts with them
+in blocks.  What is shuffled is a word of a lot or a lot, never a token, and the plan is the
+same for any size of the vector table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexaria.functions import text as T
 from lexaria.functions import vectors as Vx
-from lexaria.functions.joins import bounded_broadcast, vector_row_bytes
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+from lexaria.functions.arrow import lists
 
-from lexaria.operators.pooling import group_sum  # noqa: F401  (re-exported helper)
+LOT_TOKENS = 1 << 17
+BLOCK_TOKENS = 1 << 14
 
 
-def _vectors(word_vectors: DataFrame, bound: int | None, dim: int | None):
-    wv = word_vectors.select("word", "vec")
-    return bounded_broadcast(wv, bound, vector_row_bytes(dim or 1024))
+def _prefixes(pieces: Column) -> Column:
+    """The words that the proper prefixes of the pieces spell, the longest first, markers removed."""
+    n = F.size(pieces) - 1
+    spell = lambda k: T.strip_markers(F.array_join(F.slice(pieces, 1, n - k), ""))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), spell)).otherwise(F.array().cast("array<string>"))
 
 
-def lookup(words: DataFrame, word_vectors: DataFrame, word_col: str = "word",
-           bound: int | None = None, dim: int | None = None) -> DataFrame:
-    """Exact word, else its lowercase; adds ``vec`` (null when both miss)."""
-    wv = _vectors(word_vectors, bound, dim)
-    exact = wv.select(F.col("word").alias("_k1"), F.col("vec").alias("_v1"))
-    lower = wv.select(F.col("word").alias("_k2"), F.col("vec").alias("_v2"))
-    j = words.join(exact, F.col(word_col) == F.col("_k1"), "left").join(
-        lower, F.lower(F.col(word_col)) == F.col("_k2"), "left"
-    )
-    return j.withColumn("vec", F.coalesce("_v1", "_v2")).drop("_k1", "_v1", "_k2", "_v2")
+def _with_lower(words: Column) -> Column:
+    return F.flatten(F.transform(words, lambda w: F.array(w, F.lower(w))))
 
 
-def subword_lookup(oov: DataFrame, word_vectors: DataFrame, pieces_col: str = "pieces",
-                   bound: int | None = None, dim: int | None = None) -> DataFrame:
+def candidates(word: Column, pieces=None) -> Column:
+    """What a word is looked up as, in order: itself, its lower case, then the same for its piece prefixes."""
+    own = F.array(word)
+    return F.array_distinct(_with_lower(own if pieces is None else F.concat(own, _prefixes(pieces(word)))))
+
+
+def resolve(asked: DataFrame, word_vectors: DataFrame, by: list[str], cands: str = "cands") -> DataFrame:
+    """``by`` and the vector of the first candidate that has one; rows without any are left out."""
+    one = asked.select(*by, F.posexplode(cands).alias("_rank", "_key"))
+    hits = one.join(word_vectors.select(F.col("word").alias("_key"), "vec"), "_key")
+    return hits.groupBy(*by).agg(F.min_by("vec", "_rank").alias("vec"))
+
+
+def lookup(words: DataFrame, word_vectors: DataFrame, word_col: str = "word") -> DataFrame:
+    """Exact word, else its lowercase; adds ``vec`` (null when both miss).
+
+    Distinct words are resolved once, so the vectors meet every word once.
+    """
+    one = words.select(F.col(word_col).alias("_word")).where("_word is not null").distinct()
+    found = resolve(one.withColumn("cands", candidates(F.col("_word"))), word_vectors, ["_word"])
+    return words.join(found, F.col(word_col) == F.col("_word"), "left").drop("_word")
+
+
+def subword_lookup(oov: DataFrame, word_vectors: DataFrame, pieces_col: str = "pieces") -> DataFrame:
     """Longest proper prefix of the sub-word pieces found (exact, else lowercase).
 
     Input ``(word, pieces array<string>)`` — distinct OOV words only; prefixes
     of 1..n-1 pieces (never the full list; needs more than one piece), markers
     ``##`` and ``▁`` removed.  Output ``(word, vec)`` for words with a hit.
     """
-    pre = oov.select(
-        "word",
-        F.explode(F.sequence(F.lit(1), F.greatest(F.size(pieces_col) - 1, F.lit(1)))).alias("plen"),
-        pieces_col,
-    ).where(F.size(pieces_col) > 1)
-    pre = pre.withColumn("prefix", T.strip_markers(F.array_join(F.slice(pieces_col, 1, F.col("plen")), "")))
-    hits = lookup(pre, word_vectors, "prefix", bound, dim).where(F.col("vec").isNotNull())
-    best = hits.groupBy("word").agg(F.max_by("vec", "plen").alias("vec"))
-    return best
+    return resolve(oov.select("word", _with_lower(_prefixes(F.col(pieces_col))).alias("cands")), word_vectors, ["word"])
 
 
 def _keys(key) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
+_LOT = "lot long, keys array<{key}>, sizes array<int>, ids array<int>, words array<string>"
+
+
+def _pack(batches):
+    """One row per lot; the lot's number is made of the partition and a count."""
+    from pyspark import TaskContext
+
+    number = TaskContext.get().partitionId() << 33
+    held, tokens = [], 0
+
+    def lot():
+        t = pa.Table.from_batches(held).combine_chunks()
+        toks = t.column("toks").chunk(0).fill_null([])
+        words = toks.flatten().dictionary_encode()
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        sizes = toks.value_lengths().cast(pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), one(t.column("key").chunk(0)), one(sizes), one(words.indices),
+                                           one(words.dictionary)], ["lot", "keys", "sizes", "ids", "words"])
+
+    for batch in batches:
+        size = np.asarray(batch.column("toks").value_lengths().fill_null(0)) + 1
+        ends, start = np.cumsum(size), 0
+        while start < batch.num_rows:
+            base = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, base + LOT_TOKENS - tokens, side="right")))
+            held.append(batch.slice(start, stop - start))
+            tokens += int(ends[stop - 1] - base)
+            start = stop
+            if tokens >= LOT_TOKENS:
+                yield lot()
+                held, tokens, number = [], 0, number + 1
+    if held:
+        yield lot()
+
+
+def _sentence_sums(ids: np.ndarray, sizes: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Sum of the rows ``m[ids]`` of every sentence, about BLOCK_TOKENS tokens at a time."""
+    out = np.zeros((len(sizes), m.shape[1]))
+    full = np.flatnonzero(sizes)
+    ends = np.cumsum(sizes)
+    start = 0
+    while start < len(full):
+        base = ends[full[start]] - sizes[full[start]]
+        stop = max(start + 1, int(np.searchsorted(ends[full], base + BLOCK_TOKENS, side="right")))
+        rows = full[start:stop]
+        at = ends[rows] - sizes[rows] - base
+        out[rows] = np.add.reduceat(m[ids[base:ends[rows[-1]]]], at, axis=0)
+        start = stop
+    return out
+
+
+def _encode_lots(dim: int, reduce: str, normalize: bool):
+    """Rows of a lot come together, the lot itself first, then its vectors."""
+    def finish(head, at, vecs):
+        keys, sizes, ids = (head.column(c).chunk(0).flatten() for c in ("keys", "sizes", "ids"))
+        sizes, ids = sizes.to_numpy().astype(np.int64), ids.to_numpy()
+        n_words = int(ids.max()) + 1 if len(ids) else 0
+        m = np.zeros((n_words, dim + 1))
+        if at:
+            at = np.concatenate(at)
+            m[at, :dim], m[at, dim] = np.concatenate(vecs), 1.0
+        sums = _sentence_sums(ids, sizes, m)
+        vec, n = sums[:, :dim], sums[:, dim]
+        if reduce == "mean":
+            vec = vec / np.maximum(n, 1.0)[:, None]
+        if normalize:
+            vec = vec / (np.sqrt((vec * vec).sum(1)) + 1e-8)[:, None]
+        return pa.RecordBatch.from_arrays([keys, lists(vec), pa.array(n)], ["key", "vec", "_n"])
+
+    def run(batches):
+        head, at, vecs = None, [], []
+        for batch in batches:
+            is_head = batch.column("at").is_null().to_numpy(zero_copy_only=False)
+            edge = [*np.flatnonzero(is_head), batch.num_rows]
+            for a, b in zip([0, *edge[:-1]], edge):
+                if b <= a and not (a < batch.num_rows and is_head[a]):
+                    continue
+                rows = batch.slice(a, b - a)
+                if is_head[a]:
+                    if head is not None:
+                        yield finish(head, at, vecs)
+                    head, at, vecs = pa.Table.from_batches([rows.slice(0, 1)]), [], []
+                    rows = rows.slice(1)
+                if rows.num_rows:
+                    at.append(rows.column("at").to_numpy(zero_copy_only=False).astype(np.int64))
+                    vecs.append(rows.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
+        if head is not None:
+            yield finish(head, at, vecs)
+
+    return run
+
+
 def encode(sents: DataFrame, word_vectors: DataFrame, key="sent_id", text: str = "text",
            dim: int | None = None, normalize: bool = True, reduce: str = "mean",
-           on_empty: str = "zero", punct="P1", tokenizer=None, pieces=None,
-           bound: int | None = None, cluster_by: list[str] | None = None) -> DataFrame:
+           on_empty: str = "zero", punct="P1", tokenizer=None, pieces=None) -> DataFrame:
     """E13 (mean, zero vector when no word hits), E14 (``reduce='sum'``),
     E15 (``on_empty='drop'``; raises when nothing is left).
 
-    ``key`` is one column or a list.  Every sentence (even one without tokens)
-    reaches a single weighted aggregate, so no zero-fill join is needed.  When the
-    sentences are hash-partitioned by a prefix of the key (e.g. ``doc_id`` for
-    ``[doc_id, line_no, sent_no]``) that aggregate needs no exchange either; pass
-    ``cluster_by`` to establish the partitioning with one shuffle of the text
-    (much smaller than shuffling per-sentence vector buffers).
-    ``pieces`` (J1) maps a word Column to its sub-word pieces and enables D2
-    for words missing both exact and lowercase lookups.
+    ``key`` is one column or a list; every input row gives one row.  ``pieces`` (J1) maps a word
+    Column to its sub-word pieces and enables D2 for words missing both exact and lowercase lookups.
     """
     keys = _keys(key)
-    if cluster_by:
-        sents = sents.repartition(*cluster_by)
     if dim is None:
-        dim = int(word_vectors.select(F.max(F.size("vec"))).first()[0])
-    tok = tokenizer or T.word_tokens
-    # explode_outer keeps sentences without tokens, so every sentence reaches the
-    # aggregate: no zero-fill join (and no second exchange) is needed
-    toks = sents.select(*keys, F.explode_outer(T.drop_punct(tok(F.col(text)), punct)).alias("word"))
-    looked = lookup(toks, word_vectors, "word", bound, dim)
-    if pieces is not None:
-        oov = looked.where(F.col("vec").isNull() & F.col("word").isNotNull()).select("word").distinct()
-        sub = subword_lookup(oov.select("word", pieces(F.col("word")).alias("pieces")), word_vectors,
-                             bound=bound, dim=dim)
-        looked = looked.join(sub.withColumnRenamed("vec", "_sv"), "word", "left").withColumn(
-            "vec", F.coalesce("vec", "_sv")
-        ).drop("_sv")
-    # misses weigh 0 with a zero vector: Σ w·x and Σ w in one hash-partitioned aggregate
-    hit = F.col("vec").isNotNull()
-    weighted = looked.select(*keys, F.when(hit, F.col("vec")).otherwise(Vx.zeros(dim)).alias("vec"),
-                             F.when(hit, F.lit(1.0)).otherwise(F.lit(0.0)).alias("_w"))
-    summed = weighted.groupBy(*keys).agg(
-        Summarizer.sum(array_to_vector(F.col("vec"))).alias("_s"), F.sum("_w").alias("_n"))
-    total = vector_to_array("_s")
-    if reduce == "mean":
-        vec = F.when(F.col("_n") > 0, Vx.scale(total, F.lit(1.0) / F.col("_n"))).otherwise(Vx.zeros(dim))
-    else:
-        vec = total
-    out = summed.select(*keys, vec.alias("vec"), "_n")
+        dim = int(word_vectors.select(F.max(F.size("vec"))).first()[0] or 0)
+    toks = T.drop_punct((tokenizer or T.word_tokens)(F.col(text)), punct)
+    src = sents.select(F.struct(*keys).alias("key"), toks.alias("toks"))
+    kind = src.schema["key"].dataType.simpleString()
+    lots = src.mapInArrow(_pack, _LOT.format(key=kind)).checkpoint(eager=True)  # numbers are fixed from here on
+    asked = lots.select("lot", F.posexplode("words").alias("at", "word")).withColumn("cands", candidates(F.col("word"), pieces))
+    found = resolve(asked, word_vectors.select("word", Vx.as_double("vec").alias("vec")), ["lot", "at"])
+    both = lots.select("lot", "keys", "sizes", "ids").unionByName(found, allowMissingColumns=True)
+    both = both.repartition("lot").sortWithinPartitions(F.col("lot"), F.col("at").asc_nulls_first())
+    out = both.mapInArrow(_encode_lots(dim, reduce, normalize), f"key {kind}, vec array<double>, _n double")
     if on_empty == "drop":
         out = out.where(F.col("_n") > 0)
-    out = out.drop("_n")
-    if normalize:
-        out = out.withColumn("vec", Vx.l2_normalize("vec"))
-    return out
+    return out.select(*[F.col("key")[k].alias(k) for k in keys], "vec")
 
 
 def encode_nonempty(sents: DataFrame, word_vectors: DataFrame, **kw) -> DataFrame:
@@ -124,7 +199,7 @@ def encode_nonempty(sents: DataFrame, word_vectors: DataFrame, **kw) -> DataFram
 
 
 def pair_similarity(pairs: DataFrame, word_vectors: DataFrame, dim: int | None = None,
-                    normalize: bool = True, bound: int | None = None, key="pair_id", **kw) -> DataFrame:
+                    normalize: bool = True, key="pair_id", **kw) -> DataFrame:
     """Encode both sides of every pair and take the dot product.
 
     ``pairs`` is ``(key..., a, b)``; output ``(key..., sim)``; ``key`` (one column or a
@@ -136,8 +211,7 @@ def pair_similarity(pairs: DataFrame, word_vectors: DataFrame, dim: int | None =
         pairs.select(*ids, F.lit(1).alias("side"), F.col("b").alias("text"))
     ).withColumn("sent_id", F.struct(*ids, "side"))
     # only sides with at least one known word; a missing side is a zero vector -> similarity 0
-    enc = encode(stacked, word_vectors, key="sent_id", dim=dim, normalize=normalize, bound=bound,
-                 on_empty="drop", **kw)
+    enc = encode(stacked, word_vectors, key="sent_id", dim=dim, normalize=normalize, on_empty="drop", **kw)
     # two rows per pair -> one row with a hash-based collect (no sort aggregate, no self join)
     both = enc.groupBy(*[F.col("sent_id")[c].alias(c) for c in ids]).agg(
         F.collect_list(F.col("vec")).alias("vs"))

@@ -78,11 +78,10 @@ def _guard(df: DataFrame, n_col: str) -> DataFrame:
     )
 
 
-def word_similarity(pairs: DataFrame, word_vectors: DataFrame, bound: int | None = None,
-                    dim: int | None = None) -> DataFrame:
+def word_similarity(pairs: DataFrame, word_vectors: DataFrame, dim: int | None = None) -> DataFrame:
     """Per dataset ``n_pairs, n_found, coverage, spearman, pearson``."""
-    la = EN.lookup(pairs, word_vectors, "a", bound, dim).withColumnRenamed("vec", "va")
-    lb = EN.lookup(la, word_vectors, "b", bound, dim).withColumnRenamed("vec", "vb")
+    la = EN.lookup(pairs, word_vectors, "a").withColumnRenamed("vec", "va")
+    lb = EN.lookup(la, word_vectors, "b").withColumnRenamed("vec", "vb")
     found = lb.where(F.col("va").isNotNull() & F.col("vb").isNotNull()).select(
         "dataset", "pair_id", "gold", Vx.cosine("va", "vb").alias("pred")
     )
@@ -97,11 +96,11 @@ def word_similarity(pairs: DataFrame, word_vectors: DataFrame, bound: int | None
     return _guard(out, "n_found")
 
 
-def sts(pairs: DataFrame, word_vectors: DataFrame, bound: int | None = None, dim: int | None = None,
+def sts(pairs: DataFrame, word_vectors: DataFrame, dim: int | None = None,
         **kw) -> DataFrame:
     """Every pair is scored (all-OOV sides give 0 and still count)."""
     key = ["dataset", "pair_id"]
-    sims = EN.pair_similarity(pairs.select(*key, "a", "b"), word_vectors, dim=dim, bound=bound, key=key, **kw)
+    sims = EN.pair_similarity(pairs.select(*key, "a", "b"), word_vectors, dim=dim, key=key, **kw)
     scored = pairs.select(*key, "gold").join(sims.withColumnRenamed("sim", "pred"), key)
     corr = correlations(scored, ["dataset"])
     out = corr.select("dataset", F.col("n").alias("n_pairs"), "spearman", "pearson")
@@ -109,18 +108,18 @@ def sts(pairs: DataFrame, word_vectors: DataFrame, bound: int | None = None, dim
 
 
 def encoder_word_similarity(pairs: DataFrame, word_vectors: DataFrame, is_transformer: bool = False,
-                            bound: int | None = None, dim: int | None = None) -> DataFrame:
+                            dim: int | None = None) -> DataFrame:
     """Words scored through the sentence encoder; static models skip OOV words.
 
     Output per dataset ``(spearman, coverage, n_found)``; fewer than 2 -> 0, 0, 0.
     """
     p = pairs
     if not is_transformer:
-        la = EN.lookup(p, word_vectors, "a", bound, dim).withColumnRenamed("vec", "va")
-        lb = EN.lookup(la, word_vectors, "b", bound, dim).withColumnRenamed("vec", "vb")
+        la = EN.lookup(p, word_vectors, "a").withColumnRenamed("vec", "va")
+        lb = EN.lookup(la, word_vectors, "b").withColumnRenamed("vec", "vb")
         p = lb.where(F.col("va").isNotNull() & F.col("vb").isNotNull()).drop("va", "vb")
     key = ["dataset", "pair_id"]
-    sims = EN.pair_similarity(p.select(*key, "a", "b"), word_vectors, dim=dim, bound=bound, key=key)
+    sims = EN.pair_similarity(p.select(*key, "a", "b"), word_vectors, dim=dim, key=key)
     scored = p.select(*key, "gold").join(sims.withColumnRenamed("sim", "pred"), key)
     corr = correlations(scored, ["dataset"])
     totals = pairs.groupBy("dataset").agg(F.count(F.lit(1)).alias("_total"))

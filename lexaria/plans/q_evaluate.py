@@ -114,7 +114,7 @@ def _round_metrics(df, cols):
 
 @register("e20_word_similarity", with_ctes(["wp_ds", "wsim_found"], WSIM_SQL))
 def e20_word_similarity(spark, sf):
-    out = EV.word_similarity(_ds_pairs(spark, sf), FX.word2vec(spark, sf), bound=FX.n_words(spark, sf), dim=FX.dim(spark, sf))
+    out = EV.word_similarity(_ds_pairs(spark, sf), FX.word2vec(spark, sf), dim=FX.dim(spark, sf))
     return _round_metrics(out, ["coverage", "spearman", "pearson"])
 
 
@@ -145,7 +145,7 @@ def _sts_pairs(spark, sf):
 
 @register("e22_sts", with_ctes(["sts_scored"], STS_SQL))
 def e22_sts(spark, sf):
-    out = EV.sts(_sts_pairs(spark, sf), FX.word2vec(spark, sf), bound=FX.n_words(spark, sf), dim=FX.dim(spark, sf))
+    out = EV.sts(_sts_pairs(spark, sf), FX.word2vec(spark, sf), dim=FX.dim(spark, sf))
     return _round_metrics(out, ["spearman", "pearson"])
 
 
@@ -188,8 +188,8 @@ def d09_compare_models(spark, sf):
     e = FX.embeddings(spark, sf)
     base_vectors = v.join(e, e.vec_id == FX.vector_of(v.word_idx, spark, sf, 1)).select("word", "vec")
     pairs = _ds_pairs(spark, sf)
-    ours = EV.word_similarity(pairs, FX.word2vec(spark, sf), bound=FX.n_words(spark, sf), dim=FX.dim(spark, sf))
-    base = EV.word_similarity(pairs, base_vectors, bound=FX.n_words(spark, sf), dim=FX.dim(spark, sf))
+    ours = EV.word_similarity(pairs, FX.word2vec(spark, sf), dim=FX.dim(spark, sf))
+    base = EV.word_similarity(pairs, base_vectors, dim=FX.dim(spark, sf))
     # the comparison reports the raw correlations (no <2 guard is involved at this size)
     out = EV.compare_models(ours, base)
     return _round_metrics(out, ["ours", "baseline", "delta", "retention"])
@@ -210,7 +210,7 @@ LEFT JOIN ({corr_sql('wsim_found', 'dataset', 'pred', 'gold')}) c ON c.dataset =
 def e21_encoder_word_similarity(spark, sf):
     """Words encoded as one-word sentences; OOV pairs skipped (static model)."""
     out = EV.encoder_word_similarity(_ds_pairs(spark, sf), FX.word2vec(spark, sf),
-                                     bound=FX.n_words(spark, sf), dim=FX.dim(spark, sf))
+                                     dim=FX.dim(spark, sf))
     return _round_metrics(out, ["spearman", "coverage"])
 
 

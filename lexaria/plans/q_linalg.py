@@ -26,8 +26,7 @@ from lexaria.plans.q_vectors import enc_sql, long_sql, spark_long
 def _sent_vecs(spark, sf):
     """Sentence vectors for fitting: un-normalised mean encodings of all conversation turns."""
     t = FX.table(spark, sf, "conversations").select(F.struct("conv_id", "turn").alias("sent_id"), "text")
-    return EN.encode(t, FX.word2vec(spark, sf), key="sent_id", dim=FX.dim(spark, sf), normalize=False, on_empty="drop",
-                     bound=FX.n_words(spark, sf))
+    return EN.encode(t, FX.word2vec(spark, sf), key="sent_id", dim=FX.dim(spark, sf), normalize=False, on_empty="drop")
 
 
 def _max_abs_projection(df, fit: LA.PcaFit, n: int, center: bool = False):
@@ -277,8 +276,7 @@ def f15_student_projection(spark, sf):
         "label").collect()  # one row per label: a bounded parameter (labels x d)
     weight_rows = [list(r["m"].toArray()) for r in means]
     t = FX.table(spark, sf, "conversations").select(F.struct("conv_id", "turn").alias("sent_id"), "text")
-    enc = EN.encode(t, FX.word2vec(spark, sf), key="sent_id", dim=FX.dim(spark, sf), normalize=False,
-                    bound=FX.n_words(spark, sf))
+    enc = EN.encode(t, FX.word2vec(spark, sf), key="sent_id", dim=FX.dim(spark, sf), normalize=False)
     out = EN.project(enc, weight_rows).select(
         F.col("sent_id.conv_id").alias("conv_id"), F.col("sent_id.turn").alias("turn"), "vec")
     return spark_long(out, ["conv_id", "turn"])

@@ -124,7 +124,7 @@ def e25_cosine_regression(spark, sf):
     plus the 1e-5 L2 term over the word-vector table."""
     docs = FX.table(spark, sf, "documents").select(F.col("doc_id").alias("text_id"), "text")
     w2v = FX.word2vec(spark, sf)
-    out = EN.encode(docs, w2v, key="text_id", dim=FX.dim(spark, sf), bound=FX.n_words(spark, sf))
+    out = EN.encode(docs, w2v, key="text_id", dim=FX.dim(spark, sf))
     tgt = docs.select("text_id").join(
         FX.embeddings(spark, sf), FX.vector_of(F.col("text_id"), spark, sf) == F.col("vec_id")).select("text_id", "vec")
     res = L.cosine_regression_loss(out, tgt, w2v, "text_id")

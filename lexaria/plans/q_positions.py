@@ -170,10 +170,10 @@ def d02_subword_lookup(spark, sf):
     from lexaria.operators.contexts import out_of_vocabulary
 
     oov = out_of_vocabulary(p, w2v, "word").select("word", PS.chunk_pieces(F.col("word")).alias("pieces"))
-    hits = EN.subword_lookup(oov, w2v, bound=FX.n_words(spark, sf), dim=FX.dim(spark, sf))
+    hits = EN.subword_lookup(oov, w2v)
     plen = oov.select("word", F.explode(F.sequence(F.lit(1), F.size("pieces") - 1)).alias("plen"), "pieces")
     plen = plen.withColumn("prefix", T.strip_markers(F.array_join(F.slice("pieces", 1, F.col("plen")), "")))
-    best = EN.lookup(plen, w2v, "prefix", bound=FX.n_words(spark, sf), dim=FX.dim(spark, sf)).where(
+    best = EN.lookup(plen, w2v, "prefix").where(
         F.col("vec").isNotNull()).groupBy("word").agg(F.max("plen").cast("bigint").alias("plen"))
     return hits.join(best, "word").select(
         "word", "plen", Vx.round_col(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)).alias("vsum"))
@@ -183,8 +183,7 @@ def d02_subword_lookup(spark, sf):
 def e13_encode_subword(spark, sf):
     """E13 + D2 + J1: conversation turns encoded with the sub-word fallback for OOV words."""
     t = FX.table(spark, sf, "conversations").select(F.struct("conv_id", "turn").alias("sent_id"), "text")
-    out = EN.encode(t, FX.word2vec(spark, sf), key="sent_id", dim=FX.dim(spark, sf), pieces=PS.chunk_pieces,
-                    bound=FX.n_words(spark, sf))
+    out = EN.encode(t, FX.word2vec(spark, sf), key="sent_id", dim=FX.dim(spark, sf), pieces=PS.chunk_pieces)
     out = out.select(F.col("sent_id.conv_id").alias("conv_id"), F.col("sent_id.turn").alias("turn"), "vec")
     return Vx.long_form(out, ["conv_id", "turn"], "vec")
 

@@ -62,11 +62,10 @@ def i03_streaming_encode(spark, sf):
     """Arriving conversation turns encoded per micro-batch (foreachBatch + batch E13)."""
     texts = _stream(spark, sf, "conversations", "conv_id bigint, turn bigint, role string, text string")
     w2v = FX.word2vec(spark, sf)
-    bound = FX.n_words(spark, sf)
 
     def encode_batch(df):
         t = df.select(F.struct("conv_id", "turn").alias("sent_id"), "text")
-        out = EN.encode(t, w2v, key="sent_id", dim=FX.dim(spark, sf), bound=bound)
+        out = EN.encode(t, w2v, key="sent_id", dim=FX.dim(spark, sf))
         return out.select(F.col("sent_id.conv_id").alias("conv_id"), F.col("sent_id.turn").alias("turn"), "vec")
 
     out, ckpt = _places(spark, "i03")

@@ -38,8 +38,7 @@ def _shifted(spark, sf):
 
 
 def _teacher(spark, sf):
-    enc = EN.encode(_sentences(spark, sf), _shifted(spark, sf), key="sent_id", dim=FX.dim(spark, sf),
-                    bound=FX.n_words(spark, sf))
+    enc = EN.encode(_sentences(spark, sf), _shifted(spark, sf), key="sent_id", dim=FX.dim(spark, sf))
     return enc.select("sent_id", F.col("vec").alias("tvec"))
 
 

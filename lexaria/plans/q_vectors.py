@@ -222,7 +222,7 @@ def d01_lookup(spark, sf):
                  F.when((F.col("b") >= "a") & (F.col("b") < "{"), F.concat(F.upper(F.substring("b", 1, 1)), F.expr("substring(b, 2)")))
                  .otherwise(F.col("b")).alias("w"))
     )
-    out = EN.lookup(q, FX.word2vec(spark, sf), "w", bound=FX.n_words(spark, sf), dim=FX.dim(spark, sf))
+    out = EN.lookup(q, FX.word2vec(spark, sf), "w")
     return out.select(
         "pair_id", "variant", F.col("vec").isNotNull().alias("found"),
         Vx.round_col(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)).alias("vsum"),
@@ -269,8 +269,7 @@ def _turns(spark, sf):
 
 
 def _enc(spark, sf, **kw):
-    out = EN.encode(_turns(spark, sf), FX.word2vec(spark, sf), key="sent_id", dim=FX.dim(spark, sf),
-                    bound=FX.n_words(spark, sf), **kw)
+    out = EN.encode(_turns(spark, sf), FX.word2vec(spark, sf), key="sent_id", dim=FX.dim(spark, sf), **kw)
     out = out.select(F.col("sent_id.conv_id").alias("conv_id"), F.col("sent_id.turn").alias("turn"), "vec")
     return spark_long(out, ["conv_id", "turn"])
 
@@ -308,8 +307,7 @@ enc_sql("enc_pairs", "pair_texts", "pair_id, side", "text", P1_SQL)
 @register("d10_pair_similarity", with_ctes(["conv_pairs", "enc_pairs"], PAIRS_SIM))
 def d10_pair_similarity(spark, sf):
     """D10 (flagship): cosine of mean-pooled, normalised turn vectors for adjacent turns."""
-    sims = EN.pair_similarity(FX.conversation_pairs(spark, sf), FX.word2vec(spark, sf), dim=FX.dim(spark, sf),
-                              bound=FX.n_words(spark, sf))
+    sims = EN.pair_similarity(FX.conversation_pairs(spark, sf), FX.word2vec(spark, sf), dim=FX.dim(spark, sf))
     return sims.select("pair_id", Vx.round_col("sim").alias("sim"))
 
 
@@ -348,9 +346,7 @@ FROM enc_corpus GROUP BY doc_id, line_no, sent_no"""))
 def e13_encode_corpus(spark, sf):
     """E13 on every sentence of the corpus (per-sentence vector sum and norm)."""
     s = FX.sentences(spark, sf).select("doc_id", "line_no", "sent_no", F.col("sentence").alias("text"))
-    # sentences stay partitioned by document: the aggregate and the zero fill add no exchange
-    out = EN.encode(s, FX.word2vec(spark, sf), key=["doc_id", "line_no", "sent_no"], dim=FX.dim(spark, sf),
-                    bound=FX.n_words(spark, sf))
+    out = EN.encode(s, FX.word2vec(spark, sf), key=["doc_id", "line_no", "sent_no"], dim=FX.dim(spark, sf))
     return out.select(
         "doc_id", "line_no", "sent_no",
         Vx.round_col(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)).alias("vsum"),

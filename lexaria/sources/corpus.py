@@ -17,9 +17,18 @@ from lexaria.functions.ordering import with_global_index
 KNOWN_LANGUAGES = ["en", "de", "zh", "ja"]
 
 
+SCAN_PARTITIONS = "spark.lexaria.scan.partitions"
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A scan as it is: the splits of the files decide the parallelism at every size."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A scan with the splits of its files, dealt over ``SCAN_PARTITIONS`` partitions where the caller sets that.
+
+    The setting is for tables of few row groups, whose scan would be the only task that reads text; it is
+    unset by default, no code sets it by the size of the data, and no result depends on it.
+    """
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    n = spark.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(n)) if n else df
 
 
 def document_lines(docs: DataFrame, text_col: str = "text", key: str = "doc_id") -> DataFrame:

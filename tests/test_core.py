@@ -93,7 +93,7 @@ def test_encoder(spark):
     texts = spark.createDataFrame([(0, "hello"), (1, "hello world"), (2, "hello xyz world"), (3, "xyz abc def")],
                                   "sent_id long, text string")
     enc = {r.sent_id: np.array(r.vec) for r in
-           EN.encode(texts, w2v(spark), dim=3, tokenizer=_space_tokens, bound=10).collect()}
+           EN.encode(texts, w2v(spark), dim=3, tokenizer=_space_tokens).collect()}
     assert np.linalg.norm(enc[0]) == pytest.approx(1.0, abs=1e-6)
     assert np.linalg.norm(enc[1]) == pytest.approx(1.0, abs=1e-6)
     assert np.linalg.norm(enc[2]) > 0
@@ -113,11 +113,11 @@ def test_word_similarity_coverage(spark):
     pairs = spark.createDataFrame([("d", 0, "hello", "world", 0.2), ("d", 1, "hello", "the", 0.8),
                                    ("d", 2, "world", "the", 0.7), ("d", 3, "test", "quick", 0.5)],
                                   "dataset string, pair_id long, a string, b string, gold double")
-    r = EV.word_similarity(pairs, w2v(spark), bound=10, dim=3).first()
+    r = EV.word_similarity(pairs, w2v(spark), dim=3).first()
     assert (r.n_pairs, r.n_found, r.coverage) == (4, 4, 1.0) and r.spearman > 0
     oov = spark.createDataFrame([("d", 0, "hello", "world", 0.5), ("d", 1, "hello", "xyzzy", 0.5)],
                                 "dataset string, pair_id long, a string, b string, gold double")
-    r = EV.word_similarity(oov, w2v(spark), bound=10, dim=3).first()
+    r = EV.word_similarity(oov, w2v(spark), dim=3).first()
     assert (r.n_found, r.coverage, r.spearman, r.pearson) == (1, 0.5, 0.0, 0.0)
 
 
