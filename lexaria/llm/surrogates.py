@@ -5,8 +5,9 @@ numbers, long secrets (keys and tokens), and person names after a form of addres
 surrogate drawn from a keyed SHA-512 of its type and canonical form:
 
 * names: the whole run of name words after a form of address is replaced, word by word: hyphens
-  and particles (``van der``) stay between them, initials become initials; the words after the
-  last space are the family name, all others given names;
+  and particles (``van der``) stay between them; the words after the last space are the family
+  name, all others given names; initials go through a keyed cycle of the alphabet, so that different
+  initials stay different (an initial does not follow the surrogate of the name it may abbreviate);
 * coreference: spellings with one canonical form (case, spaces, hyphens) share a surrogate, in
   every document; given and family names are entities of their own, so ``Mr. John Smith``,
   ``Mr. Smith`` and ``Dr. Smith`` stay one person's name; a given name after a neutral title
@@ -23,7 +24,10 @@ surrogate drawn from a keyed SHA-512 of its type and canonical form:
 Scale: only distinct entities are drawn and checked; texts without entities are never
 shuffled; a hot entity is spread over salts.  Everything is DataFrame expressions.
 
-Cases: null text stays null with no entities; texts without entities stay as they are;
+Not detected: names without a form of address or in scripts without capitals, dates of birth,
+street addresses, document numbers.
+
+Cases: runs of any number of name words are replaced as a whole; null text stays null with no entities; texts without entities stay as they are;
 repeated rows get the same text; a null id is a value like any other; an empty table gives an empty
 result; other columns pass through, and the result columns replace columns of
 their names.
@@ -31,6 +35,8 @@ their names.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,20 +68,24 @@ SYLLABLES = {"latin": "ba be bo da de do ka ke ko la le lo ma me mo na ne no ra
              "cyrillic": "ба бе бо да де до ка ке ко ла ле ло ма ме мо на".split(),
              "greek": "βα βε βο δα δε δο κα κε κο λα λε λο μα με μο να".split()}
 
+# The letters of initials.
+ALPHABET = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзийклмнопрстуфхцчшщэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
+
 _FEMININE = "([оеё]в|[иы]н)а$"
 _TITLES = "|".join(sorted((t for ts in ADDRESS.values() for t in ts), key=len, reverse=True))
 _LETTER = r"[\p{L}\p{M}]"
 _END = r"(?![\p{L}\p{N}\p{M}])"
-_CHAIN = rf"(?:{_TITLES})\.?[ ](?:(?:Dr|Prof)\.?[ ])*"
+# repeats of groups are possessive (*+): the engine then loops instead of recursing, however long a run is
+_CHAIN = rf"(?:{_TITLES})\.?[ ](?:(?:Dr|Prof)\.?[ ])*+"
 # an initial, or a capital and letters with inner capitals and apostrophes (not 's, 'll, ...)
-_PIECE = (rf"(?:\p{{Lu}}\p{{M}}*\.|(?:\p{{Ll}}{{1,2}}['’])?\p{{Lu}}{_LETTER}*(?:['’](?:\p{{Lu}}{_LETTER}+|\p{{Ll}}{{3,}}))*)")
-_WORD = rf"{_PIECE}(?:(?:(?<=\.)|[-‐‑]){_PIECE})*"
-_PARTICLES = r"(?:(?:van|von|der|den|de|del|della|di|da|dos|das|du|la|le|los|las|ter|ten|zu|zum|zur|af|av|bin|bint|ibn|al|el|y)[ -])*"
+_PIECE = (rf"(?:\p{{Lu}}\p{{M}}*\.|(?:\p{{Ll}}{{1,2}}['’])?\p{{Lu}}{_LETTER}*(?:['’](?:\p{{Lu}}{_LETTER}+|\p{{Ll}}{{3,}}){_END})*+)")
+_WORD = rf"{_PIECE}(?:(?:(?<=\.)|[-‐‑]){_PIECE}(?:(?<=\.)|{_END}))*+"
+_PARTICLES = r"(?:(?:van|von|der|den|de|del|della|di|da|dos|das|du|la|le|los|las|ter|ten|zu|zum|zur|af|av|bin|bint|ibn|al|el|y)[ -])*+"
 # a next title, a suffix, or a lone capital before no further name word ends the run
 _STOP = (rf"(?!(?:{_TITLES})\.?[ ]\p{{Lu}}|(?:Jr|Sr|II|III|IV|Esq|PhD|MD){_END}"
          rf"|\p{{Lu}}(?![\p{{L}}\p{{M}}.'’‐‑-])(?![ ]\p{{Lu}}{_LETTER}))")
-NAME = rf"(?<![\p{{L}}\p{{N}}]){_CHAIN}{_PARTICLES}{_WORD}(?:[ ]{_PARTICLES}{_STOP}{_WORD})*{_END}"
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,62})\.)+\p{L}{2,24}"
+NAME = rf"(?<![\p{{L}}\p{{N}}]){_CHAIN}{_PARTICLES}{_WORD}{_END}(?:[ ]{_PARTICLES}{_STOP}{_WORD}{_END})*+"
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,62})\.){1,126}\p{L}{2,24}"
 SECRET = r"(?<![\p{L}\p{N}])(?:(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[0-9A-Za-z]{32,}|AKIA[0-9A-Z]{16})(?![\p{L}\p{N}])"
 IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?:[ ]?[0-9A-Z]{4}){3,7}(?:[ ]?[0-9A-Z]{1,3})?(?![\p{L}\p{N}])"
 IP = r"(?<![\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?\p{N})"
@@ -120,20 +130,35 @@ def keys(kind: Column, mention: Column) -> Column:
     plain = F.when(kind.isin("card", "iban", "ssn", "phone"), F.lower(F.regexp_replace(mention, r"[^\p{L}\p{N}+]", ""))) \
         .otherwise(F.lower(mention))
     words = _words(mention)
-    n, n_last = F.size(words), F.size(F.regexp_extract_all(F.regexp_extract(mention, "[^ ]+$", 0), F.lit(_PIECE), F.lit(0)))
+    n_last = F.size(F.regexp_extract_all(F.regexp_extract(mention, "[^ ]+$", 0), F.lit(_PIECE), F.lit(0)))
 
-    def entity(w, i):
-        family = (i == n - 1) | ((i >= n - n_last) & ~w.endswith("."))
+    def entity(w, i, of):
+        n, initial = F.size(of["words"]), F.length(F.rtrim(w, F.lit("."))) == 1
+        family = (i == n - 1) | ((i >= n - of["last"]) & ~w.endswith("."))
         canon = F.translate(F.rtrim(F.lower(w), F.lit(".")), "’", "'")
-        slavic = family & (_script(w) == "cyrillic")
-        female = slavic & ((_gender(mention) == "f") | canon.rlike(_FEMININE))
+        slavic = family & ~initial & (_script(w) == "cyrillic")
+        female = slavic & ((of["gender"] == "f") | canon.rlike(_FEMININE))
+        part = F.when(initial, "initial/n/").when(family, "family/n/").otherwise(F.concat(F.lit("given/"), of["gender"], F.lit("/")))
         return F.struct(
-            F.concat(F.when(family, "family/n/").otherwise(F.concat(F.lit("given/"), _gender(mention), F.lit("/"))), _script(w)).alias("type"),
+            F.concat(part, _script(w)).alias("type"),
             F.when(slavic, F.regexp_replace(canon, _FEMININE, "$1")).otherwise(canon).alias("canon"),
             F.when(female, "а").otherwise("").alias("ending"))
 
     other = F.array(F.struct(kind.alias("type"), plain.alias("canon"), F.lit("").alias("ending")))
-    return F.when(kind == "name", F.transform(words, entity)).otherwise(other)
+    # the mention's own properties are bound once, not per word
+    bound = F.array(F.struct(words.alias("words"), n_last.alias("last"), _gender(mention).alias("gender")))
+    named = F.flatten(F.transform(bound, lambda of: F.transform(of["words"], lambda w, i: entity(w, i, of))))
+    return F.when(kind == "name", named).otherwise(other)
+
+
+def letters(secret: str) -> dict[str, dict[str, str]]:
+    """By script, the letter that stands for an initial: one keyed cycle through the alphabet, so no letter
+    stays and no two fall together."""
+    out = {}
+    for script, alphabet in ALPHABET.items():
+        ring = sorted(alphabet, key=lambda c: hashlib.sha512(f"{secret}|{script}|{c}".encode()).digest())
+        out[script] = dict(zip(ring, ring[1:] + ring[:1]))
+    return out
 
 
 def _pick(values: list[str], number: str) -> str:
@@ -143,13 +168,13 @@ def _pick(values: list[str], number: str) -> str:
 
 def _draw(secret: str) -> Column:
     """Surrogate of (type, canon, attempt): letters and digits in order, or the whole value for names and IPs."""
-    secret = secret.replace("\\", "\\\\").replace("'", "\\'")
+    raw, secret = secret, secret.replace("\\", "\\\\").replace("'", "\\'")
     seed = f"concat_ws('|', '{secret}', type, canon, cast(attempt as string))"
     # a stream of hex digits as long as the value needs
     stream = f"array_join(transform(sequence(0, length(canon) div 60), j -> sha2(concat({seed}, '|', cast(j as string)), 512)), '')"
     byte = lambda at: f"cast(conv(substr(stream, {at} * 2 + 1, 2), 16, 10) as int)"
     number = lambda at: f"cast(conv(substr(stream, {at} * 8 + 1, 8), 16, 10) as bigint)"
-    lists = []
+    lists, cycle = [], letters(raw)
     for script in GIVEN:
         both = [v for pair in zip(GIVEN[script]["m"], GIVEN[script]["f"]) for v in pair]
         more = f"array_join(transform(if(attempt = 0, array(), sequence(1, attempt)), j -> {_pick(SYLLABLES[script], number('(j + 2)'))}), '')"
@@ -157,6 +182,10 @@ def _draw(secret: str) -> Column:
             given = GIVEN[script].get(g, both)
             lists.append(f"when type = 'given/{g}/{script}' then concat({_pick(given, number(0))}, {more})")
         lists.append(f"when type like 'family/_/{script}' then concat({_pick(FAMILY[script], number(1))}, {more})")
+        table = cycle[script]
+        other = f"substr('{ALPHABET[script]}', cast({number(0)} % {len(table)} + 1 as int), 1)"
+        first = f"translate(canon, '{''.join(table)}', '{''.join(table.values())}')"
+        lists.append(f"when type like 'initial/_/{script}' then upper(if(instr('{ALPHABET[script]}', canon) > 0, {first}, {other}))")
     ip = (f"when type = 'ip' then concat_ws('.', {byte(0)} % 223 + 1, {byte(1)}, {byte(2)}, {byte(3)} % 254 + 1, "
           "if(attempt < 8, null, cast(attempt as string)))")
     body = f"""array_join(transform(sequence(1, length(alnum)), k -> case
@@ -180,7 +209,8 @@ def _luhn_sum(digits: str) -> str:
 
 def registry(entities: DataFrame, secret: str) -> DataFrame:
     """(type, canon, surrogate) for distinct (type, canon); surrogates of a type are distinct and no real entity."""
-    table = entities.select("type", "canon").distinct().withColumn("attempt", F.lit(0))
+    spread = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # drawing is the work, the table is small
+    table = entities.select("type", "canon").distinct().repartition(spread, "type", "canon").withColumn("attempt", F.lit(0))
     table = table.withColumn("alnum", F.regexp_replace("canon", r"[^\p{L}\p{N}]", ""))
     table = keep(table.withColumn("tld", F.length(F.regexp_extract("canon", r"\.(\p{L}+)$", 1))))
     family = F.regexp_extract("type", "^[^/]+", 0).alias("family")
@@ -197,6 +227,7 @@ def registry(entities: DataFrame, secret: str) -> DataFrame:
         first = now.groupBy("family", "value").agg(F.min(F.struct("attempt", "type", "canon")).alias("first"))
         now = now.join(first, ["family", "value"]).join(real, ["family", "value"], "left")
         clash = F.col("real").isNotNull() | (F.col("first.type") != F.col("type")) | (F.col("first.canon") != F.col("canon"))
+        clash = clash & ~F.col("type").startswith("initial/")  # one cycle of letters: distinct as they are
         now = keep(now.select("type", "canon", "alnum", "tld", "attempt", "surrogate", clash.alias("clash")))
         if not now.where("clash").limit(1).count():
             return now.select("type", "canon", "surrogate")
@@ -213,10 +244,7 @@ def dressed(mention: Column, kind: Column, surrogates: Column) -> Column:
     size = F.length(F.regexp_replace(m, r"[^\p{L}\p{N}]", ""))
     rest = F.substring(s, size + 1, F.lit(99))
     title, words = F.regexp_extract(m, f"^{_CHAIN}", 0), _words(m)
-    # an initial never stays the letter it was
-    initial = lambda x, w: F.upper(F.when(F.lower(F.substring(x, 1, 1)) != F.lower(F.substring(w, 1, 1)),
-                                          F.substring(x, 1, 1)).otherwise(F.substring(x, 2, 1)))
-    fit = lambda x, w: F.when(w.endswith("."), F.concat(initial(x, w), F.lit("."))) \
+    fit = lambda x, w: F.when(w.endswith("."), F.concat(F.substring(x, 1, 1), F.lit("."))) \
         .when(w.rlike(r"^[\p{Lu}\p{M}'’]{2,}$"), F.upper(x)).otherwise(x)
     gaps, fresh = F.split(_name(m), _PIECE, -1), F.zip_with(surrogates, words, fit)
     name = F.concat(title, F.array_join(F.zip_with(gaps, F.concat(fresh, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), ""))
@@ -247,15 +275,16 @@ def replace_entities(docs: DataFrame, secret: str, id_col: str = "doc_id", text_
     hit = src.where(F.size("_found") > 0).withColumn("_h", F.xxhash64("_text"))
 
     said = hit.select("_id", "_h", F.posexplode("_found").alias("pos", "mention")).distinct()
-    said = said.withColumn("kind", _kind(F.col("mention")))
-    parts = said.select("*", F.posexplode(keys(F.col("kind"), F.col("mention"))).alias("sub", "e"))
-    parts = keep(parts.select("_id", "_h", "pos", "mention", "kind", "sub", "e.type", "e.canon", "e.ending"))
+    said = keep(said.withColumn("kind", _kind(F.col("mention"))))
+    parts = said.select("_id", "_h", "pos", F.posexplode(keys(F.col("kind"), F.col("mention"))).alias("sub", "e"))
+    parts = keep(parts.select("_id", "_h", "pos", "sub", "e.type", "e.canon", "e.ending"))
     known = named_entities(parts, secret)
     parts = parts.withColumn("entity", F.struct("type", "canon"))
     parts = left_join_salted(parts, known, "entity", F.struct("_id", "_h", "pos"))
     parts = parts.withColumn("surrogate", F.concat("surrogate", "ending"))
-    whole = parts.groupBy("_id", "_h", "pos", "mention", "kind").agg(
+    whole = parts.groupBy("_id", "_h", "pos").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("sub", "surrogate"))), lambda x: x["surrogate"]).alias("s"))
+    whole = said.join(whole, ["_id", "_h", "pos"])
     whole = whole.withColumn("new", dressed(F.col("mention"), F.col("kind"), F.col("s")))
     per = whole.groupBy("_id", "_h").agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "new"))).alias("_list"))
 

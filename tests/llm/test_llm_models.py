@@ -1,5 +1,6 @@
 """Mixing, packing, classifier, language model, URL filter, surrogates and search on small fixtures."""
 
+import re
 import math
 import re
 import zlib
@@ -410,3 +411,32 @@ def test_walk_takes_pairs_in_order():
     d = ((left - q[:4]) ** 2).sum(1)[:, None] + ((right - q[4:]) ** 2).sum(1)[None, :]
     order = [d[p] for p in got]
     assert order == sorted(order) and all(count[p] > 0 for p in got)
+
+
+def test_surrogates_of_long_runs_and_initials(make_docs):
+    import string
+
+    run = " ".join(["Anna", "Berta-Carla", "J.", "O'Brien"] * 5000)
+    people = [f"Mr. {c}. Smith" for c in string.ascii_uppercase]
+    rows = [(1, f"Dr. {run} left."), (2, "; ".join(people)), (3, "Mr. John Smith met Mr. J. Smith and Ms. Jane Smith."),
+            (4, "x@" + "a." * 3000 + "com and Mr. " + "van " * 5000 + "Dam"), (5, "Mr. John Michael Adams3 and Mr. Anna-Maria7 end"),
+            (6, "Mr. " + "A-" * 3000 + "B"), (7, "Mr. " + "D'A" * 3000)]
+    got = {r.doc_id: r.text for r in surrogates.replace_entities(make_docs(rows), secret="k").collect()}
+    words = got[1].removeprefix("Dr. ").removesuffix(" left.").split(" ")
+    assert len(words) == 20000 and words[0] == words[4] and words[0] != "Anna" and words[2][1] == "." and words[2] != "J."
+    assert words[1].count("-") == 1 and words[1] != "Berta-Carla"
+    told = got[2].split("; ")
+    assert len(set(told)) == 26 and not set(told) & set(people) and len({t.split(" ")[2] for t in told}) == 1
+    assert {t.split(" ")[1] for t in told} == {f"{c}." for c in string.ascii_uppercase}
+    john, j, jane = re.findall(r"M[rs]s?\. (\S+) (\S+?)(?=[ .])", got[3])
+    assert j[0][0] != "J" and john[0] != jane[0] and john[1] == j[1] == jane[1] != "Smith"
+    assert "Dam" not in got[4] and "Adams3" in got[5] and "John" not in got[5] and "Michael" not in got[5]
+
+
+def test_first_letters_form_one_cycle():
+    for script, table in surrogates.letters("some key").items():
+        at, seen = next(iter(table)), []
+        while at not in seen:
+            seen.append(at)
+            at = table[at]
+        assert sorted(seen) == sorted(surrogates.ALPHABET[script])
