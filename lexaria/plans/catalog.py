@@ -36,4 +36,5 @@ def load_all() -> None:
         q_losses,
         q_train,
         q_streaming,
+        q_language,
     )
