@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexaria.functions import vectors as Vx
 from lexaria.operators import language as LG
+from lexaria.operators.batching import budget_batches
 from lexaria.plans import fixtures as FX
 from lexaria.plans.catalog import register
 from lexaria.plans.oracle import TOK, WS, add_cte, gold, with_ctes
@@ -71,3 +72,22 @@ def c01_learned_sentences(spark, sf):
     pieces = lines.select("doc_id", "line_no", F.size(FX.T.split_sentences(F.col("line"))).cast("bigint").alias("n_pieces"))
     counts = got.groupBy("doc_id", "line_no").agg(F.count("*").alias("n_sentences"))
     return pieces.join(counts, ["doc_id", "line_no"]).select("doc_id", "line_no", "n_pieces", "n_sentences")
+
+
+add_cte("budget_rows", [], f"""
+SELECT doc_id, cost, row_number() OVER (ORDER BY cost DESC, doc_id) AS k
+FROM (SELECT doc_id, CAST(2 * len(regexp_extract_all(text, '{TOK}')) AS BIGINT) AS cost FROM documents)""")
+
+
+@register("g10_token_budget_batches", with_ctes(["budget_rows"], "").replace("WITH ", "WITH RECURSIVE ", 1) + """,
+cut(k, doc_id, cost, held, batch_id) AS (
+  SELECT k, doc_id, cost, cost, CAST(0 AS BIGINT) FROM budget_rows WHERE k = 1
+  UNION ALL
+  SELECT r.k, r.doc_id, r.cost, CASE WHEN c.held + r.cost > 16384 THEN r.cost ELSE c.held + r.cost END,
+         c.batch_id + CASE WHEN c.held + r.cost > 16384 THEN 1 ELSE 0 END
+  FROM cut c JOIN budget_rows r ON r.k = c.k + 1)
+SELECT doc_id, cost, batch_id FROM cut""")
+def g10_token_budget_batches(spark, sf):
+    """Batches of documents by falling length, cut greedily at 32 x 512 estimated tokens (two a word)."""
+    docs = FX.table(spark, sf, "documents").select("doc_id", (2 * F.size(FX.T.word_tokens(F.col("text")))).cast("bigint").alias("cost"))
+    return budget_batches(docs, "cost", [F.col("cost").desc(), "doc_id"], 32 * 512)
