@@ -209,8 +209,7 @@ def _luhn_sum(digits: str) -> str:
 
 def registry(entities: DataFrame, secret: str) -> DataFrame:
     """(type, canon, surrogate) for distinct (type, canon); surrogates of a type are distinct and no real entity."""
-    spread = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # drawing is the work, the table is small
-    table = entities.select("type", "canon").distinct().repartition(spread, "type", "canon").withColumn("attempt", F.lit(0))
+    table = entities.select("type", "canon").distinct().withColumn("attempt", F.lit(0))
     table = table.withColumn("alnum", F.regexp_replace("canon", r"[^\p{L}\p{N}]", ""))
     table = keep(table.withColumn("tld", F.length(F.regexp_extract("canon", r"\.(\p{L}+)$", 1))))
     family = F.regexp_extract("type", "^[^/]+", 0).alias("family")
@@ -275,16 +274,17 @@ def replace_entities(docs: DataFrame, secret: str, id_col: str = "doc_id", text_
     hit = src.where(F.size("_found") > 0).withColumn("_h", F.xxhash64("_text"))
 
     said = hit.select("_id", "_h", F.posexplode("_found").alias("pos", "mention")).distinct()
-    said = keep(said.withColumn("kind", _kind(F.col("mention"))))
-    parts = said.select("_id", "_h", "pos", F.posexplode(keys(F.col("kind"), F.col("mention"))).alias("sub", "e"))
-    parts = keep(parts.select("_id", "_h", "pos", "sub", "e.type", "e.canon", "e.ending"))
+    said = said.withColumn("kind", _kind(F.col("mention")))
+    parts = said.select("*", F.posexplode(keys(F.col("kind"), F.col("mention"))).alias("sub", "e"))
+    once = F.when(F.col("sub") == 0, F.col("mention")).alias("mention")  # a mention of many words goes with its first one
+    parts = keep(parts.select("_id", "_h", "pos", once, "kind", "sub", "e.type", "e.canon", "e.ending"))
     known = named_entities(parts, secret)
     parts = parts.withColumn("entity", F.struct("type", "canon"))
     parts = left_join_salted(parts, known, "entity", F.struct("_id", "_h", "pos"))
     parts = parts.withColumn("surrogate", F.concat("surrogate", "ending"))
     whole = parts.groupBy("_id", "_h", "pos").agg(
+        F.max("mention").alias("mention"), F.max("kind").alias("kind"),
         F.transform(F.array_sort(F.collect_list(F.struct("sub", "surrogate"))), lambda x: x["surrogate"]).alias("s"))
-    whole = said.join(whole, ["_id", "_h", "pos"])
     whole = whole.withColumn("new", dressed(F.col("mention"), F.col("kind"), F.col("s")))
     per = whole.groupBy("_id", "_h").agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "new"))).alias("_list"))
 
