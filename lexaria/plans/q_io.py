@@ -181,7 +181,7 @@ def b12_metrics_json(spark, sf):
     """Word-similarity results written as JSON and read back."""
     from lexaria.plans.q_evaluate import _ds_pairs
 
-    res = EV.word_similarity(_ds_pairs(spark, sf), FX.word2vec(spark, sf), bound=FX.n_words(spark, sf), dim=FX.dim(spark, sf))
+    res = EV.word_similarity(_ds_pairs(spark, sf), FX.word2vec(spark, sf), dim=FX.dim(spark, sf))
     p = SK.write_metrics_json(res, _out(spark, "metrics"))
     return spark.read.schema("dataset string, n_pairs bigint, n_found bigint").json(p)
 

@@ -214,7 +214,7 @@ def k06_training_run(spark, sf):
     pairs = _ds_pairs(spark, sf)
 
     def evaluate(vectors):
-        r = EV.word_similarity(pairs, vectors, bound=FX.n_words(spark, sf), dim=FX.dim(spark, sf))
+        r = EV.word_similarity(pairs, vectors, dim=FX.dim(spark, sf))
         return r.agg(F.avg("spearman")).first()[0]
 
     cfg = D.TrainConfig(epochs=2, batch_size=128, learning_rate=1e-3, patience=5, eval_every=2)
