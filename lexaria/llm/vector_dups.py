@@ -4,8 +4,12 @@ Codes: a unit vector o is turned by random orthogonal rotations; per rotation it
 the sign vector b (scaled by 1 / sqrt(d)) with the stored correction factor f = <b, o>.
 For the turned partner q, <b, q> / f is an unbiased estimate of <o, q> whose error is
 at most ``CONFIDENCE`` * sqrt((1 - f^2) / f^2 / (d - 1)) up to a tiny chance.  The average
-over the rotations, from both sides, gives estimate and bound of a pair; only pairs whose
-upper bound reaches the threshold are recomputed exactly, in double precision.
+over ``ESTIMATES`` rotations gives estimate and bound of a pair; q is stored in 8-bit steps,
+whose largest possible effect is added to the bound.  Only pairs whose upper bound reaches
+the threshold are recomputed exactly, in double precision.
+
+Codes are computed once and stored.  Only they travel to the tables: a bucket's task names
+the rows that have a pair to recompute there, and the vectors of those rows alone follow.
 
 Candidates: rows meet in a table if ``bits`` code bits agree.  bits grows with the
 logarithm of the row count (buckets hold a few unrelated rows at every size) and the
@@ -41,6 +45,7 @@ BLOCK = 2048
 BUCKET_ROWS = 8
 RECALL = 0.998
 CONFIDENCE = 5.0
+ESTIMATES = 2
 
 
 def rotations(dim: int, count: int, seed: int = 9) -> np.ndarray:
@@ -60,63 +65,108 @@ def table_plan(rows: int, threshold: float) -> tuple[int, int]:
     return bits, math.ceil(math.log(1 - RECALL) / math.log(1 - agree ** bits))
 
 
-def _keys(units: np.ndarray, turn: np.ndarray, bits: int, tables: int) -> np.ndarray:
+def _keys(sign: np.ndarray, bits: int, tables: int) -> np.ndarray:
     """(rows, tables) bucket keys: consecutive runs of code bits."""
-    sign = np.concatenate([units @ t > 0 for t in turn], axis=1)
     per = sign.shape[1] // tables if sign.shape[1] >= bits * tables else bits
     weight = np.int64(1) << np.arange(bits, dtype=np.int64)
     return np.stack([sign[:, per * t:per * t + bits] @ weight for t in range(tables)], axis=1)
 
 
-def _codes(units: np.ndarray, turn: np.ndarray):
-    """Signs and correction factors of every rotation."""
+def encode(units: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sign bits of every rotation, packed code) of unit rows.
+
+    A code holds the sign bits of all rotations, then for each of the first ``ESTIMATES`` the
+    turned vector in 8-bit steps, then those rotations' step sizes and correction factors.
+    """
     d = units.shape[1]
     turned = [units @ t for t in turn]
-    sign = [np.where(x > 0, 1.0, -1.0) / math.sqrt(d) for x in turned]
-    factor = [(s * x).sum(1) for s, x in zip(sign, turned)]
-    return turned, sign, factor
-
-
-def upper_bounds(codes, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    sign = np.concatenate([x > 0 for x in turned], axis=1)
+    parts, tail = [np.packbits(sign, axis=1)], []
+    for x in turned[:ESTIMATES]:
+        step = np.abs(x).max(1) / 127
+        parts.append(np.rint(x / step[:, None]).astype(np.int8).view(np.uint8))
+        tail.append(step)
+    tail += [np.abs(x).sum(1) / math.sqrt(d) for x in turned[:ESTIMATES]]
+    parts.append(np.stack(tail, axis=1).astype("<f4").view(np.uint8))
+    return sign, np.concatenate(parts, axis=1)
+
+
+def decode(code: np.ndarray, dim: int, n_turn: int):
+    """(sign bits, estimates) of packed codes; an estimate is (turned, sign, factor, slack)."""
+    at = -(-n_turn * dim // 8)
+    sign = np.unpackbits(code[:, :at], axis=1, count=n_turn * dim)
+    numbers = np.ascontiguousarray(code[:, at + ESTIMATES * dim:]).view("<f4")
+    found = []
+    for r in range(ESTIMATES):
+        step, factor = numbers[:, r], numbers[:, ESTIMATES + r]
+        turned = code[:, at + r * dim:at + (r + 1) * dim].view(np.int8).astype(np.float32) * step[:, None]
+        bits = sign[:, r * dim:(r + 1) * dim].astype(np.float32)
+        found.append((turned, (2 * bits - 1) / np.float32(math.sqrt(dim)), factor, step * math.sqrt(dim) / 2))
+    return sign, found
+
+
+def upper_bounds(estimates, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Upper confidence bound of the inner products of rows i and j from their codes."""
-    turned, sign, factor = codes
-    d = turned[0].shape[1]
+    d = estimates[0][0].shape[1]
     est, var = np.zeros(len(i)), np.zeros(len(i))
-    for x, b, f in zip(turned, sign, factor):
-        est += np.einsum("ij,ij->i", b[i], x[j]) / f[i]
-        var += (1 - f[i] ** 2) / f[i] ** 2
-    n = len(turned)
+    for turned, sign, factor, slack in estimates:
+        f = factor[i].astype(np.float64)
+        # the 8-bit steps of the partner shift the product by its slack at most
+        est += (np.einsum("ij,ij->i", sign[i], turned[j]) + slack[j] + 1e-5) / f
+        var += np.maximum(0, 1 - f ** 2) / f ** 2
+    n = len(estimates)
     return est / n + CONFIDENCE * np.sqrt(var / max(1, d - 1)) / n
 
 
-def _bucket_links(dim: int, threshold: float, seed: int, n_turn: int, bits: int, tables: int):
+def _hopeful(cols: dict, dim: int, n_turn: int, bits: int, tables: int, threshold: float):
+    """Position pairs of whole buckets that may reach the threshold and meet in this table first."""
+    code = matrix(cols["code"], -1)
+    sign, estimates = decode(code, dim, n_turn)
+    keys = _keys(sign, bits, tables)
+    t, block, cross = cols["t"], cols["blk"], cols["a"] != cols["b"]
+    for i, j in pairs_in_groups(cols["_group"]):
+        live = ~cross[i] | (block[i] != block[j])
+        i, j = i[live], j[live]
+        for s in range(0, len(i), 65536):
+            p, q = i[s:s + 65536], j[s:s + 65536]
+            ok = upper_bounds(estimates, p, q) >= threshold
+            p, q = p[ok], q[ok]
+            # a pair counts in the first table it meets in
+            ok = (keys[p] == keys[q]).argmax(axis=1) == t[p]
+            yield p[ok], q[ok]
+
+
+def _survivors(dim: int, threshold: float, n_turn: int, bits: int, tables: int):
+    """Rows of a bucket that have a pair to recompute there; reads codes only."""
+    names = ["t", "k", "a", "b", "blk", "g"]
+
+    def run(batches):
+        for cols in whole_groups(batches, ["t", "k", "a", "b"]):
+            wanted = np.zeros(len(cols["g"]), bool)
+            for p, q in _hopeful(cols, dim, n_turn, bits, tables, threshold):
+                wanted[p] = True
+                wanted[q] = True
+            if wanted.any():
+                yield pa.RecordBatch.from_arrays([pa.array(cols[c][wanted]) for c in names], names)
+
+    return run
+
+
+def _bucket_links(dim: int, threshold: float, n_turn: int, bits: int, tables: int):
+    """Exact cosines of the surviving rows' hopeful pairs: links per row and a spanning forest."""
     def run(batches):
-        turn = rotations(dim, n_turn, seed)
         for cols in whole_groups(batches, ["t", "k", "a", "b"]):
             raw = matrix(cols["vec"], dim).astype(np.float64)
             norm = np.sqrt((raw * raw).sum(1))
-            units = raw / norm[:, None]
-            keys = _keys(units, turn, bits, tables)
-            codes = _codes(units, turn[:2])
-            t, block, n, ids = cols["t"], cols["blk"], cols["n"], cols["g"]
-            cross = cols["a"] != cols["b"]
+            n, ids = cols["n"], cols["g"]
             count = np.zeros(len(ids), np.int64)
             forest = Forest(len(ids))
-            for i, j in pairs_in_groups(cols["_group"]):
-                live = ~cross[i] | (block[i] != block[j])
-                i, j = i[live], j[live]
-                for s in range(0, len(i), 65536):
-                    p, q = i[s:s + 65536], j[s:s + 65536]
-                    ok = upper_bounds(codes, p, q) >= threshold
-                    p, q = p[ok], q[ok]
-                    ok = (raw[p] * raw[q]).sum(1) / (norm[p] * norm[q]) >= threshold
-                    p, q = p[ok], q[ok]
-                    # a pair counts in the first table it meets in
-                    meet = (keys[p] == keys[q]).argmax(axis=1) == t[p]
-                    p, q = p[meet], q[meet]
-                    np.add.at(count, p, n[q])
-                    np.add.at(count, q, n[p])
-                    forest.add(p, q)
+            for p, q in _hopeful(cols, dim, n_turn, bits, tables, threshold):
+                ok = (raw[p] * raw[q]).sum(1) / (norm[p] * norm[q]) >= threshold
+                p, q = p[ok], q[ok]
+                np.add.at(count, p, n[q])
+                np.add.at(count, q, n[p])
+                forest.add(p, q)
             got = np.flatnonzero(count)
             if len(got):
                 root = forest.label[got]
@@ -139,7 +189,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     flat = keep(flat.withColumn("g", F.monotonically_increasing_id()))
     rows = flat.count()
     bits, tables = table_plan(rows, threshold)
-    n_turn = max(2, math.ceil(bits * tables / max(1, dim)))
+    n_turn = max(ESTIMATES, math.ceil(bits * tables / max(1, dim)))
 
     def code(batches):
         turn = rotations(dim, n_turn, seed)
@@ -148,20 +198,26 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
             if len(raw):
                 x = raw.astype(np.float64)
                 x /= np.sqrt((x * x).sum(1))[:, None]
-                k = _keys(x, turn, bits, tables)
+                sign, codes = encode(x, turn)
+                k = _keys(sign, bits, tables)
                 flat_k = pa.ListArray.from_arrays(pa.array(np.arange(len(k) + 1, dtype=np.int32) * tables), pa.array(k.ravel()))
-                yield pa.RecordBatch.from_arrays([b.column("g"), b.column("n"), packed(raw), flat_k], ["g", "n", "vec", "ks"])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("g"), b.column("n"), packed(raw), packed(codes), flat_k], ["g", "n", "vec", "code", "ks"])
 
     if rows:
-        coded = flat.select("g", "n", "vec").mapInArrow(code, "g long, n long, vec binary, ks array<long>")
-        keyed = coded.select("g", "n", "vec", F.posexplode("ks").alias("t", "k"))
+        shape = (dim, threshold, n_turn, bits, tables)
+        bucket = ["t", "k", "a", "b"]
+        coded = keep(flat.select("g", "n", "vec").mapInArrow(code, "g long, n long, vec binary, code binary, ks array<long>"))
+        keyed = coded.select("g", "code", F.posexplode("ks").alias("t", "k"))
         size = coded.select(F.posexplode("ks").alias("t", "k")).groupBy("t", "k").count().where("count > 1")
         size = size.select("t", "k", F.ceil(F.col("count") / F.lit(BLOCK)).cast("int").alias("parts"))
         keyed = keyed.join(size, ["t", "k"]).withColumn("blk", F.pmod(F.xxhash64("g"), F.col("parts")).cast("int"))
         keyed = keyed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        keyed = keyed.select("t", "k", F.least("blk", "o").alias("a"), F.greatest("blk", "o").alias("b"), "blk", "g", "n", "vec")
-        keyed = keyed.repartition("t", "k", "a", "b").sortWithinPartitions("t", "k", "a", "b")
-        found = keep(keyed.mapInArrow(_bucket_links(dim, threshold, seed, n_turn, bits, tables), "g long, links long, root long"))
+        keyed = keyed.select("t", "k", F.least("blk", "o").alias("a"), F.greatest("blk", "o").alias("b"), "blk", "g", "code")
+        keyed = keyed.repartition(*bucket).sortWithinPartitions(*bucket)
+        alive = keep(keyed.mapInArrow(_survivors(*shape), "t int, k long, a int, b int, blk int, g long"))
+        exact = alive.join(coded.select("g", "n", "vec", "code"), "g").repartition(*bucket).sortWithinPartitions(*bucket)
+        found = keep(exact.mapInArrow(_bucket_links(*shape), "g long, links long, root long"))
         links = found.groupBy("g").agg(F.sum("links").alias("links"))
         comp = connected_components(found.select("g", "root"), "g", "root").withColumnRenamed("node", "g")
         per = flat.select("g", "n", "least", "vec").join(links, "g", "left").join(comp, "g", "left")

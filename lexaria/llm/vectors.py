@@ -21,13 +21,15 @@ def table_dimension(good: DataFrame, vec: str) -> int:
 
 
 def matrix(col: pa.Array, dim: int) -> np.ndarray:
-    """(rows, dim) array of a list or packed binary column of equal length, in its own float type."""
+    """(rows, dim) array of a list or packed binary column of equal length, in its own float type (dim < 0: bytes)."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     if pa.types.is_binary(col.type):
         data = np.frombuffer(col.buffers()[2], np.uint8) if len(col) else np.zeros(0, np.uint8)
         off = np.frombuffer(col.buffers()[1], np.int32)[col.offset:col.offset + len(col) + 1]
         size = (off[-1] - off[0]) // max(1, len(col)) if len(col) else 8 * dim
+        if dim < 0:  # plain bytes
+            return data[off[0]:off[-1]].reshape(len(col), -1)
         kind = np.float32 if size == 4 * dim else np.float64
         return data[off[0]:off[-1]].view(kind).reshape(-1, dim) if len(col) else np.zeros((0, dim))
     flat = col.flatten().to_numpy(zero_copy_only=False)

@@ -225,13 +225,31 @@ def test_upper_bounds_hold():
     x = rng.standard_normal((400, 64))
     x[200:] = x[:200] + 0.2 * rng.standard_normal((200, 64))
     x /= np.sqrt((x * x).sum(1))[:, None]
-    codes = vector_dups._codes(x, vector_dups.rotations(64, 2))
+    codes = vector_dups.decode(vector_dups.encode(x, vector_dups.rotations(64, 2))[1], 64, 2)[1]
     i, j = np.arange(200), np.arange(200, 400)
     exact = (x[i] * x[j]).sum(1)
     bound = vector_dups.upper_bounds(codes, i, j)
     assert (bound >= exact).all() and (vector_dups.upper_bounds(codes, i, (j + 7) % 200) < 0.95).mean() > 0.9
 
 
+def test_few_rows_are_recomputed():
+    """A bucket's codes name the rows of near pairs and next to no others."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((1000, 64))
+    x[500] = x[0] * 3
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    turn = vector_dups.rotations(64, 2)
+    code = vector_dups.encode(x, turn)[1]
+    assert code.shape[1] == 16 + 2 * 64 + 4 * 4  # against 256 bytes of floats
+    n = np.arange(1000)
+    cols = {"t": n * 0, "k": n * 0, "a": n * 0, "b": n * 0, "blk": n * 0, "g": n, "code": vector_dups.packed(code)}
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in cols.values()], list(cols))
+    got = {g for b in vector_dups._survivors(64, 0.95, 2, 8, 10)([batch]) for g in b.column("g").to_pylist()}
+    assert {0, 500} <= got and len(got) < 50
+
+
 def test_empty_tables(make_docs, spark):
     assert simhash.simhash_components(make_docs([])).count() == 0
     assert lines.line_decisions(make_docs([])).count() == 0
