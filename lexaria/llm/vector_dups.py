@@ -4,8 +4,8 @@ Codes: a unit vector o is turned by random orthogonal rotations; per rotation it
 the sign vector b (scaled by 1 / sqrt(d)) with the stored correction factor f = <b, o>.
 For the turned partner q, <b, q> / f is an unbiased estimate of <o, q> whose error is
 at most ``CONFIDENCE`` * sqrt((1 - f^2) / f^2 / (d - 1)) up to a tiny chance.  The average
-over ``ESTIMATES`` rotations gives estimate and bound of a pair; q is stored in 8-bit steps,
-whose largest possible effect is added to the bound.  Only pairs whose upper bound reaches
+over ``ESTIMATES`` rotations gives estimate and bound of a pair; q is stored in 4-bit steps,
+whose rounding error is part of the bound.  Only pairs whose upper bound reaches
 the threshold are recomputed exactly, in double precision.
 
 Codes are computed once and stored.  Only they travel to the tables: a bucket's task names
@@ -76,15 +76,17 @@ def encode(units: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     """(sign bits of every rotation, packed code) of unit rows.
 
     A code holds the sign bits of all rotations, then for each of the first ``ESTIMATES`` the
-    turned vector in 8-bit steps, then those rotations' step sizes and correction factors.
+    turned vector in 4-bit steps, then those rotations' step sizes and correction factors.
     """
     d = units.shape[1]
     turned = [units @ t for t in turn]
     sign = np.concatenate([x > 0 for x in turned], axis=1)
     parts, tail = [np.packbits(sign, axis=1)], []
     for x in turned[:ESTIMATES]:
-        step = np.abs(x).max(1) / 127
-        parts.append(np.rint(x / step[:, None]).astype(np.int8).view(np.uint8))
+        step = np.abs(x).max(1) / 7
+        level = np.zeros((len(x), d + d % 2), np.uint8)
+        level[:, :d] = np.rint(x / step[:, None]) + 8
+        parts.append(level[:, ::2] << 4 | level[:, 1::2])
         tail.append(step)
     tail += [np.abs(x).sum(1) / math.sqrt(d) for x in turned[:ESTIMATES]]
     parts.append(np.stack(tail, axis=1).astype("<f4").view(np.uint8))
@@ -92,16 +94,18 @@ def encode(units: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def decode(code: np.ndarray, dim: int, n_turn: int):
-    """(sign bits, estimates) of packed codes; an estimate is (turned, sign, factor, slack)."""
-    at = -(-n_turn * dim // 8)
+    """(sign bits, estimates) of packed codes; an estimate is (turned, sign, factor, step)."""
+    at, half = -(-n_turn * dim // 8), -(-dim // 2)
     sign = np.unpackbits(code[:, :at], axis=1, count=n_turn * dim)
-    numbers = np.ascontiguousarray(code[:, at + ESTIMATES * dim:]).view("<f4")
+    numbers = np.ascontiguousarray(code[:, at + ESTIMATES * half:]).view("<f4")
     found = []
     for r in range(ESTIMATES):
         step, factor = numbers[:, r], numbers[:, ESTIMATES + r]
-        turned = code[:, at + r * dim:at + (r + 1) * dim].view(np.int8).astype(np.float32) * step[:, None]
+        pair = code[:, at + r * half:at + (r + 1) * half]
+        level = np.stack([pair >> 4, pair & 15], axis=2).reshape(len(code), -1)[:, :dim]
+        turned = (level.astype(np.float32) - 8) * step[:, None]
         bits = sign[:, r * dim:(r + 1) * dim].astype(np.float32)
-        found.append((turned, (2 * bits - 1) / np.float32(math.sqrt(dim)), factor, step * math.sqrt(dim) / 2))
+        found.append((turned, (2 * bits - 1) / np.float32(math.sqrt(dim)), factor, step))
     return sign, found
 
 
@@ -109,13 +113,13 @@ def upper_bounds(estimates, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Upper confidence bound of the inner products of rows i and j from their codes."""
     d = estimates[0][0].shape[1]
     est, var = np.zeros(len(i)), np.zeros(len(i))
-    for turned, sign, factor, slack in estimates:
+    for turned, sign, factor, step in estimates:
         f = factor[i].astype(np.float64)
-        # the 8-bit steps of the partner shift the product by its slack at most
-        est += (np.einsum("ij,ij->i", sign[i], turned[j]) + slack[j] + 1e-5) / f
-        var += np.maximum(0, 1 - f ** 2) / f ** 2
+        est += np.einsum("ij,ij->i", sign[i], turned[j]) / f
+        # the code's own error, and that of rounding the partner to its steps
+        var += (np.maximum(0, 1 - f ** 2) / max(1, d - 1) + step[j].astype(np.float64) ** 2 / 12) / f ** 2
     n = len(estimates)
-    return est / n + CONFIDENCE * np.sqrt(var / max(1, d - 1)) / n
+    return est / n + CONFIDENCE * np.sqrt(var) / n + 1e-5
 
 
 def _hopeful(cols: dict, dim: int, n_turn: int, bits: int, tables: int, threshold: float):
@@ -208,12 +212,13 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         shape = (dim, threshold, n_turn, bits, tables)
         bucket = ["t", "k", "a", "b"]
         coded = keep(flat.select("g", "n", "vec").mapInArrow(code, "g long, n long, vec binary, code binary, ks array<long>"))
-        keyed = coded.select("g", "code", F.posexplode("ks").alias("t", "k"))
-        size = coded.select(F.posexplode("ks").alias("t", "k")).groupBy("t", "k").count().where("count > 1")
+        keyed = coded.select("g", F.posexplode("ks").alias("t", "k"))
+        size = keyed.groupBy("t", "k").count().where("count > 1")
         size = size.select("t", "k", F.ceil(F.col("count") / F.lit(BLOCK)).cast("int").alias("parts"))
         keyed = keyed.join(size, ["t", "k"]).withColumn("blk", F.pmod(F.xxhash64("g"), F.col("parts")).cast("int"))
         keyed = keyed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        keyed = keyed.select("t", "k", F.least("blk", "o").alias("a"), F.greatest("blk", "o").alias("b"), "blk", "g", "code")
+        keyed = keyed.select("t", "k", F.least("blk", "o").alias("a"), F.greatest("blk", "o").alias("b"), "blk", "g")
+        keyed = keyed.join(coded.select("g", "code"), "g")  # codes travel to shared buckets only
         keyed = keyed.repartition(*bucket).sortWithinPartitions(*bucket)
         alive = keep(keyed.mapInArrow(_survivors(*shape), "t int, k long, a int, b int, blk int, g long"))
         exact = alive.join(coded.select("g", "n", "vec", "code"), "g").repartition(*bucket).sortWithinPartitions(*bucket)

@@ -242,7 +242,7 @@ def test_few_rows_are_recomputed():
     x /= np.sqrt((x * x).sum(1))[:, None]
     turn = vector_dups.rotations(64, 2)
     code = vector_dups.encode(x, turn)[1]
-    assert code.shape[1] == 16 + 2 * 64 + 4 * 4  # against 256 bytes of floats
+    assert code.shape[1] == 16 + 2 * 32 + 4 * 4  # against 256 bytes of floats
     n = np.arange(1000)
     cols = {"t": n * 0, "k": n * 0, "a": n * 0, "b": n * 0, "blk": n * 0, "g": n, "code": vector_dups.packed(code)}
     batch = pa.RecordBatch.from_arrays([pa.array(c) for c in cols.values()], list(cols))
