@@ -28,6 +28,14 @@ def indexed_with_count(
     df: DataFrame, order_cols: list, name: str = "idx", num_partitions: int | None = None
 ) -> tuple[DataFrame, int]:
     """``with_global_index`` that also returns the row count (known for free)."""
+    out, run = _numbered(df, order_cols, name, num_partitions)
+    return out.drop("_pid"), run
+
+
+def _numbered(
+    df: DataFrame, order_cols: list, name: str, num_partitions: int | None = None
+) -> tuple[DataFrame, int]:
+    """Rows with their position and the range partition ``_pid`` they lie in, and the row count."""
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
@@ -50,7 +58,7 @@ def indexed_with_count(
         run += sizes.get(p, 0)
     table = F.array(*[F.lit(o).cast("bigint") for o in offsets])
     out = tagged.withColumn(name, (F.element_at(table, (F.col("_pid") + 1).cast("int")) + F.col("_local"))
-                            .cast("bigint")).drop("_pid", "_local")
+                            .cast("bigint")).drop("_local")
     return out, run
 
 
@@ -59,15 +67,17 @@ def average_rank(
 ) -> DataFrame:
     """1-based rank of ``value`` inside ``group`` with ties given their average rank.
 
-    Computed as (rows of the group strictly before the tie block) + (block size + 1) / 2
-    from a distributed global index, so no single task sees a whole group.
+    A rank scan with carry: rows are numbered in the total order, each range partition is
+    reduced to its tie blocks, blocks that cross partition borders are united, and every
+    partition gets its blocks' ranks back.  The joins are keyed by the range partition, so a
+    value or group that all rows share still spreads over as many tasks as it has partitions.
     """
-    indexed = with_global_index(df, group + [value] + tiebreak, name="_gi")
-    blocks = indexed.groupBy(*group, value).agg(
-        F.min("_gi").alias("_lo"), F.max("_gi").alias("_hi")
-    )
-    starts = indexed.groupBy(*group).agg(F.min("_gi").alias("_g0"))
-    ranks = blocks.join(starts, group).select(
-        *group, value, ((F.col("_lo") + F.col("_hi")) / 2.0 - F.col("_g0") + 1.0).alias(name)
+    indexed, _ = _numbered(df, group + [value] + tiebreak, "_gi")
+    parts = indexed.groupBy("_pid", *group, value).agg(F.min("_gi").alias("_lo"), F.max("_gi").alias("_hi"))
+    blocks = parts.groupBy(*group, value).agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    heads = parts.groupBy("_pid", *group).agg(F.min("_lo").alias("_g"))  # a group has a row per partition
+    starts = heads.drop("_g").join(heads.groupBy(*group).agg(F.min("_g").alias("_g0")), group)
+    ranks = parts.drop("_lo", "_hi").join(blocks, [*group, value]).join(starts, ["_pid", *group]).select(
+        "_pid", *group, value, ((F.col("_lo") + F.col("_hi")) / 2.0 - F.col("_g0") + 1.0).alias(name)
     )
-    return indexed.drop("_gi").join(ranks, group + [value])
+    return indexed.drop("_gi").join(ranks, ["_pid", *group, value]).drop("_pid")

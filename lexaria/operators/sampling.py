@@ -14,26 +14,24 @@ from pyspark.sql import functions as F
 
 from lexaria.functions.ordering import indexed_with_count
 from lexaria.functions.text import hash_key
+from lexaria.sources.corpus import first_in_order
 
 
-def hash_top_k(df: DataFrame, h: str, k: int, tiebreak: list[str], oversample: float = 3.0) -> DataFrame:
+def hash_top_k(df: DataFrame, h: str, k: int, tiebreak: list[str]) -> DataFrame:
     """The ``k`` rows with the smallest md5 hex ``h`` (ties by ``tiebreak``), exact.
 
-    A plain ``orderBy(h).limit(k)`` ships up to ``k`` rows from every partition
-    into one task.  md5 prefixes are uniform, so rows whose 32-bit prefix is
-    under ``oversample * k / n`` of the range form a down-set of the order with
-    about ``oversample * k`` rows; when it holds at least ``k`` rows the answer
-    is inside it, otherwise fall back to the full top-k.
+    The rows are counted by the first 16 bits of ``h`` (at most 65,536 counts, whatever the
+    input).  The prefixes up to the one in which the count reaches ``k`` are a down-set of
+    the order that holds the answer; only its rows are put in order, over all partitions.
     """
-    n = df.count()  # one scalar
-    ordered = [F.col(h)] + [F.col(c) for c in tiebreak]
-    if n > k:
-        frac = min(1.0, oversample * k / n)
-        prefix = F.conv(F.substring(F.col(h), 1, 8), 16, 10).cast("bigint")
-        cand = df.where(prefix < F.lit(int(frac * 2**32)))
-        if frac < 1.0 and cand.count() >= k:
-            return cand.orderBy(*ordered).limit(k)
-    return df.orderBy(*ordered).limit(k)
+    if k <= 0:
+        return df.limit(0)
+    prefix = F.substring(F.col(h), 1, 4)
+    counts = df.groupBy(prefix.alias("p")).agg(F.count(F.lit(1)).alias("c"))
+    run = counts.select("p", F.sum("c").over(Window.orderBy("p")).alias("run"))
+    last = run.where(F.col("run") >= k).agg(F.min("p")).first()[0]  # one scalar
+    down = df if last is None else df.where(prefix <= F.lit(last))
+    return first_in_order(down, [h, *tiebreak], k)
 
 
 def _per_word_sample(ctx: DataFrame, n: int, min_count: int, seed: int) -> DataFrame:
@@ -105,7 +103,7 @@ def one_per_word(ctx: DataFrame, min_count: int = 3, max_total: int = 100000, se
     (words taken in index order)."""
     picked = _per_word_sample(ctx, 1, min_count, seed)
     first_pos = ctx.groupBy("word").agg(F.min(F.struct("doc_id", "line_no", "sent_no")).alias("_p"))
-    return picked.join(first_pos, "word").orderBy("_p", "word").limit(max_total).select("word", "sentence")
+    return first_in_order(picked.join(first_pos, "word"), ["_p", "word"], max_total).select("word", "sentence")
 
 
 def language_sample(ctx: DataFrame, target_lang: str, per_word: int = 5, min_count: int = 10,
@@ -118,7 +116,7 @@ def language_sample(ctx: DataFrame, target_lang: str, per_word: int = 5, min_cou
     w = Window.partitionBy("word").orderBy(hash_key(F.lit(seed), F.col("word"), F.col("rn")), "rn")
     kept = hits.withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_word)
     first_pos = ctx.groupBy("word").agg(F.min(F.struct("doc_id", "line_no", "sent_no")).alias("_p"))
-    return kept.join(first_pos, "word").orderBy("_p", "word", "k").limit(max_total).select("word", "sentence")
+    return first_in_order(kept.join(first_pos, "word"), ["_p", "word", "k"], max_total).select("word", "sentence")
 
 
 def language_share(ctx: DataFrame, target_lang: str, min_count: int = 10) -> DataFrame:
@@ -134,7 +132,7 @@ def language_share(ctx: DataFrame, target_lang: str, min_count: int = 10) -> Dat
 
 def shuffled_sample(ctx: DataFrame, n: int = 10000, seed: int = 42) -> DataFrame:
     """All contexts in hash order, first ``n`` (duplicates kept); exact top-k
-    over a hash-prefix pre-filter (see ``hash_top_k``)."""
+    over the down-set of hash prefixes (see ``hash_top_k``)."""
     hashed = ctx.withColumn("_h", hash_key(F.lit(seed), F.col("word"), F.col("rn")))
     return hash_top_k(hashed, "_h", n, ["word", "rn"]).select("word", "rn", "sentence")
 
@@ -171,7 +169,7 @@ def hold_out_last(pairs: DataFrame, n_val: int = 10000, key: str = "pair_id") ->
 
 def first_n(df: DataFrame, order: list[str], n: int) -> DataFrame:
     """Corpus cap ``[:n]`` in position order."""
-    return df.orderBy(*order).limit(n)
+    return first_in_order(df, order, n) if n > 0 else df.limit(0)
 
 
 def early_stopping(history: DataFrame, patience: int = 5) -> DataFrame:

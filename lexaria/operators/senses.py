@@ -6,13 +6,14 @@ centre and averages by ``(word, sense)`` with map-side partials.  No word's cont
 ever gathered in one task, and all contexts of a word take part.
 
 Starts are deterministic: the context farthest from the word's mean, then repeatedly the
-context farthest from the centres so far (ties: smaller ``ctx``).  The silhouette uses squared
-Euclidean distances, so a context's mean distance to a cluster follows from the
-cluster's size, mean and mean squared norm, without any pairs.
+context farthest from the centres so far (ties: smaller ``ctx``).  The silhouette is exact,
+with Euclidean distances summed by pairs of blocks inside a word.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -88,24 +89,56 @@ def multi_sense(contexts: DataFrame, n_senses: int = 3, min_contexts: int = 5) -
     return got.select("word", "sense_id", F.col("c").alias("vec"), F.col("n").cast("bigint").alias("n_ctx"))
 
 
+SIL_BLOCK = 1024
+
+
+def _distance_sums(key, table):
+    """Per context of a pair of blocks, the Euclidean distances to the other block's contexts, summed by label."""
+    x = np.stack([np.asarray(v, np.float64) for v in table.column("vec").to_pylist()])
+    ctx, lab, blk = (table.column(c).to_numpy() for c in ("ctx", "l", "blk"))
+    names, own = np.unique(lab, return_inverse=True)
+    sums = np.zeros((len(x), len(names)))
+    step = max(1, 2_000_000 // x.size)
+    cross = key[1].as_py() != key[2].as_py()
+    member = np.eye(len(names))[own]
+    for s in range(0, len(x), step):
+        d = x[s:s + step, None] - x[None]
+        d = np.sqrt(np.einsum("ijk,ijk->ij", d, d))
+        if cross:  # contexts of one block meet in the group of that block alone
+            d *= blk[s:s + step, None] != blk[None]
+        sums[s:s + step] = d @ member
+    i, j = np.nonzero(sums)
+    return pa.table({"word": pa.array([key[0].as_py()] * len(i), pa.string()), "ctx": ctx[i], "o": names[j], "s": sums[i, j]})
+
+
 def silhouette_scores(contexts: DataFrame, label: str = "sense_id") -> DataFrame:
-    """E28 given labels: ``(word, silhouette)`` — mean silhouette (squared Euclidean) of each
-    word's contexts, -1 when fewer than two labels occur; a context alone in its cluster scores 0."""
-    x = contexts.select("word", "vec", F.col(label).cast("bigint").alias("l"))
-    x = x.withColumn("sq", F.aggregate("vec", F.lit(0.0), lambda s, v: s + v * v))
-    cl = x.groupBy("word", "l").agg(Summarizer.mean(array_to_vector(F.col("vec"))).alias("_m"),
-                                    F.avg("sq").alias("q"), F.count(F.lit(1)).alias("n"))
-    cl = cl.select("word", F.struct("l", vector_to_array("_m").alias("c"), "q", "n").alias("e"))
-    cl = cl.groupBy("word").agg(F.collect_list("e").alias("es"))  # one entry per sense
-    dist = lambda e: F.greatest(F.lit(0.0), F.col("sq") + e["q"] - 2 * F.aggregate(
-        F.zip_with("vec", e["c"], lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
-    y = x.join(cl, "word")
-    own = F.element_at(F.filter("es", lambda e: e["l"] == F.col("l")), 1)
-    a = dist(own) * own["n"] / (own["n"] - 1)
-    b = F.array_min(F.transform(F.filter("es", lambda e: e["l"] != F.col("l")), dist))
-    y = y.select("word", F.size("es").alias("k"), F.when(own["n"] > 1, a).alias("a"), b.alias("b"))
-    s = F.when(F.col("a").isNull() | (F.greatest("a", "b") <= 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
-    return y.groupBy("word").agg(F.when(F.max("k") < 2, -1.0).otherwise(F.avg(s)).alias("silhouette"))
+    """E28 given labels: ``(word, silhouette)`` — mean Euclidean silhouette of each word's
+    contexts, -1 when fewer than two labels occur; a context alone in its cluster scores 0.
+
+    Distances are summed by pairs of blocks inside a word: contexts fall into blocks of about
+    ``SIL_BLOCK`` by hash, a group holds one pair of blocks whatever the word's size, and a
+    context leaves it with one sum per label, never with its pairs.  ``ctx`` is unique in a word.
+    """
+    x = contexts.select("word", F.col("ctx").cast("long").alias("ctx"), "vec", F.col(label).cast("bigint").alias("l"))
+    sizes = x.groupBy("word", "l").agg(F.count(F.lit(1)).alias("n"))
+    words = sizes.groupBy("word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
+    parts = words.where("k > 1").select("word", F.ceil(F.col("n") / SIL_BLOCK).cast("int").alias("parts"))
+    y = x.join(parts, "word").withColumn("blk", F.pmod(F.xxhash64("ctx"), F.col("parts")).cast("int"))
+    y = y.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    y = y.select("word", F.least("blk", "with").alias("a"), F.greatest("blk", "with").alias("b"), "blk", "ctx", "vec", "l")
+    sums = y.groupBy("word", "a", "b").applyInArrow(_distance_sums, "word string, ctx long, o long, s double")
+    sums = sums.groupBy("word", "ctx", "o").agg(F.sum("s").alias("s"))
+    # every (context, label of its word), so that a sum of 0 counts as a distance of 0
+    labels = sizes.groupBy("word").agg(F.collect_list(F.struct("l", "n")).alias("es"))  # one entry per sense
+    each = x.select("word", "ctx", "l").join(labels, "word").select("word", "ctx", "l", F.explode("es").alias("e"))
+    each = each.select("word", "ctx", "l", F.col("e.l").alias("o"), F.col("e.n").alias("n")).join(sums, ["word", "ctx", "o"], "left")
+    own, s = F.col("l") == F.col("o"), F.coalesce("s", F.lit(0.0))
+    per = each.groupBy("word", "ctx").agg(
+        F.max(F.when(own & (F.col("n") > 1), s / (F.col("n") - 1))).alias("a"), F.min(F.when(~own, s / F.col("n"))).alias("b"),
+        F.count(F.lit(1)).alias("k"))
+    top = F.greatest("a", "b")
+    score = F.when(F.col("a").isNull() | (top <= 0), 0.0).otherwise((F.col("b") - F.col("a")) / top)
+    return per.groupBy("word").agg(F.when(F.max("k") < 2, -1.0).otherwise(F.avg(score)).alias("silhouette"))
 
 
 def optimal_senses(contexts: DataFrame, max_senses: int = 5, min_contexts: int = 5) -> DataFrame:

@@ -257,8 +257,8 @@ ORACLE["e13_encode_subword"] = _subword_encoder_sql()
 add_cte("ctx_lab", ["contexts"], "SELECT word, ctx, vec, CASE WHEN vec[1] > 0 THEN 1 ELSE 0 END AS lab FROM contexts")
 add_cte("sil_pairs", ["ctx_lab"], """
 SELECT a.word, a.ctx AS i, a.lab AS li, b.lab AS lj,
-       avg(list_reduce(list_transform(list_zip(a.vec, b.vec), lambda z: (z[1] - z[2]) * (z[1] - z[2])),
-                       lambda x, y: x + y)) AS md
+       avg(sqrt(list_reduce(list_transform(list_zip(a.vec, b.vec), lambda z: (z[1] - z[2]) * (z[1] - z[2])),
+                            lambda x, y: x + y))) AS md
 FROM ctx_lab a JOIN ctx_lab b ON a.word = b.word AND a.ctx <> b.ctx
 GROUP BY a.word, a.ctx, a.lab, b.lab""")
 
@@ -275,7 +275,7 @@ LEFT JOIN (
     GROUP BY c.word, c.ctx)
   GROUP BY word) s ON s.word = w.word"""))
 def e28_silhouette_given_labels(spark, sf):
-    """Silhouette (squared Euclidean) of each word's contexts under data-derived labels
+    """Silhouette (Euclidean) of each word's contexts under data-derived labels
     (sign of the first coordinate), the score the sense-count search maximises."""
     from lexaria.operators import senses as SN
 

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lexaria.functions.joins import bounded_broadcast
 from lexaria.operators import contexts as X
@@ -47,37 +49,51 @@ def read_latest(spark: SparkSession, out_path: str) -> DataFrame:
     return df.where(F.col("epoch") == last).drop("epoch")
 
 
-CONTEXT_SCHEMA = "word string, doc_id bigint, line_no bigint, sent_no bigint, sentence string, epoch int"
+CONTEXT_SCHEMA = "word string, doc_id bigint, line_no bigint, sent_no bigint, sentence string"
 
 
 def capped_contexts(docs: DataFrame, vocab_words: DataFrame, out_path: str, checkpoint: str, n: int = 100,
                     max_sentence_len: int = 500, vocab_bound: int | None = None):
     """Append a context of a vocabulary word only while the word has fewer than ``n``.
 
-    The state is the sink itself: a micro-batch ranks its contexts per word by position,
-    keeps at most ``n`` of each before the shuffle (WindowGroupLimit), and fills the room the
-    earlier epochs left.  A hot word ships at most ``n`` rows per map task, and a repeated
-    trigger ignores and overwrites what it wrote before.
+    The state of a word is one number, the contexts emitted so far, in Spark's state store, so
+    a trigger costs what arrives in it however much was emitted before.  A task cuts each batch
+    of rows to ``n`` per word before the shuffle; behind it a word keeps its first contexts by
+    position up to its remaining room, at most ``n`` rows in memory.  Repeated triggers are
+    settled by Spark: the state has the version of the batch, the file sink drops known batches.
     """
     order = ["doc_id", "line_no", "sent_no"]
 
-    def write(batch_df: DataFrame, epoch_id: int):
-        spark = batch_df.sparkSession
-        sw = X.sentence_words(C.sentences(C.document_lines(batch_df.select("doc_id", "text"))), True, max_sentence_len)
-        hits = sw.join(bounded_broadcast(vocab_words.select("word"), vocab_bound, 64), "word", "left_semi")
-        nth = F.row_number().over(Window.partitionBy("word").orderBy(*order))
-        first = hits.select("word", *order, "sentence").withColumn("nth", nth).where(F.col("nth") <= n)
-        if epoch_id:
-            held = spark.read.schema(CONTEXT_SCHEMA).parquet(out_path).where(F.col("epoch") < epoch_id)
-            held = held.groupBy("word").agg(F.count(F.lit(1)).alias("held"))
-            first = first.join(held, "word", "left").where(F.col("nth") + F.coalesce("held", F.lit(0)) <= n)
-        first.select("word", *order, "sentence").write.mode("overwrite").parquet(f"{out_path}/epoch={epoch_id}")
-
-    return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def cut(batches):
+        for rows in batches:
+            if len(rows) > n:
+                rows = rows.sort_values(order, kind="stable").groupby("word", sort=False).head(n)
+            yield rows
+
+    def fill(key, batches, state: GroupState):
+        held = state.get[0] if state.exists else 0
+        room, first = n - held, None
+        if room <= 0:
+            return
+        for rows in batches:
+            first = rows if first is None else pd.concat([first, rows])
+            if len(first) > room:
+                first = first.sort_values(order, kind="stable").head(room)
+        if first is not None and len(first):
+            state.update((held + len(first),))
+            yield first
+
+    sw = X.sentence_words(C.sentences(C.document_lines(docs.select("doc_id", "text"))), True, max_sentence_len)
+    hits = sw.join(bounded_broadcast(vocab_words.select("word"), vocab_bound, 64), "word", "left_semi")
+    hits = hits.select("word", *(F.col(c).cast("bigint").alias(c) for c in order), "sentence")
+    kept = hits.mapInPandas(cut, CONTEXT_SCHEMA).groupBy("word").applyInPandasWithState(
+        fill, CONTEXT_SCHEMA, "held int", "append", GroupStateTimeout.NoTimeout)
+    return kept.writeStream.format("parquet").outputMode("append").option("path", out_path).option(
+        "checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_contexts(spark: SparkSession, out_path: str) -> DataFrame:
-    return spark.read.schema(CONTEXT_SCHEMA).parquet(out_path).drop("epoch")
+    return spark.read.schema(CONTEXT_SCHEMA).parquet(out_path)
 
 
 def encode_stream(texts: DataFrame, encode_batch: Callable[[DataFrame], DataFrame], out_path: str,

@@ -195,3 +195,43 @@ def test_hash_top_k_is_exact(spark):
     got = [r.id for r in S.hash_top_k(df, "h", 100, ["id"]).collect()]
     assert got == want
     assert [r.id for r in S.hash_top_k(df, "h", 6000, ["id"]).collect()] == [r.id for r in df.orderBy("h", "id").collect()]
+
+
+def test_silhouette_by_blocks(spark, monkeypatch):
+    """Blocks of any size give the Euclidean silhouette of all pairs; equal contexts and lone ones included."""
+    rng = np.random.default_rng(4)
+    words = {"big": rng.normal(size=(90, 5)), "same": np.ones((6, 5)), "lone": rng.normal(size=(4, 5)), "one": rng.normal(size=(3, 5))}
+    label = {"big": lambda i: i % 3, "same": lambda i: i % 2, "lone": lambda i: int(i == 0), "one": lambda i: 0}
+    rows = [(w, i, v.tolist(), label[w](i)) for w, m in words.items() for i, v in enumerate(m)]
+    ctx = spark.createDataFrame(rows, "word string, ctx long, vec array<double>, sense_id long")
+
+    def brute(m, lab):
+        if len(set(lab)) < 2:
+            return -1.0
+        d, out = np.sqrt(((m[:, None] - m[None]) ** 2).sum(-1)), []
+        for i in range(len(m)):
+            mean = {x: d[i, lab == x].sum() / ((lab == x).sum() - (x == lab[i]) or np.inf) for x in set(lab)}
+            a, b = mean[lab[i]], min(v for x, v in mean.items() if x != lab[i])
+            out.append(0.0 if (lab == lab[i]).sum() == 1 or max(a, b) == 0 else (b - a) / max(a, b))
+        return float(np.mean(out))
+
+    want = {w: brute(m, np.array([label[w](i) for i in range(len(m))])) for w, m in words.items()}
+    for block in (1024, 16):
+        monkeypatch.setattr(SN, "SIL_BLOCK", block)
+        got = {r.word: r.silhouette for r in SN.silhouette_scores(ctx).collect()}
+        assert got.keys() == want.keys() and all(abs(got[w] - want[w]) < 1e-9 for w in want)
+
+
+def test_average_rank_with_one_value(spark):
+    """One value held by most rows of one group: ranks equal the definition, whatever the partitions."""
+    from lexaria.functions.ordering import average_rank
+
+    rows = [("g", i, 1.0 if i % 10 else float(i)) for i in range(2000)] + [("h", i, float(i // 2)) for i in range(7)]
+    df = spark.createDataFrame(rows, "grp string, id long, v double")
+    got = {(r.grp, r.id): r.rank for r in average_rank(df, "v", ["grp"], ["id"], "rank").collect()}
+    for g in ("g", "h"):
+        v = {i: x for a, i, x in rows if a == g}
+        for i, x in v.items():
+            less = sum(y < x for y in v.values())
+            assert got[g, i] == less + (sum(y == x for y in v.values()) + 1) / 2
+    assert len(got) == len(rows)

@@ -39,3 +39,23 @@ def test_capped_contexts_across_batches(spark):
     ST.capped_contexts(stream, vocab, out, out + "-ckpt", n=2, vocab_bound=10).awaitTermination()
     counts = {r.word: r.n for r in ST.read_contexts(spark, out).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert counts == {"cat": 2, "dog": 2}
+
+
+def test_capped_contexts_state(spark):
+    """Many triggers: a word keeps its first contexts by position of the earliest triggers; later ones add nothing."""
+    path, out = (stage_path(spark, f"{k}-{uuid.uuid4().hex[:8]}") for k in ("test-state", "cs"))
+    for day in range(5):  # one file per trigger, in order of arrival
+        text = " ".join(f"The cat sees thing{i}." for i in range(3))
+        rows = [(10 * day + i, text, "en", "s", len(text)) for i in (1, 0)]
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    vocab = spark.createDataFrame([("cat",), ("thing1",), ("never",)], "word string")
+    stream = ST.document_stream(spark, path, SCHEMA, 1)
+    ST.capped_contexts(stream, vocab, out, out + "-ckpt", n=8, vocab_bound=10).awaitTermination()
+    got = {}
+    for r in ST.read_contexts(spark, out).collect():
+        got.setdefault(r.word, []).append((r.doc_id, r.sent_no))
+    assert sorted(got["cat"]) == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1), (1, 2), (10, 0), (10, 1)]
+    assert len(got["thing1"]) == 8 and sorted(got["thing1"])[:3] == [(0, 1), (1, 1), (10, 1)] and "never" not in got
+    # a restart of the same query with nothing new emits nothing
+    ST.capped_contexts(stream, vocab, out, out + "-ckpt", n=8, vocab_bound=10).awaitTermination()
+    assert ST.read_contexts(spark, out).count() == 16
