@@ -10,10 +10,12 @@ of 0.1 being left for unseen words.  So the log probability of a text is the HMM
 log probability of its class sequence (scaled forward recursion over the whole text) plus a
 sum over words.
 
-Training: Baum-Welch.  Every pass runs forward-backward over all training documents (in
-windows of ``WINDOW`` tokens), tasks send their expected counts per class, Spark
-sums them, and the driver normalises ``STATES`` x classes numbers.  The start comes from a
-bounded sample (``SAMPLE_DOCS`` documents): clusters of documents, then a few local passes.
+Training: Baum-Welch.  Every pass runs forward-backward over whole training documents, tasks send
+their expected counts per class, Spark sums them, and the driver normalises ``STATES`` x classes
+numbers.  A text above ``LONG`` tokens is cut into parts that are worked side by side; transfer
+matrices of the parts carry the forward and backward messages over the cuts, so its counts are
+those of the whole text.  The start comes from a bounded sample (``SAMPLE_DOCS`` documents):
+clusters of documents, then a few local passes.
 
 Scale: the counts of the ``FREQUENT`` most frequent words are broadcast (a fixed number);
 other words meet their counts by a shuffled join of (document, word, times) rows.
@@ -42,8 +44,9 @@ OWN = 16_384
 SUFFIX = 2_048
 CLASSES = 1 + OWN + SUFFIX
 STATES = 8
-WINDOW = 256
 LONG = 8_192
+PART = 256
+PARTS_AT_ONCE = 512
 SAMPLE_DOCS = 400
 SAMPLE_TOKENS = 300_000
 LOCAL_PASSES = 6
@@ -154,96 +157,83 @@ def encoded(docs: DataFrame, sent) -> DataFrame:
 
 
 class Hmm:
-    """Parameters: first-state shares of a text and of a later window, transitions, emissions."""
+    """Parameters: first-state shares, transitions, emissions."""
 
-    def __init__(self, first, later, move, emit):
-        self.first, self.later, self.move, self.emit = first, later, move, emit  # emit: (classes, states)
+    def __init__(self, first, move, emit):
+        self.first, self.move, self.emit = first, move, emit  # emit: (classes, states)
 
 
 class Expected:
-    """Expected counts of one or many windows."""
+    """Expected counts of one or many texts."""
 
     def __init__(self, states: int):
-        self.first, self.later = np.zeros(states), np.zeros(states)
-        self.move, self.emit = np.zeros((states, states)), np.zeros((CLASSES, states))
+        self.first, self.move = np.zeros(states), np.zeros((states, states))
+        self.emit = np.zeros((CLASSES, states))
         self.log = 0.0
 
     def model(self, share: np.ndarray) -> Hmm:
         norm = lambda x: (x + 0.1) / (x + 0.1).sum(-1, keepdims=True)
         emit = (self.emit + BACKOFF * share[:, None]) / (self.emit.sum(0) + BACKOFF)
-        return Hmm(norm(self.first), norm(self.later), norm(self.move), emit)
+        return Hmm(norm(self.first), norm(self.move), emit)
 
 
 def _by_length(seqs: list[np.ndarray]):
-    """Sequences from the longest down: padded step-major matrix and the number live at each step."""
+    """Sequences from the longest down, laid out step by step: step t is ``flat[at[t]:at[t + 1]]``."""
     order = np.argsort([-len(s) for s in seqs], kind="stable")
     size = np.array([len(seqs[i]) for i in order])
-    obs = np.zeros((size[0], len(order)), np.int64)
+    at = np.concatenate([[0], np.cumsum(np.searchsorted(-size, -np.arange(size[0]), side="left"))])
+    flat = np.empty(at[-1], np.int32)
     for k, i in enumerate(order):
-        obs[:size[k], k] = seqs[i]
-    live = np.searchsorted(-size, -np.arange(size[0]), side="left")
-    return order, size, obs, live
+        flat[at[:size[k]] + k] = seqs[i]
+    return order, size, flat, at
 
 
-def expect(model: Hmm, seqs: list[np.ndarray], opens: np.ndarray, out: Expected) -> None:
-    """Add the expected counts of windows; ``opens`` marks windows that begin a text."""
-    order, size, obs, live = _by_length(seqs)
-    steps, rows = obs.shape
-    s = len(model.first)
-    begin = np.where(opens[order][:, None], model.first, model.later)
-    alpha, scale = np.zeros((steps, rows, s)), np.ones((steps, rows))
-    a = begin
-    for t in range(steps):
-        k = live[t]
-        a = (begin if t == 0 else a[:k] @ model.move) * model.emit[obs[t, :k]]
+def expect(model: Hmm, seqs: list[np.ndarray], begin: np.ndarray, end: np.ndarray, out: Expected) -> np.ndarray:
+    """Add the expected emissions and inner transitions of sequences; their first-state shares are returned.
+
+    ``begin``: state shares before the first token; ``end``: what follows the last token, by its
+    state, up to a factor (ones where the text ends).
+    """
+    order, size, flat, at = _by_length(seqs)
+    rows, s = len(seqs), len(model.first)
+    alpha, scale = np.empty((len(flat), s)), np.empty(len(flat))
+    a = begin[order]
+    for t in range(len(at) - 1):
+        lo, hi = at[t], at[t + 1]
+        a = (a if t == 0 else a[:hi - lo] @ model.move) * model.emit[flat[lo:hi]]
         c = a.sum(1)
-        a = a / c[:, None]
-        alpha[t, :k], scale[t, :k] = a, c
+        a /= c[:, None]
+        alpha[lo:hi], scale[lo:hi] = a, c
     out.log += float(np.log(scale).sum())
-    beta = np.ones((rows, s))
-    gamma = np.zeros((steps, rows, s))
-    for t in range(steps - 1, -1, -1):
-        k = live[t]
-        if t + 1 < steps:
-            n = live[t + 1]
-            ahead = model.emit[obs[t + 1, :n]] * beta[:n] / scale[t + 1, :n, None]
-            out.move += (alpha[t, :n].T @ ahead) * model.move
-            beta[:n] = ahead @ model.move.T
-        gamma[t, :k] = alpha[t, :k] * beta[:k]
-    out.first += gamma[0][opens[order]].sum(0)
-    out.later += gamma[0][~opens[order]].sum(0)
-    there = np.arange(rows)[None, :] < live[:, None]
-    flat = obs[there]
+    beta = end[order]
+    beta = beta / (alpha[at[size - 1] + np.arange(rows)] * beta).sum(1, keepdims=True)
+    move, back = np.zeros((s, s)), np.ascontiguousarray(model.move.T)
+    for t in range(len(at) - 2, -1, -1):
+        lo, hi = at[t], at[t + 1]
+        if t + 2 < len(at):
+            n = at[t + 2] - hi
+            ahead = model.emit[flat[hi:hi + n]] * beta[:n] / scale[hi:hi + n, None]
+            move += alpha[lo:lo + n].T @ ahead
+            beta[:n] = ahead @ back
+        alpha[lo:hi] *= beta[:hi - lo]  # from here on the state shares given the whole text
+    out.move += move * model.move
     for i in range(s):
-        out.emit[:, i] += np.bincount(flat, gamma[:, :, i][there], minlength=CLASSES)
-
-
-def windows(seqs: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    parts, opens = [], []
-    for q in seqs:
-        for a in range(0, len(q), WINDOW):
-            parts.append(q[a:a + WINDOW])
-            opens.append(a == 0)
-    return parts, np.array(opens, bool)
-
+        out.emit[:, i] += np.bincount(flat, alpha[:, i], minlength=CLASSES)
+    first = np.empty((rows, s))
+    first[order] = alpha[:rows]
+    return first
 
-def _expect_all(model: Hmm, seqs: list[np.ndarray], out: Expected, rows: int = 1024) -> None:
-    parts, opens = windows(seqs)
-    for a in range(0, len(parts), rows):
-        expect(model, parts[a:a + rows], opens[a:a + rows], out)
 
-
-def _advance(model: Hmm, begin: np.ndarray, obs: np.ndarray, live: np.ndarray):
+def _advance(model: Hmm, begin: np.ndarray, flat: np.ndarray, at: np.ndarray):
     """Scaled forward recursion of rows from the longest down: final shares and log scales."""
-    rows = obs.shape[1]
-    final, log = begin.copy(), np.zeros(rows)
+    final, log = begin.copy(), np.zeros(len(begin))
     a = begin
-    for t in range(obs.shape[0]):
-        k = live[t]
+    for t in range(len(at) - 1):
+        k = at[t + 1] - at[t]
         if k < len(a):
             final[k:len(a)] = a[k:]
             a = a[:k]
-        a = (a if t == 0 else a @ model.move) * model.emit[obs[t, :k]]
+        a = (a if t == 0 else a @ model.move) * model.emit[flat[at[t]:at[t + 1]]]
         c = a.sum(1)
         a = a / c[:, None]
         log[:k] += np.log(c)
@@ -251,6 +241,67 @@ def _advance(model: Hmm, begin: np.ndarray, obs: np.ndarray, live: np.ndarray):
     return final, log
 
 
+def _cut(seq: np.ndarray) -> list[np.ndarray]:
+    return [seq[a:a + PART] for a in range(0, len(seq), PART)]
+
+
+def transfers(model: Hmm, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of every part, the recursion from every single state: final shares (parts, states, states) and log scales."""
+    s = len(model.first)
+    finals, logs = [], []
+    for a in range(0, len(parts), PARTS_AT_ONCE):
+        some = parts[a:a + PARTS_AT_ONCE]
+        order, _, flat, at = _by_length([p for p in some for _ in range(s)])
+        final, log = _advance(model, np.tile(np.eye(s), (len(some), 1))[order], flat, at)
+        back = np.argsort(order)
+        finals.append(final[back].reshape(len(some), s, s))
+        logs.append(log[back].reshape(len(some), s))
+    return np.concatenate(finals), np.concatenate(logs)
+
+
+def _forward(model: Hmm, final: np.ndarray, log: np.ndarray):
+    """State shares before the first and after the last token of the parts of one text, and its log probability."""
+    begin, last, total = np.empty_like(log), np.empty_like(log), 0.0
+    state = model.first
+    for w in range(len(log)):
+        top = log[w].max()
+        v = (state * np.exp(log[w] - top)) @ final[w]
+        begin[w], last[w] = state, v / v.sum()
+        total += top + np.log(v.sum())
+        state = last[w] @ model.move
+    return begin, last, total
+
+
+def _expect_long(model: Hmm, seq: np.ndarray, out: Expected) -> None:
+    """Expected counts of one long text, its parts side by side between exact messages."""
+    parts = _cut(seq)
+    final, log = transfers(model, parts)
+    begin, last, _ = _forward(model, final, log)
+    end, ahead = np.ones_like(log), np.empty_like(log)  # behind the last token; from the first token on
+    for w in range(len(parts) - 1, -1, -1):
+        r = np.exp(log[w] - log[w].max()) * (final[w] @ end[w])
+        ahead[w] = r / r.sum()
+        if w:
+            end[w - 1] = model.move @ ahead[w]
+    over = last[:-1, :, None] * model.move * ahead[1:, None, :]  # transitions over the cuts
+    out.move += (over / over.sum((1, 2), keepdims=True)).sum(0)
+    step = 8 * PARTS_AT_ONCE
+    for a in range(0, len(parts), step):
+        first = expect(model, parts[a:a + step], begin[a:a + step], end[a:a + step], out)
+        if a == 0:
+            out.first += first[0]
+
+
+def _expect_all(model: Hmm, seqs: list[np.ndarray], out: Expected) -> None:
+    short = [q for q in seqs if len(q) <= LONG]
+    if short:
+        begin = np.tile(model.first, (len(short), 1))
+        out.first += expect(model, short, begin, np.ones_like(begin), out).sum(0)
+    for q in seqs:
+        if len(q) > LONG:
+            _expect_long(model, q, out)
+
+
 def log_likelihood(model: Hmm, seqs: list[np.ndarray]) -> np.ndarray:
     """Natural log probability of every class sequence, exact.
 
@@ -260,26 +311,12 @@ def log_likelihood(model: Hmm, seqs: list[np.ndarray]) -> np.ndarray:
     out = np.zeros(len(seqs))
     short = [i for i, q in enumerate(seqs) if len(q) <= LONG]
     if short:
-        order, _, obs, live = _by_length([seqs[i] for i in short])
-        _, log = _advance(model, np.tile(model.first, (len(short), 1)), obs, live)
+        order, _, flat, at = _by_length([seqs[i] for i in short])
+        _, log = _advance(model, np.tile(model.first, (len(short), 1)), flat, at)
         out[np.array(short)[order]] = log
-    s = len(model.first)
-    for i in set(range(len(seqs))) - set(short):
-        q = seqs[i]
-        state, total = model.first, 0.0
-        for a in range(0, len(q), LONG * 64):
-            parts = [q[b:b + LONG // 8] for b in range(a, min(len(q), a + LONG * 64), LONG // 8)]
-            order, _, obs, live = _by_length([p for p in parts for _ in range(s)])
-            begin = np.tile(np.eye(s), (len(parts), 1))[order]
-            final, log = _advance(model, begin, obs, live)
-            back = np.argsort(order)
-            final, log = final[back].reshape(len(parts), s, s), log[back].reshape(len(parts), s)
-            for f, g in zip(final, log):
-                top = g.max()
-                v = (state * np.exp(g - top)) @ f
-                total += top + np.log(v.sum())
-                state = (v / v.sum()) @ model.move
-        out[i] = total
+    for i, q in enumerate(seqs):
+        if len(q) > LONG:
+            out[i] = _forward(model, *transfers(model, _cut(q)))[2]
     return out
 
 
@@ -309,7 +346,7 @@ def start(seqs: list[np.ndarray], share: np.ndarray, states: int, seed: int = 3)
     return model
 
 
-def _sequences(batches, tokens: int = 500_000):
+def _sequences(batches, tokens: int = 1_500_000):
     """Decoded class sequences in lots of bounded length."""
     for batch in batches:
         lot, size = [], 0
@@ -332,8 +369,8 @@ def one_pass(train: DataFrame, model: Hmm, share: np.ndarray) -> tuple[Hmm, floa
         got = Expected(s)
         for _, seqs in _sequences(batches):
             _expect_all(sent.value, seqs, got)
-        rows = [got.emit, got.move, got.first[None], got.later[None], np.full((1, s), got.log / s)]
-        kind = np.repeat(np.arange(5), [len(r) for r in rows])
+        rows = [got.emit, got.move, got.first[None], np.full((1, s), got.log / s)]
+        kind = np.repeat(np.arange(4), [len(r) for r in rows])
         at = np.concatenate([np.arange(len(r)) for r in rows])
         val = np.concatenate(rows)
         some = val.any(axis=1)
@@ -343,16 +380,15 @@ def one_pass(train: DataFrame, model: Hmm, share: np.ndarray) -> tuple[Hmm, floa
 
     schema = "kind int, at int, " + ", ".join(f"v{i} double" for i in range(s))
     sums = train.select("seq").mapInArrow(run, schema).groupBy("kind", "at").agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in range(s)])
-    got = sums.toArrow()  # classes + states + 3 rows
+    got = sums.toArrow()  # classes + states + 2 rows
     out = Expected(s)
     kind, at = got.column("kind").to_numpy(), got.column("at").to_numpy()
     val = np.stack([got.column(f"v{i}").to_numpy() for i in range(s)], axis=1)
     out.emit[at[kind == 0]] = val[kind == 0]
     out.move[at[kind == 1]] = val[kind == 1]
     out.first += val[kind == 2].sum(0)
-    out.later += val[kind == 3].sum(0)
     sent.unpersist()
-    return out.model(share), float(val[kind == 4].sum())
+    return out.model(share), float(val[kind == 3].sum())
 
 
 def score(docs: DataFrame, folds: int = 10, states: int = STATES, passes: int = PASSES, id_col: str = "doc_id",

@@ -216,8 +216,7 @@ def brute_forward(m, seq):
 def random_model(states=3, seed=0):
     rng = np.random.default_rng(seed)
     norm = lambda x, axis: x / x.sum(axis, keepdims=True)
-    return hmm.Hmm(norm(rng.random(states), 0), norm(rng.random(states), 0), norm(rng.random((states, states)), 1),
-                   norm(rng.random((hmm.CLASSES, states)), 0))
+    return hmm.Hmm(norm(rng.random(states), 0), norm(rng.random((states, states)), 1), norm(rng.random((hmm.CLASSES, states)), 0))
 
 
 def test_forward_is_exact(monkeypatch):
@@ -233,21 +232,59 @@ def test_expected_counts():
 
     m, seq = random_model(2), np.array([3, 1, 3, 2], np.uint16)
     out = hmm.Expected(2)
-    hmm.expect(m, [seq, seq[:2]], np.array([True, False]), out)
-    first, later, move, emit = np.zeros(2), np.zeros(2), np.zeros((2, 2)), np.zeros((hmm.CLASSES, 2))
-    for s, begin, got in ((seq, m.first, first), (seq[:2], m.later, later)):
+    hmm._expect_all(m, [seq[:2], seq], out)
+    first, move, emit, log = np.zeros(2), np.zeros((2, 2)), np.zeros((hmm.CLASSES, 2)), 0.0
+    for s in (seq, seq[:2]):
         paths = list(itertools.product(range(2), repeat=len(s)))
-        p = np.array([begin[z[0]] * np.prod([m.move[a, b] for a, b in zip(z, z[1:])]) * np.prod([m.emit[o, k] for o, k in zip(s, z)]) for z in paths])
+        p = np.array([m.first[z[0]] * np.prod([m.move[a, b] for a, b in zip(z, z[1:])]) * np.prod([m.emit[o, k] for o, k in zip(s, z)]) for z in paths])
+        log += math.log(p.sum())
         for z, w in zip(paths, p / p.sum()):
-            got[z[0]] += w
+            first[z[0]] += w
             for a, b in zip(z, z[1:]):
                 move[a, b] += w
             for o, k in zip(s, z):
                 emit[o, k] += w
-    for a, b in ((first, out.first), (later, out.later), (move, out.move), (emit, out.emit)):
+    for a, b in ((first, out.first), (move, out.move), (emit, out.emit), (log, out.log)):
         assert a == pytest.approx(b)
 
 
+def brute_counts(m, seq):
+    """Forward-backward over one whole text, token by token."""
+    n, s = len(seq), len(m.first)
+    alpha, beta = np.zeros((n, s)), np.ones((n, s))
+    for t in range(n):
+        alpha[t] = (m.first if t == 0 else alpha[t - 1] @ m.move) * m.emit[seq[t]]
+        alpha[t] /= alpha[t].sum()
+    for t in range(n - 2, -1, -1):
+        beta[t] = m.move @ (m.emit[seq[t + 1]] * beta[t + 1])
+        beta[t] /= beta[t].sum()
+    gamma = alpha * beta
+    gamma /= gamma.sum(1, keepdims=True)
+    move, emit = np.zeros((s, s)), np.zeros((hmm.CLASSES, s))
+    for t in range(n):
+        emit[seq[t]] += gamma[t]
+        if t + 1 < n:
+            x = alpha[t][:, None] * m.move * (m.emit[seq[t + 1]] * beta[t + 1])
+            move += x / x.sum()
+    return gamma[0], move, emit
+
+
+@pytest.mark.parametrize("long,part,at_once", [(8_192, 256, 512), (64, 16, 2), (64, 16, 512), (1, 1, 3)])
+def test_expected_counts_of_whole_texts(monkeypatch, long, part, at_once):
+    """Counts do not depend on where texts are cut, nor on how many parts are worked at once."""
+    for name, value in (("LONG", long), ("PART", part), ("PARTS_AT_ONCE", at_once)):
+        monkeypatch.setattr(hmm, name, value)
+    m, rng = random_model(3), np.random.default_rng(4)
+    seqs = [rng.integers(0, 40, n).astype(np.uint16) for n in (1000, 1, 64, 65, 2, 333, 64)]
+    out = hmm.Expected(3)
+    hmm._expect_all(m, seqs, out)
+    want = [brute_counts(m, q) for q in seqs]
+    for got, parts in zip((out.first, out.move, out.emit), zip(*want)):
+        assert got == pytest.approx(sum(parts), rel=1e-9, abs=1e-12)
+    assert out.log == pytest.approx(sum(brute_forward(m, q) for q in seqs), rel=1e-12)
+    assert out.emit.sum() == pytest.approx(sum(map(len, seqs)))
+
+
 def test_language_model(make_docs):
     rng = np.random.default_rng(5)
     langs = [["ka", "lo", "mi", "Re"], ["zu", "xe", "wo", "va"]]
