@@ -161,31 +161,38 @@ def letters(secret: str) -> dict[str, dict[str, str]]:
     return out
 
 
-def _pick(values: list[str], number: str) -> str:
-    quoted = ", ".join("'" + v.replace("'", "\\'") + "'" for v in values)
-    return f"element_at(array({quoted}), cast({number} % {len(values)} + 1 as int))"
+def _by_type(lists: dict[str, str]) -> str:
+    """The word list of a type; every list is one literal in the plan."""
+    whens = " ".join(f"when type like '{t}' then split('{words}', ' ')" for t, words in lists.items())
+    return f"case {whens} end"
 
 
-def _draw(secret: str) -> Column:
-    """Surrogate of (type, canon, attempt): letters and digits in order, or the whole value for names and IPs."""
+def _draw(secret: str) -> tuple[Column, Column]:
+    """(surrogate of (type, canon, attempt), the hex digits it reads from ``stream``): letters and digits in
+    order, or the whole value for names and IPs."""
     raw, secret = secret, secret.replace("\\", "\\\\").replace("'", "\\'")
     seed = f"concat_ws('|', '{secret}', type, canon, cast(attempt as string))"
     # a stream of hex digits as long as the value needs
     stream = f"array_join(transform(sequence(0, length(canon) div 60), j -> sha2(concat({seed}, '|', cast(j as string)), 512)), '')"
     byte = lambda at: f"cast(conv(substr(stream, {at} * 2 + 1, 2), 16, 10) as int)"
     number = lambda at: f"cast(conv(substr(stream, {at} * 8 + 1, 8), 16, 10) as bigint)"
-    lists, cycle = [], letters(raw)
+    of, cycle, initials = {}, letters(raw), []
     for script in GIVEN:
         both = [v for pair in zip(GIVEN[script]["m"], GIVEN[script]["f"]) for v in pair]
-        more = f"array_join(transform(if(attempt = 0, array(), sequence(1, attempt)), j -> {_pick(SYLLABLES[script], number('(j + 2)'))}), '')"
         for g in "mfn":
-            given = GIVEN[script].get(g, both)
-            lists.append(f"when type = 'given/{g}/{script}' then concat({_pick(given, number(0))}, {more})")
-        lists.append(f"when type like 'family/_/{script}' then concat({_pick(FAMILY[script], number(1))}, {more})")
+            of[f"given/{g}/{script}"] = " ".join(GIVEN[script].get(g, both))
+        of[f"family/_/{script}"] = " ".join(FAMILY[script])
         table = cycle[script]
         other = f"substr('{ALPHABET[script]}', cast({number(0)} % {len(table)} + 1 as int), 1)"
         first = f"translate(canon, '{''.join(table)}', '{''.join(table.values())}')"
-        lists.append(f"when type like 'initial/_/{script}' then upper(if(instr('{ALPHABET[script]}', canon) > 0, {first}, {other}))")
+        initials.append(f"when type like 'initial/_/{script}' then upper(if(instr('{ALPHABET[script]}', canon) > 0, {first}, {other}))")
+    pick = lambda values, at: f"element_at({values}, cast({number(at)} % size({values}) + 1 as int))"
+    tail = _by_type({f"%/{script}": " ".join(SYLLABLES[script]) for script in SYLLABLES})
+    more = f"array_join(transform(if(attempt = 0, array(), sequence(1, attempt)), j -> {pick('part.tail', '(j + 2)')}), '')"
+    named = pick("part.head", "if(type like 'family/%', 1, 0)")
+    # the lists are chosen once, for a bound variable
+    whole = (f"element_at(transform(array(named_struct('head', {_by_type(of)}, 'tail', {tail})), part -> concat({named}, {more})), 1)")
+    lists = [f"when type like 'given/%' or type like 'family/%' then {whole}", *initials]
     ip = (f"when type = 'ip' then concat_ws('.', {byte(0)} % 223 + 1, {byte(1)}, {byte(2)}, {byte(3)} % 254 + 1, "
           "if(attempt < 8, null, cast(attempt as string)))")
     body = f"""array_join(transform(sequence(1, length(alnum)), k -> case
@@ -218,11 +225,12 @@ def registry(entities: DataFrame, secret: str) -> DataFrame:
     drawn, stream = _draw(secret)
     check = f"(10 - {_luhn_sum('concat(substr(drawn, 1, length(drawn) - 1), 0)')} % 10) % 10"
     while True:
-        now = table.withColumn("stream", stream).withColumn("drawn", drawn)
-        now = now.withColumn("surrogate", F.expr(
+        now = table.select("*", stream).select("type", "canon", "alnum", "tld", "attempt", drawn)
+        # stored: every surrogate is drawn once, and the check below plans over plain columns
+        now = keep(now.select("type", "canon", "alnum", "tld", "attempt", F.expr(
             f"if(type = 'card' and attempt < 8 and {_luhn_sum('alnum')} % 10 = 0, "
-            f"concat(substr(drawn, 1, length(drawn) - 1), cast({check} as string)), drawn)")).drop("stream", "drawn")
-        now = now.withColumn("family", family).withColumn("value", F.lower("surrogate"))
+            f"concat(substr(drawn, 1, length(drawn) - 1), cast({check} as string)), drawn)").alias("surrogate")))
+        now = now.select("*", family, F.lower("surrogate").alias("value"))
         first = now.groupBy("family", "value").agg(F.min(F.struct("attempt", "type", "canon")).alias("first"))
         now = now.join(first, ["family", "value"]).join(real, ["family", "value"], "left")
         clash = F.col("real").isNotNull() | (F.col("first.type") != F.col("type")) | (F.col("first.canon") != F.col("canon"))
