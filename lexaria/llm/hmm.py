@@ -47,6 +47,7 @@ STATES = 8
 LONG = 8_192
 PART = 256
 PARTS_AT_ONCE = 512
+LOT = 300_000
 SAMPLE_DOCS = 400
 SAMPLE_TOKENS = 300_000
 LOCAL_PASSES = 6
@@ -285,18 +286,22 @@ def _expect_long(model: Hmm, seq: np.ndarray, out: Expected) -> None:
             end[w - 1] = model.move @ ahead[w]
     over = last[:-1, :, None] * model.move * ahead[1:, None, :]  # transitions over the cuts
     out.move += (over / over.sum((1, 2), keepdims=True)).sum(0)
-    step = 8 * PARTS_AT_ONCE
-    for a in range(0, len(parts), step):
-        first = expect(model, parts[a:a + step], begin[a:a + step], end[a:a + step], out)
+    for a in range(0, len(parts), PARTS_AT_ONCE):
+        b = a + PARTS_AT_ONCE
+        first = expect(model, parts[a:b], begin[a:b], end[a:b], out)
         if a == 0:
             out.first += first[0]
 
 
 def _expect_all(model: Hmm, seqs: list[np.ndarray], out: Expected) -> None:
-    short = [q for q in seqs if len(q) <= LONG]
-    if short:
-        begin = np.tile(model.first, (len(short), 1))
-        out.first += expect(model, short, begin, np.ones_like(begin), out).sum(0)
+    short = sorted((q for q in seqs if len(q) <= LONG), key=len)  # texts of like length share their steps
+    size = np.cumsum([len(q) for q in short])
+    a = 0
+    while a < len(short):
+        b = max(a + 1, int(np.searchsorted(size, size[a] - len(short[a]) + LOT, side="right")))
+        begin = np.tile(model.first, (b - a, 1))
+        out.first += expect(model, short[a:b], begin, np.ones_like(begin), out).sum(0)
+        a = b
     for q in seqs:
         if len(q) > LONG:
             _expect_long(model, q, out)
@@ -346,7 +351,7 @@ def start(seqs: list[np.ndarray], share: np.ndarray, states: int, seed: int = 3)
     return model
 
 
-def _sequences(batches, tokens: int = 1_500_000):
+def _sequences(batches, tokens: int = 500_000):
     """Decoded class sequences in lots of bounded length."""
     for batch in batches:
         lot, size = [], 0
@@ -367,7 +372,7 @@ def one_pass(train: DataFrame, model: Hmm, share: np.ndarray) -> tuple[Hmm, floa
 
     def run(batches):
         got = Expected(s)
-        for _, seqs in _sequences(batches):
+        for _, seqs in _sequences(batches, 4_000_000):
             _expect_all(sent.value, seqs, got)
         rows = [got.emit, got.move, got.first[None], np.full((1, s), got.log / s)]
         kind = np.repeat(np.arange(4), [len(r) for r in rows])
