@@ -1,13 +1,17 @@
 """Word-sense induction (E27) and sense-count selection.
 
-K-means runs for all words at once, as Lloyd rounds over DataFrames: the state is a table of
-at most ``k`` centres per word, every round assigns contexts to their word's nearest
-centre and averages by ``(word, sense)`` with map-side partials.  No word's contexts are
-ever gathered in one task, and all contexts of a word take part.
-
-Starts are deterministic: the context farthest from the word's mean, then repeatedly the
-context farthest from the centres so far (ties: smaller ``ctx``).  The silhouette is exact,
-with Euclidean distances summed by pairs of blocks inside a word.
+K-means runs for all words and ``RUNS`` starts at once, as Lloyd rounds over DataFrames: the state
+is a table of ``RUNS`` times ``k`` centres per word, every round assigns contexts to the
+nearest centre of every run and averages by ``(word, run, sense)`` with map-side partials.  The run of
+lowest inertia is kept.  No word's contexts are ever gathered in one task, and all contexts of a word
+take part.
+
+Starts are deterministic.  Run 0: the context farthest from the word's mean, then repeatedly the
+context farthest from the centres so far (ties: smaller ``ctx``).  The other runs draw a first context
+at random, then contexts with odds by their squared distance to the centres so far; a draw is the
+greatest of distance over an exponential number hashed from ``ctx``, so it is one aggregate per
+word and no draw depends on the partitions.  The silhouette is exact, with Euclidean distances summed
+by pairs of blocks inside a word.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from pyspark.sql import functions as F
 
 
 ROUNDS = 20
+RUNS = 10
 
 
 def _sq_distance(a, b) -> Column:
@@ -32,53 +37,81 @@ def _mean(df: DataFrame, keys: list[str], vec: str = "vec", name: str = "c") ->
     return got.select(*keys, vector_to_array("_m").alias(name), "n")
 
 
-def _nearest(centres: str = "cs", vec: str = "vec") -> Column:
-    """Position of the nearest centre (ties: the first)."""
-    d = F.transform(centres, lambda c: _sq_distance(c, F.col(vec)))
-    return F.array_position(d, F.array_min(d)) - 1
+def _nearest(centres, vec: str = "vec") -> Column:
+    """Squared distance ``d`` to the nearest centre and its position ``i`` (ties: the first)."""
+    return F.array_min(F.transform(centres, lambda c, i: F.struct(_sq_distance(c, F.col(vec)).alias("d"), i.alias("i"))))
+
+
+def _draw_key(run: int, step: int) -> Column:
+    """What a run's next centre has most of: distance, in random runs over an exponential number."""
+    d = F.col("d")[run]
+    if run == 0:
+        return d
+    u = (F.pmod(F.xxhash64("ctx", F.lit(run), F.lit(step)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    return d / -F.log(u)
 
 
 def _starts(contexts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(word, k, cs): farthest-first starting centres; ``wanted`` is (word, k)."""
-    mean = _mean(contexts, ["word"])
-    state = wanted.join(mean.select("word", F.array("c").alias("cs")), "word")
-    top = wanted.agg(F.max("k")).first()[0] or 1
-    for step in range(top):
-        far = contexts.join(state.where(F.col("k") > step), "word").select(
-            "word", "ctx", "vec", F.array_min(F.transform("cs", lambda c: _sq_distance(c, F.col("vec")))).alias("d"))
-        pick = far.groupBy("word").agg(F.max_by("vec", F.struct("d", -F.col("ctx"))).alias("v"))
-        old = F.array().cast("array<array<double>>") if step == 0 else F.col("cs")
+    """(word, k, runs): starting centres of every run; ``wanted`` is (word, k), with any number of ``k`` a word."""
+    tops = wanted.groupBy("word").agg(F.max("k").alias("top"))
+    none = F.array().cast("array<array<double>>")
+    state = tops.join(_mean(contexts, ["word"]), "word").select(
+        "word", "top", F.array(F.array("c"), *[none] * (RUNS - 1)).alias("runs")).checkpoint()
+    for step in range(tops.agg(F.max("top")).first()[0] or 0):
+        # a run without centres draws evenly
+        far = contexts.join(state.where(F.col("top") > step), "word").select(
+            "word", "ctx", "vec", F.transform("runs", lambda cs: F.coalesce(_nearest(cs)["d"], F.lit(1.0))).alias("d"))
+        pick = far.groupBy("word").agg(*[
+            F.max_by("vec", F.struct(_draw_key(r, step), -F.col("ctx"))).alias(f"v{r}") for r in range(RUNS)])
+        old = [none if r == 0 and step == 0 else F.col("runs")[r] for r in range(RUNS)]
+        more = F.array(*[F.concat(old[r], F.array(f"v{r}")) for r in range(RUNS)])
         state = state.join(pick, "word", "left").select(
-            "word", "k", F.when(F.col("v").isNull(), F.col("cs")).otherwise(F.concat(old, F.array("v"))).alias("cs"))
+            "word", "top", F.when(F.col("v0").isNull(), F.col("runs")).otherwise(more).alias("runs"))
         state = state.checkpoint()
-    return state
+    # the first k of a longer start are a start for k
+    return wanted.join(state.select("word", "runs"), "word").select(
+        "word", "k", F.transform("runs", lambda cs: F.slice(cs, 1, F.col("k"))).alias("runs"))
 
 
 def _lloyd(contexts: DataFrame, state: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(word, k, cs) after Lloyd rounds; a centre without contexts stays where it is."""
+    """(word, k, runs) after Lloyd rounds; a centre without contexts stays where it is."""
     for _ in range(rounds):
-        own = contexts.join(state, "word").select("word", "vec", _nearest().cast("int").alias("j"))
-        new = _mean(own, ["word", "j"]).groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("j", "c"))).alias("m"))
-        nxt = state.join(new, "word").select("word", "k", "cs", F.transform(
-            "cs", lambda c, i: F.coalesce(F.try_element_at("m", i), c)).alias("nx")).checkpoint()
-        moved = nxt.where(F.exists(F.zip_with("cs", "nx", lambda a, b: _sq_distance(a, b)), lambda d: d > 1e-18))
-        done = moved.isEmpty()
-        state = nxt.select("word", "k", F.col("nx").alias("cs"))
+        own = contexts.join(state, "word").select(
+            "word", "k", "vec", F.posexplode(F.transform("runs", lambda cs: _nearest(cs)["i"])).alias("run", "j"))
+        own = own.withColumn("at", F.col("run") * F.col("k") + F.col("j"))
+        new = _mean(own, ["word", "k", "at"]).groupBy("word", "k").agg(
+            F.map_from_entries(F.collect_list(F.struct("at", "c"))).alias("m"))
+        moved_to = F.transform("runs", lambda cs, r: F.transform(
+            cs, lambda c, i: F.coalesce(F.try_element_at("m", r * F.col("k") + i), c)))
+        nxt = state.join(new, ["word", "k"]).select("word", "k", "runs", moved_to.alias("nx")).checkpoint()
+        steps = F.flatten(F.zip_with("runs", "nx", lambda a, b: F.zip_with(a, b, _sq_distance)))
+        done = nxt.where(F.exists(steps, lambda d: d > 1e-18)).isEmpty()
+        state = nxt.select("word", "k", F.col("nx").alias("runs"))
         if done:
             break
     return state
 
 
+def _best_run(contexts: DataFrame, state: DataFrame) -> DataFrame:
+    """(word, k, cs, inertia): the run of lowest inertia; runs equal to nine digits: the first."""
+    d = contexts.join(state, "word").select("word", "k", F.transform("runs", lambda cs: _nearest(cs)["d"]).alias("d"))
+    sums = d.groupBy("word", "k").agg(F.array(*[F.sum(F.col("d")[r]) for r in range(RUNS)]).alias("sums"))
+    low = F.array_min("sums") * (1 + 1e-9) + 1e-12
+    best = F.array_position(F.transform("sums", lambda x: x <= low), F.lit(True)).cast("int")
+    return state.join(sums, ["word", "k"]).select(
+        "word", "k", F.element_at("runs", best).alias("cs"), F.element_at("sums", best).alias("inertia"))
+
+
 def _labels(contexts: DataFrame, wanted: DataFrame) -> DataFrame:
-    state = _lloyd(contexts, _starts(contexts, wanted))
-    return contexts.join(state, "word").select("word", "ctx", "vec", _nearest().cast("bigint").alias("sense_id"))
+    state = _best_run(contexts, _lloyd(contexts, _starts(contexts, wanted)))
+    return contexts.join(state, "word").select("word", "k", "ctx", "vec", _nearest("cs")["i"].cast("bigint").alias("sense_id"))
 
 
 def sense_labels(contexts: DataFrame, n_senses: int = 3, min_contexts: int = 5) -> DataFrame:
     """E27 labels: ``(word, ctx, sense_id)`` with ``k = max(1, min(n_senses, n // min_contexts))``."""
     c = contexts.select("word", "ctx", "vec")
     k = F.greatest(F.lit(1), F.least(F.lit(n_senses), F.floor(F.count(F.lit(1)) / min_contexts))).cast("int")
-    return _labels(c, c.groupBy("word").agg(k.alias("k"))).drop("vec")
+    return _labels(c, c.groupBy("word").agg(k.alias("k"))).select("word", "ctx", "sense_id")
 
 
 def multi_sense(contexts: DataFrame, n_senses: int = 3, min_contexts: int = 5) -> DataFrame:
@@ -148,10 +181,11 @@ def optimal_senses(contexts: DataFrame, max_senses: int = 5, min_contexts: int =
     c = contexts.select("word", "ctx", "vec")
     words = c.groupBy("word").agg(F.least(F.lit(max_senses), F.floor(F.count(F.lit(1)) / min_contexts)).cast("int").alias("top"))
     words = words.checkpoint()
+    wanted = words.where("top >= 2").select("word", F.explode(F.sequence(F.lit(2), F.col("top"))).alias("k"))
+    every = _labels(c.join(wanted.select("word").distinct(), "word", "left_semi"), wanted).checkpoint()
     tried = None
     for k in range(2, max_senses + 1):
-        wanted = words.where(F.col("top") >= k).select("word", F.lit(k).alias("k"))
-        labels = _labels(c.join(wanted.select("word"), "word", "left_semi"), wanted).checkpoint()
+        labels = every.where(F.col("k") == k)
         sizes = labels.groupBy("word", "sense_id").agg(F.count(F.lit(1)).alias("n")).groupBy("word").agg(
             F.min("n").alias("least"), F.count(F.lit(1)).alias("found"))
         ok = sizes.where((F.col("least") >= min_contexts) & (F.col("found") == k)).select("word")

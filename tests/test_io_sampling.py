@@ -174,6 +174,53 @@ def test_distillation_loss_finite_with_masked_diagonal(spark):
     assert L.distillation_loss(single).count() == 0
 
 
+def test_senses_keep_the_best_run(spark, monkeypatch):
+    """Labels are those of the best of ten Lloyd runs from the drawn starts, never worse than the
+    farthest-first start alone and the optimum over all partitions where the groups lie apart."""
+    import itertools
+
+    rng = np.random.default_rng(0)
+    words = {f"w{i}": rng.normal(size=(9, 2)) for i in range(6)}
+    words["far"] = np.array([[0, 0], [0, 1], [0, 2], [10, 0], [10, 1], [10, 2], [5, 40], [5, 0], [5, 1.0]])
+    words["apart"] = np.repeat([[0, 0], [50, 0], [0, 50.0]], 3, axis=0) + rng.normal(size=(9, 2))
+    words["same"] = np.ones((9, 2))
+    rows = [(w, i, [float(a) for a in v]) for w, x in words.items() for i, v in enumerate(x)]
+    ctx = spark.createDataFrame(rows, "word string, ctx long, vec array<double>")
+
+    def inertia(x, lab):
+        return sum(((x[lab == j] - x[lab == j].mean(0)) ** 2).sum() for j in set(lab))
+
+    def lloyd(x, c):
+        c = np.array(c)
+        for _ in range(SN.ROUNDS):
+            lab = ((x[:, None] - c[None]) ** 2).sum(-1).argmin(1)
+            c = np.stack([x[lab == j].mean(0) if (lab == j).any() else c[j] for j in range(len(c))])
+        lab = ((x[:, None] - c[None]) ** 2).sum(-1).argmin(1)
+        return inertia(x, lab)
+
+    def run():
+        got = {}
+        for r in SN.sense_labels(ctx, n_senses=3, min_contexts=3).collect():
+            got.setdefault(r.word, {})[r.ctx] = r.sense_id
+        return {w: inertia(words[w], np.array([lab[i] for i in range(9)])) for w, lab in got.items()}
+
+    wanted = ctx.select("word").distinct().withColumn("k", F.lit(3))
+    starts = {r.word: r.runs for r in SN._starts(ctx, wanted).collect()}
+    assert all(len(runs) == 10 and all(len(c) == 3 for c in runs) for runs in starts.values())
+    two = {r.word: r.runs for r in SN._starts(ctx, wanted.withColumn("k", F.lit(2))).collect()}
+    assert two == {w: [c[:2] for c in runs] for w, runs in starts.items()}
+    ten = run()
+    assert ten == pytest.approx({w: min(lloyd(words[w], c) for c in runs) for w, runs in starts.items()}, abs=1e-9)
+    monkeypatch.setattr(SN, "RUNS", 1)
+    one = run()
+    assert one == pytest.approx({w: lloyd(words[w], runs[0]) for w, runs in starts.items()}, abs=1e-9)
+    assert all(ten[w] <= one[w] + 1e-9 for w in words) and any(ten[w] < one[w] - 1e-6 for w in words)
+    parts = [np.array((0, *p)) for p in itertools.product(range(3), repeat=8)]
+    best = {w: min(inertia(x, p) for p in parts) for w, x in words.items()}
+    assert all(ten[w] >= best[w] - 1e-9 for w in words)
+    assert all(ten[w] == pytest.approx(best[w], abs=1e-9) for w in ("far", "apart", "same"))
+
+
 def test_senses(spark):
     rng = np.random.default_rng(3)
     a = rng.normal(size=(20, 4)) * 0.05 + np.array([5, 0, 0, 0])
