@@ -2,8 +2,9 @@
 
 A batch table is ``(batch_id, i, vec...)``.  The rows of a batch come to one task (a batch is
 bounded by the batch size, a parameter), which multiplies its matrices in blocks of ``BLOCK`` rows
-and keeps a running maximum and sum of exponentials per row.  What leaves the task is one
-row per input row: maxima, sums, log-probabilities, gradients.  No plan has a row per pair.
+and keeps a running maximum and sum of exponentials per row.  What leaves the task of a loss is one
+row per input row: log-probabilities, gradients.  D6 and D8 are the pairs of a batch themselves, batch
+size times the rows; they leave the task a block at a time and are never shuffled.
 """
 
 from __future__ import annotations
@@ -71,23 +72,42 @@ def _per_batch(batch: DataFrame, cols: list[str], fn, schema: str) -> DataFrame:
     return src.mapInArrow(run, f"{kind}, n long, {schema}")
 
 
-def in_batch_rows(batch: DataFrame, cols: list[str]) -> DataFrame:
-    """Over the other rows of the batch, the largest and the summed cosine of every column.
-
-    Output ``(batch_id, i, n, <col>_max, <col>_sum...)``; a batch of one row has null and 0.
-    """
-    def fn(*mats):
-        out = {}
-        for c, m in zip(cols, mats):
-            u, _ = unit(m)
-            top, total = np.full(len(u), -np.inf), np.zeros(len(u))
-            for r, _, p in blocks(u, u, False):
-                top[r] = np.maximum(top[r], p.max(1))
-                total[r] += np.where(np.isfinite(p), p, 0.0).sum(1)
-            out |= {c + "_max": pa.array(top, mask=~np.isfinite(top)), c + "_sum": pa.array(total)}
-        return out
+def _batch_pairs(batch: DataFrame, cols: list[str], sides: list[tuple[str, str, str]], diagonal: bool) -> DataFrame:
+    """One row per pair (i, j) of a batch: the cosine of column ``a`` of row i and column ``b`` of row j for every (name, a, b)."""
+    src = batch.select("batch_id", "i", *[Vx.as_double(c).alias(c) for c in cols])
+    src = src.repartition("batch_id").sortWithinPartitions("batch_id", "i")
+    kind, at = (src.schema[c].dataType.simpleString() for c in ("batch_id", "i"))
 
-    return _per_batch(batch, cols, fn, ", ".join(f"{c}_max double, {c}_sum double" for c in cols))
+    def run(batches):
+        for t in by_key(batches, "batch_id"):
+            t = t.combine_chunks()
+            batch_id, rows = t.column("batch_id").chunk(0), t.column("i").chunk(0)
+            units, known = {}, {}
+            for c in cols:
+                col = t.column(c).combine_chunks()
+                col = pa.concat_arrays(col.chunks) if isinstance(col, pa.ChunkedArray) else col
+                known[c] = np.array([x.is_valid and x.values.null_count == 0 for x in col]) if col.null_count or col.flatten().null_count \
+                    else np.ones(len(col), bool)
+                units[c] = np.zeros((len(col), 0))
+                if known[c].any():  # a vector that is null or has null components has no cosine
+                    m = matrix(col.filter(pa.array(known[c])))
+                    units[c] = np.zeros((len(col), m.shape[1]))
+                    units[c][known[c]] = unit(m)[0]
+            for parts in zip(*[blocks(units[a], units[b], True) for _, a, b in sides]):
+                r, c, p = parts[0]
+                x, y = (k.ravel() for k in np.mgrid[r, c])
+                stay = np.arange(len(x)) if diagonal else np.flatnonzero(x != y)
+                found = {name: pa.array(q.ravel()[stay], mask=~(known[a][x] & known[b][y])[stay])
+                         for (name, a, b), (_, _, q) in zip(sides, parts)}
+                yield pa.RecordBatch.from_pydict({"batch_id": batch_id.take(pa.array(x[stay])), "i": rows.take(pa.array(x[stay])),
+                                                  "j": rows.take(pa.array(y[stay]))} | found)
+
+    return src.mapInArrow(run, f"batch_id {kind}, i {at}, j {at}, " + ", ".join(f"{name} double" for name, _, _ in sides))
+
+
+def in_batch_pairs(batch: DataFrame, cols: list[str]) -> DataFrame:
+    """The cosine of every column for all pairs ``i <> j`` of a batch.  Output ``(batch_id, i, j, <col>...)``."""
+    return _batch_pairs(batch, cols, [(c, c, c) for c in cols], False)
 
 
 def bipartite_rows(batch: DataFrame, src: str = "src", tgt: str = "tgt") -> DataFrame:

@@ -51,13 +51,12 @@ GROUP BY batch_id HAVING count(DISTINCT i) >= 2""")
 
 
 @register("d06_in_batch_similarity", with_ctes(["d6"], """
-SELECT batch_id, i, CAST(count(*) + 1 AS BIGINT) AS n, round(max(student), 6) + 0.0 AS student_max, round(sum(student), 6) + 0.0 AS student_sum,
-       round(max(teacher), 6) + 0.0 AS teacher_max, round(sum(teacher), 6) + 0.0 AS teacher_sum
-FROM d6 GROUP BY batch_id, i"""))
+SELECT batch_id, i, j, round(student, 6) + 0.0 AS student, round(teacher, 6) + 0.0 AS teacher FROM d6"""))
 def d06_in_batch_similarity(spark, sf):
-    """Every row against the other rows of its batch of 32: largest and summed cosine (block products)."""
-    p = L.in_batch_rows(_batches(spark, sf), ["student", "teacher"]).where("n > 1")
-    return p.select("batch_id", "i", "n", *[Vx.round_col(c).alias(c) for c in p.columns[3:]])
+    """All pairs i != j inside each batch of 32 (block products)."""
+    p = L.in_batch_pairs(_batches(spark, sf), ["student", "teacher"])
+    return p.select("batch_id", "i", "j", Vx.round_col("student").alias("student"),
+                    Vx.round_col("teacher").alias("teacher"))
 
 
 @register("e23_distillation_loss", with_ctes(["e23"], "SELECT batch_id, round(loss, 6) + 0.0 AS loss, n FROM e23"))

@@ -99,8 +99,6 @@ def test_encoder(spark):
     assert np.linalg.norm(enc[2]) > 0
     assert np.allclose(enc[3], 0)
     pairs = spark.createDataFrame([(0, "hello", "hello"), (1, "hello", "world")], "pair_id long, a string, b string")
-    sims = {r.pair_id: r.sim for r in EN.pair_similarity(pairs, w2v(spark), dim=3, tokenizer=_space_tokens).collect()}
-    assert sims[0] == pytest.approx(1.0, abs=1e-6) and sims[1] < 1
 
 
 def test_encode_drop_empty_raises(spark):
@@ -262,3 +260,22 @@ def test_vocabulary_and_contexts_are_partition_independent(spark):
     one = build(docs.repartition(1))
     many = build(docs.repartition(13, "doc_id"))
     assert one == many and len(one[0]) == 200
+
+
+def test_batch_similarities_are_pairs(spark):
+    """D6 and D8 give every pair of a batch, as their queries name it; a null vector has no cosine."""
+    from lexaria.operators import losses as L
+
+    vec = {0: [3.0, 4.0], 1: [1.0, 0.0], 2: None, 3: [0.0, 2.0]}
+    rows = [(b, i, v, v and v[::-1]) for b in (0, 1) for i, v in vec.items() if b == 0 or i < 2]
+    b = spark.createDataFrame(rows, "batch_id long, i long, s array<double>, t array<double>")
+    pairs = {(r.batch_id, r.i, r.j): r.s for r in L.in_batch_pairs(b, ["s", "t"]).collect()}
+    assert set(pairs) == {(0, i, j) for i in vec for j in vec if i != j} | {(1, 0, 1), (1, 1, 0)}
+    assert pairs[0, 0, 1] == pytest.approx(0.6) and pairs[0, 1, 3] == 0.0 and pairs[0, 2, 1] is None
+
+
+def test_batch_similarity_queries_keep_their_pairs():
+    import __spark_entry__ as E
+
+    sql = E.oracle_sql()
+    assert "SELECT batch_id, i, j, round(student, 6)" in sql["d06_in_batch_similarity"]
