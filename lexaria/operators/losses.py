@@ -110,20 +110,9 @@ def in_batch_pairs(batch: DataFrame, cols: list[str]) -> DataFrame:
     return _batch_pairs(batch, cols, [(c, c, c) for c in cols], False)
 
 
-def bipartite_rows(batch: DataFrame, src: str = "src", tgt: str = "tgt") -> DataFrame:
-    """Cosines ``src_i . tgt_j`` of a batch: the row's own one (``sim``), and maximum and sum of
-    row i (``row_*``) and of column i (``col_*``), the diagonal included."""
-    def fn(s, t):
-        u, v = unit(s)[0], unit(t)[0]
-        n = len(u)
-        out = {k: np.full(n, -np.inf) if k.endswith("max") else np.zeros(n) for k in ("row_max", "row_sum", "col_max", "col_sum")}
-        for r, c, p in blocks(u, v, True):
-            out["row_max"][r], out["col_max"][c] = np.maximum(out["row_max"][r], p.max(1)), np.maximum(out["col_max"][c], p.max(0))
-            out["row_sum"][r] += p.sum(1)
-            out["col_sum"][c] += p.sum(0)
-        return {"sim": pa.array((u * v).sum(1))} | {k: pa.array(x) for k, x in out.items()}
-
-    return _per_batch(batch, [src, tgt], fn, "sim double, row_max double, row_sum double, col_max double, col_sum double")
+def bipartite_pairs(batch: DataFrame, src: str = "src", tgt: str = "tgt") -> DataFrame:
+    """The cosine ``src_i . tgt_j`` for every i, j of a batch, the diagonal included.  Output ``(batch_id, i, j, sim)``."""
+    return _batch_pairs(batch, [src, tgt], [("sim", src, tgt)], True)
 
 
 def through_unit(d: np.ndarray, u: np.ndarray, length: np.ndarray) -> pa.Array:

@@ -80,15 +80,11 @@ SELECT a.batch_id, a.i, b.i AS j, {dot('a.s', 'b.t')} AS sim FROM batches a JOIN
 
 
 @register("d08_bipartite_similarity", with_ctes(["d8"], """
-SELECT r.batch_id, r.i, r.n, sim, row_max, row_sum, col_max, col_sum
-FROM (SELECT batch_id, i, CAST(count(*) AS BIGINT) AS n, round(max(CASE WHEN i = j THEN sim END), 6) + 0.0 AS sim,
-             round(max(sim), 6) + 0.0 AS row_max, round(sum(sim), 6) + 0.0 AS row_sum FROM d8 GROUP BY batch_id, i) r
-JOIN (SELECT batch_id, j, round(max(sim), 6) + 0.0 AS col_max, round(sum(sim), 6) + 0.0 AS col_sum FROM d8 GROUP BY batch_id, j) c
-  ON c.batch_id = r.batch_id AND c.j = r.i"""))
+SELECT batch_id, i, j, round(sim, 6) + 0.0 AS sim FROM d8"""))
 def d08_bipartite_similarity(spark, sf):
-    """src_i . tgt_j over each batch (diagonal kept): own cosine, row and column maximum and sum."""
-    s = L.bipartite_rows(_batches(spark, sf), "student", "teacher")
-    return s.select("batch_id", "i", "n", *[Vx.round_col(c).alias(c) for c in s.columns[3:]])
+    """src_i . tgt_j for all i, j of each batch (diagonal kept; block products)."""
+    s = L.bipartite_pairs(_batches(spark, sf), "student", "teacher")
+    return s.select("batch_id", "i", "j", Vx.round_col("sim").alias("sim"))
 
 
 @register("e24_contrastive_loss", with_ctes(["d8"], f"""

@@ -99,6 +99,8 @@ def test_encoder(spark):
     assert np.linalg.norm(enc[2]) > 0
     assert np.allclose(enc[3], 0)
     pairs = spark.createDataFrame([(0, "hello", "hello"), (1, "hello", "world")], "pair_id long, a string, b string")
+    sims = {r.pair_id: r.sim for r in EN.pair_similarity(pairs, w2v(spark), dim=3, tokenizer=_space_tokens).collect()}
+    assert sims[0] == pytest.approx(1.0, abs=1e-6) and sims[1] < 1
 
 
 def test_encode_drop_empty_raises(spark):
@@ -272,6 +274,8 @@ def test_batch_similarities_are_pairs(spark):
     pairs = {(r.batch_id, r.i, r.j): r.s for r in L.in_batch_pairs(b, ["s", "t"]).collect()}
     assert set(pairs) == {(0, i, j) for i in vec for j in vec if i != j} | {(1, 0, 1), (1, 1, 0)}
     assert pairs[0, 0, 1] == pytest.approx(0.6) and pairs[0, 1, 3] == 0.0 and pairs[0, 2, 1] is None
+    sims = {(r.batch_id, r.i, r.j): r.sim for r in L.bipartite_pairs(b, "s", "t").collect()}
+    assert len(sims) == 20 and sims[0, 0, 0] == pytest.approx(0.96) and sims[0, 0, 1] == pytest.approx(0.8)
 
 
 def test_batch_similarity_queries_keep_their_pairs():
@@ -279,3 +283,4 @@ def test_batch_similarity_queries_keep_their_pairs():
 
     sql = E.oracle_sql()
     assert "SELECT batch_id, i, j, round(student, 6)" in sql["d06_in_batch_similarity"]
+    assert "SELECT batch_id, i, j, round(sim, 6)" in sql["d08_bipartite_similarity"]
