@@ -12,8 +12,9 @@ bins filled from a hash-chosen filled one; a band joins ``ROWS`` of the values.
 Buckets with the same lines are checked once.  Inside a bucket every pair is verified
 exactly: the lines' shingle incidence matrix times its transpose gives all intersections.
 In a bucket above ``BLOCK`` lines all of them meet ``PIVOTS`` lines first; those near one are
-linked to it, and only lines near none meet every line, in pairs of blocks.  Tasks emit spanning
-forests of the links, never the pairs.
+of its class.  Lines near none meet every line, in pairs of blocks; lines of a class meet the lines of
+other classes that the triangle inequality of the Jaccard distance leaves as possible links.  Tasks
+emit spanning forests of the links, never the pairs.
 
 Texts are moved only for lines that share a bucket, and once each: the first occurrences
 of the lines wanted are put into a Bloom filter of fixed size (``FILTER_BITS``), the corpus is
@@ -46,7 +47,10 @@ FILTER_BITS = 1 << 25
 CHUNK = 65536
 LOT = 1 << 18
 PIVOTS = 32
+# d(x, p) + d(x, y) of near pairs (x, p) and (x, y) bounds d(y, p); the margin is for rounding
+AROUND = 1 - 2 * (1 - THRESHOLD) - 1e-9
 CELLS = 1 << 23
+MINE, AROUND_IT, SAME = np.int32(0), np.int32(1), np.int32(2)
 EMPTY = np.uint32(0xFFFFFFFF)
 _MULT = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -258,14 +262,14 @@ def _shared_codes(a: np.ndarray, b: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
-def near_pairs(codes: list[np.ndarray], first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (i < j) of exact Jaccard similarity THRESHOLD or more, with i among the ``first`` lines."""
+def near_pairs(codes: list[np.ndarray], first: int | None = None, least: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (i < j) of exact Jaccard similarity ``least`` or more, with i among the ``first`` lines."""
     size = np.array([len(c) for c in codes])
     first = len(codes) if first is None else first
     if len(codes) <= 4:
         got = [(i, j) for i in range(first) for j in range(i + 1, len(codes))
-               if min(size[i], size[j]) >= THRESHOLD * max(size[i], size[j])
-               and (n := _shared_codes(codes[i], codes[j])) / (size[i] + size[j] - n) >= THRESHOLD]
+               if min(size[i], size[j]) >= least * max(size[i], size[j])
+               and (n := _shared_codes(codes[i], codes[j])) / (size[i] + size[j] - n) >= least]
         return tuple(np.array(got, np.int64).reshape(-1, 2).T)
     row = np.repeat(np.arange(len(codes)), size)
     _, col, n = np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
@@ -281,7 +285,7 @@ def near_pairs(codes: list[np.ndarray], first: int | None = None) -> tuple[np.nd
         x = np.zeros((len(codes), min(step, width - a)), np.float32)
         x[row[lo:hi], col[lo:hi] - a] = 1
         both += x[:first] @ x.T
-    return np.nonzero(np.triu(both / (size[:first, None] + size[None, :] - both) >= THRESHOLD, 1))
+    return np.nonzero(np.triu(both / (size[:first, None] + size[None, :] - both) >= least, 1))
 
 
 def _lots(bounds: np.ndarray, texts: np.ndarray) -> list[np.ndarray]:
@@ -326,7 +330,7 @@ def line_components(src: DataFrame, firsts: DataFrame) -> DataFrame:
     places = firsts.select("line", F.col("first.doc").alias("doc"), F.col("first.no").alias("no"))
     texts = _texts(src, keep(member.select("line").distinct().join(places, "line")))
     small = member.where("parts = 1").join(texts, "line").select("k", "line", "x")
-    small = small.repartition("k").sortWithinPartitions("k").mapInArrow(_links, "u long, v long")
+    small = small.repartition("k").sortWithinPartitions("k", "line").mapInArrow(_links, "u long, v long")
     big = member.where("parts > 1").withColumn("blk", F.pmod(F.xxhash64("line"), F.col("parts")).cast("int"))
     big = store(big.join(texts, "line").select("k", "parts", "blk", "line", "x"), "line-buckets")
     return connected_components(small if big.isEmpty() else small.unionByName(_big_links(big)))
@@ -338,12 +342,14 @@ def _groups(cols: dict, group: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _to_pivots(batches):
-    """(k, line, class) of a block's lines: the first pivot that is near, else the line itself.
+    """What a block's lines are to the pivots of their bucket, as rows (k, line, class, kind).
 
-    Rows of null k link two pivots that a line is near to.
+    MINE: the line's class, which is the first pivot that is near, else the line itself.  AROUND_IT: a pivot at
+    similarity AROUND or more that is not the line's class.  SAME: two pivots linked by a near line or by each
+    other; every pivot is told with itself.
     """
     for cols in whole_groups(batches, ["k", "blk"]):
-        ks, lines, classes = [], [], []
+        ks, lines, classes, kinds = [], [], [], []
         for s, e in _groups(cols, cols["_group"]):
             line, pivot = cols["line"][s:e], cols["pivot"][s:e].astype(bool)
             order = np.r_[np.flatnonzero(pivot), np.flatnonzero(~pivot)]
@@ -360,17 +366,33 @@ def _to_pivots(batches):
             forest.add(i, np.where(j < p, j, lead[j]))
             a, root = forest.stars()
             at = np.arange(p, len(line))
-            ks += [cols["k"][s]] * len(at) + [None] * (len(a) + p)
-            lines += [line[at], line[a], line[:p]]
-            classes += [own[at], line[root], own[:p]]
+            i, j = near_pairs(codes, p, AROUND)
+            far = (j >= p) & (own[j] != line[i])
+            i, j = i[far], j[far]
+            here = len(at) + len(j) + len(a) + p
+            ks.append(np.full(here, cols["k"][s]))
+            lines += [line[at], line[j], line[a], line[:p]]
+            classes += [own[at], line[i], line[root], line[:p]]
+            kinds.append(np.repeat(np.array([MINE, AROUND_IT, SAME]), [len(at), len(j), len(a) + p]))
         if lines:
-            yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(np.concatenate(lines)), pa.array(np.concatenate(classes))],
-                                             ["k", "line", "class"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (ks, lines, classes, kinds)], ["k", "line", "class", "kind"])
+
+
+def _pivot_classes(batches):
+    """(k, class, whole) of every pivot: the smallest pivot it is linked to.  A bucket has PIVOTS pivots at most."""
+    for cols in whole_groups(batches, ["k"]):
+        ks, classes, wholes = [], [], []
+        for s, e in _groups(cols, cols["_group"]):
+            names, at = np.unique(np.r_[cols["line"][s:e], cols["class"][s:e]], return_inverse=True)
+            forest = Forest(len(names))
+            forest.add(at[:e - s], at[e - s:])
+            ks.append(np.full(len(names), cols["k"][s])), classes.append(names), wholes.append(names[forest.label])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (ks, classes, wholes)], ["k", "class", "whole"])
 
 
 def _rest_links(batches):
-    """Links of a block of lines without pivot (``rest``) with a block of all lines, as edges between classes."""
-    for cols in whole_groups(batches, ["k", "a", "b"]):
+    """Links of a block of lines (``rest``) with a block of others, as edges between classes."""
+    for cols in whole_groups(batches, ["k", "p", "a", "b"]):
         us, vs = [], []
         for s, e in _groups(cols, cols["_group"]):
             rest = cols["rest"][s:e].astype(bool)
@@ -385,11 +407,26 @@ def _rest_links(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
 
 
+def _meetings(rest: DataFrame, every: DataFrame) -> DataFrame:
+    """Links of every line of ``rest`` with every line of ``every`` of equal (k, p), in pairs of blocks."""
+    keys = ["k", "p"]
+    blocks = lambda t, name: t.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias(name))
+    sizes = blocks(rest, "lots").join(blocks(every, "parts"), keys)
+    deal = lambda seed, of: F.pmod(F.xxhash64("line", F.lit(seed)), F.col(of)).cast("int")
+    copies = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    one = rest.join(sizes, keys).select(*keys, deal(1, "lots").alias("a"), copies("parts").alias("b"), "class", "x", F.lit(True).alias("rest"))
+    two = every.join(sizes, keys).select(*keys, copies("lots").alias("a"), deal(2, "parts").alias("b"), "class", "x", F.lit(False).alias("rest"))
+    both = one.unionByName(two).repartition(*keys, "a", "b").sortWithinPartitions(*keys, "a", "b")
+    return both.mapInArrow(_rest_links, "u long, v long")
+
+
 def _big_links(big: DataFrame) -> DataFrame:
     """Edges of buckets of several blocks, at most about one a line and bucket for any group of near copies.
 
-    All lines meet PIVOTS lines of their bucket first.  A line near a pivot is of the pivot's
-    class; only lines near none (``rest``) go on to meet every line, in pairs of blocks, and link classes.
+    All lines meet PIVOTS lines of their bucket first.  A line near a pivot is of the pivot's class, and
+    classes that share a line are one.  Lines near none (``rest``) meet every line.  Of two near lines of
+    different classes, the second is at most twice a link's distance away from the first one's pivot, so
+    the lines of a pivot's class meet those around the pivot that are of another class.
     """
     rank = F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64("line"), "line"))
     pivots = big.select("k", "parts", "line", rank.alias("r")).where(F.col("r") <= PIVOTS).drop("r", "parts")
@@ -398,18 +435,30 @@ def _big_links(big: DataFrame) -> DataFrame:
     sent = marked.where("pivot").withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = marked.where("not pivot").unionByName(sent).select("k", "blk", "line", "x", "pivot")
     rows = rows.repartition("k", "blk").sortWithinPartitions("k", "blk")
-    found = keep(rows.mapInArrow(_to_pivots, "k long, line long, class long"))
-    stars = found.where("line <> class").select(F.col("line").alias("u"), F.col("class").alias("v"))
-    of_line = found.where("k is not null").select("k", "line", "class")
-    rest = of_line.where("line = class").groupBy("k").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("lots"))
-    every = big.join(rest, "k").join(of_line, ["k", "line"], "left")
-    # pivots have no class row and have met every line
-    every = every.withColumn("rest", F.coalesce(F.col("class") == F.col("line"), F.lit(False))).withColumn("class", F.coalesce("class", "line"))
-    every = every.withColumn("lot", F.pmod(F.xxhash64("line", F.lit(1)), F.col("lots")).cast("int"))
-    one = every.where("rest").select("k", F.col("lot").alias("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("b"), "line", "class", "x", "rest")
-    two = every.select("k", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("a"), F.col("blk").alias("b"), "line", "class", "x", F.lit(False).alias("rest"))
-    both = one.unionByName(two).repartition("k", "a", "b").sortWithinPartitions("k", "a", "b")
-    return stars.unionByName(both.select("k", "a", "b", "class", "x", "rest").mapInArrow(_rest_links, "u long, v long"))
+    found = keep(rows.mapInArrow(_to_pivots, "k long, line long, class long, kind int"))
+    of_line = found.where(F.col("kind") == int(MINE)).select("k", "line", "class")
+    same = found.where(F.col("kind") == int(SAME)).select("k", "line", "class").distinct().repartition("k").sortWithinPartitions("k")
+    whole = keep(same.mapInArrow(_pivot_classes, "k long, class long, whole long"))  # PIVOTS rows a bucket
+    stars = of_line.select(F.col("line").alias("u"), F.col("class").alias("v")).unionByName(
+        whole.select(F.col("class").alias("u"), F.col("whole").alias("v"))).where("u <> v")
+    # one class for a line, or none (rest); pivots are of their own class
+    named = of_line.where("line <> class").unionByName(whole.select("k", F.col("class").alias("line"), "class"))
+    named = keep(named.join(whole, ["k", "class"]))
+    rest = of_line.where("line = class").select("k", "line", "class")
+    texts = big.select("k", "line", "x")
+    zero = F.lit(0).cast("long").alias("p")
+    lone = rest.join(texts, ["k", "line"]).select("k", zero, "line", "class", "x")
+    every = texts.join(rest.select("k").distinct(), "k", "left_semi").join(named.select("k", "line", "whole"), ["k", "line"], "left")
+    links = stars.unionByName(_meetings(lone, every.select("k", zero, "line", F.coalesce("whole", "line").alias("class"), "x")))
+    around = found.where(F.col("kind") == int(AROUND_IT)).select("k", "line", F.col("class").alias("p"))
+    around = around.join(named.select("k", "line", "whole"), ["k", "line"])  # rest has met every line
+    around = around.join(whole.select("k", F.col("class").alias("p"), F.col("whole").alias("of")), ["k", "p"]).where("whole <> of")
+    around = keep(around.select("k", "p", "line", F.col("whole").alias("class")))
+    if around.isEmpty():
+        return links
+    inner = named.select("k", "line", F.col("class").alias("p"), F.col("whole").alias("class"))
+    inner = inner.join(around.select("k", "p").distinct(), ["k", "p"], "left_semi")
+    return links.unionByName(_meetings(inner.join(texts, ["k", "line"]), around.join(texts, ["k", "line"])))
 
 
 def _decisions(src: DataFrame) -> DataFrame:

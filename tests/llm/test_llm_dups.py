@@ -288,6 +288,23 @@ def test_big_buckets(spark, reach, monkeypatch):
         assert pivots == 1 or len(edges) < 5 * len(texts)
 
 
+def test_big_bucket_links_between_classes(spark, reach, monkeypatch):
+    """Lines near different pivots link, though no line is near both pivots."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(16)
+    ids = spark.range(1000, 1040).orderBy(F.xxhash64("id"), "id").toPandas()["id"].tolist()  # pivots come first
+    long = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(2000))
+    for starts in ([0, 33, 11, 22], [0, 33, 11, 22, 900, 911, 922, 933, *rng.sample(range(1200, 1800), 30)]):
+        texts = {ids[n]: long[s:s + 104] for n, s in enumerate(starts)}  # a shift by 11 has similarity 89 / 111
+        rows = [(1, 3, n % 3, i, t) for n, (i, t) in enumerate(texts.items())]
+        links = [(i, j) for i in texts for j in texts if i < j and similarity(texts[i], texts[j]) >= 0.8]
+        big = spark.createDataFrame(rows, "k long, parts int, blk int, line long, x string").repartition(3)
+        for pivots in (2, 5):
+            monkeypatch.setattr(lines, "PIVOTS", pivots)
+            assert reach([(r.u, r.v) for r in lines._big_links(big).collect()], texts) == reach(links, texts)
+
+
 def test_edges_of_near_copies_are_linear(spark):
     rng = random.Random(13)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
