@@ -4,7 +4,9 @@ Pieces are an *injected* Column function (the model tokenizer of the
 reference is not built); the default ``chunk_pieces`` is a deterministic
 sentencepiece-like splitter: ``▁`` + first 3 characters, then 3-character
 chunks, and a lone ``▁`` before words that start with a digit.
-Position search is a higher-order-function expression per row.
+Position search is a higher-order-function expression per row; pieces and positions
+are each a one-row ``explode``, which keeps the optimizer from copying their expressions into
+the filters and lambdas above (a lambda would cut the sentence anew for every position).
 """
 
 from __future__ import annotations
@@ -46,7 +48,9 @@ def first_position(tokens: Column, wp: Column, start: Column | int = 0) -> Colum
     ``sequence`` counts down when the word is longer than the rest."""
     start = F.lit(start) if isinstance(start, int) else start
     n, m = F.size(tokens), F.size(wp)
-    cand = F.filter(F.sequence(start, n - m), lambda i: (i >= start) & (F.slice(tokens, i + 1, m) == wp))
+    # the first piece is compared alone: a slice is cut only where it fits
+    same = lambda i: (F.get(tokens, i) == F.get(wp, F.lit(0))) & (F.slice(tokens, i + 1, m) == wp)
+    cand = F.filter(F.sequence(start, n - m), lambda i: (i >= start) & same(i))
     return F.when(m > 0, F.try_element_at(cand, F.lit(1)))
 
 
@@ -65,6 +69,12 @@ def positions(start_col: Column, m: Column) -> Column:
     return F.when(start_col.isNotNull(), F.sequence(start_col, start_col + m - 1))
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns computed once a row, however often they are used above."""
+    one = df.select(*df.columns, F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))).alias("_once"))
+    return one.select(*df.columns, *[F.col("_once")[k].alias(k) for k in columns])
+
+
 def find_positions(contexts: DataFrame, max_len: int = 500, strict: bool = False, pieces=chunk_pieces,
                    prompt: str | None = None, subword_mode: bool = False,
                    n_contexts: int | None = None, cap: str = "before") -> DataFrame:
@@ -82,20 +92,19 @@ def find_positions(contexts: DataFrame, max_len: int = 500, strict: bool = False
         contexts = contexts.where(F.col("rn") <= n_contexts)
     text = F.concat(F.lit(prompt + " "), F.col("sentence")) if prompt else F.col("sentence")
     offset = F.size(sentence_pieces(F.lit(prompt), pieces)) if prompt else F.lit(0)
-    x = contexts.withColumn("_t", sentence_pieces(text, pieces)).withColumn("_w", word_pieces(F.col("word"), pieces))
+    x = _once(contexts, _t=sentence_pieces(text, pieces), _w=word_pieces(F.col("word"), pieces), _off=offset)
     too_long = F.size("_t") >= max_len if strict else F.size("_t") > max_len
     x = x.where(~too_long)
     if subword_mode:
-        x = x.withColumn("start", first_position_subword(F.col("_t"), F.col("word"), F.size("_w"), offset))
+        x = _once(x, start=first_position_subword(F.col("_t"), F.col("word"), F.size("_w"), F.col("_off")))
         x = x.withColumn("n_pieces", F.lit(1))
     else:
-        x = x.withColumn("start", first_position(F.col("_t"), F.col("_w"), offset)).withColumn(
-            "n_pieces", F.size("_w"))
+        x = _once(x, start=first_position(F.col("_t"), F.col("_w"), F.col("_off"))).withColumn("n_pieces", F.size("_w"))
     x = x.where(F.col("start").isNotNull())
     if n_contexts and cap == "after":
         nth = F.row_number().over(Window.partitionBy("word").orderBy("rn"))
         x = x.withColumn("_nth", nth).where(F.col("_nth") <= n_contexts).drop("_nth")
-    return x.withColumn("pos", positions(F.col("start"), F.col("n_pieces"))).drop("_t", "_w")
+    return x.withColumn("pos", positions(F.col("start"), F.col("n_pieces"))).drop("_t", "_w", "_off")
 
 
 def language_tokens(df: DataFrame, text: str = "sentence", lang: str = "lang", pieces=chunk_pieces) -> DataFrame:

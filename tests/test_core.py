@@ -152,6 +152,18 @@ def test_positions(spark):
     assert [r.p for r in got] == [r.e for r in got]
 
 
+@pytest.mark.parametrize("mode", [{}, {"subword_mode": True}, {"strict": True, "prompt": "query: find", "n_contexts": 2, "cap": "after"}])
+def test_positions_cut_a_sentence_once(spark, mode):
+    rows = [("hello", 1, "say hello, hello"), ("hello", 2, "nothing"), ("hello", 3, "hello"), ("say", 4, None), (None, 5, "say"), ("say", 6, "say")]
+    out = PS.find_positions(spark.createDataFrame(rows, "word string, rn int, sentence string"), **mode)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(" + ("concat(query: find" if "prompt" in mode else "sentence#")) == 1
+    got = {(r.word, r.rn): r.start for r in out.collect()}
+    off = 5 if "prompt" in mode else 0
+    found = {("say", 6): off} | ({} if "subword_mode" in mode else {("hello", 1): 1 + off, ("hello", 3): off})
+    assert got == found
+
+
 def test_pieces_drop_lone_marker(spark):
     df = spark.createDataFrame([("hello",), ("3rd",)], "w string")
     got = {r.w: r.p for r in df.select("w", PS.word_pieces(F.col("w")).alias("p")).collect()}
