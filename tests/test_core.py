@@ -164,6 +164,29 @@ def test_positions_cut_a_sentence_once(spark, mode):
     assert got == found
 
 
+def test_contexts_are_cut_before_they_are_sorted(spark, monkeypatch):
+    """First sentences of a word in corpus order, however small the chunks; rows may repeat, ids may be null."""
+    sents = [(d, n, 0, f"common word{d or 0} common {'rare' if n == 3 else 'x'}") for d in (None, 5, 5, 2, 9) for n in range(4)]
+    df = spark.createDataFrame([*sents, (1, 0, 0, None), (1, 1, 0, "..."), (1, 2, 0, "common " * 100)],
+                               "doc_id long, line_no int, sent_no int, sentence string").repartition(3)
+    vocab = spark.createDataFrame([("common",), ("rare",), ("word5",), ("none",)], "word string")
+    want = {}
+    for d, n, k, s in sorted(sents, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        for w in {"common", "rare", "word5"} & set(s.split()):
+            want.setdefault(w, []).append((d, n, k, s))
+    for size in (1, 7, 1 << 21):
+        monkeypatch.setattr(X, "CHUNK_WORDS", size)
+        ctx = X.build_contexts(df, vocab, 6)
+        got = {}
+        for r in sorted(ctx.collect(), key=lambda r: (r.word, r.rn)):
+            got.setdefault(r.word, []).append((r.doc_id, r.line_no, r.sent_no, r.sentence))
+            assert r.rn == len(got[r.word])
+        assert got == {w: rows[:6] for w, rows in want.items()}
+    # one row per word and sentence never reaches the JVM's sort
+    plan = ctx._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "explode(" not in plan.lower()
+
+
 def test_pieces_drop_lone_marker(spark):
     df = spark.createDataFrame([("hello",), ("3rd",)], "w string")
     got = {r.w: r.p for r in df.select("w", PS.word_pieces(F.col("w")).alias("p")).collect()}
