@@ -2,11 +2,11 @@
 
 Plan of an encode, in two phases.  Sentences are packed into lots of about ``LOT_TOKENS`` tokens where
 they lie: a lot is one row with its keys, its distinct words and the numbers of its words,
-written to the shared checkpoint folder.  First the distinct words of every lot ask for
-their vectors (one join on the candidates of a word: itself, its lower case, its piece
-prefixes).  Then every lot meets its vectors and multiplies sentence-by-word counts with them
-in blocks.  What is shuffled is a word of a lot or a lot, never a token, and the plan is the
-same for any size of the vector table.
+written to the shared checkpoint folder.  First the distinct words of all lots are resolved, each
+once (one join on the candidates of a word: itself, its lower case, its piece prefixes), and
+the lots' words join what was found.  Then every lot meets its vectors and multiplies
+sentence-by-word counts with them in blocks.  What is shuffled is a word of a lot or a lot, never a
+token, a vector of a lot travels once, and the plan is the same for any size of the vector table.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from lexaria.functions import text as T
 from lexaria.functions import vectors as Vx
 from lexaria.functions.arrow import lists
 
-LOT_TOKENS = 1 << 17
+LOT_TOKENS = 1 << 19
 BLOCK_TOKENS = 1 << 14
 
 
@@ -180,8 +180,11 @@ def encode(sents: DataFrame, word_vectors: DataFrame, key="sent_id", text: str =
     src = sents.select(F.struct(*keys).alias("key"), toks.alias("toks"))
     kind = src.schema["key"].dataType.simpleString()
     lots = src.mapInArrow(_pack, _LOT.format(key=kind)).checkpoint(eager=True)  # numbers are fixed from here on
-    asked = lots.select("lot", F.posexplode("words").alias("at", "word")).withColumn("cands", candidates(F.col("word"), pieces))
-    found = resolve(asked, word_vectors.select("word", Vx.as_double("vec").alias("vec")), ["lot", "at"])
+    words = lots.select(F.explode("words").alias("word")).distinct()
+    known = resolve(words.withColumn("cands", candidates(F.col("word"), pieces)),
+                    word_vectors.select("word", Vx.as_double("vec").alias("vec")), ["word"])
+    asked = lots.select("lot", F.posexplode("words").alias("at", "word"))
+    found = asked.join(known, "word").select("lot", "at", "vec")
     both = lots.select("lot", "keys", "sizes", "ids").unionByName(found, allowMissingColumns=True)
     both = both.repartition("lot").sortWithinPartitions(F.col("lot"), F.col("at").asc_nulls_first())
     out = both.mapInArrow(_encode_lots(dim, reduce, normalize), f"key {kind}, vec array<double>, _n double")

@@ -319,3 +319,17 @@ def test_batch_similarity_queries_keep_their_pairs():
     sql = E.oracle_sql()
     assert "SELECT batch_id, i, j, round(student, 6)" in sql["d06_in_batch_similarity"]
     assert "SELECT batch_id, i, j, round(sim, 6)" in sql["d08_bipartite_similarity"]
+
+
+def test_encode_resolves_a_word_once(spark, monkeypatch):
+    """However many lots ask for a word, its vector is looked up once."""
+    asked, resolve = [], EN.resolve
+    monkeypatch.setattr(EN, "LOT_TOKENS", 4)
+    monkeypatch.setattr(EN, "resolve", lambda a, *rest: (asked.append(a), resolve(a, *rest))[1])
+    sents = spark.createDataFrame([(i, "hello World the zzz") for i in range(12)] + [(12, None), (13, "zzz")], "sent_id int, text string")
+    out = EN.encode(sents, spark.createDataFrame(W2V, "word string, vec array<double>"), normalize=False).collect()
+    words = [r.word for r in asked[0].select("word").collect()]
+    assert sorted(words) == ["World", "hello", "the", "zzz"]
+    assert sorted(r.sent_id for r in out) == list(range(14))
+    for r in out:
+        assert r.vec == pytest.approx([0.5, 0.5, 0.0] if r.sent_id < 12 else [0.0, 0.0, 0.0])
