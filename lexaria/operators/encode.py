@@ -72,7 +72,18 @@ def _keys(key) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
-_LOT = "lot long, keys array<{key}>, sizes array<int>, ids array<int>, words array<string>"
+LOT_ROW = "lot long, keys array<{key}>, sizes array<int>, ids array<int>, words array<string>"
+
+
+def _lot(held, number: int) -> pa.RecordBatch:
+    """One row: the keys of the sentences held, their sizes, and their words as numbers into the distinct words."""
+    t = pa.Table.from_batches(held).combine_chunks()
+    toks = t.column("toks").chunk(0).fill_null([])
+    words = toks.flatten().dictionary_encode()
+    one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+    sizes = toks.value_lengths().cast(pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), one(t.column("key").chunk(0)), one(sizes), one(words.indices),
+                                       one(words.dictionary)], ["lot", "keys", "sizes", "ids", "words"])
 
 
 def _pack(batches):
@@ -81,16 +92,6 @@ def _pack(batches):
 
     number = TaskContext.get().partitionId() << 33
     held, tokens = [], 0
-
-    def lot():
-        t = pa.Table.from_batches(held).combine_chunks()
-        toks = t.column("toks").chunk(0).fill_null([])
-        words = toks.flatten().dictionary_encode()
-        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-        sizes = toks.value_lengths().cast(pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), one(t.column("key").chunk(0)), one(sizes), one(words.indices),
-                                           one(words.dictionary)], ["lot", "keys", "sizes", "ids", "words"])
-
     for batch in batches:
         size = np.asarray(batch.column("toks").value_lengths().fill_null(0)) + 1
         ends, start = np.cumsum(size), 0
@@ -101,13 +102,70 @@ def _pack(batches):
             tokens += int(ends[stop - 1] - base)
             start = stop
             if tokens >= LOT_TOKENS:
-                yield lot()
+                yield _lot(held, number)
                 held, tokens, number = [], 0, number + 1
     if held:
-        yield lot()
+        yield _lot(held, number)
+
+
+def pack_groups(by: str):
+    """``_pack`` for rows sorted by the key's field ``by``: a lot ends only where that field changes."""
+    def run(batches):
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 33
+        held, tokens, last = [], 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ends = np.r_[0, np.cumsum(np.asarray(batch.column("toks").value_lengths().fill_null(0)) + 1)]
+            group = batch.column("key").field(by).to_numpy(zero_copy_only=False)
+            edges = [*np.flatnonzero(np.r_[last is None or group[0] != last, group[1:] != group[:-1]]), batch.num_rows]
+            start = 0
+            for a in edges:
+                if tokens + ends[a] - ends[start] >= LOT_TOKENS and (a < batch.num_rows):
+                    if a > start:
+                        held.append(batch.slice(start, a - start))
+                    yield _lot(held, number)
+                    held, tokens, number, start = [], 0, number + 1, a
+            if batch.num_rows > start:
+                held.append(batch.slice(start))
+                tokens += int(ends[-1] - ends[start])
+            last = group[-1]
+        if held:
+            yield _lot(held, number)
+
+    return run
+
+
+def with_vectors(lots: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of a lot together, the lot itself first, then what was found for its words (``lot, at, ...``)."""
+    both = lots.select("lot", "keys", "sizes", "ids").unionByName(found, allowMissingColumns=True)
+    return both.repartition("lot").sortWithinPartitions(F.col("lot"), F.col("at").asc_nulls_first())
 
 
-def _sentence_sums(ids: np.ndarray, sizes: np.ndarray, m: np.ndarray) -> np.ndarray:
+def each_lot(batches):
+    """(the lot's row, its other rows as batches) from rows of ``with_vectors``."""
+    head, rest = None, []
+    for batch in batches:
+        is_head = batch.column("at").is_null().to_numpy(zero_copy_only=False)
+        edge = [*np.flatnonzero(is_head), batch.num_rows]
+        for a, b in zip([0, *edge[:-1]], edge):
+            if b <= a and not (a < batch.num_rows and is_head[a]):
+                continue
+            rows = batch.slice(a, b - a)
+            if is_head[a]:
+                if head is not None:
+                    yield head, rest
+                head, rest = pa.Table.from_batches([rows.slice(0, 1)]), []
+                rows = rows.slice(1)
+            if rows.num_rows:
+                rest.append(rows)
+    if head is not None:
+        yield head, rest
+
+
+def sentence_sums(ids: np.ndarray, sizes: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Sum of the rows ``m[ids]`` of every sentence, about BLOCK_TOKENS tokens at a time."""
     out = np.zeros((len(sizes), m.shape[1]))
     full = np.flatnonzero(sizes)
@@ -124,42 +182,22 @@ def _sentence_sums(ids: np.ndarray, sizes: np.ndarray, m: np.ndarray) -> np.ndar
 
 
 def _encode_lots(dim: int, reduce: str, normalize: bool):
-    """Rows of a lot come together, the lot itself first, then its vectors."""
-    def finish(head, at, vecs):
-        keys, sizes, ids = (head.column(c).chunk(0).flatten() for c in ("keys", "sizes", "ids"))
-        sizes, ids = sizes.to_numpy().astype(np.int64), ids.to_numpy()
-        n_words = int(ids.max()) + 1 if len(ids) else 0
-        m = np.zeros((n_words, dim + 1))
-        if at:
-            at = np.concatenate(at)
-            m[at, :dim], m[at, dim] = np.concatenate(vecs), 1.0
-        sums = _sentence_sums(ids, sizes, m)
-        vec, n = sums[:, :dim], sums[:, dim]
-        if reduce == "mean":
-            vec = vec / np.maximum(n, 1.0)[:, None]
-        if normalize:
-            vec = vec / (np.sqrt((vec * vec).sum(1)) + 1e-8)[:, None]
-        return pa.RecordBatch.from_arrays([keys, lists(vec), pa.array(n)], ["key", "vec", "_n"])
-
     def run(batches):
-        head, at, vecs = None, [], []
-        for batch in batches:
-            is_head = batch.column("at").is_null().to_numpy(zero_copy_only=False)
-            edge = [*np.flatnonzero(is_head), batch.num_rows]
-            for a, b in zip([0, *edge[:-1]], edge):
-                if b <= a and not (a < batch.num_rows and is_head[a]):
-                    continue
-                rows = batch.slice(a, b - a)
-                if is_head[a]:
-                    if head is not None:
-                        yield finish(head, at, vecs)
-                    head, at, vecs = pa.Table.from_batches([rows.slice(0, 1)]), [], []
-                    rows = rows.slice(1)
-                if rows.num_rows:
-                    at.append(rows.column("at").to_numpy(zero_copy_only=False).astype(np.int64))
-                    vecs.append(rows.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
-        if head is not None:
-            yield finish(head, at, vecs)
+        for head, rest in each_lot(batches):
+            keys, sizes, ids = (head.column(c).chunk(0).flatten() for c in ("keys", "sizes", "ids"))
+            sizes, ids = sizes.to_numpy().astype(np.int64), ids.to_numpy()
+            n_words = int(ids.max()) + 1 if len(ids) else 0
+            m = np.zeros((n_words, dim + 1))
+            for rows in rest:
+                at = rows.column("at").to_numpy(zero_copy_only=False).astype(np.int64)
+                m[at, :dim], m[at, dim] = rows.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim), 1.0
+            sums = sentence_sums(ids, sizes, m)
+            vec, n = sums[:, :dim], sums[:, dim]
+            if reduce == "mean":
+                vec = vec / np.maximum(n, 1.0)[:, None]
+            if normalize:
+                vec = vec / (np.sqrt((vec * vec).sum(1)) + 1e-8)[:, None]
+            yield pa.RecordBatch.from_arrays([keys, lists(vec), pa.array(n)], ["key", "vec", "_n"])
 
     return run
 
@@ -179,15 +217,13 @@ def encode(sents: DataFrame, word_vectors: DataFrame, key="sent_id", text: str =
     toks = T.drop_punct((tokenizer or T.word_tokens)(F.col(text)), punct)
     src = sents.select(F.struct(*keys).alias("key"), toks.alias("toks"))
     kind = src.schema["key"].dataType.simpleString()
-    lots = src.mapInArrow(_pack, _LOT.format(key=kind)).checkpoint(eager=True)  # numbers are fixed from here on
+    lots = src.mapInArrow(_pack, LOT_ROW.format(key=kind)).checkpoint(eager=True)  # numbers are fixed from here on
     words = lots.select(F.explode("words").alias("word")).distinct()
     known = resolve(words.withColumn("cands", candidates(F.col("word"), pieces)),
                     word_vectors.select("word", Vx.as_double("vec").alias("vec")), ["word"])
     asked = lots.select("lot", F.posexplode("words").alias("at", "word"))
     found = asked.join(known, "word").select("lot", "at", "vec")
-    both = lots.select("lot", "keys", "sizes", "ids").unionByName(found, allowMissingColumns=True)
-    both = both.repartition("lot").sortWithinPartitions(F.col("lot"), F.col("at").asc_nulls_first())
-    out = both.mapInArrow(_encode_lots(dim, reduce, normalize), f"key {kind}, vec array<double>, _n double")
+    out = with_vectors(lots, found).mapInArrow(_encode_lots(dim, reduce, normalize), f"key {kind}, vec array<double>, _n double")
     if on_empty == "drop":
         out = out.where(F.col("_n") > 0)
     return out.select(*[F.col("key")[k].alias(k) for k in keys], "vec")

@@ -122,6 +122,29 @@ def through_unit(d: np.ndarray, u: np.ndarray, length: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(out.offsets, out.values, mask=pa.array(length <= 0)) if (length <= 0).any() else out
 
 
+def distillation_block(s: np.ndarray, t: np.ndarray, temperature: float, gradient: bool) -> dict[str, pa.Array]:
+    """The columns of ``distillation_rows`` for the rows of one batch."""
+    (u, length), (v, _), n = unit(s), unit(t), len(s)
+    if n < 2:
+        zero = pa.array(np.zeros(n))
+        return {"q": zero, "ql": zero} | ({"ds": pa.nulls(n, pa.list_(pa.float64()))} if gradient else {})
+    zs, zt = RunningLse(n), RunningLse(n)
+    for (r, _, ps), (_, _, pt) in zip(blocks(u, u, False), blocks(v, v, False)):
+        zs.add(r, ps / temperature)
+        zt.add(r, pt / temperature)
+    zs, zt, q, ql, du = zs.value(), zt.value(), np.zeros(n), np.zeros(n), np.zeros_like(u)
+    for (r, c, ps), (_, _, pt) in zip(blocks(u, u, False), blocks(v, v, False)):
+        log_p = ps / temperature - zs[r, None]
+        big_q = np.exp(pt / temperature - zt[r, None])
+        q[r] += big_q.sum(1)
+        ql[r] -= np.where(big_q > 0, big_q * np.where(np.isfinite(log_p), log_p, 0.0), 0.0).sum(1)
+        if gradient:
+            g = (np.exp(log_p) - big_q) / (n * temperature)
+            du[r] += g @ u[c]
+            du[c] += g.T @ u[r]
+    return {"q": pa.array(q), "ql": pa.array(ql)} | ({"ds": through_unit(du, u, length)} if gradient else {})
+
+
 def distillation_rows(batch: DataFrame, temperature: float = 0.05, student: str = "student", teacher: str = "teacher",
                       gradient: bool = False) -> DataFrame:
     """Per row of a batch: ``q = Σ_j Q_ij`` and ``ql = -Σ_j Q_ij log P_ij`` over j <> i, and with ``gradient`` the
@@ -129,28 +152,8 @@ def distillation_rows(batch: DataFrame, temperature: float = 0.05, student: str
 
     P and Q are the softmax of the students' and the teachers' cosines over ``temperature``.
     """
-    def fn(s, t):
-        (u, length), (v, _), n = unit(s), unit(t), len(s)
-        if n < 2:
-            zero = pa.array(np.zeros(n))
-            return {"q": zero, "ql": zero} | ({"ds": pa.nulls(n, pa.list_(pa.float64()))} if gradient else {})
-        zs, zt = RunningLse(n), RunningLse(n)
-        for (r, _, ps), (_, _, pt) in zip(blocks(u, u, False), blocks(v, v, False)):
-            zs.add(r, ps / temperature)
-            zt.add(r, pt / temperature)
-        zs, zt, q, ql, du = zs.value(), zt.value(), np.zeros(n), np.zeros(n), np.zeros_like(u)
-        for (r, c, ps), (_, _, pt) in zip(blocks(u, u, False), blocks(v, v, False)):
-            log_p = ps / temperature - zs[r, None]
-            big_q = np.exp(pt / temperature - zt[r, None])
-            q[r] += big_q.sum(1)
-            ql[r] -= np.where(big_q > 0, big_q * np.where(np.isfinite(log_p), log_p, 0.0), 0.0).sum(1)
-            if gradient:
-                g = (np.exp(log_p) - big_q) / (n * temperature)
-                du[r] += g @ u[c]
-                du[c] += g.T @ u[r]
-        return {"q": pa.array(q), "ql": pa.array(ql)} | ({"ds": through_unit(du, u, length)} if gradient else {})
-
-    return _per_batch(batch, [student, teacher], fn, "q double, ql double" + ", ds array<double>" * gradient)
+    return _per_batch(batch, [student, teacher], lambda s, t: distillation_block(s, t, temperature, gradient),
+                      "q double, ql double" + ", ds array<double>" * gradient)
 
 
 def distillation_of(rows: DataFrame, min_batch: int = 2) -> DataFrame:
@@ -165,31 +168,34 @@ def distillation_loss(batch: DataFrame, temperature: float = 0.05, student: str
     return distillation_of(distillation_rows(batch, temperature, student, teacher), min_batch)
 
 
+def contrastive_block(s: np.ndarray, t: np.ndarray, temperature: float, gradient: bool) -> dict[str, pa.Array]:
+    """The columns of ``contrastive_rows`` for the rows of one batch."""
+    (u, nu), (v, nv), n = unit(s), unit(t), len(s)
+    rows, cols = RunningLse(n), RunningLse(n)
+    for r, c, p in blocks(u, v, True):
+        rows.add(r, p / temperature)
+        cols.add(c, p.T / temperature)
+    zr, zc, own = rows.value(), cols.value(), (u * v).sum(1) / temperature
+    out = {"row_logp": pa.array(own - zr), "col_logp": pa.array(own - zc)}
+    if gradient:
+        du, dv = np.zeros_like(u), np.zeros_like(v)
+        for r, c, p in blocks(u, v, True):
+            g = np.exp(p / temperature - zr[r, None]) + np.exp(p / temperature - zc[None, c])
+            if r == c:
+                np.fill_diagonal(g, g.diagonal() - 2)
+            g /= n * temperature
+            du[r] += g @ v[c]
+            dv[c] += g.T @ u[r]
+        out |= {"dsrc": through_unit(du, u, nu), "dtgt": through_unit(dv, v, nv)}
+    return out
+
+
 def contrastive_rows(batch: DataFrame, temperature: float = 0.05, src: str = "src", tgt: str = "tgt",
                      gradient: bool = False) -> DataFrame:
     """Per row of a batch the log-probability of its own pair in its row (``row_logp``) and column (``col_logp``) of
     the cosines over ``temperature``, and with ``gradient`` ``dsrc`` and ``dtgt`` wrt the raw vectors."""
-    def fn(s, t):
-        (u, nu), (v, nv), n = unit(s), unit(t), len(s)
-        rows, cols = RunningLse(n), RunningLse(n)
-        for r, c, p in blocks(u, v, True):
-            rows.add(r, p / temperature)
-            cols.add(c, p.T / temperature)
-        zr, zc, own = rows.value(), cols.value(), (u * v).sum(1) / temperature
-        out = {"row_logp": pa.array(own - zr), "col_logp": pa.array(own - zc)}
-        if gradient:
-            du, dv = np.zeros_like(u), np.zeros_like(v)
-            for r, c, p in blocks(u, v, True):
-                g = np.exp(p / temperature - zr[r, None]) + np.exp(p / temperature - zc[None, c])
-                if r == c:
-                    np.fill_diagonal(g, g.diagonal() - 2)
-                g /= n * temperature
-                du[r] += g @ v[c]
-                dv[c] += g.T @ u[r]
-            out |= {"dsrc": through_unit(du, u, nu), "dtgt": through_unit(dv, v, nv)}
-        return out
-
-    return _per_batch(batch, [src, tgt], fn, "row_logp double, col_logp double" + ", dsrc array<double>, dtgt array<double>" * gradient)
+    return _per_batch(batch, [src, tgt], lambda s, t: contrastive_block(s, t, temperature, gradient),
+                      "row_logp double, col_logp double" + ", dsrc array<double>, dtgt array<double>" * gradient)
 
 
 def contrastive_of(rows: DataFrame) -> DataFrame:

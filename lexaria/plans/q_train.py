@@ -142,11 +142,10 @@ add_cte("k02_ds", ["k02_du", "k02_s_u"], _through_unit_sql("k02_du", "k02_s_u"))
 def k02_distillation_gradient(spark, sf):
     """K2: one synchronous pass of the distillation gradient (batches of 128); per-word gradient norm."""
     train, _ = _split(spark, sf)
-    # batch rows with their teacher vector, materialised once (read by several branches)
-    b = S.epoch_batches(train, "sent_id", 128, 0, 42).join(_teacher(spark, sf), "sent_id").checkpoint(eager=True)
+    # batch rows with their teacher vector
+    b = S.epoch_batches(train, "sent_id", 128, 0, 42).join(_teacher(spark, sf), "sent_id")
     params = M.init_params(FX.word2vec(spark, sf))
-    grad, losses = M.distillation_gradient(b.select("batch_id", "i", "text"), params,
-                                           b.select("batch_id", "i", "tvec"), 0.05,
+    grad, losses = M.distillation_gradient(b.select("batch_id", "i", "text", "tvec"), params, temperature=0.05,
                                            bound=FX.n_words(spark, sf), dim=FX.dim(spark, sf))
     return grad.select("word", Vx.round_col(Vx.norm("g"), 9).alias("grad_norm"))
 

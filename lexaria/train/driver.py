@@ -59,13 +59,7 @@ def cosine_rate(rate: float, step: int, total: int) -> float:
 def validation_loss(params: DataFrame, val_batches: DataFrame, cfg: TrainConfig,
                     bound: int | None = None, dim: int | None = None) -> float:
     """Mean E23 over the fixed validation batches."""
-    b = val_batches
-    tf = M.term_frequencies(b.select("batch_id", "i", "text"), params, bound=bound)
-    s = M.student_sums(tf, params, bound, dim)
-    dim_ = dim or int(params.select(F.max(F.size("vec"))).first()[0])
-    rows = b.select("batch_id", "i", "tvec").join(s, ["batch_id", "i"], "left").withColumn(
-        "s", F.coalesce("s", F.array_repeat(F.lit(0.0), dim_)))
-    bl = L.distillation_loss(rows, cfg.temperature, "s", "tvec")
+    bl = M.distillation_losses(val_batches, params, cfg.temperature, dim)
     return float(L.epoch_loss(bl).first()["epoch_loss"])
 
 
@@ -90,12 +84,9 @@ def train_distillation(spark: SparkSession, params: DataFrame, train: DataFrame,
             everything = _batches(train, teacher, cfg, epoch)
             seen = []
             for step, b in _steps(everything, cfg):
-                grad, losses = M.distillation_gradient(b.select("batch_id", "i", "text", "tvec"),
-                                                       params, b.select("batch_id", "i", "tvec"),
-                                                       cfg.temperature, bound, dim)
-                # the gradient table is bounded by |vocabulary| x d: materialise it once so
-                # the global norm and the update do not recompute the pass
-                grad = grad.checkpoint(eager=True)
+                # the gradient table comes stored: the norm and the update do not recompute the pass
+                grad, losses = M.distillation_gradient(b.select("batch_id", "i", "text", "tvec"), params,
+                                                       temperature=cfg.temperature, bound=bound, dim=dim)
                 got = L.epoch_loss(losses).first()["epoch_loss"]
                 if got is None:  # no batch fell to this step
                     continue
@@ -162,14 +153,14 @@ def train_regression(spark: SparkSession, params: DataFrame, texts: DataFrame, t
             loss = spark.read.json(f"{out_dir.rstrip('/')}/loss={epoch}").first()["loss"]
         else:
             share = F.pmod(F.xxhash64("text_id", F.lit(cfg.seed), F.lit(epoch)), F.lit(cfg.steps_per_pass))
-            dealt = texts.withColumn("_s", share)
+            dealt, aims = texts.withColumn("_s", share), targets.withColumn("_s", share)
             losses = []
             for s in range(cfg.steps_per_pass):
                 step = epoch * cfg.steps_per_pass + s
                 part = dealt.where(F.col("_s") == s).drop("_s")
                 if part.isEmpty():
                     continue
-                grad, dw, loss = M.regression_gradient(part, params, targets, w, bound=bound, dim=dim)
+                grad, dw, loss = M.regression_gradient(part, params, aims.where(F.col("_s") == s).drop("_s"), w, bound=bound, dim=dim)
                 rate = cosine_rate(cfg.learning_rate, step, total)
                 params = M.adam_step(params, grad, step + 1, rate, None, weight_decay=cfg.weight_decay).checkpoint(eager=True)
                 w, m, v = adamw_matrix(w, m, v, dw, step + 1, rate, cfg.weight_decay)
@@ -208,11 +199,10 @@ def train_contrastive(spark: SparkSession, params: DataFrame, pairs: DataFrame,
             train_loss = None
             if not stage_done(spark, path):
                 grad, losses = M.contrastive_gradient(part, params, cfg.temperature, bound, dim)
-                grad = grad.checkpoint(eager=True)
                 train_loss = losses.agg(F.sum("loss")).first()[0]
                 M.adam_step(params, grad, step + 1, cfg.learning_rate, cfg.grad_clip).write.mode("overwrite").parquet(path)
             params = spark.read.parquet(path)
-            _, losses = M.contrastive_gradient(val, params, cfg.temperature, bound, dim)
+            losses = M.contrastive_losses(val, params, cfg.temperature, dim)
             val_loss = losses.agg(F.sum("loss")).first()[0]
             is_best = val_loss is not None and val_loss < best
             since = 0 if is_best else since + 1
