@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexaria.functions import text as T
+from lexaria.operators import encode as EN
 
 SMOOTH = 0.5
 
@@ -26,14 +27,25 @@ def document_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.count("*").alias("n"))
 
 
+def language_words(docs: DataFrame, langs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(lang, word, n): the lower-case words of the training documents ``langs`` (doc_id, lang), counted where the texts lie."""
+    told = docs.select("doc_id", text_col).join(langs, "doc_id")
+    return told.select("lang", F.explode(T.word_tokens(F.lower(F.col(text_col)))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+
+
 def gram_model(words: DataFrame, langs: DataFrame) -> DataFrame:
     """(gram, lang, logp) for every n-gram and language seen in training, smoothed.
 
     ``words`` is (doc_id, word, n), ``langs`` (doc_id, lang) names the training documents.  Words are
     summed by language before they are cut, so the corpus is cut into grams once per distinct word.
     """
-    by_word = words.join(langs, "doc_id").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return gram_model_of(words.join(langs, "doc_id").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+
+
+def gram_model_of(by_word: DataFrame) -> DataFrame:
+    """``gram_model`` from (lang, word, n)."""
     seen = by_word.select("lang", "n", F.explode(word_grams(F.col("word"))).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("c"))
+    seen = seen.checkpoint(eager=True)  # bounded by the n-grams; read for their number, the totals and the model
     total = seen.groupBy("lang").agg(F.sum("c").alias("total"))
     grams = seen.select("gram").distinct()
     size = total.select("lang", (F.col("total") + F.lit(SMOOTH * grams.count())).alias("size"))  # one number
@@ -42,21 +54,48 @@ def gram_model(words: DataFrame, langs: DataFrame) -> DataFrame:
     return every.select("gram", "lang", F.log((F.coalesce("c", F.lit(0)) + F.lit(SMOOTH)) / F.col("size")).alias("logp"))
 
 
+def _word_scores(types: DataFrame, model: DataFrame) -> DataFrame:
+    """(word, ls): the summed log-likelihoods of a word's n-grams, one entry a language."""
+    score = types.select("word", F.explode(word_grams(F.col("word"))).alias("gram")).join(model, "gram").groupBy("word", "lang").agg(
+        F.sum("logp").alias("s"))
+    return score.groupBy("word").agg(F.collect_list(F.struct("lang", "s")).alias("ls"))
+
+
+def _verdict(got: DataFrame) -> DataFrame:
+    """(doc_id, predicted, score, margin) from (doc_id, b): structs (s, lang), the best first."""
+    return got.select("doc_id", F.col("b")[0]["lang"].alias("predicted"), F.col("b")[0]["s"].alias("score"),
+                      (F.col("b")[0]["s"] - F.try_element_at("b", F.lit(2))["s"]).alias("margin"))
+
+
 def detect(words: DataFrame, model: DataFrame) -> DataFrame:
     """(doc_id, predicted, score, margin): the language of the largest summed log-likelihood of the document's n-grams.
 
     Grams that training has not seen count for no language; ties go to the language that sorts last.
     """
-    types = words.select("word").distinct()
-    score = types.select("word", F.explode(word_grams(F.col("word"))).alias("gram")).join(model, "gram").groupBy("word", "lang").agg(
-        F.sum("logp").alias("s"))
-    per_word = score.groupBy("word").agg(F.collect_list(F.struct("lang", "s")).alias("ls"))  # one entry a language
+    per_word = _word_scores(words.select("word").distinct(), model)
     by_lang = words.join(per_word, "word").select("doc_id", "n", F.explode("ls").alias("l")).groupBy("doc_id", F.col("l.lang").alias("lang")).agg(
         F.sum(F.col("n") * F.col("l.s")).alias("s"))
     best = F.reverse(F.array_sort(F.collect_list(F.struct("s", "lang"))))
-    got = by_lang.groupBy("doc_id").agg(best.alias("b"))
-    return got.select("doc_id", F.col("b")[0]["lang"].alias("predicted"), F.col("b")[0]["s"].alias("score"),
-                      (F.col("b")[0]["s"] - F.try_element_at("b", F.lit(2))["s"]).alias("margin"))
+    return _verdict(by_lang.groupBy("doc_id").agg(best.alias("b")))
+
+
+def detect_texts(docs: DataFrame, model: DataFrame, text_col: str = "text") -> DataFrame:
+    """``detect`` for (doc_id, text), in the encoder's lots: a word's scores by language are its vector, a lot is sent
+    the vectors of its distinct words, and no row per word of a document is shuffled."""
+    langs = [r.lang for r in model.select("lang").distinct().orderBy("lang").collect()]  # one entry a language
+    if not langs:
+        return detect(document_words(docs, text_col), model)
+    src = docs.select(F.struct("doc_id").alias("key"), T.word_tokens(F.lower(F.col(text_col))).alias("toks"))
+    kind = src.schema["key"].dataType.simpleString()
+    lots = src.mapInArrow(EN._pack, EN.LOT_ROW.format(key=kind)).checkpoint(eager=True)
+    scores = _word_scores(lots.select(F.explode("words").alias("word")).distinct(), model)
+    # the model has every language for every gram
+    scores = scores.select("word", F.transform(F.array_sort("ls"), lambda x: x["s"]).alias("vec"))
+    found = lots.select("lot", F.posexplode("words").alias("at", "word")).join(scores, "word").select("lot", "at", "vec")
+    sums = EN.with_vectors(lots, found).mapInArrow(EN._encode_lots(len(langs), "sum", False), f"key {kind}, vec array<double>, _n double")
+    sums = sums.where(F.col("_n") > 0).groupBy(F.col("key.doc_id").alias("doc_id")).agg(*[F.sum(F.col("vec")[i]).alias(f"s{i}") for i in range(len(langs))])
+    each = F.array(*[F.struct(F.col(f"s{i}").alias("s"), F.lit(lang).alias("lang")) for i, lang in enumerate(langs)])
+    return _verdict(sums.select("doc_id", F.reverse(F.array_sort(each)).alias("b")))
 
 
 def abbreviations(docs: DataFrame, text_col: str = "text", threshold: float = 0.3) -> DataFrame:

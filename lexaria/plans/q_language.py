@@ -34,9 +34,9 @@ def c15_language_detection(spark, sf):
     """Character trigram log-likelihoods learned from four fifths of ``documents.lang``, scored on all documents."""
     docs = FX.table(spark, sf, "documents").select("doc_id", "text", "lang")
     held = FX.T.hash_gold(F.col("doc_id"), F.lit("lang")) < 0.2
-    words = LG.document_words(docs).checkpoint()
-    model = LG.gram_model(words, docs.where(~held & F.col("lang").isNotNull()).select("doc_id", "lang"))
-    got = LG.detect(words, model).join(docs.select("doc_id", "lang", held.alias("held_out")), "doc_id")
+    texts = docs.select("doc_id", "text")
+    model = LG.gram_model_of(LG.language_words(texts, docs.where(~held & F.col("lang").isNotNull()).select("doc_id", "lang")))
+    got = LG.detect_texts(texts, model.checkpoint(eager=True)).join(docs.select("doc_id", "lang", held.alias("held_out")), "doc_id")
     return got.select("doc_id", "lang", "held_out", "predicted", Vx.round_col("score", 3).alias("score"))
 
 
