@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexaria.llm.common import Forest, keep, left_join_salted, store, text_slices, whole_groups
+from lexaria.llm.common import Forest, keep, left_join_salted, pairs_in_groups, store, text_slices, whole_groups
 from lexaria.llm.components import connected_components
 
 SHINGLE = 5
@@ -44,8 +44,10 @@ THRESHOLD = 0.8
 PASSES, BINS, BANDS, ROWS = 3, 40, 20, 6  # PASSES * BINS = BANDS * ROWS
 BLOCK = 512
 FILTER_BITS = 1 << 25
-CHUNK = 65536
+CHUNK = 32768
+SIGNED = 4096
 LOT = 1 << 18
+FEW = 8
 PIVOTS = 32
 # d(x, p) + d(x, y) of near pairs (x, p) and (x, y) bounds d(y, p); the margin is for rounding
 AROUND = 1 - 2 * (1 - THRESHOLD) - 1e-9
@@ -59,31 +61,66 @@ def normal(line: str) -> str:
     return " ".join(line.lower().split())
 
 
+def normals(text: str) -> list[str]:
+    """The normal forms of a text's lines."""
+    return [" ".join(line.split()) for line in text.lower().split("\n")]
+
+
+def line_ids(lines: list[str]) -> np.ndarray:
+    digest = xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(x.encode("utf-8", "surrogatepass")) for x in lines), np.uint64, len(lines)).view(np.int64)
+
+
 def line_id(line: str) -> int:
-    h = xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
-    return h - (1 << 64) if h >> 63 else h
+    return int(line_ids([line])[0])
+
+
+def _picks(bins: int) -> np.ndarray:
+    """(bins, attempts): the bin that an empty bin looks at in every attempt, chosen by hash of (bin, attempt) alone."""
+    c, attempt = np.arange(bins), np.arange(1, 201)[:, None]
+    return np.ascontiguousarray((((c * 2654435761 + attempt * 40503 + ((c + 7) * attempt) * 97) >> 3) % bins).T)
+
+
+_PICKS = _picks(BINS)
 
 
 def _fill_empty(sig: np.ndarray) -> np.ndarray:
-    """Give every empty bin the value of a filled one, chosen by hash of (bin, attempt) alone."""
-    n, bins = sig.shape
-    filled = sig != EMPTY
-    out = sig.copy()
-    todo = ~filled & filled.any(axis=1)[:, None]
-    r, c = np.nonzero(todo)
-    attempt = 0
-    while len(r):
-        attempt += 1
-        pick = ((c * 2654435761 + attempt * 40503 + ((c + 7) * attempt) * 97) >> 3) % bins
-        ok = filled[r, pick]
-        # mix the bin in, so two empty bins fed by one filled bin stay distinguishable per band
-        out[r[ok], c[ok]] = sig[r[ok], pick[ok]]
-        r, c = r[~ok], c[~ok]
-        if attempt == 200:  # few filled bins: take the first filled one
-            first = filled.argmax(axis=1)
-            out[r, c] = sig[r, first[r]]
-            break
-    return out
+    """Give every empty bin of ``sig`` (changed in place) the value of the first filled one it looks at."""
+    bins = sig.shape[1]
+    flat = sig.reshape(-1)
+    filled = flat != EMPTY
+    n = bins - np.count_nonzero(filled.reshape(-1, bins), axis=1)
+    n[n == bins] = 0  # a line without any filled bin stays as it is
+    row = np.repeat(np.arange(len(sig)) * bins, n)
+    at = np.flatnonzero(~filled & np.repeat(n > 0, bins))
+    for a, b in ((0, 1), (1, 2), (2, 3), (3, 4), (4, 16), (16, _PICKS.shape[1])):  # filled bins never change, so the order is free
+        left = np.ones(len(at), bool)
+        for s in range(0, len(at), CHUNK):
+            to, base = at[s:s + CHUNK], row[s:s + CHUNK]
+            look = base + _PICKS[to - base, a]
+            ok = filled[look]
+            if b - a > 1:
+                every = base[:, None] + _PICKS[to - base, a:b]
+                hit = filled[every]
+                first = hit.argmax(axis=1)
+                here = np.arange(len(to))
+                look, ok = every[here, first], hit[here, first]
+            flat[to[ok]] = flat[look[ok]]
+            left[s:s + CHUNK] = ~ok
+        at, row = at[left], row[left]
+    if len(at):  # few filled bins: take the first filled one
+        flat[at] = flat[row + filled.reshape(-1, bins).argmax(axis=1)[row // bins]]
+    return sig
+
+
+def _windows(begin: np.ndarray, end: np.ndarray, s: int, e: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Which of the places s..e-1 lie in [begin, end) of a line, and how many do for each line from the one returned on."""
+    l0, l1 = np.searchsorted(begin, [s, e - 1], side="right") - 1
+    a, b = np.maximum(begin[l0:l1 + 1], s) - s, np.minimum(end[l0:l1 + 1], e) - s
+    n = np.maximum(b - a, 0)
+    edge = np.zeros(e - s + 1, np.int8)
+    edge[a[n > 0]], edge[b[n > 0]] = 1, -1
+    return np.cumsum(edge[:-1], dtype=np.int8).view(bool), n, l0
 
 
 def signatures(lines: list[str]) -> np.ndarray:
@@ -91,32 +128,33 @@ def signatures(lines: list[str]) -> np.ndarray:
     sig = np.full((len(lines), PASSES, BINS), EMPTY, np.uint32)
     flat = sig.reshape(-1)
     lens = np.array([len(x) for x in lines], np.int64)
-    per = np.maximum(lens - SHINGLE + 1, 1)
     # lines are laid out with SHINGLE - 1 zeros behind each, so a short line is one shingle
     pad = "\0" * (SHINGLE - 1)
     cp = np.frombuffer((pad.join(lines) + pad).encode("utf-32-le", "surrogatepass"), np.uint32)
-    offset = np.cumsum(lens + SHINGLE - 1) - (lens + SHINGLE - 1)
-    ends = np.cumsum(per)
-    begins = ends - per
+    begin = np.cumsum(lens + SHINGLE - 1) - (lens + SHINGLE - 1)
+    end = begin + np.maximum(lens - SHINGLE + 1, 1)
     with np.errstate(over="ignore"):
-        for s in range(0, int(ends[-1]), CHUNK):  # only a chunk of shingles is laid out, however long a line is
-            e = min(s + CHUNK, int(ends[-1]))
-            l0, l1 = np.searchsorted(ends, [s, e - 1], side="right")
-            line = np.repeat(np.arange(l0, l1 + 1), np.minimum(ends[l0:l1 + 1], e) - np.maximum(begins[l0:l1 + 1], s))
-            a, own = np.arange(s, e) + (offset - begins)[line], line * (PASSES * BINS)
-            h = cp[a].astype(np.uint64)
+        for s in range(0, int(end[-1]), CHUNK):  # only a chunk of shingles is laid out, however long a line is
+            e = min(s + CHUNK, int(end[-1]))
+            inside, n, l0 = _windows(begin, end, s, e)
+            own = np.repeat(np.arange(l0, l0 + len(n)) * (PASSES * BINS), n)
+            c = cp[s:e + SHINGLE - 1].astype(np.uint64)
+            h = c[:e - s].copy()
             for k in range(1, SHINGLE):
-                h = h * np.uint64(0x100000001B3) + cp[a + k]
+                h *= np.uint64(0x100000001B3)
+                h += c[k:k + e - s]
+            h = h[inside]
             for p in range(PASSES):
                 x = h * _MULT[p]
                 x ^= x >> np.uint64(29)
                 x *= np.uint64(0xBF58476D1CE4E5B9)
                 x ^= x >> np.uint64(32)
                 b = ((x >> np.uint64(40)) * np.uint64(BINS)) >> np.uint64(24)
-                np.minimum.at(flat, own + (p * BINS + b.astype(np.int64)), x.astype(np.uint32))
-        full = _fill_empty(sig.reshape(-1, BINS)).reshape(len(lines), PASSES, BINS)
+                b += np.uint64(p * BINS)
+                np.minimum.at(flat, own + b.view(np.int64), x.astype(np.uint32))
+        _fill_empty(sig.reshape(-1, BINS))
         key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * _MULT[0], (len(lines), BANDS)).copy()
-        for part in full.reshape(len(lines), ROWS, BANDS).transpose(1, 0, 2):
+        for part in sig.reshape(len(lines), ROWS, BANDS).transpose(1, 0, 2):
             key ^= part
             key *= np.uint64(0x9FB21C651E98DF25)
             key ^= key >> np.uint64(31)
@@ -129,48 +167,52 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _occurrences(batches):
     for part in text_slices(batches, "text"):
-        ids, rows, no, lid = [], [], [], []
-        for doc, row, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "row", "text"))):
-            for k, raw in enumerate((text or "").split("\n")):
-                x = normal(raw)
+        lines, no, n = [], [], []
+        for text in part.column("text").to_pylist():
+            before = len(lines)
+            for k, x in enumerate(normals(text or "")):
                 if x:
-                    ids.append(doc), rows.append(row), no.append(k), lid.append(line_id(x))
+                    lines.append(x), no.append(k)
+            n.append(len(lines) - before)
+        at = pa.array(np.repeat(np.arange(part.num_rows), n))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(no, pa.int32()), pa.array(lid, pa.int64())],
+            [part.column("doc_id").take(at), part.column("row").take(at), pa.array(no, pa.int32()), pa.array(line_ids(lines))],
             ["doc_id", "row", "line_no", "line"])
 
 
 def _bands(batches):
-    for part in text_slices(batches, "text", 250_000):
-        new = {x: None for t in part.column("text").to_pylist() if t for x in map(normal, t.split("\n")) if x}
-        lines = list(new)
-        if lines:
-            key = signatures(lines).view(np.int64)
-            ids = np.array([line_id(x) for x in lines], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(ids, BANDS))], ["k", "line"])
+    for part in text_slices(batches, "text"):
+        lines = list({x: None for t in part.column("text").to_pylist() if t for x in normals(t) if x})
+        for s in range(0, len(lines), SIGNED):
+            some = lines[s:s + SIGNED]
+            key = signatures(some).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(line_ids(some), BANDS))], ["k", "line"])
 
 
 def _shared(batches):
-    """Members (k, line) of buckets with at least two different lines, from rows sorted by (k, line)."""
-    key = first = last = None  # the open bucket is known by its first and last line only
+    """Members (k, line) of buckets with at least two different lines, from rows sorted by k; some are told again."""
+    key = first = None  # the open bucket is known by its first line only
     told = False
     for batch in batches:
         k, x = batch.column("k").to_numpy(), batch.column("line").to_numpy()
         if not len(k):
             continue
         new = np.r_[k[0] != key, k[1:] != k[:-1]]
-        fresh = new | np.r_[x[0] != last, x[1:] != x[:-1]]
         head = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
         p = np.where(head < 0, first if first is not None else 0, x[np.maximum(head, 0)])
-        other = fresh & (x != p)
+        other = x != p
         out_k, out_x, out_p = k[other], x[other], p[other]
         # a bucket's first line is told once, with its first other line
         one = np.r_[True, out_k[1:] != out_k[:-1]] if len(out_k) else np.zeros(0, bool)
         if len(out_k) and told and out_k[0] == key:
             one[0] = False
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[out_k, out_k[one]]), pa.array(np.r_[out_x, out_p[one]])], ["k", "line"])
         told = bool(len(out_k) and out_k[-1] == k[-1]) or (told and k[-1] == key)
-        key, first, last = k[-1], p[-1], x[-1]
+        key, first = k[-1], p[-1]
+        got_k, got_x = np.r_[out_k, out_k[one]], np.r_[out_x, out_p[one]]
+        order = np.lexsort((got_x, got_k))
+        got_k, got_x = got_k[order], got_x[order]
+        fresh = np.r_[True, (got_k[1:] != got_k[:-1]) | (got_x[1:] != got_x[:-1])][:len(got_k)]
+        yield pa.RecordBatch.from_arrays([pa.array(got_k[fresh]), pa.array(got_x[fresh])], ["k", "line"])
 
 
 def _filter_positions(ids: np.ndarray) -> np.ndarray:
@@ -204,39 +246,52 @@ def _place_hash(line: np.ndarray, doc: np.ndarray, no: np.ndarray) -> np.ndarray
 
 def _places(batches):
     for b in batches:
-        doc = b.column("doc").fill_null(-1).to_numpy()
-        h = _place_hash(b.column("line").to_numpy(), doc, b.column("no").to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array(h)], ["h"])
+        doc, line = b.column("doc"), b.column("line").to_numpy()
+        here = np.where(doc.is_null().to_numpy(zero_copy_only=False), line, 0)
+        yield pa.RecordBatch.from_arrays([pa.array(_place_hash(here, doc.fill_null(-1).to_numpy(), b.column("no").to_numpy()))], ["h"])
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(line, x): the normal form of every wanted line, read at its first occurrence (line, doc, no)."""
+    """(line, x): the normal form of every wanted line, read at its first occurrence (line, doc, no).
+
+    The filter holds places (doc, no), so only lines at a wanted place are put in normal form; rows without
+    id share their places, so there the filter holds the line too.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(_bloom(wanted.mapInArrow(_places, "h long"), "h"))
 
-    def run(batches):
+    def passing(line, doc, no):
         words = np.frombuffer(sent.value, np.uint64)
+        pos = _filter_positions(_place_hash(line, doc, no))
+        return np.flatnonzero(((words[pos >> 6] >> (pos & 63).astype(np.uint64)) & np.uint64(1)).all(axis=0))
+
+    def run(batches):
         for part in text_slices(batches, "text"):
-            lines, doc, no = [], [], []
-            for d, t in zip(part.column("doc_id").fill_null(-1).to_pylist(), part.column("text").to_pylist()):
-                for k, raw in enumerate((t or "").split("\n")):
-                    x = normal(raw)
-                    if x:
-                        lines.append(x), doc.append(d), no.append(k)
-            if lines:
-                ids = np.array([line_id(x) for x in lines], np.int64)
-                pos = _filter_positions(_place_hash(ids, np.array(doc, np.int64), np.array(no, np.int64)))
-                hit = np.flatnonzero(((words[pos >> 6] >> (pos & 63).astype(np.uint64)) & np.uint64(1)).all(axis=0))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array([lines[i] for i in hit], pa.string())], ["line", "x"])
+            raw = [(t or "").split("\n") for t in part.column("text").to_pylist()]
+            n = np.array([len(r) for r in raw])
+            at = np.repeat(np.arange(len(raw)), n)
+            no = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+            none = part.column("doc_id").is_null().to_numpy(zero_copy_only=False)[at]
+            doc = part.column("doc_id").fill_null(-1).to_numpy()[at]
+            hit = np.flatnonzero(~none)
+            hit = hit[passing(np.zeros(len(hit), np.int64), doc[hit], no[hit])]
+            hit = np.sort(np.r_[hit, np.flatnonzero(none)])
+            lines = [normal(raw[i][k]) for i, k in zip(at[hit].tolist(), no[hit].tolist())]
+            ids, none = line_ids(lines), none[hit]
+            ok = ~none & np.array([x != "" for x in lines], bool)
+            lone = np.flatnonzero(none)
+            ok[lone[passing(ids[lone], doc[hit][lone], no[hit][lone])]] = True
+            ok = np.flatnonzero(ok)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[ok]), pa.array([lines[i] for i in ok], pa.string())], ["line", "x"])
 
     passed = docs.mapInArrow(run, "line long, x string")
     return passed.join(wanted.select("line"), "line", "left_semi").groupBy("line").agg(F.first("x").alias("x"))
 
 
-def shingle_codes(lines: list[str]) -> list[np.ndarray]:
-    """Sorted distinct shingles of every line, as integers that are equal just where shingles are."""
+def _codes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(line, code) of all shingles by line: codes are integers that are equal just where shingles are."""
     pad = "\0" * (SHINGLE - 1)
     cp = np.frombuffer((pad.join(lines) + pad).encode("utf-32-le", "surrogatepass"), np.uint32)
-    used = np.zeros(0x110000, bool)
+    used = np.zeros(0x110000 if len(lines) else 1, bool)
     used[cp] = True
     n_chars = int(used.sum())
     char = (np.cumsum(used, dtype=np.int32) - 1)[cp]
@@ -247,8 +302,42 @@ def shingle_codes(lines: list[str]) -> list[np.ndarray]:
             code = np.unique(code, return_inverse=True)[1]
         code = code[:len(cp) - k] << bits | char[k:]
     size = np.array([len(x) for x in lines]) + SHINGLE - 1
-    at = np.cumsum(size) - size
-    return [_sorted_set(code[a:a + max(1, n - 2 * (SHINGLE - 1))]) for a, n in zip(at, size)]
+    begin = np.cumsum(size) - size
+    inside, n, _ = _windows(begin, begin + np.maximum(1, size - 2 * (SHINGLE - 1)), 0, len(code))
+    return np.repeat(np.arange(len(lines)), n), code[inside]
+
+
+def shingle_codes(lines: list[str]) -> list[np.ndarray]:
+    """Sorted distinct shingles of every line, as integers that are equal just where shingles are."""
+    row, code = _codes(lines)
+    return [_sorted_set(c) for c in np.split(code, np.flatnonzero(np.diff(row)) + 1)]
+
+
+def _line_sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``shingle_codes`` of all lines in one array, and where each line's begin (and the last ends)."""
+    row, code = _codes(lines)
+    if int(code.max()).bit_length() + len(lines).bit_length() > 62:
+        code = np.unique(code, return_inverse=True)[1]
+    bits = int(code.max()).bit_length()
+    both = _sorted_set(row << bits | code)
+    return both & ((1 << bits) - 1), np.searchsorted(both >> bits, np.arange(len(lines) + 1))
+
+
+def _few_links(code: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the lines i[n] and j[n] have exact Jaccard similarity THRESHOLD or more, for all n at once."""
+    size = np.diff(at)
+    a, b = size[i], size[j]
+    near = np.zeros(len(i), bool)
+    live = np.flatnonzero(np.minimum(a, b) >= THRESHOLD * np.maximum(a, b))
+    bits = int(code.max()).bit_length()
+    total = np.cumsum(a[live] + b[live])
+    for some in np.split(live, np.flatnonzero(np.diff(total // LOT)) + 1):
+        of, n = np.r_[i[some], j[some]], np.r_[a[some], b[some]]
+        place = np.arange(int(n.sum())) + np.repeat(at[of] - (np.cumsum(n) - n), n)
+        both = np.sort(np.repeat(np.r_[:len(some), :len(some)], n) << bits | code[place])
+        met = np.bincount(both[1:][both[1:] == both[:-1]] >> bits, minlength=len(some))
+        near[some] = met / (a[some] + b[some] - met) >= THRESHOLD
+    return near
 
 
 def _sorted_set(code: np.ndarray) -> np.ndarray:
@@ -297,20 +386,26 @@ def _lots(bounds: np.ndarray, texts: np.ndarray) -> list[np.ndarray]:
 
 
 def _links(batches):
-    """Spanning edges of the exact links in every bucket of one block."""
+    """Spanning edges of the exact links in every bucket of one block; all buckets of a few lines are checked at once."""
     for cols in whole_groups(batches, ["k"]):
         group, texts = cols["_group"], cols["x"]
         bounds = np.r_[np.flatnonzero(np.r_[True, group[1:] != group[:-1]]), len(group)]
         us, vs = [], []
         for part in _lots(bounds, texts):
-            codes = shingle_codes(list(texts[part[0]:part[-1]]))
-            for s, e in zip(part, part[1:]):
-                i, j = near_pairs(codes[s - part[0]:e - part[0]])
-                if len(i):
-                    forest = Forest(e - s)
-                    forest.add(i, j)
-                    i, root = forest.stars()
-                    us.append(cols["line"][s:e][i]), vs.append(cols["line"][s:e][root])
+            base, n = part[0], np.diff(part)
+            code, at = _line_sets(list(texts[base:part[-1]]))
+            few = np.flatnonzero(np.repeat(n <= FEW, n))
+            pairs = [(few[i], few[j]) for i, j in pairs_in_groups(group[base:part[-1]][few])]
+            i, j = (np.concatenate(x) for x in zip(*pairs)) if pairs else (few[:0], few[:0])
+            near = _few_links(code, at, i, j)
+            found = [(i[near], j[near])]
+            for s, e in zip((part[:-1] - base)[n > FEW], (part[1:] - base)[n > FEW]):
+                i, j = near_pairs([code[at[x]:at[x + 1]] for x in range(s, e)])
+                found.append((s + i, s + j))
+            forest = Forest(part[-1] - base)
+            forest.add(*(np.concatenate(x) for x in zip(*found)))
+            i, root = forest.stars()
+            us.append(cols["line"][base + i]), vs.append(cols["line"][base + root])
         if us:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
 
@@ -320,15 +415,16 @@ def line_components(src: DataFrame, firsts: DataFrame) -> DataFrame:
 
     ``src`` is (doc_id, text), ``firsts`` has the first occurrence of every line.
     """
-    rows = src.mapInArrow(_bands, "k long, line long").repartition("k").sortWithinPartitions("k", "line")
-    shared = keep(rows.mapInArrow(_shared, "k long, line long"))
+    # one sort column of eight bytes: Spark sorts it without comparing rows
+    rows = src.mapInArrow(_bands, "k long, line long").repartition("k").sortWithinPartitions("k")
+    shared = keep(rows.mapInArrow(_shared, "k long, line long").distinct())
     size = shared.groupBy("k").agg(F.count("*").alias("n"), F.expr("bit_xor(line)").alias("x"),
                                    F.expr("sum(pmod(line, 1000003))").alias("s"))
     size = size.groupBy("n", "x", "s").agg(F.min("k").alias("k"))
     size = size.select("k", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("parts"))
     member = keep(shared.join(size, "k"))
     places = firsts.select("line", F.col("first.doc").alias("doc"), F.col("first.no").alias("no"))
-    texts = _texts(src, keep(member.select("line").distinct().join(places, "line")))
+    texts = store(_texts(src, keep(member.select("line").distinct().join(places, "line"))), "line-texts")
     small = member.where("parts = 1").join(texts, "line").select("k", "line", "x")
     small = small.repartition("k").sortWithinPartitions("k", "line").mapInArrow(_links, "u long, v long")
     big = member.where("parts > 1").withColumn("blk", F.pmod(F.xxhash64("line"), F.col("parts")).cast("int"))

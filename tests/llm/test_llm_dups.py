@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -343,3 +344,45 @@ def test_slabs_of_shingles(monkeypatch):
     assert [x.tolist() for x in lines.near_pairs(lines.shingle_codes(texts))] == want
     i, j = lines.near_pairs(lines.shingle_codes(texts), 7)
     assert [(a, b) for a, b in zip(i, j)] == [(a, b) for a, b in zip(*want) if a < 7]
+
+
+def test_line_signing_and_links_work_in_bounded_lots():
+    """Many short lines are signed a lot at a time, and buckets of any size give the links of a plain check."""
+    short = [f"{k:x}" for k in range(16, 16 + 3 * lines.SIGNED)]
+    got = list(lines._bands([pa.RecordBatch.from_pydict({"text": ["\n".join(short)]})]))
+    assert max(b.num_rows for b in got) <= lines.SIGNED * lines.BANDS
+    assert sum(b.num_rows for b in got) == len(short) * lines.BANDS
+    assert np.array_equal(got[1].column("k").to_numpy().reshape(-1, lines.BANDS)[:9],
+                          lines.signatures(short[lines.SIGNED:lines.SIGNED + 9]).view(np.int64))
+    rng, rows, want = np.random.default_rng(3), [], set()
+    for bucket in range(60):
+        base = rng.integers(97, 105, 60)
+        texts = {"".join(map(chr, np.where(rng.random(60) < 0.03, 122, base))) for _ in range([2, 3, 8, 9, 30][bucket % 5])}
+        texts |= {"é", "\U0001f600" * 3 + str(bucket)}
+        rows += sorted((bucket, lines.line_id(x), x) for x in texts)
+        sets = {lines.line_id(x): {x[k:k + 5] for k in range(max(1, len(x) - 4))} for x in texts}
+        root = {x: x for x in sets}
+        for a, s in sets.items():
+            for b, t in sets.items():
+                if len(s & t) / len(s | t) >= lines.THRESHOLD and root[a] != root[b]:
+                    old, new = root[a], root[b]
+                    root = {x: new if r == old else r for x, r in root.items()}
+        want |= {frozenset((bucket, x) for x in root if root[x] == r) for r in set(root.values())}
+    k, line, x = zip(*rows)
+    batch = pa.RecordBatch.from_pydict({"k": list(k), "line": list(line), "x": list(x)})
+    root = {(b, v): (b, v) for b, v, _ in rows}
+    own = {v: (b, v) for b, v, x in rows if x != "é"}
+    for out in lines._links([batch.slice(0, 100), batch.slice(100)]):
+        for u, v in zip(out.column("u").to_pylist(), out.column("v").to_pylist()):
+            old, new = root[own[u]], root[own[v]]
+            root = {y: new if r == old else r for y, r in root.items()}
+    assert {frozenset(y for y in root if root[y] == r) for r in set(root.values())} == want
+
+
+def test_bucket_members_from_rows_sorted_by_key_alone():
+    k = np.array([1, 1, 2, 2, 2, 3, 3, 3, 3, 4], np.int64)
+    x = np.array([5, 5, 9, 7, 9, 8, 6, 8, 6, 1], np.int64)
+    for cut in range(11):
+        parts = [pa.RecordBatch.from_pydict({"k": k[a:b], "line": x[a:b]}) for a, b in ((0, cut), (cut, 10))]
+        got = [(a, b) for out in lines._shared(parts) for a, b in zip(out.column("k").to_pylist(), out.column("line").to_pylist())]
+        assert set(got) == {(2, 9), (2, 7), (3, 8), (3, 6)}
