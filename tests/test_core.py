@@ -333,3 +333,18 @@ def test_encode_resolves_a_word_once(spark, monkeypatch):
     assert sorted(r.sent_id for r in out) == list(range(14))
     for r in out:
         assert r.vec == pytest.approx([0.5, 0.5, 0.0] if r.sent_id < 12 else [0.0, 0.0, 0.0])
+
+
+def test_historical_transform_computes_sentences_once(spark):
+    """Sentences that are fitted and projected come from one run of their plan."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rng = np.random.default_rng(8)
+    sents = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(20, 3)))], "id long, vec array<double>")
+    sents = sents.mapInArrow(count, "id long, vec array<double>")
+    assert LA.historical_transform(sents, sents, 0, 3).count() == 20 and seen.value == 20
