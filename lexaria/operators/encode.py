@@ -6,7 +6,10 @@ written to the shared checkpoint folder.  First the distinct words of all lots a
 once (one join on the candidates of a word: itself, its lower case, its piece prefixes), and
 the lots' words join what was found.  Then every lot meets its vectors and multiplies
 sentence-by-word counts with them in blocks.  What is shuffled is a word of a lot or a lot, never a
-token, a vector of a lot travels once, and the plan is the same for any size of the vector table.
+token, a vector of a lot travels once, and the plan is the same for any size of the vector table:
+vectors are joined by sorting, never collected by the driver for a broadcast, so repeated encodes (the
+micro-batches of a stream) cost the driver nothing.  A pair of sentences shares a lot, which multiplies them
+where they meet.
 """
 
 from __future__ import annotations
@@ -20,8 +23,9 @@ from lexaria.functions import text as T
 from lexaria.functions import vectors as Vx
 from lexaria.functions.arrow import lists
 
-LOT_TOKENS = 1 << 19
+LOT_TOKENS = 1 << 20
 BLOCK_TOKENS = 1 << 14
+OUT_SENTENCES = 1 << 14
 
 
 def _prefixes(pieces: Column) -> Column:
@@ -44,7 +48,7 @@ def candidates(word: Column, pieces=None) -> Column:
 def resolve(asked: DataFrame, word_vectors: DataFrame, by: list[str], cands: str = "cands") -> DataFrame:
     """``by`` and the vector of the first candidate that has one; rows without any are left out."""
     one = asked.select(*by, F.posexplode(cands).alias("_rank", "_key"))
-    hits = one.join(word_vectors.select(F.col("word").alias("_key"), "vec"), "_key")
+    hits = one.join(word_vectors.select(F.col("word").alias("_key"), "vec").hint("merge"), "_key")
     return hits.groupBy(*by).agg(F.min_by("vec", "_rank").alias("vec"))
 
 
@@ -181,27 +185,79 @@ def sentence_sums(ids: np.ndarray, sizes: np.ndarray, m: np.ndarray) -> np.ndarr
     return out
 
 
+def _lot_parts(head, rest, dim: int, per: int = 1):
+    """Keys, sizes, ids and the words' vectors of a lot (a last column tells the known words), some keys of ``per`` sentences at a time."""
+    keys, sizes, ids = (head.column(c).chunk(0).flatten() for c in ("keys", "sizes", "ids"))
+    sizes, ids = sizes.to_numpy().astype(np.int64), ids.to_numpy()
+    n_words = int(ids.max()) + 1 if len(ids) else 0
+    m = np.zeros((n_words, dim + 1))
+    for rows in rest:
+        at = rows.column("at").to_numpy(zero_copy_only=False).astype(np.int64)
+        m[at, :dim], m[at, dim] = rows.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim), 1.0
+    ends, step = np.r_[0, np.cumsum(sizes)], max(1, OUT_SENTENCES // per)
+    for a in range(0, len(keys), step):
+        b = min(a + step, len(keys))
+        yield keys.slice(a, b - a), sizes[a:b], ids[ends[a]:ends[b]], m
+
+
+def _vectors(ids, sizes, m, reduce: str, normalize: bool):
+    """The sentences' vectors and how many of their tokens are known."""
+    sums = sentence_sums(ids, sizes, m)
+    vec, n = sums[:, :-1], sums[:, -1]
+    if reduce == "mean":
+        vec = vec / np.maximum(n, 1.0)[:, None]
+    if normalize:
+        vec = vec / (np.sqrt((vec * vec).sum(1)) + 1e-8)[:, None]
+    return vec, n
+
+
 def _encode_lots(dim: int, reduce: str, normalize: bool):
     def run(batches):
         for head, rest in each_lot(batches):
-            keys, sizes, ids = (head.column(c).chunk(0).flatten() for c in ("keys", "sizes", "ids"))
-            sizes, ids = sizes.to_numpy().astype(np.int64), ids.to_numpy()
-            n_words = int(ids.max()) + 1 if len(ids) else 0
-            m = np.zeros((n_words, dim + 1))
-            for rows in rest:
-                at = rows.column("at").to_numpy(zero_copy_only=False).astype(np.int64)
-                m[at, :dim], m[at, dim] = rows.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim), 1.0
-            sums = sentence_sums(ids, sizes, m)
-            vec, n = sums[:, :dim], sums[:, dim]
-            if reduce == "mean":
-                vec = vec / np.maximum(n, 1.0)[:, None]
-            if normalize:
-                vec = vec / (np.sqrt((vec * vec).sum(1)) + 1e-8)[:, None]
-            yield pa.RecordBatch.from_arrays([keys, lists(vec), pa.array(n)], ["key", "vec", "_n"])
+            for keys, sizes, ids, m in _lot_parts(head, rest, dim):
+                vec, n = _vectors(ids, sizes, m, reduce, normalize)
+                yield pa.RecordBatch.from_arrays([keys, lists(vec), pa.array(n)], ["key", "vec", "_n"])
 
     return run
 
 
+def _multiply_lots(dim: int, reduce: str, normalize: bool):
+    """Per pair the dot product of its two sentences and how many of them have a known word; the vector of a lone one."""
+    def run(batches):
+        for head, rest in each_lot(batches):
+            for keys, sizes, ids, m in _lot_parts(head, rest, dim, 2):
+                first = keys.field("_first").to_numpy(zero_copy_only=False)
+                vec, n = _vectors(ids, np.column_stack([first, sizes - first]).ravel(), m, reduce, normalize)
+                known = (n > 0).reshape(-1, 2)
+                both = vec.reshape(-1, 2, dim)
+                lone = known.sum(1) == 1
+                some = lists(both[lone][known[lone]])
+                place = np.where(lone, np.cumsum(lone) - 1, -1)
+                yield pa.RecordBatch.from_arrays([keys, pa.array(np.einsum("ij,ij->i", both[:, 0], both[:, 1])), pa.array(known.sum(1)),
+                                                  some.take(pa.array(place, mask=~lone))], ["key", "sim", "_n", "vec"])
+
+    return run
+
+
+def _dim(word_vectors: DataFrame, dim: int | None) -> int:
+    return int(word_vectors.select(F.max(F.size("vec"))).first()[0] or 0) if dim is None else dim
+
+
+def _tokens(text: str, punct, tokenizer) -> Column:
+    return T.drop_punct((tokenizer or T.word_tokens)(F.col(text)), punct)
+
+
+def _lots_with_vectors(src: DataFrame, word_vectors: DataFrame, pieces) -> tuple[str, DataFrame]:
+    """The type of ``key`` and the lots of ``(key, toks)`` with the vectors of their words."""
+    kind = src.schema["key"].dataType.simpleString()
+    lots = src.mapInArrow(_pack, LOT_ROW.format(key=kind)).checkpoint(eager=True)  # numbers are fixed from here on
+    words = lots.select(F.explode("words").alias("word")).distinct()
+    known = resolve(words.withColumn("cands", candidates(F.col("word"), pieces)),
+                    word_vectors.select("word", Vx.as_double("vec").alias("vec")), ["word"])
+    asked = lots.select("lot", F.posexplode("words").alias("at", "word"))
+    return kind, with_vectors(lots, asked.join(known.hint("merge"), "word").select("lot", "at", "vec"))
+
+
 def encode(sents: DataFrame, word_vectors: DataFrame, key="sent_id", text: str = "text",
            dim: int | None = None, normalize: bool = True, reduce: str = "mean",
            on_empty: str = "zero", punct="P1", tokenizer=None, pieces=None) -> DataFrame:
@@ -212,18 +268,10 @@ def encode(sents: DataFrame, word_vectors: DataFrame, key="sent_id", text: str =
     Column to its sub-word pieces and enables D2 for words missing both exact and lowercase lookups.
     """
     keys = _keys(key)
-    if dim is None:
-        dim = int(word_vectors.select(F.max(F.size("vec"))).first()[0] or 0)
-    toks = T.drop_punct((tokenizer or T.word_tokens)(F.col(text)), punct)
-    src = sents.select(F.struct(*keys).alias("key"), toks.alias("toks"))
-    kind = src.schema["key"].dataType.simpleString()
-    lots = src.mapInArrow(_pack, LOT_ROW.format(key=kind)).checkpoint(eager=True)  # numbers are fixed from here on
-    words = lots.select(F.explode("words").alias("word")).distinct()
-    known = resolve(words.withColumn("cands", candidates(F.col("word"), pieces)),
-                    word_vectors.select("word", Vx.as_double("vec").alias("vec")), ["word"])
-    asked = lots.select("lot", F.posexplode("words").alias("at", "word"))
-    found = asked.join(known, "word").select("lot", "at", "vec")
-    out = with_vectors(lots, found).mapInArrow(_encode_lots(dim, reduce, normalize), f"key {kind}, vec array<double>, _n double")
+    dim = _dim(word_vectors, dim)
+    src = sents.select(F.struct(*keys).alias("key"), _tokens(text, punct, tokenizer).alias("toks"))
+    kind, both = _lots_with_vectors(src, word_vectors, pieces)
+    out = both.mapInArrow(_encode_lots(dim, reduce, normalize), f"key {kind}, vec array<double>, _n double")
     if on_empty == "drop":
         out = out.where(F.col("_n") > 0)
     return out.select(*[F.col("key")[k].alias(k) for k in keys], "vec")
@@ -242,20 +290,24 @@ def pair_similarity(pairs: DataFrame, word_vectors: DataFrame, dim: int | None =
     """Encode both sides of every pair and take the dot product.
 
     ``pairs`` is ``(key..., a, b)``; output ``(key..., sim)``; ``key`` (one column or a
-    list) names a pair.  Both sides are encoded in one pass over a stacked relation so
-    the lookup happens once.
+    list) names a pair.  The tokens of both sides lie in one row of a lot, so what is shuffled
+    behind the lots is a number a pair, not its vectors.
     """
-    ids = _keys(key)
-    stacked = pairs.select(*ids, F.lit(0).alias("side"), F.col("a").alias("text")).unionByName(
-        pairs.select(*ids, F.lit(1).alias("side"), F.col("b").alias("text"))
-    ).withColumn("sent_id", F.struct(*ids, "side"))
-    # only sides with at least one known word; a missing side is a zero vector -> similarity 0
-    enc = encode(stacked, word_vectors, key="sent_id", dim=dim, normalize=normalize, on_empty="drop", **kw)
-    # two rows per pair -> one row with a hash-based collect (no sort aggregate, no self join)
-    both = enc.groupBy(*[F.col("sent_id")[c].alias(c) for c in ids]).agg(
-        F.collect_list(F.col("vec")).alias("vs"))
-    sim = F.when(F.size("vs") == 2, Vx.dot(F.col("vs")[0], F.col("vs")[1])).otherwise(F.lit(0.0))
-    return pairs.select(*ids).join(both.select(*ids, sim.alias("sim")), ids, "left").select(
+    return _pair_similarity(pairs, word_vectors, _dim(word_vectors, dim), _keys(key), normalize, **kw)
+
+
+def _pair_similarity(pairs, word_vectors, dim, ids, normalize, reduce: str = "mean", punct="P1", tokenizer=None, pieces=None):
+    side = lambda c: F.coalesce(_tokens(c, punct, tokenizer), F.array().cast("array<string>"))
+    cut = pairs.select(*ids, side("a").alias("_a"), side("b").alias("_b"))
+    src = cut.select(F.struct(*ids, F.size("_a").alias("_first")).alias("key"), F.concat("_a", "_b").alias("toks"))
+    kind, both = _lots_with_vectors(src, word_vectors, pieces)
+    got = both.mapInArrow(_multiply_lots(dim, reduce, normalize), f"key {kind}, sim double, _n long, vec array<double>")
+    # rows that share a key are one pair: it is scored if just two of their sides have a known word
+    got = got.groupBy(*[F.col("key")[c].alias(c) for c in ids]).agg(
+        F.sum("_n").alias("_n"), F.max(F.when(F.col("_n") == 2, F.col("sim"))).alias("_s"), F.collect_list("vec").alias("_vs"))
+    lone = F.when(F.size("_vs") == 2, Vx.dot(F.col("_vs")[0], F.col("_vs")[1]))
+    sim = F.when(F.col("_n") == 2, F.coalesce("_s", lone)).otherwise(F.lit(0.0))
+    return pairs.select(*ids).join(got.select(*ids, sim.alias("sim")), ids, "left").select(
         *ids, F.coalesce("sim", F.lit(0.0)).alias("sim"))
 
 

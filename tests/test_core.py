@@ -335,6 +335,31 @@ def test_encode_resolves_a_word_once(spark, monkeypatch):
         assert r.vec == pytest.approx([0.5, 0.5, 0.0] if r.sent_id < 12 else [0.0, 0.0, 0.0])
 
 
+def test_encode_joins_without_broadcast(spark):
+    """Vectors are not collected by the driver, however small their table is."""
+    sents = spark.createDataFrame([(i, "hello World") for i in range(3)], "sent_id int, text string")
+    plan = EN.encode(sents, spark.createDataFrame(W2V, "word string, vec array<double>"), dim=3)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_pair_similarity_multiplies_in_lots(spark, monkeypatch):
+    """The sides of a pair meet in their lot, not by a shuffle of their vectors; repeated keys are one pair, null keys score 0."""
+    w2v_table = spark.createDataFrame(W2V, "word string, vec array<double>")
+    vec = {w: np.array(v) for w, v in W2V}
+    rows = [(1, "the Quick", "the"), (2, "the", "zzz"), (3, None, "quick"), (4, "the", "zzz"), (4, None, "quick"),
+            (5, "the", "quick"), (5, "the", "quick"), (None, "the", "the")]
+    pairs = spark.createDataFrame(rows, "pair_id int, a string, b string")
+    monkeypatch.setattr(EN, "encode", None)
+    for tokens, out in ((1 << 20, 1 << 14), (2, 2)):
+        monkeypatch.setattr(EN, "LOT_TOKENS", tokens)
+        monkeypatch.setattr(EN, "OUT_SENTENCES", out)
+        got = sorted(((r.pair_id or 0), r.sim) for r in EN.pair_similarity(pairs, w2v_table, dim=3, normalize=False).collect())
+        cross = float(vec["the"] @ vec["quick"])
+        both = float(((vec["the"] + vec["quick"]) / 2) @ vec["the"])
+        want = [(0, 0.0), (1, both), (2, 0.0), (3, 0.0), (4, cross), (4, cross), (5, 0.0), (5, 0.0)]
+        assert [k for k, _ in got] == [k for k, _ in want] and [s for _, s in got] == pytest.approx([s for _, s in want])
+
+
 def test_historical_transform_computes_sentences_once(spark):
     """Sentences that are fitted and projected come from one run of their plan."""
     seen = spark.sparkContext.accumulator(0)
