@@ -16,7 +16,7 @@ CHUNK_WORDS = 1 << 21
 OUT_ROWS = 1 << 15
 
 
-def _distinct_words(sents: DataFrame, lowercase: bool, max_sentence_len: int | None, punct, tokenizer) -> DataFrame:
+def distinct_words(sents: DataFrame, lowercase: bool, max_sentence_len: int | None, punct, tokenizer) -> DataFrame:
     """``(doc_id, line_no, sent_no, sentence, words)``: the distinct non-punctuation words (length gate first)."""
     tok = tokenizer or T.word_tokens
     s = sents
@@ -31,19 +31,19 @@ def sentence_words(sents: DataFrame, lowercase: bool = True, max_sentence_len: i
                    punct="P1", tokenizer=None) -> DataFrame:
     """C8 + D4 input: ``(doc_id, line_no, sent_no, sentence, word)`` one row per
     *distinct* non-punctuation word of each sentence (length gate first)."""
-    s = _distinct_words(sents, lowercase, max_sentence_len, punct, tokenizer)
+    s = distinct_words(sents, lowercase, max_sentence_len, punct, tokenizer)
     return s.select(*POS, "sentence", F.explode("words").alias("word"))
 
 
-def _first_sentences(n: int):
-    """``mapInArrow``: rows ``(word, POS, sentence)`` of the first ``n`` sentences (corpus order) of every
-    word among about ``CHUNK_WORDS`` words read; what is held is one such chunk."""
+def first_sentences(n: int, nulls: str = "at_start"):
+    """``mapInArrow``: rows ``(word, POS, sentence)`` of the first ``n`` sentences (corpus order, ``nulls``
+    first or last) of every word among about ``CHUNK_WORDS`` words read; what is held is one such chunk."""
     def first(held):
         t = pa.Table.from_batches(held).combine_chunks()
         rows = t.num_rows
         words = t.column("words").chunk(0).fill_null([])
         flat = words.flatten().dictionary_encode()
-        order = pc.sort_indices(t.select(POS), sort_keys=[(c, "ascending") for c in POS], null_placement="at_start").to_numpy()
+        order = pc.sort_indices(t.select(POS), sort_keys=[(c, "ascending") for c in POS], null_placement=nulls).to_numpy()
         rank = np.empty(rows, np.int64)
         rank[order] = np.arange(rows)
         at = flat.indices.to_numpy().astype(np.int64) * rows + np.repeat(rank, words.value_lengths().to_numpy())
@@ -90,9 +90,9 @@ def build_contexts(sents: DataFrame, vocab: DataFrame, n_sentences: int = 100,
     """
     # vocabulary words are unique by construction: no distinct (and its shuffle) needed
     words = bounded_broadcast(vocab.select("word"), vocab_bound, 64)
-    told = _distinct_words(sents, lowercase, max_sentence_len, "P1", tokenizer)
+    told = distinct_words(sents, lowercase, max_sentence_len, "P1", tokenizer)
     kind = ", ".join(f"{c} {told.schema[c].dataType.simpleString()}" for c in [*POS, "sentence"])
-    hits = told.mapInArrow(_first_sentences(n_sentences), f"word string, {kind}").join(words, "word", "left_semi")
+    hits = told.mapInArrow(first_sentences(n_sentences), f"word string, {kind}").join(words, "word", "left_semi")
     w = Window.partitionBy("word").orderBy(*POS)
     return (
         hits.withColumn("rn", F.row_number().over(w))

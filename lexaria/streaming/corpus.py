@@ -52,42 +52,55 @@ def read_latest(spark: SparkSession, out_path: str) -> DataFrame:
 CONTEXT_SCHEMA = "word string, doc_id bigint, line_no bigint, sent_no bigint, sentence string"
 
 
+WORDS_A_GROUP = 64
+
+
+def _cut(rows: pd.DataFrame, held: dict, n: int) -> pd.DataFrame:
+    """The first rows by position of every word, as many as it has room for."""
+    rows = rows.sort_values(X.POS, kind="stable")
+    words = rows["word"]
+    return rows[rows.groupby(words, sort=False).cumcount() < n - words.map(held).fillna(0)]
+
+
 def capped_contexts(docs: DataFrame, vocab_words: DataFrame, out_path: str, checkpoint: str, n: int = 100,
                     max_sentence_len: int = 500, vocab_bound: int | None = None):
     """Append a context of a vocabulary word only while the word has fewer than ``n``.
 
     The state of a word is one number, the contexts emitted so far, in Spark's state store, so
-    a trigger costs what arrives in it however much was emitted before.  A task cuts each batch
-    of rows to ``n`` per word before the shuffle; behind it a word keeps its first contexts by
-    position up to its remaining room, at most ``n`` rows in memory.  Repeated triggers are
-    settled by Spark: the state has the version of the batch, the file sink drops known batches.
+    a trigger costs what arrives in it however much was emitted before.  Tasks reduce their words to
+    the first ``n`` sentences before a row per word exists, and words are dealt by hash to groups
+    of about ``WORDS_A_GROUP``, whose numbers are read and written together: a trigger calls Python once a
+    group, not once a word.  Behind the shuffle a word keeps its first contexts by position up to
+    its remaining room.  Repeated triggers are settled by Spark: the state has the version of the
+    batch, the file sink drops known batches.
     """
-    order = ["doc_id", "line_no", "sent_no"]
-
-    def cut(batches):
-        for rows in batches:
-            if len(rows) > n:
-                rows = rows.sort_values(order, kind="stable").groupby("word", sort=False).head(n)
-            yield rows
+    groups = max(1, -(-(vocab_bound or 1 << 18) // WORDS_A_GROUP))
 
     def fill(key, batches, state: GroupState):
-        held = state.get[0] if state.exists else 0
-        room, first = n - held, None
-        if room <= 0:
-            return
+        held = dict(zip(*state.get)) if state.exists else {}
+        first, kept = None, 0
         for rows in batches:
+            rows = rows[rows["word"].map(held).fillna(0) < n]
             first = rows if first is None else pd.concat([first, rows])
-            if len(first) > room:
-                first = first.sort_values(order, kind="stable").head(room)
-        if first is not None and len(first):
-            state.update((held + len(first),))
-            yield first
-
-    sw = X.sentence_words(C.sentences(C.document_lines(docs.select("doc_id", "text"))), True, max_sentence_len)
-    hits = sw.join(bounded_broadcast(vocab_words.select("word"), vocab_bound, 64), "word", "left_semi")
-    hits = hits.select("word", *(F.col(c).cast("bigint").alias(c) for c in order), "sentence")
-    kept = hits.mapInPandas(cut, CONTEXT_SCHEMA).groupBy("word").applyInPandasWithState(
-        fill, CONTEXT_SCHEMA, "held int", "append", GroupStateTimeout.NoTimeout)
+            if len(first) > 2 * kept + n * WORDS_A_GROUP:
+                first = _cut(first, held, n)
+                kept = len(first)
+        if first is None or not len(first):
+            return
+        first = _cut(first, held, n)
+        for word, more in first["word"].value_counts(sort=False).items():
+            held[word] = held.get(word, 0) + int(more)
+        state.update((list(held), list(held.values())))
+        yield first[["word", *X.POS, "sentence"]]
+
+    told = X.distinct_words(C.sentences(C.document_lines(docs.select("doc_id", "text"))), True, max_sentence_len, "P1", None)
+    kind = ", ".join(f"{c} {told.schema[c].dataType.simpleString()}" for c in [*X.POS, "sentence"])
+    hits = told.mapInArrow(X.first_sentences(n, "at_end"), f"word string, {kind}")
+    hits = hits.join(bounded_broadcast(vocab_words.select("word"), vocab_bound, 64), "word", "left_semi")
+    hits = hits.select("word", *(F.col(c).cast("bigint").alias(c) for c in X.POS), "sentence")
+    hits = hits.withColumn("word_group", F.pmod(F.xxhash64("word"), F.lit(groups)))
+    kept = hits.groupBy("word_group").applyInPandasWithState(
+        fill, CONTEXT_SCHEMA, "words array<string>, held array<int>", "append", GroupStateTimeout.NoTimeout)
     return kept.writeStream.format("parquet").outputMode("append").option("path", out_path).option(
         "checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -59,3 +59,19 @@ def test_capped_contexts_state(spark):
     # a restart of the same query with nothing new emits nothing
     ST.capped_contexts(stream, vocab, out, out + "-ckpt", n=8, vocab_bound=10).awaitTermination()
     assert ST.read_contexts(spark, out).count() == 16
+
+
+def test_capped_contexts_state_is_held_by_group(spark):
+    """The words of a group share a row of the state, so a trigger calls Python per group; the cap stays per word."""
+    path, out = (stage_path(spark, f"{k}-{uuid.uuid4().hex[:8]}") for k in ("test-groups", "cg"))
+    words = [f"word{i}" for i in range(200)]
+    for day in range(2):
+        text = " ".join(f"Here {w} comes again." for w in words for _ in range(2))
+        spark.createDataFrame([(day, text, "en", "s", len(text))], SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    vocab = spark.createDataFrame([(w,) for w in words], "word string")
+    query = ST.capped_contexts(ST.document_stream(spark, path, SCHEMA, 1), vocab, out, out + "-ckpt", n=3, vocab_bound=200)
+    query.awaitTermination()
+    got = ST.read_contexts(spark, out).groupBy("word", "doc_id").agg(F.count(F.lit(1)).alias("n")).collect()
+    per_day = sorted((r.doc_id, r.n) for r in got)
+    assert len(got) == 400 and sorted({r.word for r in got}) == sorted(words) and {n for _, n in per_day} == {1, 2}
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= -(-200 // ST.WORDS_A_GROUP)
