@@ -2,8 +2,9 @@
 
 K-means runs for all words and ``RUNS`` starts at once, as Lloyd rounds over DataFrames: the state
 is a table of ``RUNS`` times ``k`` centres per word, every round assigns contexts to the
-nearest centre of every run and averages by ``(word, run, sense)`` with map-side partials.  The run of
-lowest inertia is kept.  No word's contexts are ever gathered in one task, and all contexts of a word
+nearest centre of every run and averages by ``(word, run, sense)``.  Contexts are dealt once to blocks of about
+``BLOCK`` inside their word, stored, and a round multiplies a block at a time, so it shuffles a sum per block and
+centre.  The run of lowest inertia is kept.  No word's contexts are ever gathered in one task, and all contexts of a word
 take part.
 
 Starts are deterministic.  Run 0: the context farthest from the word's mean, then repeatedly the
@@ -11,7 +12,7 @@ context farthest from the centres so far (ties: smaller ``ctx``).  The other run
 at random, then contexts with odds by their squared distance to the centres so far; a draw is the
 greatest of distance over an exponential number hashed from ``ctx``, so it is one aggregate per
 word and no draw depends on the partitions.  The silhouette is exact, with Euclidean distances summed
-by pairs of blocks inside a word.
+by pairs of blocks inside a word, once for all sense counts; its time stays quadratic in a word's contexts.
 """
 
 from __future__ import annotations
@@ -23,9 +24,11 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexaria.functions.arrow import lists, matrix
 
 ROUNDS = 20
 RUNS = 10
+BLOCK = 1024
 
 
 def _sq_distance(a, b) -> Column:
@@ -51,16 +54,45 @@ def _draw_key(run: int, step: int) -> Column:
     return d / -F.log(u)
 
 
-def _starts(contexts: DataFrame, wanted: DataFrame) -> DataFrame:
+def _blocks(contexts: DataFrame) -> DataFrame:
+    """``(word, ctxs, vs)``: the contexts of every word in blocks of about ``BLOCK``, stored once for all rounds."""
+    parts = contexts.groupBy("word").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    dealt = contexts.join(parts, "word").withColumn("blk", F.pmod(F.xxhash64("ctx"), F.col("parts")).cast("int"))
+    held = dealt.groupBy("word", "blk").agg(F.sort_array(F.collect_list(F.struct("ctx", "vec"))).alias("xs"))  # about BLOCK
+    field = lambda c: F.transform("xs", lambda x: x[c])
+    return held.select("word", field("ctx").alias("ctxs"), field("vec").alias("vs")).checkpoint()
+
+
+def _sq_distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """(centres, rows of x) squared distances, summed in the order of the dimensions as ``_sq_distance`` does."""
+    d = np.zeros((len(centres), len(x)))
+    for i, col in enumerate(np.ascontiguousarray(x.T)):
+        e = col - centres[:, i, None]
+        d += e * e
+    return d
+
+
+def _far(batches):
+    """(word, ctx, vec, d): squared distances to the nearest centre of every run; a run without centres draws evenly."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            ctx, vs = (batch.column(c).slice(r, 1).flatten() for c in ("ctxs", "vs"))
+            x = matrix(vs)
+            d = [_sq_distances(x, np.array(cs, np.float64)).min(0) if cs else np.ones(len(x)) for cs in batch.column("runs")[r].as_py()]
+            word = pa.array([batch.column("word")[r].as_py()] * len(x), pa.string())
+            yield pa.RecordBatch.from_arrays([word, ctx, vs, lists(np.column_stack(d))], ["word", "ctx", "vec", "d"])
+
+
+def _starts(contexts: DataFrame, wanted: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
     """(word, k, runs): starting centres of every run; ``wanted`` is (word, k), with any number of ``k`` a word."""
+    blocks = _blocks(contexts) if blocks is None else blocks
+    kind = f"word string, ctx {contexts.schema['ctx'].dataType.simpleString()}, vec array<double>, d array<double>"
     tops = wanted.groupBy("word").agg(F.max("k").alias("top"))
     none = F.array().cast("array<array<double>>")
     state = tops.join(_mean(contexts, ["word"]), "word").select(
         "word", "top", F.array(F.array("c"), *[none] * (RUNS - 1)).alias("runs")).checkpoint()
     for step in range(tops.agg(F.max("top")).first()[0] or 0):
-        # a run without centres draws evenly
-        far = contexts.join(state.where(F.col("top") > step), "word").select(
-            "word", "ctx", "vec", F.transform("runs", lambda cs: F.coalesce(_nearest(cs)["d"], F.lit(1.0))).alias("d"))
+        far = blocks.join(state.where(F.col("top") > step).select("word", "runs"), "word").mapInArrow(_far, kind)
         pick = far.groupBy("word").agg(*[
             F.max_by("vec", F.struct(_draw_key(r, step), -F.col("ctx"))).alias(f"v{r}") for r in range(RUNS)])
         old = [none if r == 0 and step == 0 else F.col("runs")[r] for r in range(RUNS)]
@@ -73,14 +105,47 @@ def _starts(contexts: DataFrame, wanted: DataFrame) -> DataFrame:
         "word", "k", F.transform("runs", lambda cs: F.slice(cs, 1, F.col("k"))).alias("runs"))
 
 
-def _lloyd(contexts: DataFrame, state: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def _assigned(batches):
+    """Of every block and ``k``: word, k, vectors, and (runs, k, contexts) squared distances."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            x = matrix(batch.column("vs").slice(r, 1).flatten())
+            for state in batch.column("ss")[r].as_py():
+                centres = np.array(state["runs"], np.float64)
+                d = _sq_distances(x, centres.reshape(-1, centres.shape[-1]))
+                yield batch.column("word")[r], state["k"], x, d.reshape(*centres.shape[:2], len(x))
+
+
+def _block_sums(batches):
+    """(word, k, at, s, n): sums and numbers of the contexts nearest to every centre (ties: the first)."""
+    for word, k, x, d in _assigned(batches):
+        at = (d.argmin(1) + k * np.arange(len(d))[:, None]).ravel()
+        own = np.zeros((d.shape[0] * k, len(x)))
+        own[at, np.tile(np.arange(len(x)), len(d))] = 1.0
+        n = own.sum(1).astype(np.int64)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array([word.as_py()] * len(some), pa.string()), pa.array(np.full(len(some), k, np.int32)),
+                                          pa.array(some.astype(np.int32)), lists(own[some] @ x), pa.array(n[some])], ["word", "k", "at", "s", "n"])
+
+
+def _block_inertia(batches):
+    """(word, k, sums): the squared distances to the nearest centre, summed by run."""
+    for word, k, _, d in _assigned(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([word.as_py()], pa.string()), pa.array([k], pa.int32()),
+                                          lists(d.min(1).sum(1)[None])], ["word", "k", "sums"])
+
+
+def _with_state(blocks: DataFrame, state: DataFrame) -> DataFrame:
+    return blocks.join(state.groupBy("word").agg(F.collect_list(F.struct("k", "runs")).alias("ss")), "word")  # an entry per k
+
+
+def _lloyd(blocks: DataFrame, state: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(word, k, runs) after Lloyd rounds; a centre without contexts stays where it is."""
     for _ in range(rounds):
-        own = contexts.join(state, "word").select(
-            "word", "k", "vec", F.posexplode(F.transform("runs", lambda cs: _nearest(cs)["i"])).alias("run", "j"))
-        own = own.withColumn("at", F.col("run") * F.col("k") + F.col("j"))
-        new = _mean(own, ["word", "k", "at"]).groupBy("word", "k").agg(
-            F.map_from_entries(F.collect_list(F.struct("at", "c"))).alias("m"))
+        sums = _with_state(blocks, state).mapInArrow(_block_sums, "word string, k int, at int, s array<double>, n long")
+        new = sums.groupBy("word", "k", "at").agg(Summarizer.sum(array_to_vector(F.col("s"))).alias("s"), F.sum("n").alias("n"))
+        new = new.select("word", "k", "at", F.transform(vector_to_array("s"), lambda x: x / F.col("n")).alias("c"))
+        new = new.groupBy("word", "k").agg(F.map_from_entries(F.collect_list(F.struct("at", "c"))).alias("m"))
         moved_to = F.transform("runs", lambda cs, r: F.transform(
             cs, lambda c, i: F.coalesce(F.try_element_at("m", r * F.col("k") + i), c)))
         nxt = state.join(new, ["word", "k"]).select("word", "k", "runs", moved_to.alias("nx")).checkpoint()
@@ -92,10 +157,10 @@ def _lloyd(contexts: DataFrame, state: DataFrame, rounds: int = ROUNDS) -> DataF
     return state
 
 
-def _best_run(contexts: DataFrame, state: DataFrame) -> DataFrame:
+def _best_run(blocks: DataFrame, state: DataFrame) -> DataFrame:
     """(word, k, cs, inertia): the run of lowest inertia; runs equal to nine digits: the first."""
-    d = contexts.join(state, "word").select("word", "k", F.transform("runs", lambda cs: _nearest(cs)["d"]).alias("d"))
-    sums = d.groupBy("word", "k").agg(F.array(*[F.sum(F.col("d")[r]) for r in range(RUNS)]).alias("sums"))
+    d = _with_state(blocks, state).mapInArrow(_block_inertia, "word string, k int, sums array<double>")
+    sums = d.groupBy("word", "k").agg(F.array(*[F.sum(F.col("sums")[r]) for r in range(RUNS)]).alias("sums"))
     low = F.array_min("sums") * (1 + 1e-9) + 1e-12
     best = F.array_position(F.transform("sums", lambda x: x <= low), F.lit(True)).cast("int")
     return state.join(sums, ["word", "k"]).select(
@@ -103,7 +168,8 @@ def _best_run(contexts: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def _labels(contexts: DataFrame, wanted: DataFrame) -> DataFrame:
-    state = _best_run(contexts, _lloyd(contexts, _starts(contexts, wanted)))
+    blocks = _blocks(contexts)
+    state = _best_run(blocks, _lloyd(blocks, _starts(contexts, wanted, blocks)))
     return contexts.join(state, "word").select("word", "k", "ctx", "vec", _nearest("cs")["i"].cast("bigint").alias("sense_id"))
 
 
@@ -122,56 +188,86 @@ def multi_sense(contexts: DataFrame, n_senses: int = 3, min_contexts: int = 5) -
     return got.select("word", "sense_id", F.col("c").alias("vec"), F.col("n").cast("bigint").alias("n_ctx"))
 
 
-SIL_BLOCK = 1024
+SIL_BLOCK = 16384
+NEAR = 1e-5
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances by one matrix product; pairs so near that it would cancel, by their differences."""
+    size = (x * x).sum(1)[:, None] + (y * y).sum(1)
+    d = size - 2 * (x @ y.T)
+    i, j = np.nonzero(d <= NEAR * size)
+    for s in range(0, len(i), 1 << 15):
+        e = x[i[s:s + (1 << 15)]] - y[j[s:s + (1 << 15)]]
+        d[i[s:s + (1 << 15)], j[s:s + (1 << 15)]] = (e * e).sum(1)
+    return np.sqrt(d, out=d)
 
 
 def _distance_sums(key, table):
-    """Per context of a pair of blocks, the Euclidean distances to the other block's contexts, summed by label."""
-    x = np.stack([np.asarray(v, np.float64) for v in table.column("vec").to_pylist()])
-    ctx, lab, blk = (table.column(c).to_numpy() for c in ("ctx", "l", "blk"))
-    names, own = np.unique(lab, return_inverse=True)
-    sums = np.zeros((len(x), len(names)))
-    step = max(1, 2_000_000 // x.size)
-    cross = key[1].as_py() != key[2].as_py()
-    member = np.eye(len(names))[own]
-    for s in range(0, len(x), step):
-        d = x[s:s + step, None] - x[None]
-        d = np.sqrt(np.einsum("ijk,ijk->ij", d, d))
-        if cross:  # contexts of one block meet in the group of that block alone
-            d *= blk[s:s + step, None] != blk[None]
-        sums[s:s + step] = d @ member
+    """Per context of a pair of blocks, the Euclidean distances to the other block's contexts, summed by label of every labelling."""
+    table = table.combine_chunks()
+    x = matrix(table.column("vec"))
+    x = x - x.mean(0)
+    ctx, blk = (table.column(c).to_numpy() for c in ("ctx", "blk"))
+    ls = table.column("ls").chunk(0)
+    ls = ls.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(x), -1)  # no label: nan
+    sets, labels, members = [], [], []
+    for t in range(ls.shape[1]):
+        names = np.unique(ls[:, t][~np.isnan(ls[:, t])])
+        sets.append(np.full(len(names), t, np.int32)), labels.append(names.astype(np.int64))
+        members.append(ls[:, t, None] == names)
+    sets, labels, member = np.concatenate(sets), np.concatenate(labels), np.concatenate(members, axis=1).astype(np.float64)
+    sums = np.zeros(member.shape)
+    a = np.flatnonzero(blk == key[1].as_py())
+    b = a if key[1] == key[2] else np.flatnonzero(blk == key[2].as_py())
+    step = max(1, 2_000_000 // max(1, len(b)))
+    for s in range(0, len(a), step):
+        d = _distances(x[a[s:s + step]], x[b])
+        sums[a[s:s + step]] += d @ member[b]
+        if a is not b:
+            sums[b] += d.T @ member[a[s:s + step]]
     i, j = np.nonzero(sums)
-    return pa.table({"word": pa.array([key[0].as_py()] * len(i), pa.string()), "ctx": ctx[i], "o": names[j], "s": sums[i, j]})
+    return pa.table({"word": pa.array([key[0].as_py()] * len(i), pa.string()), "ctx": ctx[i], "t": sets[j], "o": labels[j], "s": sums[i, j]})
 
 
 def silhouette_scores(contexts: DataFrame, label: str = "sense_id") -> DataFrame:
     """E28 given labels: ``(word, silhouette)`` — mean Euclidean silhouette of each word's
     contexts, -1 when fewer than two labels occur; a context alone in its cluster scores 0.
+    """
+    x = contexts.select("word", "ctx", "vec", F.array(F.col(label).cast("bigint")).alias("ls"))
+    return _silhouettes(x).select("word", "silhouette")
+
+
+def _silhouettes(contexts: DataFrame) -> DataFrame:
+    """``(word, t, silhouette)`` for every labelling ``t`` of a word: ``ls[t]`` is a context's label, null where
+    the word has no labelling ``t``.
 
     Distances are summed by pairs of blocks inside a word: contexts fall into blocks of about
     ``SIL_BLOCK`` by hash, a group holds one pair of blocks whatever the word's size, and a
     context leaves it with one sum per label, never with its pairs.  ``ctx`` is unique in a word.
     """
-    x = contexts.select("word", F.col("ctx").cast("long").alias("ctx"), "vec", F.col(label).cast("bigint").alias("l"))
-    sizes = x.groupBy("word", "l").agg(F.count(F.lit(1)).alias("n"))
-    words = sizes.groupBy("word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
-    parts = words.where("k > 1").select("word", F.ceil(F.col("n") / SIL_BLOCK).cast("int").alias("parts"))
+    x = contexts.select("word", F.col("ctx").cast("long").alias("ctx"), "vec", "ls")
+    told = x.select("word", "ctx", F.posexplode("ls").alias("t", "l")).where("l is not null")
+    sizes = told.groupBy("word", "t", "l").agg(F.count(F.lit(1)).alias("n"))
+    # a word's labellings have all its contexts each
+    tables = sizes.groupBy("word", "t").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
+    parts = tables.where("k > 1").groupBy("word").agg(F.ceil(F.max("n") / SIL_BLOCK).cast("int").alias("parts"))
     y = x.join(parts, "word").withColumn("blk", F.pmod(F.xxhash64("ctx"), F.col("parts")).cast("int"))
     y = y.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    y = y.select("word", F.least("blk", "with").alias("a"), F.greatest("blk", "with").alias("b"), "blk", "ctx", "vec", "l")
-    sums = y.groupBy("word", "a", "b").applyInArrow(_distance_sums, "word string, ctx long, o long, s double")
-    sums = sums.groupBy("word", "ctx", "o").agg(F.sum("s").alias("s"))
+    y = y.select("word", F.least("blk", "with").alias("a"), F.greatest("blk", "with").alias("b"), "blk", "ctx", "vec", "ls")
+    sums = y.groupBy("word", "a", "b").applyInArrow(_distance_sums, "word string, ctx long, t int, o long, s double")
+    sums = sums.groupBy("word", "ctx", "t", "o").agg(F.sum("s").alias("s"))
     # every (context, label of its word), so that a sum of 0 counts as a distance of 0
-    labels = sizes.groupBy("word").agg(F.collect_list(F.struct("l", "n")).alias("es"))  # one entry per sense
-    each = x.select("word", "ctx", "l").join(labels, "word").select("word", "ctx", "l", F.explode("es").alias("e"))
-    each = each.select("word", "ctx", "l", F.col("e.l").alias("o"), F.col("e.n").alias("n")).join(sums, ["word", "ctx", "o"], "left")
+    labels = sizes.groupBy("word", "t").agg(F.collect_list(F.struct("l", "n")).alias("es"))  # one entry per sense
+    each = told.join(labels, ["word", "t"]).select("word", "ctx", "t", "l", F.explode("es").alias("e"))
+    each = each.select("word", "ctx", "t", "l", F.col("e.l").alias("o"), F.col("e.n").alias("n")).join(sums, ["word", "ctx", "t", "o"], "left")
     own, s = F.col("l") == F.col("o"), F.coalesce("s", F.lit(0.0))
-    per = each.groupBy("word", "ctx").agg(
+    per = each.groupBy("word", "ctx", "t").agg(
         F.max(F.when(own & (F.col("n") > 1), s / (F.col("n") - 1))).alias("a"), F.min(F.when(~own, s / F.col("n"))).alias("b"),
         F.count(F.lit(1)).alias("k"))
     top = F.greatest("a", "b")
     score = F.when(F.col("a").isNull() | (top <= 0), 0.0).otherwise((F.col("b") - F.col("a")) / top)
-    return per.groupBy("word").agg(F.when(F.max("k") < 2, -1.0).otherwise(F.avg(score)).alias("silhouette"))
+    return per.groupBy("word", "t").agg(F.when(F.max("k") < 2, -1.0).otherwise(F.avg(score)).alias("silhouette"))
 
 
 def optimal_senses(contexts: DataFrame, max_senses: int = 5, min_contexts: int = 5) -> DataFrame:
@@ -183,14 +279,17 @@ def optimal_senses(contexts: DataFrame, max_senses: int = 5, min_contexts: int =
     words = words.checkpoint()
     wanted = words.where("top >= 2").select("word", F.explode(F.sequence(F.lit(2), F.col("top"))).alias("k"))
     every = _labels(c.join(wanted.select("word").distinct(), "word", "left_semi"), wanted).checkpoint()
-    tried = None
-    for k in range(2, max_senses + 1):
-        labels = every.where(F.col("k") == k)
-        sizes = labels.groupBy("word", "sense_id").agg(F.count(F.lit(1)).alias("n")).groupBy("word").agg(
-            F.min("n").alias("least"), F.count(F.lit(1)).alias("found"))
-        ok = sizes.where((F.col("least") >= min_contexts) & (F.col("found") == k)).select("word")
-        score = silhouette_scores(labels.join(ok, "word", "left_semi")).withColumn("k", F.lit(k))
-        tried = score if tried is None else tried.unionByName(score)
+    sizes = every.groupBy("word", "k", "sense_id").agg(F.count(F.lit(1)).alias("n")).groupBy("word", "k").agg(
+        F.min("n").alias("least"), F.count(F.lit(1)).alias("found"))
+    ok = sizes.where((F.col("least") >= min_contexts) & (F.col("found") == F.col("k"))).select("word", "k")
+    # the labels of a context for all counts in one row, so distances are summed once; equal rows stay as many
+    counts = range(2, max_senses + 1)
+    of = lambda k, c: F.when(F.col("k") == k, c)
+    ls = every.join(ok, ["word", "k"], "left_semi").groupBy("word", "ctx", "vec").agg(
+        F.array(*[F.max(of(k, F.col("sense_id"))) for k in counts]).alias("ls"),
+        F.array_max(F.array(*[F.count(of(k, F.lit(1))) for k in counts])).alias("copies"))
+    ls = ls.select("word", "ctx", "vec", "ls", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    tried = _silhouettes(ls).select("word", (F.col("t") + 2).alias("k"), "silhouette")
     best = tried.where(F.col("silhouette") > -1).groupBy("word").agg(
         F.max_by(F.struct("k", "silhouette"), F.struct("silhouette", -F.col("k"))).alias("b"))
     return words.select("word").join(best, "word", "left").select(

@@ -307,3 +307,20 @@ def test_lines_of_files_are_numbered_without_moving_them(spark, tmp_path, monkey
     empty.mkdir()
     (empty / "part-0.txt").write_text("")
     assert C.indexed_text_lines(spark, str(empty)).count() == 0
+
+
+def test_silhouettes_of_all_counts_share_their_distances(spark, monkeypatch):
+    """Every sense count is scored from one pass over the distances, with the scores of a pass of its own."""
+    rng = np.random.default_rng(6)
+    rows = [(w, i, (rng.normal(size=3) + 9 * np.eye(3)[i % 3]).tolist(), i % 3, None if w == "b" else i % 2) for w in "ab" for i in range(24)]
+    ctx = spark.createDataFrame(rows, "word string, ctx long, vec array<double>, l3 long, l2 long")
+    got = {(r.word, r.t): r.silhouette for r in SN._silhouettes(ctx.select("word", "ctx", "vec", F.array("l2", "l3").alias("ls"))).collect()}
+    own = {(r.word, 1): r.silhouette for r in SN.silhouette_scores(ctx, "l3").collect()}
+    own[("a", 0)] = SN.silhouette_scores(ctx.where("word = 'a'"), "l2").first().silhouette
+    assert got == pytest.approx(own, abs=1e-9)
+    x = np.vstack([rng.normal(size=(9, 3)) + 1e3, np.full((2, 3), 1e3)])
+    want = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    assert np.abs(SN._distances(x, x) - want).max() < 1e-9
+    passes, scores = [], SN._silhouettes
+    monkeypatch.setattr(SN, "_silhouettes", lambda c: (passes.append(1), scores(c))[1])
+    assert SN.optimal_senses(ctx.select("word", "ctx", "vec"), 4, 4).count() == 2 and len(passes) == 1
