@@ -143,8 +143,14 @@ def pack_groups(by: str):
 
 
 def with_vectors(lots: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of a lot together, the lot itself first, then what was found for its words (``lot, at, ...``)."""
-    both = lots.select("lot", "keys", "sizes", "ids").unionByName(found, allowMissingColumns=True)
+    """The rows of a lot together, the lot itself first, then what was found for its words (``lot, at, ...``).
+
+    The lists of the other rows are empty, not null: Arrow's writer goes back over a run of null lists for every
+    row it adds, which takes the square of a batch.
+    """
+    heads = lots.select("lot", "keys", "sizes", "ids")
+    none = [F.array().cast(heads.schema[c].dataType).alias(c) for c in ("keys", "sizes", "ids")]
+    both = heads.unionByName(found.select("*", *none), allowMissingColumns=True)
     return both.repartition("lot").sortWithinPartitions(F.col("lot"), F.col("at").asc_nulls_first())
 
 
