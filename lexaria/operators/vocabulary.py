@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexaria.functions import text as T
+from lexaria.functions import tokens as TK
 from lexaria.functions.ordering import with_global_index
 
 POS = ["doc_id", "line_no", "sent_no"]
@@ -58,13 +61,67 @@ def word_counts(toks: DataFrame) -> DataFrame:
     One hash aggregate with a map-side partial: a hot word is pre-counted in
     every task before the shuffle, so no task receives its raw tokens.
     """
-    agg = toks.groupBy("word").agg(
-        F.count(F.lit(1)).cast("bigint").alias("freq"),
-        F.min(position_key()).alias("first_key"),
-    )
+    return _summed(toks, F.count(F.lit(1)))
+
+
+def _summed(toks: DataFrame, freq: F.Column) -> DataFrame:
+    agg = toks.groupBy("word").agg(freq.cast("bigint").alias("freq"), F.min(position_key()).alias("first_key"))
     return agg.withColumn("first", decode_position("first_key"))
 
 
+COUNT_BYTES = 1 << 23
+
+
+def sentence_word_counts(sents: DataFrame) -> DataFrame:
+    """E3 over sentences: the rows of ``word_counts(tokens(sents))``.
+
+    Sentences are cut (C3 + C4 + C5) and their words counted some megabytes of text at a time where they lie, so no row
+    is made for a token; the aggregate gets a word of such a piece once, with its count and first position there.
+    """
+    runs = TK.char_runs(sents.sparkSession)
+
+    def run(batches):
+        chars, held, size = TK.table(runs), [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= COUNT_BYTES:
+                yield _piece_counts(held, chars)
+                held, size = [], 0
+        if held:
+            yield _piece_counts(held, chars)
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sents.select(*POS).schema)
+    rows = sents.select(*POS, F.lower("sentence").alias("sentence")).mapInArrow(run, f"{kinds}, tok_pos long, word string, n long")
+    return _summed(rows, F.sum("n"))
+
+
+def _piece_counts(held: list[pa.RecordBatch], chars: np.ndarray) -> pa.RecordBatch:
+    """A row for every word of the sentences: where it stands first, and how often it occurs."""
+    t = pa.Table.from_batches(held).combine_chunks()
+    none = pa.array([], pa.string())
+    cut = [x[2:] for c in t.column("sentence").chunks for x in TK.cut_texts(c, chars)]
+    tokens = pa.concat_arrays([none, *(x[0] for x in cut)]).dictionary_encode()
+    sizes, places = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in cut)]) for k in (1, 2))
+    ids, row = tokens.indices.to_numpy(), np.repeat(np.arange(t.num_rows), sizes)
+    line, sent = (t.column(c).to_numpy() for c in POS[1:])
+    if len(row) and max(line[row].max(), sent[row].max(), places.max()) >= _E6:
+        raise ValueError("more than 10^6 lines, sentences or tokens in one unit")
+    # sentences in corpus order, those of no document last
+    doc = t.column("doc_id")
+    order = np.lexsort((sent, line, doc.fill_null(0).to_numpy(), doc.is_null().to_numpy()))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    if (rank[1:] < rank[:-1]).any():
+        by = np.argsort(rank[row], kind="stable")
+        ids, row, places = ids[by], row[by], places[by]
+    first = np.zeros(len(tokens.dictionary), np.int64)
+    first[ids[::-1]] = np.arange(len(ids))[::-1]  # the last to be written is the first in order
+    at = t.select(POS).take(pa.array(row[first]))
+    return pa.RecordBatch.from_arrays([*(at.column(c).combine_chunks() for c in POS), pa.array(places[first]), tokens.dictionary,
+                                       pa.array(np.bincount(ids, minlength=len(first)))], [*POS, "tok_pos", "word", "n"])
+
+
 def filter_vocabulary(
     counts: DataFrame, min_freq: int = 10, min_len: int = 3, max_size: int | None = None
 ) -> DataFrame:

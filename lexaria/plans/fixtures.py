@@ -103,7 +103,7 @@ def turn_key(conv="conv_id", turn="turn"):
 
 def vocab(spark, sf) -> DataFrame:
     return stage(spark, sf, "vocab",
-                 lambda: V.filter_vocabulary(counts(spark, sf), MIN_FREQ, MIN_LEN))
+                 lambda: V.filter_vocabulary(V.sentence_word_counts(sentences(spark, sf)), MIN_FREQ, MIN_LEN))
 
 
 def embeddings(spark, sf) -> DataFrame:

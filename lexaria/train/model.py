@@ -26,7 +26,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexaria.functions import text as T
+from lexaria.functions import tokens as TK
 from lexaria.functions import vectors as Vx
 from lexaria.functions.arrow import lists, matrix
 from lexaria.operators import encode as EN
@@ -48,16 +48,27 @@ def vectors_of(params: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- shared pieces
 
-def _lots(rows: DataFrame, by: str, key: list[str], texts: list[str], punct="P1") -> DataFrame:
+def _lots(rows: DataFrame, by: str, key: list[str], texts: list[str]) -> DataFrame:
     """Lots of whole groups ``by``, in the order of ``key``; ``cut`` is where a row's second text begins."""
     placed = rows.select(*key, *texts).repartition(by).sortWithinPartitions(*[k for k in key if k != "tvec"])
-    none = F.array().cast("array<string>")
-    toks = [F.coalesce(T.drop_punct(T.word_tokens(F.col(t)), punct), none).alias(f"_t{n}") for n, t in enumerate(texts)]
-    told = placed.select(*key, *toks)
-    src = told.select(F.struct(*key, F.size("_t0").alias("cut")).alias("key"),
-                      F.concat(*[F.col(f"_t{n}") for n in range(len(texts))]).alias("toks"))
-    kind = src.schema["key"].dataType.simpleString()
-    return src.mapInArrow(EN.pack_groups(by), EN.LOT_ROW.format(key=kind)).checkpoint(eager=True)
+    runs, n = TK.char_runs(rows.sparkSession), len(texts)
+
+    def told(batches):
+        chars = TK.table(runs)
+        for b in batches:
+            # the texts of a row one behind the other
+            each = pa.concat_arrays([b.column(t) for t in texts]).take(pa.array(np.arange(n * b.num_rows).reshape(n, -1).T.ravel()))
+            for x, y, tokens, sizes, _ in TK.cut_texts(each, chars, n):
+                keys = b.slice(x // n, (y - x) // n)
+                own = pa.StructArray.from_arrays([*(keys.column(k) for k in key), pa.array(sizes[::n], pa.int32())], [*key, "cut"])
+                toks = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)][::n], pa.int32()), tokens)
+                yield pa.RecordBatch.from_arrays([own, toks], ["key", "toks"])
+
+    def pack(batches):
+        return EN.pack_groups(by)(told(batches))
+
+    kind = "struct<" + ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in placed.select(*key).schema) + ", cut: int>"
+    return placed.mapInArrow(pack, EN.LOT_ROW.format(key=kind)).checkpoint(eager=True)
 
 
 def _lot_vectors(lots: DataFrame, table: DataFrame) -> DataFrame:
