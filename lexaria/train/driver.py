@@ -155,14 +155,16 @@ def train_regression(spark: SparkSession, params: DataFrame, texts: DataFrame, t
             share = F.pmod(F.xxhash64("text_id", F.lit(cfg.seed), F.lit(epoch)), F.lit(cfg.steps_per_pass))
             dealt, aims = texts.withColumn("_s", share), targets.withColumn("_s", share)
             losses = []
-            for s in range(cfg.steps_per_pass):
+            found = {r["_s"] for r in dealt.select("_s").distinct().collect()}  # a number a step
+            steps = [s for s in range(cfg.steps_per_pass) if s in found]
+            for s in steps:
                 step = epoch * cfg.steps_per_pass + s
                 part = dealt.where(F.col("_s") == s).drop("_s")
-                if part.isEmpty():
-                    continue
                 grad, dw, loss = M.regression_gradient(part, params, aims.where(F.col("_s") == s).drop("_s"), w, bound=bound, dim=dim)
                 rate = cosine_rate(cfg.learning_rate, step, total)
-                params = M.adam_step(params, grad, step + 1, rate, None, weight_decay=cfg.weight_decay).checkpoint(eager=True)
+                params = M.adam_step(params, grad, step + 1, rate, None, weight_decay=cfg.weight_decay)
+                if s != steps[-1]:  # the last table of a pass is stored where it is written
+                    params = params.checkpoint(eager=True)
                 w, m, v = adamw_matrix(w, m, v, dw, step + 1, rate, cfg.weight_decay)
                 losses.append(float(loss))
             loss = float(np.mean(losses))

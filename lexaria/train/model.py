@@ -360,7 +360,7 @@ def regression_gradient(texts: DataFrame, params: DataFrame, targets: DataFrame,
 
     def through(batches):
         for b in batches:
-            vec, has = matrix(b.column("vec")), np.asarray(b.column("g").is_valid())
+            vec, has = matrix(b.column("vec")), b.column("g").value_lengths().to_numpy() > 0
             g = vec * decay
             if has.any():
                 g[has] += matrix(b.column("g").filter(pa.array(has))) @ weight
@@ -372,10 +372,11 @@ def regression_gradient(texts: DataFrame, params: DataFrame, targets: DataFrame,
             total += matrix(b.column("g")).T @ matrix(b.column("vec"))
         yield pa.RecordBatch.from_arrays([lists(total.reshape(1, -1))], ["f"])
 
-    told = table.join(by_word, "word", "left")
+    # an empty list, not null, where a word has no gradient (see ``EN.with_vectors``)
+    told = table.join(by_word, "word", "left").withColumn("g", F.coalesce("g", F.array().cast("array<double>")))
     grad = told.mapInArrow(through, "word string, g array<double>")
     # dW as one flattened k*d vector per task, summed
-    dw = told.where(F.col("g").isNotNull()).select("g", "vec").mapInArrow(outer, "f array<double>")
+    dw = table.join(by_word, "word").select("g", "vec").mapInArrow(outer, "f array<double>")
     dw_sum = dw.select(Summarizer.sum(array_to_vector("f")).alias("t")).first()["t"]  # k*d numbers
     dW = np.asarray(dw_sum.toArray()).reshape(k, d) if dw_sum is not None else np.zeros((k, d))
     ms = params.select(F.explode("vec").alias("e")).agg(F.avg(F.col("e") * F.col("e"))).first()[0]
